@@ -8,5 +8,6 @@ from kindling.functions.columns import (  # noqa: F401
     nan_to_null,
     radius,
     safe_div,
+    sample_std,
     split_hash,
 )

@@ -22,6 +22,16 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def sample_std(c) -> Column:
+    """Aggregate: sample std (ddof 1) that is exactly 0 for a constant column and
+    NULL below two values.  Spark's merged moment sums leave ~1e-16 for a
+    constant, which would otherwise turn "divide by zero" into huge numbers."""
+    x = _c(c)
+    return (F.when(F.count(x) < 2, F.lit(None).cast("double"))
+            .when(F.min(x) == F.max(x), F.lit(0.0))
+            .otherwise(F.stddev_samp(x)))
+
+
 def band_label(pred, high: float = BAND_HIGH, moderate: float = BAND_MODERATE) -> Column:
     """Intensity band; boundaries go to the lower band, NULL stays NULL."""
     p = _c(pred)

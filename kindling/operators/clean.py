@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null
+from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null, sample_std
 from kindling.schema import (
     AUSTRALIA,
     CRITICAL_COLUMNS,
@@ -75,7 +75,7 @@ def filter_outliers(df: DataFrame, col: str, k: float = OUTLIER_SIGMA) -> DataFr
     """
     if col not in df.columns:
         return df
-    stats = df.agg(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd"))
+    stats = df.agg(F.avg(col).alias("mu"), sample_std(col).alias("sd"))
     mu, sd = stats.select("mu").scalar(), stats.select("sd").scalar()
     c = F.col(col)
     return df.where((c > mu - F.lit(k) * sd) & (c < mu + F.lit(k) * sd))

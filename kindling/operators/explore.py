@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import safe_div
+from kindling.functions.columns import safe_div, sample_std
 from kindling.operators.selection import exact_quantiles
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
@@ -27,7 +27,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), sample_std(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
@@ -52,8 +52,12 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
     """
     stats = column_stats(df, cols)
     if exact:
-        q = exact_quantiles(melt(df, cols), "value", [0.25, 0.5, 0.75], group_cols=["column"],
-                            names=["p25", "p50", "p75"])
+        # per column: a stats job, a few bounded histogram jobs, one small ranking
+        parts = [exact_quantiles(df, F.col(c).cast("double"), [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
+                 .select(F.lit(c).alias("column"), "p25", "p50", "p75") for c in cols]
+        q = parts[0]
+        for p in parts[1:]:
+            q = q.unionByName(p)
     else:
         long_ = melt(df, cols)
         pq = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
@@ -68,7 +72,7 @@ def _pair_corr(x: Column, y: Column) -> Column:
     """Pearson over rows where both are non-NULL; NULL for a constant side (never raises)."""
     xs = F.when(y.isNotNull(), x)
     ys = F.when(x.isNotNull(), y)
-    return safe_div(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
+    return safe_div(F.covar_samp(xs, ys), sample_std(xs) * sample_std(ys))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -79,7 +83,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     x = [F.col(c).cast("double") for c in cols]
-    aggs = [F.stddev_samp(x[i]).alias(f"s{i}") for i in range(len(cols))]
+    aggs = [sample_std(x[i]).alias(f"s{i}") for i in range(len(cols))]
     aggs += [_pair_corr(x[i], x[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i + 1, len(cols))]
     wide = df.agg(*aggs)
     rows = []
@@ -149,7 +153,7 @@ def density_curve(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 102
     bounded by the bin width.
     """
     x = F.col(col).cast("double")
-    stats = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"))
+    stats = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), sample_std(x).alias("sd"))
     n, lo, hi, sd = (stats.select(c).scalar() for c in ("n", "lo", "hi", "sd"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
     width = (hi - lo) / F.lit(float(fine_bins))

@@ -18,15 +18,16 @@ distinct value) the rank is read with ``row_number`` over that small set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from kindling.plans.materialize import materialize
 
 BUCKETS = 4096
-FINAL_MAX = 50_000
+FINAL_MAX = 1_000_000
 BROADCAST_MAX_ROWS = 1_000_000
 MAX_LEVELS = 48
 
@@ -45,15 +46,20 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def _join_groups(base: DataFrame, state: DataFrame, gcols: list[str], rows: int, limit: int) -> DataFrame:
-    """base x state on the group columns, NULL-safe (a NULL group is a group)."""
-    renamed = state.select(*[F.col(g).alias(f"__s_{g}") for g in gcols],
-                           *[c for c in state.columns if c not in gcols])
+def _join_state(left: DataFrame, state: DataFrame, gcols: list[str], rows: int, limit: int,
+                extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """left x state on the group columns (NULL-safe: a NULL group is a group) plus
+    equalities ``left[a] == state[b]`` for (a, b) in ``extra``.  State columns
+    keep their names except the renamed join keys, which are dropped."""
+    ren = {c: f"__s_{c}" for c in [*gcols, *[b for _, b in extra]]}
+    right = state.select(*[F.col(c).alias(ren.get(c, c)) for c in state.columns])
     cond = None
     for g in gcols:
-        e = base[g].eqNullSafe(renamed[f"__s_{g}"])
+        e = left[g].eqNullSafe(right[ren[g]])
         cond = e if cond is None else cond & e
-    return base.join(_maybe_broadcast(renamed, rows, limit), on=cond).drop(*[f"__s_{g}" for g in gcols])
+    for a, b in extra:
+        cond = cond & (left[a] == right[ren[b]])
+    return left.join(_maybe_broadcast(right, rows, limit), on=cond).drop(*ren.values())
 
 
 def select_ranks(
@@ -94,7 +100,7 @@ def select_ranks(
         if k == 0:
             break
         done = state.where(~open_)
-        cand = (_join_groups(base, pending, gcols, k, broadcast_max)
+        cand = (_join_state(base, pending, gcols, k, broadcast_max)
                 .where(F.col("_v").between(F.col("lo"), F.col("hi")))
                 .withColumn("b", _bucket(F.col("_v"), F.col("lo"), F.col("hi"), buckets)))
         hist = cand.groupBy(*keys, "n", "r", "b").agg(
@@ -106,23 +112,103 @@ def select_ranks(
                        F.col("blo").alias("lo"), F.col("bhi").alias("hi"), F.col("cb").alias("c")))
         state = materialize(done.unionByName(nxt), "rank-state")
 
-    k = state.count()
+    parts = []
     if not tiebreak:
-        single = state.where(F.col("lo") == F.col("hi")).select(*keys, "n", F.col("lo").alias("_v"))
+        # a range holding one distinct value answers itself, whatever its size
+        parts.append(state.where(F.col("lo") == F.col("hi")).select(*keys, "n", F.col("lo").alias("_v")))
         state = state.where(F.col("lo") < F.col("hi"))
-    cand = (_join_groups(base, state, gcols, k, broadcast_max)
+    k = state.count()
+    # Targets that share a range share one ranking of its (at most final_max) rows.
+    ranges = state.select(*gcols, "lo", "hi").distinct()
+    cand = (_join_state(base, ranges, gcols, k, broadcast_max)
             .where(F.col("_v").between(F.col("lo"), F.col("hi"))))
-    w = Window.partitionBy(*keys).orderBy("_v", *tiebreak)
-    picked = (cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == F.col("r"))
-              .select(*keys, "n", "_v", *tiebreak))
-    if not tiebreak:
-        picked = picked.unionByName(single)
-    out = picked.withColumnRenamed("_v", "value")
+    w = Window.partitionBy(*gcols, "lo", "hi").orderBy("_v", *tiebreak)
+    ranked = cand.withColumn("_rn", F.row_number().over(w))
+    picked = _join_state(ranked, state.select(*gcols, "target", "n", "r", F.col("lo").alias("slo"),
+                                              F.col("hi").alias("shi")),
+                         gcols, k, broadcast_max, extra=[("lo", "slo"), ("hi", "shi"), ("_rn", "r")])
+    parts.append(picked.select(*keys, "n", "_v", *tiebreak))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    out = out.withColumnRenamed("_v", "value")
     return out.drop(_G0) if not group_cols else out
 
 
+def select_ranks_local(
+    df: DataFrame,
+    value: str | Column,
+    targets: dict[str, Callable[[Column], Column]],
+    tiebreak: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    final_max: int = FINAL_MAX,
+) -> tuple[int, dict]:
+    """Ungrouped ``select_ranks`` with the (tiny) state kept on the driver.
+
+    Returns (n, {target: Row(value, *tiebreak) or None}).  Jobs: one stats
+    aggregate, one histogram per level (at most ``buckets`` rows per open
+    range come back), and one ranking of at most ``final_max`` rows per range.
+    """
+    vcol = F.col(value) if isinstance(value, str) else value
+    base = df.select(vcol.alias("_v"), *[F.col(c) for c in tiebreak]).where(F.col("_v").isNotNull())
+    n_col = F.col("n")
+    row = (base.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+           .select("n", "lo", "hi", *[fn(n_col).cast("long").alias(f"r{i}") for i, fn in enumerate(targets.values())])
+           .first())
+    n = int(row["n"])
+    # state per target: [rank within range, lo, hi, rows in range]
+    state = {name: [row[f"r{i}"], row["lo"], row["hi"], n] for i, name in enumerate(targets)
+             if row[f"r{i}"] is not None and 1 <= row[f"r{i}"] <= n}
+    for _ in range(MAX_LEVELS):
+        ranges = sorted({(lo, hi) for r, lo, hi, c in state.values() if c > final_max and lo < hi})
+        if not ranges:
+            break
+        tag = F.coalesce(*[F.when(F.col("_v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)])
+        lo_c = F.get(F.array(*[F.lit(lo) for lo, _ in ranges]), F.col("ri"))
+        hi_c = F.get(F.array(*[F.lit(hi) for _, hi in ranges]), F.col("ri"))
+        hist = (base.select("_v", tag.alias("ri")).where(F.col("ri").isNotNull())
+                .withColumn("b", _bucket(F.col("_v"), lo_c, hi_c, buckets))
+                .groupBy("ri", "b").agg(F.count(F.lit(1)).alias("cb"), F.min("_v").alias("blo"),
+                                        F.max("_v").alias("bhi"))
+                .collect())
+        by_range: dict[int, list] = {}
+        for h in hist:
+            by_range.setdefault(h["ri"], []).append(h)
+        for name, (r, lo, hi, c) in list(state.items()):
+            if not (c > final_max and lo < hi):
+                continue
+            cum = 0
+            for h in sorted(by_range[ranges.index((lo, hi))], key=lambda h: h["b"]):
+                if cum + h["cb"] >= r:
+                    state[name] = [r - cum, h["blo"], h["bhi"], h["cb"]]
+                    break
+                cum += h["cb"]
+    out: dict = {name: None for name in targets}
+    ranked_ranges = sorted({(lo, hi) for r, lo, hi, c in state.values() if lo < hi or tiebreak})
+    for name, (r, lo, hi, c) in state.items():
+        if lo == hi and not tiebreak:
+            out[name] = Row(value=lo)
+    if ranked_ranges:
+        tag = F.coalesce(*[F.when(F.col("_v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranked_ranges)])
+        w = Window.partitionBy("ri").orderBy("_v", *tiebreak)
+        wanted = sorted({(ranked_ranges.index((lo, hi)), int(r)) for r, lo, hi, c in state.values()
+                         if (lo, hi) in ranked_ranges})
+        want = F.array(*[F.struct(F.lit(i).alias("ri"), F.lit(r).alias("rn")) for i, r in wanted])
+        ranked = (base.withColumn("ri", tag).where(F.col("ri").isNotNull())
+                  .withColumn("rn", F.row_number().over(w))
+                  .where(F.array_contains(want, F.struct(F.col("ri"), F.col("rn").cast("int").alias("rn"))))
+                  .collect())
+        got = {(h["ri"], h["rn"]): h for h in ranked}
+        for name, (r, lo, hi, c) in state.items():
+            if (lo, hi) in ranked_ranges:
+                h = got[(ranked_ranges.index((lo, hi)), int(r))]
+                out[name] = Row(value=h["_v"], **{t: h[t] for t in tiebreak})
+    return n, out
+
+
 def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
+                    **select_kw) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact, one row per group.
 
     With h = (n-1)q, the result is x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)
@@ -133,7 +219,20 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
     for name, q in zip(names, qs):
         targets[f"{name}__lo"] = (lambda n, q=q: F.floor((n - 1) * F.lit(float(q))) + 1)
         targets[f"{name}__hi"] = (lambda n, q=q: F.ceil((n - 1) * F.lit(float(q))) + 1)
-    picked = select_ranks(df, col, targets, group_cols=group_cols)
+    if not group_cols:
+        n, got = select_ranks_local(df, col, targets, **select_kw)
+        vals = []
+        for name, q in zip(names, qs):
+            lo, hi = got[f"{name}__lo"], got[f"{name}__hi"]
+            if lo is None:
+                vals.append(F.lit(None).cast("double").alias(name))
+                continue
+            h = (n - 1) * float(q)
+            vals.append((F.lit(lo["value"]).cast("double")
+                         + (F.lit(hi["value"]).cast("double") - F.lit(lo["value"]).cast("double"))
+                         * F.lit(h - math.floor(h))).alias(name))
+        return df.sparkSession.range(1).select(*vals)
+    picked = select_ranks(df, col, targets, group_cols=group_cols, **select_kw)
     aggs = []
     for name, q in zip(names, qs):
         lo = F.max(F.when(F.col("target") == f"{name}__lo", F.col("value")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import split_hash
-from kindling.operators.selection import select_ranks
+from kindling.operators.selection import select_ranks_local
 from kindling.schema import SPLIT_SEED, TEST_SIZE
 
 _H = "__split_h"
@@ -44,23 +44,26 @@ def _lex_le(cols: Sequence[Column], vals: Sequence) -> Column:
 
 
 def split_cut(df: DataFrame, key_cols: Sequence[str], test_size: float | int = TEST_SIZE,
-              seed: int = SPLIT_SEED) -> tuple[int, int, tuple]:
+              seed: int = SPLIT_SEED, **select_kw) -> tuple[int, int, tuple]:
     """(n, n_test, cut) where cut = (hash, *keys) of the last test row."""
     keys = list(key_cols)
-    h = split_hash(seed, *keys)
-    hashed = df.select(h.alias(_H), *keys)
+    hashed = df.select(split_hash(seed, *keys).alias(_H), *keys)
     sort_key = F.conv(F.substring(F.col(_H), 1, 15), 16, 10).cast("long")
-    n = hashed.count()
+    if isinstance(test_size, int) and not isinstance(test_size, bool):
+        rank = lambda n: F.lit(test_size)
+    else:
+        rank = lambda n: F.ceil(n * F.lit(float(test_size)))
+    n, got = select_ranks_local(hashed, sort_key, {"cut": rank}, tiebreak=[_H, *keys], **select_kw)
     n_test = _test_count(test_size, n)
-    row = select_ranks(hashed, sort_key, {"cut": lambda _n: F.lit(n_test)}, tiebreak=[_H, *keys]).first()
+    row = got["cut"]
     return n, n_test, tuple(row[c] for c in [_H, *keys])
 
 
 def train_test_split(df: DataFrame, key_cols: Sequence[str] | str, test_size: float | int = TEST_SIZE,
-                     seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
+                     seed: int = SPLIT_SEED, **select_kw) -> tuple[DataFrame, DataFrame]:
     """(train, test).  ``key_cols`` must identify rows uniquely."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    _, _, cut = split_cut(df, keys, test_size, seed)
+    _, _, cut = split_cut(df, keys, test_size, seed, **select_kw)
     in_test = _lex_le([split_hash(seed, *keys), *[F.col(k) for k in keys]], cut)
     return df.where(~in_test), df.where(in_test)
 
