@@ -24,14 +24,14 @@ def list_runs(runs: DataFrame, col: str = "run_id") -> DataFrame:
 
 
 def model_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Registry rows from saved model folders ``<root>/run_id=<r>/models/<model>/metadata``."""
+    """Registry rows from saved models laid out as ``<root>/run_id=<r>/<model>/metadata/part-*``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "part-*").load(root).select("path", "modificationTime"))
-    m = F.regexp_extract("path", r"run_id=([^/]+)/models/([^/]+)/metadata/", 0)
-    return (files.where(m != "")
-            .select(F.regexp_extract("path", r"run_id=([^/]+)/", 1).alias("run_id"),
-                    F.regexp_extract("path", r"/models/([^/]+)/metadata/", 1).alias("model"),
-                    F.regexp_extract("path", r"^(.*/models/[^/]+)/metadata/", 1).alias("path"),
+    pat = r"^(.*/run_id=([^/]+)/([^/]+))/metadata/part-[^/]*$"
+    return (files.where(F.col("path").rlike(pat))
+            .select(F.regexp_extract("path", pat, 2).alias("run_id"),
+                    F.regexp_extract("path", pat, 3).alias("model"),
+                    F.regexp_extract("path", pat, 1).alias("path"),
                     F.col("modificationTime").alias("modified_at"))
             .groupBy("run_id", "model", "path").agg(F.max("modified_at").alias("modified_at")))
 

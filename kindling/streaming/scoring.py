@@ -31,9 +31,12 @@ def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, pattern: str | None = None,
+                recursive: bool = False) -> DataFrame:
     """A file stream over the folder ``path`` (new files become micro-batches)."""
     r = spark.readStream.format(fmt).schema(schema)
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     if fmt == "csv":
