@@ -170,6 +170,12 @@ def q_histogram_events(spark, sf):
     return h.select("bin", F.col("count").alias("n"))
 
 
+def q_numeric_histograms(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    h = explore.histogram(li, features.numeric_columns(li, 10), 30)
+    return h.select("column", "bin", "count")
+
+
 def q_density_curve(spark, sf):
     return explore.density_curve(_t(spark, sf, "events"), "value", grid=200)
 
@@ -349,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_correlates": q_top_correlates,
     "histogram": q_histogram,
     "histogram_events": q_histogram_events,
+    "numeric_histograms": q_numeric_histograms,
     "density_curve": q_density_curve,
     "scatter_density": q_scatter_density,
     "daily_summary": q_daily_summary,

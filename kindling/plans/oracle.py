@@ -34,8 +34,13 @@ with r as (select cast(year(o_orderdate) as integer) run_id, o_orderpriority mod
 
 
 def _hist(table: str, col: str, bins: int = 30) -> str:
-    return (f"select '{col}' as \"column\", cast(least(floor(({col} - lo) * {bins} / (hi - lo)), {bins - 1}) as integer) bin, "
-            f"count(*) as \"count\" from {table}, (select min({col}) lo, max({col}) hi from {table}) m group by 2")
+    x = f"cast({col} as double)"
+    return (f"select '{col}' as \"column\", cast(least(floor(({x} - lo) * {bins} / (hi - lo)), {bins - 1}) as integer) bin, "
+            f"count(*) as \"count\" from {table}, (select min({x}) lo, max({x}) hi from {table}) m group by 2")
+
+
+_LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                     "l_discount", "l_tax"]
 
 
 def _stats(col: str) -> str:
@@ -111,6 +116,7 @@ ORACLE_SQL: dict[str, str] = {
                       "union all select 'l_tax', round(corr(l_extendedprice, l_tax), 6) from lineitem) "
                       "order by c desc, feature limit 2",
     "histogram": " union all ".join(_hist("lineitem", c) for c in _CORR),
+    "numeric_histograms": " union all ".join(_hist("lineitem", c) for c in _LINEITEM_NUMERIC),
     "histogram_events": "with m as (select min(value) lo, max(value) hi from events) "
                         "select cast(least(floor((value - lo) * 30 / (hi - lo)), 29) as integer) bin, count(*) n "
                         "from events, m group by 1",

@@ -21,6 +21,7 @@ from kindling.operators.clean import create_dataset
 from kindling.operators.features import generate_features
 from kindling.operators.metrics import METRICS, best_model
 from kindling.operators.split import train_test_split
+from kindling.plans.eda import eda_tables
 from kindling.schema import CRITICAL_COLUMNS, FEATURES, SPLIT_SEED, TARGET, TEST_SIZE
 from kindling.sources.sinks import scores_table, write_metrics_report, write_run
 
@@ -47,6 +48,7 @@ class WorkflowOptions:
     specs: Sequence[ModelSpec] = field(default_factory=list)
     metrics: Sequence[str] = METRICS
     allow_target_leakage: bool = False
+    eda: bool = True
 
 
 def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +71,7 @@ def _check_leakage(opts: WorkflowOptions) -> None:
 
 def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out: str,
                  run_id: int | None = None) -> dict:
-    """Clean -> features -> split -> fit -> score -> evaluate, written per run."""
+    """Clean -> features -> EDA tables -> split -> fit -> score -> evaluate, written per run."""
     if not opts.specs:
         raise ValueError("no model specs given")
     _check_leakage(opts)
@@ -83,6 +85,11 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     write_run(feats.select(*keep), f"{out}/features", run_id)
     feats = spark.read.parquet(f"{out}/features").where(F.col("run_id") == run_id).drop("run_id")
 
+    eda_paths = {}
+    if opts.eda:
+        for name, table in eda_tables(feats.drop(*opts.key_cols), opts.target).items():
+            eda_paths[name] = write_run(table, f"{out}/eda/{name}", run_id)
+
     train, test = train_test_split(feats, list(opts.key_cols), opts.test_size, opts.seed)
     write_run(train, f"{out}/train", run_id)
     write_run(test, f"{out}/test", run_id)
@@ -98,4 +105,4 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
-            "evaluated": scores_out, "models": model_paths, "fitted": fitted}
+            "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths}
