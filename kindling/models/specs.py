@@ -19,6 +19,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 
+from kindling.plans.materialize import run_concurrently, spread
 from kindling.schema import CV_FOLDS, LEAF_GRID, TREE_SEED
 
 MODEL_TYPES = ("LinearRegression", "DecisionTreeRegressor", "RandomForestRegressor")
@@ -103,17 +104,27 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, **hp) -> P
 
 
 def fit_models(train: DataFrame, specs: Sequence[ModelSpec], features: Sequence[str],
-               label: str) -> list[tuple[ModelSpec, PipelineModel]]:
-    """M6: every spec on the same training rows (persisted once, released after)."""
-    cached = train.select(*features, label).persist()
+               label: str, parallelism: int = 3) -> list[tuple[ModelSpec, PipelineModel]]:
+    """M6: every spec on the same training rows, fits submitted concurrently.
+
+    A training input with fewer partitions than the session's parallelism is
+    spread (and persisted for the several fits); a large input is used as is —
+    Spark ML caches its own working set.
+    """
+    data, spread_out = spread(train.select(*features, label))
+    if spread_out:
+        data = data.persist()
     try:
-        return [(s, fit_model(cached, s, features, label)) for s in specs]
+        fits = run_concurrently({i: (lambda s=s: fit_model(data, s, features, label)) for i, s in enumerate(specs)},
+                                max_workers=parallelism)
+        return [(s, fits[i]) for i, s in enumerate(specs)]
     finally:
-        cached.unpersist()
+        if spread_out:
+            data.unpersist()
 
 
 def tune_tree(train: DataFrame, features: Sequence[str], label: str, fold_col: str, folds: int = CV_FOLDS,
-              leaf_grid: Sequence[int] = LEAF_GRID, seed: int = TREE_SEED, parallelism: int = 2) -> DataFrame:
+              leaf_grid: Sequence[int] = LEAF_GRID, seed: int = TREE_SEED, parallelism: int = 4) -> DataFrame:
     """M7: k-fold CV (folds given by ``fold_col``) of leaf limits, mean MAE; first minimum wins.
 
     Leaf limits that map to the same depth share one CV fit.  Returns
@@ -126,7 +137,7 @@ def tune_tree(train: DataFrame, features: Sequence[str], label: str, fold_col: s
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mae")
     cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=folds,
                         parallelism=parallelism, seed=seed)
-    data = assembler(features).transform(train.select(*features, label, fold_col)).persist()
+    data = assembler(features).transform(spread(train.select(*features, label, fold_col))[0]).persist()
     try:
         model = cv.fit(data)
     finally:

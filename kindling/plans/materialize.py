@@ -20,3 +20,26 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{root}/kindling/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> tuple[DataFrame, bool]:
+    """Round-robin ``df`` over at least ``min_partitions`` (default: the session's
+    parallelism) when it has fewer, e.g. a one-row-group file feeding an
+    iterative ML fit.  Inputs that are already split (any large table) are
+    returned untouched, so no shuffle is added at scale.  Returns (df, changed)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df, False
+    return df.repartition(target), True
+
+
+def run_concurrently(tasks: dict, max_workers: int = 4) -> dict:
+    """Submit independent Spark actions from driver threads (Spark schedules
+    concurrent jobs); returns {name: result}; the first failure is raised."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if max_workers <= 1 or len(tasks) <= 1:
+        return {k: fn() for k, fn in tasks.items()}
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        futures = {k: pool.submit(fn) for k, fn in tasks.items()}
+        return {k: f.result() for k, f in futures.items()}

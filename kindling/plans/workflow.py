@@ -22,6 +22,7 @@ from kindling.operators.features import generate_features
 from kindling.operators.metrics import METRICS, best_model
 from kindling.operators.split import train_test_split
 from kindling.plans.eda import eda_tables
+from kindling.plans.materialize import run_concurrently
 from kindling.schema import CRITICAL_COLUMNS, FEATURES, SPLIT_SEED, TARGET, TEST_SIZE
 from kindling.sources.sinks import scores_table, write_metrics_report, write_run
 
@@ -87,17 +88,19 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
 
     eda_paths = {}
     if opts.eda:
-        for name, table in eda_tables(feats.drop(*opts.key_cols), opts.target).items():
-            eda_paths[name] = write_run(table, f"{out}/eda/{name}", run_id)
+        tables = eda_tables(feats.drop(*opts.key_cols), opts.target)
+        eda_paths = run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
+                                      for name, table in tables.items()})
 
     train, test = train_test_split(feats, list(opts.key_cols), opts.test_size, opts.seed)
-    write_run(train, f"{out}/train", run_id)
-    write_run(test, f"{out}/test", run_id)
+    run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
+                      "test": lambda: write_run(test, f"{out}/test", run_id)})
     train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")
     test = spark.read.parquet(f"{out}/test").where(F.col("run_id") == run_id).drop("run_id")
 
     fitted = fit_models(train, opts.specs, opts.features, opts.target)
-    model_paths = {s.name: save_model(m, f"{out}/models/run_id={run_id}/{s.name}") for s, m in fitted}
+    model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
+                                    for s, m in fitted})
 
     scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
     evaluated = evaluate_performance(scores)

@@ -35,14 +35,10 @@ def write_metrics_report(evaluated: DataFrame, path: str, mode: str = "error") -
 
 def write_run(df: DataFrame, root: str, run_id: int, fmt: str = "parquet") -> str:
     """Append ``df`` under ``<root>/run_id=<run_id>/``, replacing only that run's partition."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("run_id", F.lit(int(run_id)).cast("bigint"))
-         .write.mode("overwrite").format(fmt).partitionBy("run_id").save(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # per-write option (not the session conf): safe when several runs write at once
+    (df.withColumn("run_id", F.lit(int(run_id)).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .format(fmt).partitionBy("run_id").save(root))
     return f"{root.rstrip('/')}/run_id={int(run_id)}"
 
 
