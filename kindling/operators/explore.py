@@ -68,13 +68,28 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def _pair_corr(x: Column, y: Column) -> Column:
-    """Pearson over rows where both are non-NULL; NULL for a constant side (never raises)."""
-    xs = F.when(y.isNotNull(), x)
-    ys = F.when(x.isNotNull(), y)
+def _pair_corr(x: Column, y: Column, x_nulls: bool = True, y_nulls: bool = True) -> Column:
+    """Pearson over rows where both are non-NULL; NULL for a constant side (never raises).
+
+    When neither column holds a NULL the masks are dropped, so the per-column
+    std terms are shared by every pair (Spark de-duplicates equal aggregates).
+    """
+    masked = x_nulls or y_nulls
+    xs = F.when(y.isNotNull(), x) if masked else x
+    ys = F.when(x.isNotNull(), y) if masked else y
     return safe_div(F.covar_samp(xs, ys), sample_std(xs) * sample_std(ys))
 
 
+def _null_flags(df: DataFrame, cols: Sequence[str]) -> list[bool]:
+    """Which columns hold a NULL (one small aggregate; nullable=false needs no pass)."""
+    nullable = [c for c in cols if df.schema[c].nullable]
+    if not nullable:
+        return [False] * len(cols)
+    row = df.agg(*[F.max(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(nullable)]).first()
+    has = {c: bool(row[f"n{i}"]) for i, c in enumerate(nullable)}
+    return [has.get(c, False) for c in cols]
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A3: full Pearson matrix in long form (a, b, i, j, corr), pairwise-complete.
 
@@ -82,9 +97,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     constant column); the matrix is mirrored, not recomputed.
     """
     cols = list(cols)
+    nulls = _null_flags(df, cols)
     x = [F.col(c).cast("double") for c in cols]
     aggs = [sample_std(x[i]).alias(f"s{i}") for i in range(len(cols))]
-    aggs += [_pair_corr(x[i], x[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    aggs += [_pair_corr(x[i], x[j], nulls[i], nulls[j]).alias(f"c{i}_{j}")
+             for i in range(len(cols)) for j in range(i + 1, len(cols))]
     wide = df.agg(*aggs)
     rows = []
     for i, a in enumerate(cols):
@@ -107,7 +124,9 @@ def top_correlates(df: DataFrame, target: str, cols: Sequence[str], k: int = TOP
     """A5: features by signed correlation with the target, descending (NULL last, name breaks ties), top k."""
     feats = [c for c in cols if c != target]
     t = F.col(target).cast("double")
-    wide = df.agg(*[_pair_corr(F.col(c).cast("double"), t).alias(f"c{i}") for i, c in enumerate(feats)])
+    nulls = _null_flags(df, [*feats, target])
+    wide = df.agg(*[_pair_corr(F.col(c).cast("double"), t, nulls[i], nulls[-1]).alias(f"c{i}")
+                    for i, c in enumerate(feats)])
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr")) for i, c in enumerate(feats)]
     return wide.select(_long(rows)).orderBy(F.col("corr").desc_nulls_last(), F.col("feature")).limit(k)
 

@@ -97,6 +97,31 @@ def prediction_bounds(pred: DataFrame, label: str = "label", prediction: str = "
         F.greatest(F.max(label), F.max(prediction)).alias("hi"))
 
 
+def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                          group_cols: Sequence[str] = ("model",), bins: int = 20) -> DataFrame:
+    """Binned (actual, predicted) pairs per group on a square grid over the
+    group's [min, max] of both columns, plus that diagonal.  Actuals are always
+    the real labels (never a stand-in)."""
+    g = list(group_cols)
+    bounds = prediction_bounds(pred, label, prediction, g)   # one row per group
+    y, yh = F.col(label).cast("double"), F.col(prediction).cast("double")
+    span = F.col("hi") - F.col("lo")
+
+    def b(c):
+        raw = F.floor(safe_div((c - F.col("lo")) * F.lit(float(bins)), span))
+        return F.when(span == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
+
+    if g:
+        # one bounds row per group; AQE broadcasts it when its measured size is small
+        joined = pred.join(bounds, on=g)
+    else:
+        lo, hi = (bounds.select(c).scalar() for c in ("lo", "hi"))
+        joined = pred.withColumns({"lo": lo, "hi": hi})
+    return (joined.where(y.isNotNull() & yh.isNotNull())
+            .groupBy(*g, b(y).alias("actual_bin"), b(yh).alias("predicted_bin"), "lo", "hi")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def model_comparison(scores: DataFrame) -> DataFrame:
     """(model, mae, r2) for models that have both."""
     return scores.where(F.col("mae").isNotNull() & F.col("r2").isNotNull()).select("model", "mae", "r2")

@@ -112,6 +112,9 @@ def select_ranks(
                        F.col("blo").alias("lo"), F.col("bhi").alias("hi"), F.col("cb").alias("c")))
         state = materialize(done.unionByName(nxt), "rank-state")
 
+    if tiebreak and state.where(F.col("c") > final_max).limit(1).count():
+        raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "
+                         "the order (nearly) unique, e.g. a unique row key")
     parts = []
     if not tiebreak:
         # a range holding one distinct value answers itself, whatever its size
@@ -183,6 +186,9 @@ def select_ranks_local(
                     state[name] = [r - cum, h["blo"], h["bhi"], h["cb"]]
                     break
                 cum += h["cb"]
+    if tiebreak and any(c > final_max for r, lo, hi, c in state.values()):
+        raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "
+                         "the order (nearly) unique, e.g. a unique row key")
     out: dict = {name: None for name in targets}
     ranked_ranges = sorted({(lo, hi) for r, lo, hi, c in state.values() if lo < hi or tiebreak})
     for name, (r, lo, hi, c) in state.items():

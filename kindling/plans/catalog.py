@@ -246,6 +246,12 @@ def q_prediction_bounds(spark, sf):
     return b.select("model", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
+def q_predictions_vs_actual(spark, sf):
+    p = metrics.predictions_vs_actual(_order_model_predictions(spark, sf), "label", "prediction", ["model"], bins=20)
+    return p.select("model", "actual_bin", "predicted_bin", F.round("lo", 4).alias("lo"),
+                    F.round("hi", 4).alias("hi"), "n")
+
+
 def q_residuals(spark, sf):
     p = _order_model_predictions(spark, sf).where(F.col("model") == "mean")
     r = metrics.residuals(p, "label", "prediction")
@@ -366,6 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "improvement_pct": q_improvement_pct,
     "model_comparison": q_model_comparison,
     "prediction_bounds": q_prediction_bounds,
+    "predictions_vs_actual": q_predictions_vs_actual,
     "residuals": q_residuals,
     "compare_runs": q_compare_runs,
     "best_run": q_best_run,

@@ -139,6 +139,14 @@ ORACLE_SQL: dict[str, str] = {
                                   "where mae is not null and r2 is not null",
     "prediction_bounds": _PRED + "select model, round(least(min(y), min(yh)), 4) lo, "
                                  "round(greatest(max(y), max(yh)), 4) hi from p group by model",
+    "predictions_vs_actual": _PRED + ", b as (select model, least(min(y), min(yh)) lo, greatest(max(y), max(yh)) hi "
+                                     "from p group by model) "
+                                     "select model, "
+                                     "cast(case when hi = lo then 0 else least(floor((y - lo) * 20 / (hi - lo)), 19) end "
+                                     "as integer) actual_bin, "
+                                     "cast(case when hi = lo then 0 else least(floor((yh - lo) * 20 / (hi - lo)), 19) end "
+                                     "as integer) predicted_bin, round(lo, 4) lo, round(hi, 4) hi, count(*) n "
+                                     "from p join b using (model) group by all",
     "residuals": _PRED + "select o_orderkey, round(y - yh, 4) residual from p where model = 'mean'",
     "compare_runs": _RUNS + "select run_id, model, mae, "
                             "cast(rank() over (partition by run_id order by mae, model) as integer) rk, "

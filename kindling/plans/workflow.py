@@ -8,6 +8,7 @@ most one stage.  ``out`` must be a shared filesystem on a cluster.
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -15,17 +16,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.models.scoring import score_models
+from kindling.models.scoring import score_models, stacked_predictions
 from kindling.models.specs import ModelSpec, fit_models, save_model
 from kindling.operators.clean import create_dataset
 from kindling.operators.features import generate_features
-from kindling.operators.metrics import METRICS, best_model
+from kindling.operators.metrics import (
+    METRICS,
+    best_model,
+    model_comparison,
+    prediction_bounds,
+    predictions_vs_actual,
+    residuals,
+)
 from kindling.operators.split import train_test_split
 from kindling.plans.eda import eda_tables
 from kindling.plans.materialize import run_concurrently
 from kindling.schema import CRITICAL_COLUMNS, FEATURES, SPLIT_SEED, TARGET, TEST_SIZE
 from kindling.sources.sinks import scores_table, write_metrics_report, write_run
 
+log = logging.getLogger(__name__)
+
 # Derived features that are computed from the default target.
 _TARGET_DERIVED = {"temperature_diff": "brightness"}
 
@@ -48,6 +58,7 @@ class WorkflowOptions:
     seed: int = SPLIT_SEED
     specs: Sequence[ModelSpec] = field(default_factory=list)
     metrics: Sequence[str] = METRICS
+    summaries: Sequence[str] = ("model_comparison", "predictions_vs_actual")
     allow_target_leakage: bool = False
     eda: bool = True
 
@@ -61,6 +72,35 @@ def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Seq
     return scores.withColumn("is_best", F.col("model") == best.select("best").scalar())
 
 
+SUMMARIES = ("model_comparison", "predictions_vs_actual", "residuals", "prediction_bounds")
+
+
+def performance_summaries(scores: DataFrame, predictions: DataFrame | None = None,
+                          names: Sequence[str] = ("model_comparison",)) -> dict[str, DataFrame]:
+    """The requested summary tables; summaries that need predictions use the
+    default model's (label, prediction) rows; unknown names are logged and skipped."""
+    out = {}
+    default = None
+    if predictions is not None and "is_default" in predictions.columns:
+        default = predictions.where(F.col("is_default"))
+    for name in names:
+        if name == "model_comparison":
+            out[name] = model_comparison(scores)
+        elif name in ("predictions_vs_actual", "residuals", "prediction_bounds"):
+            if default is None:
+                log.warning("summary %s needs predictions; skipped", name)
+                continue
+            if name == "predictions_vs_actual":
+                out[name] = predictions_vs_actual(default)
+            elif name == "residuals":
+                out[name] = residuals(default)
+            else:
+                out[name] = prediction_bounds(default)
+        else:
+            log.warning("unsupported summary: %s", name)
+    return out
+
+
 def _check_leakage(opts: WorkflowOptions) -> None:
     if opts.allow_target_leakage:
         return
@@ -105,7 +145,14 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
     evaluated = evaluate_performance(scores)
     write_run(evaluated, f"{out}/scores", run_id)
+    default_pos = evaluated.where("is_default").select("position").first()["position"]
+    preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
+        "is_default", F.lit(True))
+    summaries = performance_summaries(evaluated, preds, opts.summaries)
+    summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
+                                      for n, t in summaries.items()})
     scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
-            "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths}
+            "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,
+            "summaries": summary_paths}

@@ -102,3 +102,18 @@ def test_residuals_and_bounds(spark):
     assert sorted(r.residual for r in metrics.residuals(p).collect()) == [-2.0, 0.0, 5.0]
     b = {r.model: (r.lo, r.hi) for r in metrics.prediction_bounds(p).collect()}
     assert b == {"m": (10.0, 20.0), "n": (1.0, 1.0)}
+
+
+def test_predictions_vs_actual_and_summaries(spark):
+    from kindling.plans.workflow import performance_summaries
+    p = spark.createDataFrame([("m", float(i), float(i) + (1 if i % 2 else -1)) for i in range(100)] +
+                              [("k", 5.0, 5.0)], "model string, label double, prediction double")
+    pva = metrics.predictions_vs_actual(p, bins=10)
+    assert pva.agg(F.sum("n")).first()[0] == 101
+    m = pva.where("model = 'm'").collect()
+    assert all(0 <= r.actual_bin <= 9 and 0 <= r.predicted_bin <= 9 for r in m) and m[0].lo == -1.0
+    assert pva.where("model = 'k'").first().actual_bin == 0
+    scores = spark.createDataFrame(RUNS, SCHEMA).where("run_id = 1748729735")
+    out = performance_summaries(scores, p.withColumn("is_default", F.col("model") == "m"),
+                                ["model_comparison", "residuals", "no_such_chart"])
+    assert set(out) == {"model_comparison", "residuals"} and out["residuals"].count() == 100

@@ -76,3 +76,9 @@ def test_select_ranks_grouped_tiebreak_and_nulls(spark):
         assert (r.value, r.id) == want and r.n == len(members)
     n, got = select_ranks_local(df, "v", {"mid": lambda n: F.floor(n / 2)}, tiebreak=["id"], final_max=7, buckets=4)
     assert n == 200 and (got["mid"]["value"], got["mid"]["id"]) == sorted((v, i) for _, v, i in data)[99]
+
+
+def test_split_refuses_unbounded_ties(spark):
+    df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 30, "k long")
+    with pytest.raises(ValueError, match="unique"):
+        train_test_split(df, "k", 0.25, 1, final_max=10, buckets=4)
