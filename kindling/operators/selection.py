@@ -138,54 +138,73 @@ def select_ranks(
     return out.drop(_G0) if not group_cols else out
 
 
+def _range_histograms(base: DataFrame, ranges: list[tuple], buckets: int) -> dict[int, list]:
+    """One scan: per value range, rows per bucket with the bucket's min/max (<= buckets rows each)."""
+    tag = F.coalesce(*[F.when(F.col("_v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)])
+    lo_c = F.get(F.array(*[F.lit(lo) for lo, _ in ranges]), F.col("ri"))
+    hi_c = F.get(F.array(*[F.lit(hi) for _, hi in ranges]), F.col("ri"))
+    rows = (base.select("_v", tag.alias("ri")).where(F.col("ri").isNotNull())
+            .withColumn("b", _bucket(F.col("_v"), lo_c, hi_c, buckets))
+            .groupBy("ri", "b").agg(F.count(F.lit(1)).alias("cb"), F.min("_v").alias("blo"),
+                                    F.max("_v").alias("bhi"))
+            .collect())
+    out: dict[int, list] = {}
+    for h in rows:
+        out.setdefault(h["ri"], []).append(h)
+    return {i: sorted(v, key=lambda h: h["b"]) for i, v in out.items()}
+
+
+def _narrow(entry: list, hist: list) -> list:
+    """[rank, lo, hi, rows] -> the same for the bucket that holds the rank."""
+    r, cum = entry[0], 0
+    for h in hist:
+        if cum + h["cb"] >= r:
+            return [r - cum, h["blo"], h["bhi"], h["cb"]]
+        cum += h["cb"]
+    raise AssertionError("rank outside the histogram")
+
+
 def select_ranks_local(
     df: DataFrame,
     value: str | Column,
-    targets: dict[str, Callable[[Column], Column]],
+    targets: dict[str, Callable[[int], int]],
     tiebreak: Sequence[str] = (),
     buckets: int = BUCKETS,
     final_max: int = FINAL_MAX,
+    domain: tuple | None = None,
 ) -> tuple[int, dict]:
     """Ungrouped ``select_ranks`` with the (tiny) state kept on the driver.
 
-    Returns (n, {target: Row(value, *tiebreak) or None}).  Jobs: one stats
-    aggregate, one histogram per level (at most ``buckets`` rows per open
-    range come back), and one ranking of at most ``final_max`` rows per range.
+    ``targets`` maps a name to a function of the non-null count n (an int)
+    giving a 1-based rank.  Returns (n, {target: Row(value, *tiebreak) or
+    None}).  Jobs: one stats aggregate (skipped when the value ``domain`` is
+    known: the first histogram then also gives n), one histogram per level (at
+    most ``buckets`` rows per open range come back), and one ranking of at most
+    ``final_max`` rows per range.
     """
     vcol = F.col(value) if isinstance(value, str) else value
     base = df.select(vcol.alias("_v"), *[F.col(c) for c in tiebreak]).where(F.col("_v").isNotNull())
-    n_col = F.col("n")
-    row = (base.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-           .select("n", "lo", "hi", *[fn(n_col).cast("long").alias(f"r{i}") for i, fn in enumerate(targets.values())])
-           .first())
-    n = int(row["n"])
+    first = None
+    if domain is None:
+        row = base.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+        n, lo, hi = int(row["n"]), row["lo"], row["hi"]
+    else:
+        lo, hi = domain
+        first = _range_histograms(base, [(lo, hi)], buckets).get(0, [])
+        n = sum(h["cb"] for h in first)
+    ranks = {name: fn(n) for name, fn in targets.items()}
     # state per target: [rank within range, lo, hi, rows in range]
-    state = {name: [row[f"r{i}"], row["lo"], row["hi"], n] for i, name in enumerate(targets)
-             if row[f"r{i}"] is not None and 1 <= row[f"r{i}"] <= n}
+    state = {name: [int(r), lo, hi, n] for name, r in ranks.items() if r is not None and 1 <= r <= n}
+    if first is not None:
+        state = {name: _narrow(e, first) for name, e in state.items()}
     for _ in range(MAX_LEVELS):
         ranges = sorted({(lo, hi) for r, lo, hi, c in state.values() if c > final_max and lo < hi})
         if not ranges:
             break
-        tag = F.coalesce(*[F.when(F.col("_v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)])
-        lo_c = F.get(F.array(*[F.lit(lo) for lo, _ in ranges]), F.col("ri"))
-        hi_c = F.get(F.array(*[F.lit(hi) for _, hi in ranges]), F.col("ri"))
-        hist = (base.select("_v", tag.alias("ri")).where(F.col("ri").isNotNull())
-                .withColumn("b", _bucket(F.col("_v"), lo_c, hi_c, buckets))
-                .groupBy("ri", "b").agg(F.count(F.lit(1)).alias("cb"), F.min("_v").alias("blo"),
-                                        F.max("_v").alias("bhi"))
-                .collect())
-        by_range: dict[int, list] = {}
-        for h in hist:
-            by_range.setdefault(h["ri"], []).append(h)
-        for name, (r, lo, hi, c) in list(state.items()):
-            if not (c > final_max and lo < hi):
-                continue
-            cum = 0
-            for h in sorted(by_range[ranges.index((lo, hi))], key=lambda h: h["b"]):
-                if cum + h["cb"] >= r:
-                    state[name] = [r - cum, h["blo"], h["bhi"], h["cb"]]
-                    break
-                cum += h["cb"]
+        hists = _range_histograms(base, ranges, buckets)
+        for name, e in list(state.items()):
+            if e[3] > final_max and e[1] < e[2]:
+                state[name] = _narrow(e, hists[ranges.index((e[1], e[2]))])
     if tiebreak and any(c > final_max for r, lo, hi, c in state.values()):
         raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "
                          "the order (nearly) unique, e.g. a unique row key")
@@ -226,7 +245,11 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
         targets[f"{name}__lo"] = (lambda n, q=q: F.floor((n - 1) * F.lit(float(q))) + 1)
         targets[f"{name}__hi"] = (lambda n, q=q: F.ceil((n - 1) * F.lit(float(q))) + 1)
     if not group_cols:
-        n, got = select_ranks_local(df, col, targets, **select_kw)
+        local = {}
+        for name, q in zip(names, qs):
+            local[f"{name}__lo"] = (lambda n, q=q: math.floor((n - 1) * float(q)) + 1)
+            local[f"{name}__hi"] = (lambda n, q=q: math.ceil((n - 1) * float(q)) + 1)
+        n, got = select_ranks_local(df, col, local, **select_kw)
         vals = []
         for name, q in zip(names, qs):
             lo, hi = got[f"{name}__lo"], got[f"{name}__hi"]

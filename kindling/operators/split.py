@@ -49,12 +49,16 @@ def split_cut(df: DataFrame, key_cols: Sequence[str], test_size: float | int = T
     keys = list(key_cols)
     hashed = df.select(split_hash(seed, *keys).alias(_H), *keys)
     sort_key = F.conv(F.substring(F.col(_H), 1, 15), 16, 10).cast("long")
-    if isinstance(test_size, int) and not isinstance(test_size, bool):
-        rank = lambda n: F.lit(test_size)
-    else:
-        rank = lambda n: F.ceil(n * F.lit(float(test_size)))
+    counts = {}
+
+    def rank(n: int) -> int:
+        counts["n_test"] = _test_count(test_size, n)
+        return counts["n_test"]
+
+    # the first 15 hex digits are a 60-bit integer: the domain is known, no stats pass
+    select_kw.setdefault("domain", (0, 2 ** 60 - 1))
     n, got = select_ranks_local(hashed, sort_key, {"cut": rank}, tiebreak=[_H, *keys], **select_kw)
-    n_test = _test_count(test_size, n)
+    n_test = counts["n_test"]
     row = got["cut"]
     return n, n_test, tuple(row[c] for c in [_H, *keys])
 

@@ -74,7 +74,7 @@ def test_select_ranks_grouped_tiebreak_and_nulls(spark):
         members = sorted((v, i) for g, v, i in data if g == r.g)
         want = members[2] if r.target == "third" else members[-1]
         assert (r.value, r.id) == want and r.n == len(members)
-    n, got = select_ranks_local(df, "v", {"mid": lambda n: F.floor(n / 2)}, tiebreak=["id"], final_max=7, buckets=4)
+    n, got = select_ranks_local(df, "v", {"mid": lambda n: n // 2}, tiebreak=["id"], final_max=7, buckets=4)
     assert n == 200 and (got["mid"]["value"], got["mid"]["id"]) == sorted((v, i) for _, v, i in data)[99]
 
 
