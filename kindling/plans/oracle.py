@@ -127,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
                        "from lineitem, m group by 1, 2",
     "daily_summary": "select strftime(cast(ts as date), '%Y-%m-%d') d, count(*) n, round(avg(value), 4) a, "
                      "round(quantile_cont(value, 0.5), 4) m from events group by 1",
-    "exact_split": f"select count(*) n, sum(o_orderkey) k from ({_SPLIT}) where rn <= ceil(0.25 * c)",
+    "exact_split": f"select count(*) n, cast(sum(o_orderkey) as bigint) k from ({_SPLIT}) where rn <= ceil(0.25 * c)",
     "linear_fit": "select 'o_custkey' feature, round(regr_slope(o_totalprice, o_custkey), 6) coefficient from orders "
                   "union all select 'intercept', round(regr_intercept(o_totalprice, o_custkey), 4) from orders",
     "model_metrics": _SCORES + "select model, round(mae, 4) mae, round(rmse, 4) rmse, round(r2, 6) r2, "

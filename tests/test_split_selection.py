@@ -82,3 +82,33 @@ def test_split_refuses_unbounded_ties(spark):
     df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 30, "k long")
     with pytest.raises(ValueError, match="unique"):
         train_test_split(df, "k", 0.25, 1, final_max=10, buckets=4)
+
+
+def test_grouped_quantiles_with_one_hot_group(spark):
+    """One group holds ~60% of the rows; it is refined bucket by bucket, never ranked whole."""
+    rng = np.random.default_rng(5)
+    groups = np.where(rng.uniform(size=3000) < 0.6, "hot", rng.choice(["a", "b", "c"], 3000))
+    vals = rng.exponential(10, 3000)
+    df = spark.createDataFrame([(str(g), float(v)) for g, v in zip(groups, vals)], "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, "v", [0.5, 0.99], group_cols=["g"], final_max=100, buckets=16)
+           .collect()}
+    for g in ["hot", "a", "b", "c"]:
+        exp = np.quantile(vals[groups == g], [0.5, 0.99])
+        assert np.allclose([got[g].q0, got[g].q1], exp, rtol=0, atol=1e-12)
+
+
+try:
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(values=st.lists(st.one_of(st.integers(-5, 5).map(float),
+                                     st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False)),
+                           min_size=1, max_size=60),
+           q=st.floats(0, 1), final_max=st.integers(1, 30))
+    def test_quantile_property(spark, values, q, final_max):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = exact_quantiles(df, "v", [q], final_max=final_max, buckets=4).first()[0]
+        assert math.isclose(got, float(np.quantile(np.array(values), q)), rel_tol=1e-12, abs_tol=1e-9)
+except ImportError:  # pragma: no cover
+    pass
