@@ -6,6 +6,7 @@ from kindling.functions.columns import (  # noqa: F401
     date_from_year_day,
     hash_uniform,
     nan_to_null,
+    num,
     radius,
     safe_div,
     sample_std,

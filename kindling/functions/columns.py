@@ -17,6 +17,12 @@ def nan_to_null(c) -> Column:
     return F.nanvl(_c(c), F.lit(None).cast("double"))
 
 
+def num(c) -> Column:
+    """Column as double with NaN read as NULL: the input form for aggregates, so
+    that filters can still run on the raw column (and reach the scan)."""
+    return nan_to_null(_c(c).cast("double"))
+
+
 def safe_div(a, b) -> Column:
     """a / b, NULL when b is 0 or NULL (ANSI-safe)."""
     return F.try_divide(_c(a), _c(b))

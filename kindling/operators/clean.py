@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null, sample_std
+from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null, num, sample_std
 from kindling.schema import (
     AUSTRALIA,
     CRITICAL_COLUMNS,
@@ -41,9 +41,18 @@ def nullify_nan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Drop rows with NULL or NaN in any of ``cols``; absent column -> KeyError."""
+    """Drop rows with NULL or NaN in any of ``cols``; absent column -> KeyError.
+
+    Written as plain predicates on the raw columns, so ``IS NOT NULL`` reaches
+    the Parquet scan.
+    """
     require_columns(df, cols)
-    return df.na.drop(how="any", subset=list(cols)) if cols else df
+    floats = set(float_columns(df))
+    cond = None
+    for c in cols:
+        e = F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in floats else F.lit(True))
+        cond = e if cond is None else cond & e
+    return df.where(cond) if cond is not None else df
 
 
 def coerce_date(df: DataFrame, col: str = "acq_date") -> DataFrame:
@@ -61,7 +70,11 @@ def coerce_date(df: DataFrame, col: str = "acq_date") -> DataFrame:
 def filter_region(df: DataFrame, min_lat: float = AUSTRALIA[0], max_lat: float = AUSTRALIA[1],
                   min_lon: float = AUSTRALIA[2], max_lon: float = AUSTRALIA[3],
                   lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
-    """Inclusive bounding box (literal bounds: pushed down to the scan)."""
+    """Inclusive bounding box (literal bounds: pushed down to the scan).
+
+    NaN fails the upper bound (Spark orders NaN above every number), so the
+    raw columns can be filtered directly.
+    """
     require_columns(df, [lat_col, lon_col])
     return df.where(F.col(lat_col).between(min_lat, max_lat) & F.col(lon_col).between(min_lon, max_lon))
 
@@ -69,13 +82,13 @@ def filter_region(df: DataFrame, min_lat: float = AUSTRALIA[0], max_lat: float =
 def filter_outliers(df: DataFrame, col: str, k: float = OUTLIER_SIGMA) -> DataFrame:
     """P5: keep rows strictly inside mean +- k * sample std of ``col``.
 
-    Statistics are taken over ``df`` as given (so after earlier filters).  A NULL
-    value, or a NULL std (one row), drops the row, as in pandas.  Skipped when
-    the column is absent.
+    Statistics are taken over ``df`` as given (so after earlier filters) with
+    NaN read as missing.  A NULL or NaN value, or a NULL std (one row), drops
+    the row, as in pandas.  Skipped when the column is absent.
     """
     if col not in df.columns:
         return df
-    stats = df.agg(F.avg(col).alias("mu"), sample_std(col).alias("sd"))
+    stats = df.agg(F.avg(num(col)).alias("mu"), sample_std(num(col)).alias("sd"))
     mu, sd = stats.select("mu").scalar(), stats.select("sd").scalar()
     c = F.col(col)
     return df.where((c > mu - F.lit(k) * sd) & (c < mu + F.lit(k) * sd))
@@ -89,13 +102,17 @@ def require_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def clean_detections(df: DataFrame) -> DataFrame:
-    """The fixed preset: NaN->NULL, drop missing critical columns, coerce the date,
-    keep the Australian box (if lat/lon exist), drop brightness outliers (3 sigma)."""
-    out = drop_missing(nullify_nan(df), [c for c in CRITICAL_COLUMNS])
+    """The fixed preset: drop missing critical columns, coerce the date, keep the
+    Australian box (if lat/lon exist), drop brightness outliers (3 sigma), NaN->NULL.
+
+    Filters run on the raw columns (NaN-safe) so they reach the scan; the
+    NaN->NULL projection comes last.
+    """
+    out = drop_missing(df, [c for c in CRITICAL_COLUMNS])
     out = coerce_date(out, "acq_date")
     if "latitude" in out.columns and "longitude" in out.columns:
         out = filter_region(out)
-    return filter_outliers(out, TARGET, OUTLIER_SIGMA)
+    return nullify_nan(filter_outliers(out, TARGET, OUTLIER_SIGMA))
 
 
 def create_dataset(df: DataFrame, critical_columns: Sequence[str] = (), date_col: str = "acq_date",
@@ -107,7 +124,7 @@ def create_dataset(df: DataFrame, critical_columns: Sequence[str] = (), date_col
     "max_longitude", "lat_col", "lon_col"}; ``outliers``: {"enabled", "column",
     "std_threshold"} (the reference's configuration keys).
     """
-    out = nullify_nan(df)
+    out = df
     if critical_columns:
         out = drop_missing(out, critical_columns)
     out = coerce_date(out, date_col)
@@ -121,7 +138,8 @@ def create_dataset(df: DataFrame, critical_columns: Sequence[str] = (), date_col
         out = filter_outliers(out, outliers.get("column"), outliers.get("std_threshold", OUTLIER_SIGMA))
     if target:
         require_target(out, target)
-    return out
+    # NaN -> NULL last: a projection after the filters keeps them pushed down
+    return nullify_nan(out)
 
 
 def ensure_acq_date(df: DataFrame, out_col: str = "acq_date", fill: str | None = None,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import safe_div, sample_std
+from kindling.functions.columns import num, safe_div, sample_std
 from kindling.operators.selection import exact_quantiles
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
@@ -26,7 +26,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A1: (column, count, mean, std, min, max) per column, one pass (partial + final hash agg)."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), sample_std(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
@@ -38,7 +38,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def melt(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:
     """Wide -> long (name, value) for numeric columns, NULLs dropped."""
-    pairs = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols]
+    pairs = [F.struct(F.lit(c).alias(name), num(c).alias(value)) for c in cols]
     return df.select(_long(pairs)).where(F.col(value).isNotNull())
 
 
@@ -53,7 +53,7 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
     stats = column_stats(df, cols)
     if exact:
         # per column: a stats job, a few bounded histogram jobs, one small ranking
-        parts = [exact_quantiles(df, F.col(c).cast("double"), [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
+        parts = [exact_quantiles(df, num(c), [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
                  .select(F.lit(c).alias("column"), "p25", "p50", "p75") for c in cols]
         q = parts[0]
         for p in parts[1:]:
@@ -85,7 +85,7 @@ def _null_flags(df: DataFrame, cols: Sequence[str]) -> list[bool]:
     nullable = [c for c in cols if df.schema[c].nullable]
     if not nullable:
         return [False] * len(cols)
-    row = df.agg(*[F.max(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(nullable)]).first()
+    row = df.agg(*[F.max(num(c).isNull()).alias(f"n{i}") for i, c in enumerate(nullable)]).first()
     has = {c: bool(row[f"n{i}"]) for i, c in enumerate(nullable)}
     return [has.get(c, False) for c in cols]
 
@@ -98,7 +98,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     nulls = _null_flags(df, cols)
-    x = [F.col(c).cast("double") for c in cols]
+    x = [num(c) for c in cols]
     aggs = [sample_std(x[i]).alias(f"s{i}") for i in range(len(cols))]
     aggs += [_pair_corr(x[i], x[j], nulls[i], nulls[j]).alias(f"c{i}_{j}")
              for i in range(len(cols)) for j in range(i + 1, len(cols))]
@@ -123,9 +123,9 @@ def lower_triangle(corr: DataFrame) -> DataFrame:
 def top_correlates(df: DataFrame, target: str, cols: Sequence[str], k: int = TOP_CORRELATES) -> DataFrame:
     """A5: features by signed correlation with the target, descending (NULL last, name breaks ties), top k."""
     feats = [c for c in cols if c != target]
-    t = F.col(target).cast("double")
+    t = num(target)
     nulls = _null_flags(df, [*feats, target])
-    wide = df.agg(*[_pair_corr(F.col(c).cast("double"), t, nulls[i], nulls[-1]).alias(f"c{i}")
+    wide = df.agg(*[_pair_corr(num(c), t, nulls[i], nulls[-1]).alias(f"c{i}")
                     for i, c in enumerate(feats)])
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr")) for i, c in enumerate(feats)]
     return wide.select(_long(rows)).orderBy(F.col("corr").desc_nulls_last(), F.col("feature")).limit(k)
@@ -145,11 +145,11 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = HIST_BINS) -> Data
     """
     cols = list(cols)
     stats = df.agg(*[e for i, c in enumerate(cols)
-                     for e in (F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))])
+                     for e in (F.min(num(c)).alias(f"lo{i}"), F.max(num(c)).alias(f"hi{i}"))])
     los = [stats.select(f"lo{i}").scalar() for i in range(len(cols))]
     his = [stats.select(f"hi{i}").scalar() for i in range(len(cols))]
     pairs = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ci"),
-                      _bin(F.col(c).cast("double"), los[i], his[i], bins).alias("bin"))
+                      _bin(num(c), los[i], his[i], bins).alias("bin"))
              for i, c in enumerate(cols)]
     counted = (df.select(_long(pairs)).where(F.col("bin").isNotNull())
                .groupBy("column", "ci", "bin").agg(F.count(F.lit(1)).alias("count")))
@@ -171,7 +171,7 @@ def density_curve(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 102
     aggregate is grid x fine_bins regardless of the row count.  The error is
     bounded by the bin width.
     """
-    x = F.col(col).cast("double")
+    x = num(col)
     stats = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), sample_std(x).alias("sd"))
     n, lo, hi, sd = (stats.select(c).scalar() for c in ("n", "lo", "hi", "sd"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
@@ -191,7 +191,7 @@ def density_curve(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 102
 
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """2-D binned counts (xb, yb, n) instead of a point cloud."""
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    xc, yc = num(x), num(y)
     stats = df.agg(F.min(xc).alias("xl"), F.max(xc).alias("xh"), F.min(yc).alias("yl"), F.max(yc).alias("yh"))
     xl, xh, yl, yh = (stats.select(c).scalar() for c in ("xl", "xh", "yl", "yh"))
     return (df.select(_bin(xc, xl, xh, bins).alias("xb"), _bin(yc, yl, yh, bins).alias("yb"))
@@ -201,7 +201,7 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 
 def daily_summary(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Per DATE of ``date_col``: rows, mean and exact median of ``value_col``."""
-    d = df.select(F.col(date_col).cast("date").alias("d"), F.col(value_col).cast("double").alias("v"))
+    d = df.select(F.col(date_col).cast("date").alias("d"), num(value_col).alias("v"))
     agg = d.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("a"))
     med = exact_quantiles(d, "v", [0.5], group_cols=["d"], names=["m"]).withColumnRenamed("d", "md")
     return agg.join(med, agg["d"].eqNullSafe(med["md"]), how="left").drop("md")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindling.functions.columns import safe_div, sample_std
+from kindling.functions.columns import num, safe_div, sample_std
 from kindling.schema import FEATURES, TARGET
 
 
@@ -64,9 +64,10 @@ def normalize(df: DataFrame, cols: Sequence[str], method: str = "min_max", suffi
     if not cols:
         return df
     if method == "min_max":
-        aggs = [e for i, c in enumerate(cols) for e in (F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}"))]
+        aggs = [e for i, c in enumerate(cols) for e in (F.min(num(c)).alias(f"a{i}"), F.max(num(c)).alias(f"b{i}"))]
     else:
-        aggs = [e for i, c in enumerate(cols) for e in (F.avg(c).alias(f"a{i}"), sample_std(c).alias(f"b{i}"))]
+        aggs = [e for i, c in enumerate(cols)
+                for e in (F.avg(num(c)).alias(f"a{i}"), sample_std(num(c)).alias(f"b{i}"))]
     stats = df.agg(*aggs)
     new = {}
     for i, c in enumerate(cols):

@@ -31,12 +31,16 @@ log = logging.getLogger(__name__)
 
 
 def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = DETECTION_SCHEMA,
-                    fmt: str = "csv", pattern: str | None = None, recursive: bool = False) -> DataFrame:
+                    fmt: str = "csv", pattern: str | None = None, recursive: bool = False,
+                    nan_to_null: bool | None = None) -> DataFrame:
     """Read detections from files or an object store.
 
     ``pattern`` (e.g. ``"fire_nrt*.csv"``) keeps matching file names;
     ``recursive`` descends into sub-folders.  All matches are read (not "the
-    first one", whose choice would depend on listing order).
+    first one", whose choice would depend on listing order).  ``nan_to_null``
+    (default: on for text formats) turns ``NaN`` text into NULL at the source;
+    for columnar sources it stays off so filters reach the scan — every
+    operator treats NaN as missing itself.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
@@ -48,7 +52,9 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     df = reader.load(path if isinstance(path, str) else list(path))
-    return nullify_nan(df)
+    if nan_to_null is None:
+        nan_to_null = fmt in ("csv", "json", "text")
+    return nullify_nan(df) if nan_to_null else df
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

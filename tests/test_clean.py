@@ -122,3 +122,19 @@ def test_filter_dates_inclusive(spark):
     df = spark.createDataFrame([("2019-09-30",), ("2019-10-01",), ("2020-01-11",), ("2020-01-12",)], "d string")
     df = df.withColumn("d", F.to_date("d"))
     assert clean.filter_dates(df, "d", "2019-10-01", "2020-01-11").count() == 2
+
+
+def test_nan_is_missing_everywhere_without_a_source_projection(spark):
+    """Raw NaN (as in a Parquet source read without NaN->NULL) behaves like pandas' missing value."""
+    df = spark.createDataFrame([(-20.0, 130.0, 300.0), (NAN, 130.0, 310.0), (-21.0, NAN, 320.0),
+                                (-22.0, 131.0, NAN), (-23.0, 132.0, 330.0)],
+                               "latitude double, longitude double, brightness double")
+    assert clean.filter_region(df).count() == 3                 # NaN fails the box
+    kept = clean.filter_outliers(df, "brightness", 3.0).collect()
+    assert len(kept) == 4 and all(r.brightness == r.brightness for r in kept)   # stats ignore NaN, NaN row dropped
+    out = clean.create_dataset(df, ["latitude"], region={"enabled": True}, target="brightness")
+    rows = out.orderBy("latitude").collect()
+    assert [r.latitude for r in rows] == [-23.0, -22.0, -20.0] and rows[1].brightness is None
+    from kindling.operators import explore
+    st = explore.column_stats(df, ["brightness"]).first()
+    assert st["count"] == 4 and st.mean == 315.0 and st.max == 330.0
