@@ -29,18 +29,23 @@ def with_intensity(pred: DataFrame, prediction: str = "prediction") -> DataFrame
 
 def stacked_predictions(test: DataFrame, fitted: Sequence[tuple[ModelSpec, PipelineModel]],
                         features: Sequence[str], label: str, extra: Sequence[str] = ()) -> DataFrame:
-    """One long table (model, position, is_default, label, prediction) over all models."""
-    parts = []
-    for pos, (spec, model) in enumerate(fitted):
-        p = score_batch(model, test, features, keep=[label, *extra])
-        parts.append(p.select(F.lit(spec.name).alias("model"), F.lit(pos).alias("position"),
-                              F.lit(bool(spec.is_default)).alias("is_default"), *extra,
-                              F.col(label).cast("double").alias("label"),
-                              F.col("prediction").cast("double").alias("prediction")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One long table (model, position, is_default, *extra, label, prediction) over all models.
+
+    The models are applied one after another to the same rows (each output
+    column renamed before the next model runs), so the input is scanned once
+    whatever the number of models; ``inline`` then turns the prediction
+    columns into rows.
+    """
+    require_features(test, features)
+    wide = test.select(*dict.fromkeys([*extra, label, *features]))
+    for pos, (_, model) in enumerate(fitted):
+        wide = model.transform(wide).drop(FEATURES_COL).withColumnRenamed("prediction", f"__pred{pos}")
+    rows = F.array(*[F.struct(F.lit(spec.name).alias("model"), F.lit(pos).alias("position"),
+                              F.lit(bool(spec.is_default)).alias("is_default"),
+                              F.col(f"__pred{pos}").cast("double").alias("prediction"))
+                     for pos, (spec, _) in enumerate(fitted)])
+    return wide.select(*extra, F.col(label).cast("double").alias("label"), F.inline(rows)).select(
+        "model", "position", "is_default", *extra, "label", "prediction")
 
 
 def score_models(test: DataFrame, fitted: Sequence[tuple[ModelSpec, PipelineModel]], features: Sequence[str],

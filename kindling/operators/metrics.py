@@ -65,15 +65,12 @@ def default_model(specs: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
 
 
 def flag_default(scores: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """scores with ``is_default`` replaced by the single resolved default per group."""
-    w = Window.partitionBy(*group_cols) if group_cols else None
-    flagged = F.max_by("model", F.when(F.col("is_default"), F.col("position")))
-    first = F.min_by("model", F.col("position"))
-    if w is None:
-        d = default_model(scores)
-        dm = d.select("default_model").scalar()
-        return scores.withColumn("is_default", F.col("model") == dm)
-    return scores.withColumn("is_default", F.col("model") == F.coalesce(flagged.over(w), first.over(w)))
+    """scores with ``is_default`` replaced by the single resolved default per group
+    (a window over the already-aggregated score rows)."""
+    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    flagged = F.max_by("model", F.when(F.col("is_default"), F.col("position"))).over(w)
+    first = F.min_by("model", F.col("position")).over(w)
+    return scores.withColumn("is_default", F.col("model") == F.coalesce(flagged, first))
 
 
 def improvement_pct(scores: DataFrame, base: str, other: str, metric: str = "mae",

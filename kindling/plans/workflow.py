@@ -13,7 +13,7 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.models.scoring import score_models, stacked_predictions
@@ -22,7 +22,6 @@ from kindling.operators.clean import create_dataset
 from kindling.operators.features import generate_features
 from kindling.operators.metrics import (
     METRICS,
-    best_model,
     model_comparison,
     prediction_bounds,
     predictions_vs_actual,
@@ -64,12 +63,15 @@ class WorkflowOptions:
 
 
 def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Per-model metrics with default flag and ``is_best`` (argmin of ``metric``, A10)."""
-    best = best_model(scores, metric, group_cols).select(*group_cols, F.col("best"))
-    if group_cols:
-        return scores.join(best, on=list(group_cols), how="left").withColumn(
-            "is_best", F.col("model") == F.col("best")).drop("best")
-    return scores.withColumn("is_best", F.col("model") == best.select("best").scalar())
+    """Per-model metrics with default flag and ``is_best`` (argmin of ``metric``, A10).
+
+    ``scores`` is already aggregated (one row per model and group), so the
+    argmin is a window over those few rows: the scores are computed once, not
+    re-evaluated by a second query.
+    """
+    order = F.struct(F.coalesce(F.col(metric), F.lit(float("inf"))).alias("m"), F.col("position").alias("p"))
+    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    return scores.withColumn("is_best", F.col("model") == F.min_by("model", order).over(w))
 
 
 SUMMARIES = ("model_comparison", "predictions_vs_actual", "residuals", "prediction_bounds")

@@ -144,3 +144,12 @@ def test_tune_tree_picks_one(spark, planted):
     assert [r.max_leaf_nodes for r in res] == [4, 8, 64, 128] and sum(r.is_best for r in res) == 1
     best = min(res, key=lambda r: (r.cv_mae, res.index(r)))
     assert best.is_best and best.max_depth >= 3
+
+
+def test_flag_default_window(spark):
+    s = spark.createDataFrame([(1, "a", 0, False), (1, "b", 1, True), (1, "c", 2, True), (2, "a", 0, False)],
+                              "run_id long, model string, position int, is_default boolean")
+    got = {(r.run_id, r.model): r.is_default for r in metrics.flag_default(s, ["run_id"]).collect()}
+    assert got == {(1, "a"): False, (1, "b"): False, (1, "c"): True, (2, "a"): True}
+    one = metrics.flag_default(s.where("run_id = 1"))
+    assert [r.model for r in one.where("is_default").collect()] == ["c"]
