@@ -23,11 +23,25 @@ from kindling.operators.clean import range_check
 
 def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
                 bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Batch or streaming: same plan either way."""
+    """Batch or streaming, one pass over the input (no self-union, so a stream's
+    source is read once per micro-batch).
+
+    Rows that break a range rule (or miss a feature) keep their values and get
+    a NULL prediction: the model sees neutral zeros for them, and its output is
+    masked afterwards.
+    """
     checked = range_check(df, {c: b for c, b in bounds.items() if c in df.columns})
-    ok = model.transform(checked.where(F.col("valid"))).drop("features")
-    bad = checked.where(~F.col("valid")).withColumn("prediction", F.lit(None).cast("double"))
-    return with_intensity(ok.unionByName(bad))
+    ok = F.col("valid")
+    for f in features:
+        ok = ok & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    checked = checked.withColumn("__ok", ok)
+    hidden = {f: f"__orig_{f}" for f in features}
+    staged = checked.withColumnsRenamed(hidden).withColumns(
+        {f: F.when(F.col("__ok"), F.col(h).cast("double")).otherwise(F.lit(0.0)) for f, h in hidden.items()})
+    scored = model.transform(staged).drop("features", *features).withColumnsRenamed(
+        {h: f for f, h in hidden.items()})
+    scored = scored.withColumn("prediction", F.when(F.col("__ok"), F.col("prediction"))).drop("__ok")
+    return with_intensity(scored)
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
