@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import band_label, radius
-from kindling.models.scoring import score_models, stacked_predictions
+from kindling.models.scoring import score_models, stacked_predictions, train_and_test_r2
 from kindling.models.specs import (
     ModelSpec,
     coefficients,
@@ -30,6 +30,7 @@ from kindling.operators.split import fold_column, train_test_split
 from kindling.plans.workflow import WorkflowOptions, evaluate_performance, run_workflow
 from kindling.session import ensure_checkpoint_dir
 from kindling.sources.readers import read_table
+from kindling.sources import sinks
 from kindling.sources.registry import list_runs
 from kindling.streaming.scoring import read_stream, score_frame, start_scoring
 
@@ -215,6 +216,17 @@ def _order_model_predictions(spark, sf):
     return lin.unionByName(mean)
 
 
+def q_train_test_r2(spark, sf):
+    train, test = train_test_split(_t(spark, sf, "orders"), "o_orderkey", 0.25, 1)
+    fitted = fit_models(train, [ModelSpec("linear", "LinearRegression")], ["o_custkey"], "o_totalprice")
+    r = train_and_test_r2(train, test, fitted, ["o_custkey"], "o_totalprice")
+    return r.select("model", "split", "n", F.round("r2", 6).alias("r2"))
+
+
+def q_preview(spark, sf):
+    return sinks.preview(_t(spark, sf, "orders"), ["o_orderkey"], 5)
+
+
 def _order_scores(spark, sf):
     return metrics.regression_metrics(_order_model_predictions(spark, sf), "label", "prediction",
                                       ["model", "position"])
@@ -368,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_split": q_exact_split,
     "linear_fit": q_linear_fit,
     "model_metrics": q_model_metrics,
+    "train_test_r2": q_train_test_r2,
     "best_model": q_best_model,
     "improvement_pct": q_improvement_pct,
     "model_comparison": q_model_comparison,
@@ -377,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_runs": q_compare_runs,
     "best_run": q_best_run,
     "list_runs": q_list_runs,
+    "preview": q_preview,
     "tree_importance": q_tree_importance,
     "forest_scores": q_forest_scores,
     "tune_tree": q_tune_tree,

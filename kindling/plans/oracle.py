@@ -132,6 +132,15 @@ ORACLE_SQL: dict[str, str] = {
                   "union all select 'intercept', round(regr_intercept(o_totalprice, o_custkey), 4) from orders",
     "model_metrics": _SCORES + "select model, round(mae, 4) mae, round(rmse, 4) rmse, round(r2, 6) r2, "
                                "round(ev, 6) ev from r",
+    "train_test_r2": f"""
+with k as ({_SPLIT}),
+f as (select regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a
+      from k where rn > ceil(0.25 * c)),
+p as (select case when rn <= ceil(0.25 * c) then 'test' else 'train' end split, o_totalprice y,
+             a + b * o_custkey yh from k, f)
+select 'linear' model, split, count(*) n,
+       round(1 - sum((y - yh) * (y - yh)) / (var_pop(y) * count(*)), 6) r2 from p group by split
+""",
     "best_model": _SCORES + "select min_by(model, mae) best, round(min(mae), 4) mae from r",
     "improvement_pct": _SCORES + "select round((b.mae - o.mae) / nullif(b.mae, 0) * 100, 4) pct "
                                  "from r b join r o on b.model = 'mean' and o.model = 'linear'",
@@ -154,4 +163,5 @@ ORACLE_SQL: dict[str, str] = {
     "best_run": _RUNS + "select model, best_run, mae from (select model, run_id best_run, mae, "
                         "row_number() over (partition by model order by mae, run_id desc) rn from r) where rn = 1",
     "list_runs": "select distinct cast(year(o_orderdate) as varchar) run_id from orders",
+    "preview": "select * from orders order by o_orderkey limit 5",
 }
