@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kindling.models.scoring import score_models, stacked_predictions
 from kindling.models.specs import ModelSpec, fit_models, save_model
-from kindling.operators.clean import create_dataset
+from kindling.operators.clean import create_dataset, drop_missing
 from kindling.operators.features import generate_features
 from kindling.operators.metrics import (
     METRICS,
@@ -60,6 +60,7 @@ class WorkflowOptions:
     summaries: Sequence[str] = ("model_comparison", "predictions_vs_actual")
     allow_target_leakage: bool = False
     eda: bool = True
+    count_dropped: bool = False  # one extra pass over the cleaned rows
 
 
 def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Sequence[str] = ()) -> DataFrame:
@@ -125,8 +126,12 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     feats = generate_features(clean, opts.base_only, opts.target, opts.features, opts.derived, opts.log,
                               opts.normalize_cols, opts.normalize_method, keep=opts.key_cols)
     keep = list(dict.fromkeys([*opts.key_cols, *opts.features, opts.target]))
-    write_run(feats.select(*keep), f"{out}/features", run_id)
+    # A row with a missing feature or target can be neither fitted nor scored
+    # (VectorAssembler rejects it): drop such rows here, openly, and count them.
+    fit_cols = list(dict.fromkeys([*opts.features, opts.target]))
+    write_run(drop_missing(feats.select(*keep), fit_cols), f"{out}/features", run_id)
     feats = spark.read.parquet(f"{out}/features").where(F.col("run_id") == run_id).drop("run_id")
+    dropped_missing = clean.count() - feats.count() if opts.count_dropped else None
 
     eda_paths = {}
     if opts.eda:
@@ -157,4 +162,4 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
             "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,
-            "summaries": summary_paths}
+            "summaries": summary_paths, "dropped_missing_features": dropped_missing}

@@ -108,14 +108,16 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_workflow_end_to_end_and_leakage(spark, tmp_path):
     df = synthetic_detections(spark, 2000, seed=9).withColumn(
-        "brightness", 250 + F.col("bright_t31") * 0.5 + F.col("frp"))
+        "brightness", 250 + F.col("bright_t31") * 0.5 + F.col("frp")).withColumn(
+        "frp", F.when(F.col("id") % 100 == 7, F.lit(None)).otherwise(F.col("frp")))
     specs = [ModelSpec("linear_regression", "LinearRegression"),
              ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 100}, is_default=True),
              ModelSpec("random_forest", "RandomForestRegressor", {"n_estimators": 3, "max_depth": 5})]
-    opts = WorkflowOptions(key_cols=["id"], specs=specs, region={"enabled": True},
+    opts = WorkflowOptions(key_cols=["id"], specs=specs, region={"enabled": True}, count_dropped=True,
                            outliers={"enabled": True, "column": "brightness", "std_threshold": 3})
     res = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=42)
     scores = res["scores"].collect()
+    assert res["dropped_missing_features"] == 20
     assert [r.model for r in scores] == ["linear_regression", "decision_tree", "random_forest"]
     assert [r.is_default for r in scores] == [False, True, False]
     assert scores[0].r2 > 0.99
