@@ -189,14 +189,29 @@ def density_curve(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 102
             .select("i", gx.alias("x"), (F.col("s") / n).alias("density")))
 
 
+def scatter_density_many(df: DataFrame, xs: Sequence[str], y: str, bins: int = 10) -> DataFrame:
+    """A8 for several x columns against one y in a single pass: (feature, xb, yb, n).
+
+    All bounds come from one merged stats aggregate; each row is binned once
+    per feature, then (feature, xb, yb) is counted with map-side combine.
+    """
+    xs = list(xs)
+    yc = num(y)
+    stats = df.agg(F.min(yc).alias("yl"), F.max(yc).alias("yh"),
+                   *[e for i, x in enumerate(xs) for e in (F.min(num(x)).alias(f"xl{i}"), F.max(num(x)).alias(f"xh{i}"))])
+    yl, yh = stats.select("yl").scalar(), stats.select("yh").scalar()
+    yb = _bin(yc, yl, yh, bins)
+    pairs = [F.struct(F.lit(x).alias("feature"),
+                      _bin(num(x), stats.select(f"xl{i}").scalar(), stats.select(f"xh{i}").scalar(), bins).alias("xb"),
+                      yb.alias("yb"))
+             for i, x in enumerate(xs)]
+    return (df.select(_long(pairs)).where(F.col("xb").isNotNull() & F.col("yb").isNotNull())
+            .groupBy("feature", "xb", "yb").agg(F.count(F.lit(1)).alias("n")))
+
+
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """2-D binned counts (xb, yb, n) instead of a point cloud."""
-    xc, yc = num(x), num(y)
-    stats = df.agg(F.min(xc).alias("xl"), F.max(xc).alias("xh"), F.min(yc).alias("yl"), F.max(yc).alias("yh"))
-    xl, xh, yl, yh = (stats.select(c).scalar() for c in ("xl", "xh", "yl", "yh"))
-    return (df.select(_bin(xc, xl, xh, bins).alias("xb"), _bin(yc, yl, yh, bins).alias("yb"))
-            .where(F.col("xb").isNotNull() & F.col("yb").isNotNull())
-            .groupBy("xb", "yb").agg(F.count(F.lit(1)).alias("n")))
+    return scatter_density_many(df, [x], y, bins).drop("feature")
 
 
 def daily_summary(df: DataFrame, date_col: str, value_col: str) -> DataFrame:

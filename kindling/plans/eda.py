@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 
 from kindling.operators import explore
 from kindling.operators.features import numeric_columns
+from kindling.plans.materialize import materialize
 from kindling.schema import HIST_BINS, HIST_MAX_COLUMNS, TOP_CORRELATES
 
 
 def eda_tables(df: DataFrame, target: str | None, bins: int = HIST_BINS, max_hist_columns: int = HIST_MAX_COLUMNS,
                top_k: int = TOP_CORRELATES, scatter_bins: int = 20) -> dict[str, DataFrame]:
+    """Passes over ``df``: histograms 2, correlations 2, scatter 2, density 2.
+
+    The correlation matrix (k^2 rows) is computed once and written to the
+    checkpoint folder; the heatmap cells and the top correlates are read from
+    it rather than recomputed.
+    """
     nums = numeric_columns(df)
+    corr = materialize(explore.correlation_matrix(df, nums), "eda-corr")
     out = {
         "histograms": explore.histogram(df, nums[:max_hist_columns], bins),
-        "correlations": explore.correlation_matrix(df, nums),
+        "correlations": corr,
+        "heatmap_cells": explore.lower_triangle(corr),
     }
-    out["heatmap_cells"] = explore.lower_triangle(out["correlations"])
     if target and target in nums:
-        top = explore.top_correlates(df, target, nums, top_k)
+        top = (corr.where((F.col("b") == target) & (F.col("a") != target))
+               .select(F.col("a").alias("feature"), "corr")
+               .orderBy(F.col("corr").desc_nulls_last(), F.col("feature")).limit(top_k))
         out["top_correlates"] = top
         feats = [r.feature for r in top.collect()]  # at most top_k names
-        parts = [explore.scatter_density(df, f, target, scatter_bins).withColumn("feature", F.lit(f)) for f in feats]
-        if parts:
-            sc = parts[0]
-            for p in parts[1:]:
-                sc = sc.unionByName(p)
-            out["scatter"] = sc.select("feature", "xb", "yb", "n")
+        if feats:
+            out["scatter"] = explore.scatter_density_many(df, feats, target, scatter_bins)
         out["target_density"] = explore.density_curve(df, target)
     return out

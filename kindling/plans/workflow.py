@@ -150,15 +150,16 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
                                     for s, m in fitted})
 
     scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
-    evaluated = evaluate_performance(scores)
-    write_run(evaluated, f"{out}/scores", run_id)
-    default_pos = evaluated.where("is_default").select("position").first()["position"]
+    write_run(evaluate_performance(scores), f"{out}/scores", run_id)
+    # everything after this reads the written scores (a few rows), never re-scores
+    scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
+    flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
+    default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
     preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
         "is_default", F.lit(True))
-    summaries = performance_summaries(evaluated, preds, opts.summaries)
+    summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries)
     summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
                                       for n, t in summaries.items()})
-    scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
             "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,

@@ -115,3 +115,21 @@ def test_scatter_density_and_daily_summary(spark, sample):
                                "ts string, v double").withColumn("ts", F.to_timestamp("ts"))
     got = {str(r.d): (r.n, r.a, r.m) for r in explore.daily_summary(ev, "ts", "v").collect()}
     assert got == {"2024-01-01": (3, 14 / 3, 3.0), "2024-01-02": (1, 4.0, 4.0), "None": (1, 2.0, 2.0)}
+
+
+def test_scatter_many_equals_single(spark, sample):
+    df, *_ = sample
+    many = {(r.feature, r.xb, r.yb): r.n for r in explore.scatter_density_many(df, ["x", "z"], "y", 7).collect()}
+    for f in ("x", "z"):
+        one = {(f, r.xb, r.yb): r.n for r in explore.scatter_density(df, f, "y", 7).collect()}
+        assert one == {k: v for k, v in many.items() if k[0] == f}
+
+
+def test_eda_tables(spark, sample):
+    from kindling.plans.eda import eda_tables
+    df, *_ = sample
+    t = eda_tables(df, "y", top_k=2)
+    assert [r.feature for r in t["top_correlates"].collect()] == ["x", "z"]
+    assert t["heatmap_cells"].count() == 6 and t["correlations"].count() == 16
+    assert t["scatter"].agg(F.sum("n")).first()[0] == 800
+    assert t["target_density"].count() == 200 and t["histograms"].select("column").distinct().count() == 4
