@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "kindling", shuffle_partitions: int | None = None,
-                  driver_memory: str = "8g") -> SparkSession:
+                  driver_memory: str = "8g", event_log_dir: str | None = None) -> SparkSession:
     """A local[N] session configured the way the library expects.
 
     On a cluster, build the session with your own deploy settings; the library
@@ -17,7 +17,7 @@ def local_session(cores: int | str = "*", app: str = "kindling", shuffle_partiti
     """
     n = os.cpu_count() if cores == "*" else int(cores)
     parts = shuffle_partitions or n
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -32,8 +32,10 @@ def local_session(cores: int | str = "*", app: str = "kindling", shuffle_partiti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if event_log_dir:  # stage/task timings without the web UI
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
