@@ -165,3 +165,26 @@ select 'linear' model, split, count(*) n,
     "list_runs": "select distinct cast(year(o_orderdate) as varchar) run_id from orders",
     "preview": "select * from orders order by o_orderkey limit 5",
 }
+
+
+def _positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    DuckDB's ``round`` keeps the sign of a tiny negative value (-1e-16 -> -0.0)
+    while Spark's decimal rounding gives 0.0; adding 0.0 maps -0.0 to +0.0 (IEEE)
+    and leaves every other value, and NULL, unchanged.
+    """
+    out, i = [], 0
+    while (j := sql.find("round(", i)) >= 0:
+        depth, k = 1, j + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _positive_zero_rounds(sql[j + len("round("):k - 1])
+        out.append(f"{sql[i:j]}(round({inner}) + 0.0)")
+        i = k
+    out.append(sql[i:])
+    return "".join(out)
+
+
+ORACLE_SQL = {name: _positive_zero_rounds(text) for name, text in ORACLE_SQL.items()}

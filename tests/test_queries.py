@@ -22,7 +22,7 @@ def _canon(pdf):
             return None
         if hasattr(v, "isoformat"):
             return str(v)
-        return 0.0 if isinstance(v, float) and v == 0 else v
+        return repr(v) if isinstance(v, float) and v == 0 else v   # -0.0 differs from 0.0 byte-wise
 
     rows = [tuple(norm(x) for x in r) for r in pdf[cols].astype(object).itertuples(index=False)]
     return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
