@@ -13,6 +13,7 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,16 @@ from kindling.operators.metrics import (
 from kindling.operators.split import train_test_split
 from kindling.plans.eda import eda_tables
 from kindling.plans.materialize import run_concurrently
-from kindling.schema import CRITICAL_COLUMNS, FEATURES, SPLIT_SEED, TARGET, TEST_SIZE
+from kindling.schema import (
+    CRITICAL_COLUMNS,
+    FEATURES,
+    SHIPPED_METRICS,
+    SHIPPED_MODELS,
+    SPLIT_SEED,
+    TARGET,
+    TEST_SIZE,
+    WORKFLOW_CRITICAL_COLUMNS,
+)
 from kindling.sources.sinks import scores_table, write_metrics_report, write_run
 
 log = logging.getLogger(__name__)
@@ -41,7 +51,10 @@ _TARGET_DERIVED = {"temperature_diff": "brightness"}
 
 @dataclass
 class WorkflowOptions:
-    key_cols: Sequence[str]
+    # Unique row key for the exact split.  Empty: a ``row_id`` is assigned when
+    # the features table is written, so it is fixed once stored (pass real key
+    # columns for a split that is the same on any re-run).
+    key_cols: Sequence[str] = ()
     target: str = TARGET
     features: Sequence[str] = tuple(FEATURES)
     critical_columns: Sequence[str] = tuple(CRITICAL_COLUMNS)
@@ -104,6 +117,18 @@ def performance_summaries(scores: DataFrame, predictions: DataFrame | None = Non
     return out
 
 
+def shipped_options(**overrides) -> WorkflowOptions:
+    """The reference's shipped configuration: 7 critical columns, no region
+    filter, 3-sigma brightness outliers, the 7 base features, linear + tree +
+    forest (forest default), test share 0.25 with seed 1, MAE/RMSE/R2."""
+    base = dict(critical_columns=list(WORKFLOW_CRITICAL_COLUMNS), region={"enabled": False},
+                outliers={"enabled": True, "column": TARGET, "std_threshold": 3}, base_only=True,
+                specs=[ModelSpec(n, t, dict(hp), d) for n, t, hp, d in SHIPPED_MODELS],
+                metrics=list(SHIPPED_METRICS))
+    base.update(overrides)
+    return WorkflowOptions(**base)
+
+
 def _check_leakage(opts: WorkflowOptions) -> None:
     if opts.allow_target_leakage:
         return
@@ -122,24 +147,30 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     run_id = int(time.time()) if run_id is None else int(run_id)
     out = out.rstrip("/")
 
+    key_cols = list(opts.key_cols)
+    if not key_cols:
+        df, key_cols = df.withColumn("row_id", F.monotonically_increasing_id()), ["row_id"]
     clean = create_dataset(df, opts.critical_columns, opts.date_col, opts.region, opts.outliers, opts.target)
     feats = generate_features(clean, opts.base_only, opts.target, opts.features, opts.derived, opts.log,
-                              opts.normalize_cols, opts.normalize_method, keep=opts.key_cols)
-    keep = list(dict.fromkeys([*opts.key_cols, *opts.features, opts.target]))
+                              opts.normalize_cols, opts.normalize_method, keep=key_cols)
+    keep = list(dict.fromkeys([*key_cols, *opts.features, opts.target]))
     # A row with a missing feature or target can be neither fitted nor scored
     # (VectorAssembler rejects it): drop such rows here, openly, and count them.
     fit_cols = list(dict.fromkeys([*opts.features, opts.target]))
     write_run(drop_missing(feats.select(*keep), fit_cols), f"{out}/features", run_id)
-    feats = spark.read.parquet(f"{out}/features").where(F.col("run_id") == run_id).drop("run_id")
+    try:
+        feats = spark.read.parquet(f"{out}/features").where(F.col("run_id") == run_id).drop("run_id")
+    except AnalysisException as e:  # nothing was written: every row was dropped
+        raise ValueError("no rows left after cleaning; check the input columns and filters") from e
     dropped_missing = clean.count() - feats.count() if opts.count_dropped else None
 
     eda_paths = {}
     if opts.eda:
-        tables = eda_tables(feats.drop(*opts.key_cols), opts.target)
+        tables = eda_tables(feats.drop(*key_cols), opts.target)
         eda_paths = run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
                                       for name, table in tables.items()})
 
-    train, test = train_test_split(feats, list(opts.key_cols), opts.test_size, opts.seed)
+    train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
     run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
                       "test": lambda: write_run(test, f"{out}/test", run_id)})
     train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")

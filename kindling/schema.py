@@ -13,6 +13,16 @@ FEATURES = ["latitude", "longitude", "scan", "track", "bright_t31", "frp", "conf
 TARGET = "brightness"
 # Critical columns of the fixed cleaning preset.
 CRITICAL_COLUMNS = ["latitude", "longitude", "brightness", "scan", "track"]
+# Critical columns of the shipped workflow configuration.
+WORKFLOW_CRITICAL_COLUMNS = ["latitude", "longitude", "brightness", "scan", "track", "frp", "confidence"]
+# Models of the shipped workflow configuration: (name, type, hyperparameters, is_default).
+SHIPPED_MODELS = [
+    ("linear_regression", "LinearRegression", {}, False),
+    ("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 200, "random_state": 1}, True),
+    ("random_forest", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 10, "random_state": 42}, True),
+]
+# Metrics of the shipped configuration.
+SHIPPED_METRICS = ["mae", "rmse", "r2"]
 # Default bounding box (Australia), inclusive: min_lat, max_lat, min_lon, max_lon.
 AUSTRALIA = (-44.0, -10.0, 112.0, 154.0)
 # Outlier rule of the cleaning preset: strictly inside mean +- 3 sample std.

@@ -35,6 +35,10 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
                     nan_to_null: bool | None = None) -> DataFrame:
     """Read detections from files or an object store.
 
+    CSV: header names bind the declared schema (unparseable values -> NULL,
+    columns absent from the file stay absent); other formats use ``schema``
+    as given.
+
     ``pattern`` (e.g. ``"fire_nrt*.csv"``) keeps matching file names;
     ``recursive`` descends into sub-folders.  All matches are read (not "the
     first one", whose choice would depend on listing order).  ``nan_to_null``
@@ -43,15 +47,21 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
     operator treats NaN as missing itself.
     """
     reader = spark.read.format(fmt)
+    by_name = fmt == "csv" and schema is not None
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("nanValue", "NaN")
-    if schema is not None:
+        # Text is read as strings (no inference pass) and the declared types are
+        # bound by header name, not position: files may order or omit columns.
+        reader = reader.option("header", True).option("mode", "PERMISSIVE")
+    elif schema is not None:
         reader = reader.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     df = reader.load(path if isinstance(path, str) else list(path))
+    if by_name:
+        types = {f.name: f.dataType for f in schema.fields}
+        df = df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
     if nan_to_null is None:
         nan_to_null = fmt in ("csv", "json", "text")
     return nullify_nan(df) if nan_to_null else df
