@@ -37,9 +37,12 @@ _G0 = "__grp"
 def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
     # Halving keeps (v - lo) finite for any doubles; every step is monotone in v,
     # so buckets are ordered even where rounding moves a value across an edge.
+    # A range whose ends are equal as doubles (e.g. 60-bit keys 1 apart) has no
+    # width: everything goes to bucket 0 and the caller stops refining it.
     vd, lod, hid = v.cast("double") / 2, lo.cast("double") / 2, hi.cast("double") / 2
-    scale = (vd - lod) / (hid - lod)
-    return F.least(F.floor(scale * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+    scale = F.try_divide(vd - lod, hid - lod)
+    raw = F.coalesce(F.floor(scale * F.lit(float(buckets))), F.lit(0))
+    return F.least(raw, F.lit(buckets - 1)).cast("int")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -112,7 +115,7 @@ def select_ranks(
                        F.col("blo").alias("lo"), F.col("bhi").alias("hi"), F.col("cb").alias("c")))
         state = materialize(done.unionByName(nxt), "rank-state")
 
-    if tiebreak and state.where(F.col("c") > final_max).limit(1).count():
+    if tiebreak and state.where((F.col("c") > final_max) & (F.col("lo") == F.col("hi"))).limit(1).count():
         raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "
                          "the order (nearly) unique, e.g. a unique row key")
     parts = []
@@ -202,10 +205,15 @@ def select_ranks_local(
         if not ranges:
             break
         hists = _range_histograms(base, ranges, buckets)
+        before = dict(state)
         for name, e in list(state.items()):
             if e[3] > final_max and e[1] < e[2]:
                 state[name] = _narrow(e, hists[ranges.index((e[1], e[2]))])
-    if tiebreak and any(c > final_max for r, lo, hi, c in state.values()):
+        if state == before:
+            # no range shrank: the values differ below the bucket arithmetic's
+            # resolution (e.g. 60-bit keys as doubles); rank what is left directly
+            break
+    if tiebreak and any(c > final_max and lo == hi for r, lo, hi, c in state.values()):
         raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "
                          "the order (nearly) unique, e.g. a unique row key")
     out: dict = {name: None for name in targets}

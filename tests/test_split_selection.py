@@ -112,3 +112,11 @@ try:
         assert math.isclose(got, float(np.quantile(np.array(values), q)), rel_tol=1e-12, abs_tol=1e-9)
 except ImportError:  # pragma: no cover
     pass
+
+
+def test_local_selection_stops_when_buckets_cannot_split(spark):
+    # 2^60-scale integers 1 apart collapse to one double: refinement cannot split them
+    base = 2 ** 59
+    df = spark.createDataFrame([(base + i, i) for i in range(50)], "v long, id int")
+    n, got = select_ranks_local(df, "v", {"r": lambda n: 17}, tiebreak=["id"], final_max=5, buckets=4)
+    assert n == 50 and got["r"]["value"] == base + 16
