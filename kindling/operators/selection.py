@@ -113,7 +113,12 @@ def select_ranks(
         nxt = (hist.where((F.col("cum") - F.col("cb") < F.col("r")) & (F.col("cum") >= F.col("r")))
                .select(*keys, "n", (F.col("r") - (F.col("cum") - F.col("cb"))).alias("r"),
                        F.col("blo").alias("lo"), F.col("bhi").alias("hi"), F.col("cb").alias("c")))
+        nxt = materialize(nxt, "rank-state")
+        moved = nxt.alias("x").join(pending.alias("p"), on=keys).where(
+            (F.col("x.lo") != F.col("p.lo")) | (F.col("x.hi") != F.col("p.hi"))).limit(1).count()
         state = materialize(done.unionByName(nxt), "rank-state")
+        if not moved:
+            break  # no range shrank (values closer than the bucket arithmetic resolves)
 
     if tiebreak and state.where((F.col("c") > final_max) & (F.col("lo") == F.col("hi"))).limit(1).count():
         raise ValueError(f"more than {final_max} rows share one order value; the tiebreak columns must make "

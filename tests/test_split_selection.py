@@ -120,3 +120,11 @@ def test_local_selection_stops_when_buckets_cannot_split(spark):
     df = spark.createDataFrame([(base + i, i) for i in range(50)], "v long, id int")
     n, got = select_ranks_local(df, "v", {"r": lambda n: 17}, tiebreak=["id"], final_max=5, buckets=4)
     assert n == 50 and got["r"]["value"] == base + 16
+
+
+def test_grouped_selection_stops_when_buckets_cannot_split(spark):
+    base = 2 ** 59
+    df = spark.createDataFrame([(base + i, i % 2) for i in range(40)], "v long, g int")
+    out = {(r.g, r.target): r.value for r in
+           select_ranks(df, "v", {"third": lambda n: F.lit(3)}, group_cols=["g"], final_max=4, buckets=4).collect()}
+    assert out == {(0, "third"): base + 4, (1, "third"): base + 5}
