@@ -73,6 +73,17 @@ def hash_uniform(seed, name: str, row_id) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
+# Text date layouts tried in order (ISO first, month before day
+# for slash dates, as pandas does for ambiguous input).
+DATE_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd"]
+
+
+def parse_date(c) -> Column:
+    """Text -> DATE: ISO (with or without a time part), then the layouts above; else NULL."""
+    s = _c(c).cast("string")
+    return F.coalesce(F.try_to_date(s), *[F.try_to_date(s, f) for f in DATE_FORMATS])
+
+
 def date_from_year_day(year, day) -> Column:
     """Date from year + day-of-year (1-based); NULL when the day is out of range."""
     y, d = _c(year).cast("int"), _c(day).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null, num, sample_std
+from kindling.functions.columns import date_from_year_day, hash_uniform, nan_to_null, num, parse_date, sample_std
 from kindling.schema import (
     AUSTRALIA,
     CRITICAL_COLUMNS,
@@ -64,7 +64,7 @@ def coerce_date(df: DataFrame, col: str = "acq_date") -> DataFrame:
         return df
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return df.withColumn(col, F.to_date(F.col(col)))
-    return df.withColumn(col, F.try_to_date(F.col(col).cast("string")))
+    return df.withColumn(col, parse_date(col))
 
 
 def filter_region(df: DataFrame, min_lat: float = AUSTRALIA[0], max_lat: float = AUSTRALIA[1],
@@ -157,7 +157,7 @@ def ensure_acq_date(df: DataFrame, out_col: str = "acq_date", fill: str | None =
         dt = df.schema["acquisition_date"].dataType
         src = F.col("acquisition_date")
         val = F.to_date(src) if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) \
-            else F.try_to_date(src.cast("string"))
+            else parse_date(src)
         return df.withColumn(out_col, val)
     if "acq_year" in df.columns and "acq_day" in df.columns:
         return df.withColumn(out_col, date_from_year_day("acq_year", "acq_day"))

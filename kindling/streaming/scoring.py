@@ -44,6 +44,18 @@ def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
     return with_intensity(scored)
 
 
+def score_points(spark: SparkSession, model: PipelineModel, points: Sequence[Mapping], features: Sequence[str],
+                 bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Score a few user-entered points (the form of the reference's app) through
+    the same plan as batch and stream scoring.  Missing features raise."""
+    missing = sorted({f for p in points for f in features if f not in p})
+    if missing:
+        raise ValueError(f"Missing features: {missing}")
+    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
+    rows = [tuple(None if p[f] is None else float(p[f]) for f in features) for p in points]
+    return score_frame(spark.createDataFrame(rows, schema), model, features, bounds)
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None, pattern: str | None = None,
                 recursive: bool = False) -> DataFrame:

@@ -138,3 +138,10 @@ def test_nan_is_missing_everywhere_without_a_source_projection(spark):
     from kindling.operators import explore
     st = explore.column_stats(df, ["brightness"]).first()
     assert st["count"] == 4 and st.mean == 315.0 and st.max == 330.0
+
+
+def test_date_layouts(spark):
+    df = spark.createDataFrame([("2019-10-05",), ("2019-10-05 13:45:00",), ("2019/10/05",), ("10/05/2019",),
+                                ("20191005",), ("5 Oct",)], "acq_date string")
+    got = [str(r.acq_date) if r.acq_date else None for r in clean.coerce_date(df).collect()]
+    assert got == ["2019-10-05"] * 5 + [None]

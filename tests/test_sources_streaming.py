@@ -131,3 +131,17 @@ def test_workflow_end_to_end_and_leakage(spark, tmp_path):
                             features=["scan", "temperature_diff"])
     with pytest.raises(ValueError, match="target"):
         run_workflow(spark, df, leaky, str(tmp_path / "run2"), run_id=1)
+
+
+def test_score_points(spark):
+    from kindling.streaming.scoring import score_points
+    feats = ["scan", "track", "bright_t31", "frp"]
+    df = synthetic_detections(spark, 300, seed=2)
+    model = fit_linear(df, feats, "brightness")
+    pts = [{"scan": 1.0, "track": 1.2, "bright_t31": 300.0, "frp": 20.0},
+           {"scan": 9.0, "track": 1.2, "bright_t31": 300.0, "frp": 20.0}]
+    out = score_points(spark, model, pts, feats, FORM_RANGES).collect()
+    assert out[0].prediction is not None and out[0].intensity in ("High", "Moderate", "Low")
+    assert out[1].prediction is None and list(out[1].violations) == ["scan"]
+    with pytest.raises(ValueError, match="frp"):
+        score_points(spark, model, [{"scan": 1.0, "track": 1.0, "bright_t31": 300.0}], feats, FORM_RANGES)
