@@ -61,3 +61,28 @@ def test_entry_smoke(spark):
     df = entry(spark)
     rows = df.collect()
     assert len(rows) == 3 and {"model", "is_default", "mae", "rmse", "r2"} <= set(df.columns)
+
+
+def test_deep_refinement_on_supplied_tables(spark):
+    """Force several refinement levels on sf0.01 tables and compare with DuckDB."""
+    from kindling.operators.selection import exact_quantiles
+    from kindling.operators.split import split_cut, train_test_split
+
+    from .conftest import SF_ORACLE
+
+    con = duckdb.connect()
+    li = spark.read.parquet(f"{SF_ORACLE}/lineitem.parquet")
+    got = exact_quantiles(li, "l_extendedprice", [0.1, 0.5, 0.99], final_max=50, buckets=16).first()
+    want = con.execute(f"select quantile_cont(l_extendedprice, [0.1, 0.5, 0.99]) "
+                       f"from '{SF_ORACLE}/lineitem.parquet'").fetchone()[0]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+    grouped = {r.l_returnflag: r.q0 for r in exact_quantiles(li, "l_quantity", [0.5], group_cols=["l_returnflag"],
+                                                             final_max=50, buckets=8).collect()}
+    gwant = dict(con.execute(f"select l_returnflag, quantile_cont(l_quantity, 0.5) "
+                             f"from '{SF_ORACLE}/lineitem.parquet' group by 1").fetchall())
+    assert grouped == gwant
+    o = spark.read.parquet(f"{SF_ORACLE}/orders.parquet")
+    n, n_test, _ = split_cut(o, ["o_orderkey"], 0.25, 1, final_max=20, buckets=8)
+    _, test = train_test_split(o, "o_orderkey", 0.25, 1, final_max=20, buckets=8)
+    row = test.agg({"o_orderkey": "sum", "*": "count"}).first()
+    assert (n, n_test) == (15000, 3750) and (row["count(1)"], row["sum(o_orderkey)"]) == (3750, 28289462)
