@@ -66,16 +66,32 @@ def make_regressor(spec: ModelSpec, label: str):
         return LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0,
                                 fitIntercept=hp.get("fit_intercept", True), standardization=False, **common)
     seed = hp.get("random_state", TREE_SEED)
-    max_bins = hp.get("max_bins", 64)
     if spec.type == "DecisionTreeRegressor":
-        return DecisionTreeRegressor(maxDepth=_tree_depth(hp), maxBins=max_bins, seed=seed,
-                                     minInstancesPerNode=hp.get("min_samples_leaf", 1), **common)
+        depth = _tree_depth(hp)
+        return DecisionTreeRegressor(maxDepth=depth, seed=seed, minInstancesPerNode=hp.get("min_samples_leaf", 1),
+                                     **_tree_scale_params(hp, depth), **common)
     depth = hp.get("max_depth")
     if depth is None or depth > SPARK_MAX_DEPTH:
         raise ValueError("a forest needs max_depth <= 30")
-    return RandomForestRegressor(numTrees=hp.get("n_estimators", 100), maxDepth=depth, maxBins=max_bins,
-                                 seed=seed, featureSubsetStrategy="all", subsamplingRate=1.0,
-                                 bootstrap=hp.get("bootstrap", True), **common)
+    return RandomForestRegressor(numTrees=hp.get("n_estimators", 100), maxDepth=depth, seed=seed,
+                                 featureSubsetStrategy="all", subsamplingRate=1.0,
+                                 bootstrap=hp.get("bootstrap", True), **_tree_scale_params(hp, depth), **common)
+
+
+DEEP_TREE = 10  # from this depth on, cache node ids per row (Spark's advice for deep trees)
+
+
+def _tree_scale_params(hp: dict, depth: int) -> dict:
+    """Binning and memory knobs of Spark's level-wise tree growth.
+
+    ``max_bins``: candidate thresholds per feature; ``max_memory_mb``: memory
+    for one level's split statistics (more nodes per pass when larger).  Deep
+    trees cache each row's node id instead of shipping the tree every level,
+    checkpointing that cache every 10 levels into ``spark.checkpoint.dir``.
+    """
+    deep = depth >= DEEP_TREE
+    return dict(maxBins=hp.get("max_bins", 64), maxMemoryInMB=hp.get("max_memory_mb", 256),
+                cacheNodeIds=hp.get("cache_node_ids", deep), checkpointInterval=10)
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:

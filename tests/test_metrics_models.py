@@ -153,3 +153,12 @@ def test_flag_default_window(spark):
     assert got == {(1, "a"): False, (1, "b"): False, (1, "c"): True, (2, "a"): True}
     one = metrics.flag_default(s.where("run_id = 1"))
     assert [r.model for r in one.where("is_default").collect()] == ["c"]
+
+
+def test_deep_tree_params():
+    from kindling.models.specs import make_regressor
+    deep = make_regressor(ModelSpec("t", "DecisionTreeRegressor", {"max_leaf_nodes": 10000}), "y")
+    assert deep.getMaxDepth() == 14 and deep.getCacheNodeIds() and deep.getMaxBins() == 64
+    shallow = make_regressor(ModelSpec("f", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 5,
+                                                                      "max_memory_mb": 512}), "y")
+    assert not shallow.getCacheNodeIds() and shallow.getMaxMemoryInMB() == 512 and shallow.getNumTrees() == 5
