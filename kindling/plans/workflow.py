@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.models.scoring import score_models, stacked_predictions
-from kindling.models.specs import ModelSpec, fit_models, save_model
+from kindling.models.specs import ModelSpec, feature_importance, fit_models, save_model
+from kindling.operators.explore import scatter_density
 from kindling.operators.clean import create_dataset, drop_missing
 from kindling.operators.features import generate_features
 from kindling.operators.metrics import (
@@ -70,7 +71,7 @@ class WorkflowOptions:
     seed: int = SPLIT_SEED
     specs: Sequence[ModelSpec] = field(default_factory=list)
     metrics: Sequence[str] = METRICS
-    summaries: Sequence[str] = ("model_comparison", "predictions_vs_actual")
+    summaries: Sequence[str] = ("feature_importance", "predictions_vs_actual", "residuals", "model_comparison")
     allow_target_leakage: bool = False
     eda: bool = True
     count_dropped: bool = False  # one extra pass over the cleaned rows
@@ -88,13 +89,20 @@ def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Seq
     return scores.withColumn("is_best", F.col("model") == F.min_by("model", order).over(w))
 
 
-SUMMARIES = ("model_comparison", "predictions_vs_actual", "residuals", "prediction_bounds")
+SUMMARIES = ("model_comparison", "predictions_vs_actual", "residuals", "prediction_bounds", "feature_importance")
 
 
 def performance_summaries(scores: DataFrame, predictions: DataFrame | None = None,
-                          names: Sequence[str] = ("model_comparison",)) -> dict[str, DataFrame]:
-    """The requested summary tables; summaries that need predictions use the
-    default model's (label, prediction) rows; unknown names are logged and skipped."""
+                          names: Sequence[str] = ("model_comparison",), fitted=None,
+                          features: Sequence[str] = (), bins: int = 20) -> dict[str, DataFrame]:
+    """The requested summary tables (the data behind each evaluation chart).
+
+    Summaries of predictions use the default model's (label, prediction) rows
+    and are binned, so their size does not grow with the test set:
+    ``predictions_vs_actual`` (A14) and ``residuals`` (A13: prediction x
+    residual density).  ``feature_importance`` lists tree models' importances
+    (M8).  Unknown names are logged and skipped.
+    """
     out = {}
     default = None
     if predictions is not None and "is_default" in predictions.columns:
@@ -102,14 +110,22 @@ def performance_summaries(scores: DataFrame, predictions: DataFrame | None = Non
     for name in names:
         if name == "model_comparison":
             out[name] = model_comparison(scores)
+        elif name == "feature_importance":
+            per_model = [(spec.name, feature_importance(m, features)) for spec, m in (fitted or [])]
+            tables = [t.withColumn("model", F.lit(n)) for n, t in per_model if t is not None]
+            if tables:
+                t = tables[0]
+                for x in tables[1:]:
+                    t = t.unionByName(x)
+                out[name] = t.select("model", "feature", "importance")
         elif name in ("predictions_vs_actual", "residuals", "prediction_bounds"):
             if default is None:
                 log.warning("summary %s needs predictions; skipped", name)
                 continue
             if name == "predictions_vs_actual":
-                out[name] = predictions_vs_actual(default)
+                out[name] = predictions_vs_actual(default, bins=bins)
             elif name == "residuals":
-                out[name] = residuals(default)
+                out[name] = scatter_density(residuals(default), "prediction", "residual", bins)
             else:
                 out[name] = prediction_bounds(default)
         else:
@@ -188,7 +204,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
     preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
         "is_default", F.lit(True))
-    summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries)
+    summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
     summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
                                       for n, t in summaries.items()})
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")

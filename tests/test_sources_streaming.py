@@ -122,6 +122,9 @@ def test_workflow_end_to_end_and_leakage(spark, tmp_path):
     assert [r.is_default for r in scores] == [False, True, False]
     assert scores[0].r2 > 0.99
     assert os.path.isdir(tmp_path / "run" / "models" / "run_id=42" / "random_forest")
+    assert set(res["summaries"]) == {"feature_importance", "predictions_vs_actual", "residuals", "model_comparison"}
+    imp = spark.read.parquet(str(tmp_path / "run" / "summaries" / "feature_importance"))
+    assert {r.model for r in imp.collect()} == {"decision_tree", "random_forest"}
     test_rows = spark.read.parquet(str(tmp_path / "run" / "test")).count()
     train_rows = spark.read.parquet(str(tmp_path / "run" / "train")).count()
     assert test_rows + train_rows == spark.read.parquet(str(tmp_path / "run" / "features")).count()
