@@ -178,7 +178,8 @@ def q_numeric_histograms(spark, sf):
 
 
 def q_density_curve(spark, sf):
-    return explore.density_curve(_t(spark, sf, "events"), "value", grid=200)
+    d = explore.density_curve(_t(spark, sf, "events"), "value", grid=200)
+    return d.select("i", F.round("x", 8).alias("x"), F.round("density", 10).alias("density"))
 
 
 def q_scatter_density(spark, sf):

@@ -120,6 +120,18 @@ ORACLE_SQL: dict[str, str] = {
     "histogram_events": "with m as (select min(value) lo, max(value) hi from events) "
                         "select cast(least(floor((value - lo) * 30 / (hi - lo)), 29) as integer) bin, count(*) n "
                         "from events, m group by 1",
+    "density_curve": """
+with s as (select count(value) n, min(value) lo, max(value) hi, stddev_samp(value) sd,
+                  stddev_samp(value) * pow(count(value), -0.2) h from events),
+fine as (select cast(least(floor((value - lo) / ((hi - lo) / 1024)), 1023) as integer) b, count(*) w
+         from events, s where value is not null group by 1),
+k as (select g.range i, lo + g.range * ((hi - lo) / 199) x,
+             w * exp(-0.5 * ((lo + g.range * ((hi - lo) / 199) - (lo + (b + 0.5) * ((hi - lo) / 1024))) / h)
+                          * ((lo + g.range * ((hi - lo) / 199) - (lo + (b + 0.5) * ((hi - lo) / 1024))) / h))
+               / (h * sqrt(2 * pi())) kern, n
+      from fine, s, range(0, 200) g)
+select cast(i as integer) i, round(x, 8) x, round(sum(kern) / any_value(n), 10) density from k group by i, x
+""",
     "scatter_density": "with m as (select min(l_quantity) xl, max(l_quantity) xh, min(l_extendedprice) yl, "
                        "max(l_extendedprice) yh from lineitem) "
                        "select cast(least(floor((l_quantity - xl) * 10 / (xh - xl)), 9) as integer) xb, "
