@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import safe_div
+from kindling.plans.materialize import broadcast_if_small, materialize
 
 METRICS = ("mae", "rmse", "r2", "explained_variance")
 
@@ -109,8 +110,11 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
         return F.when(span == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
 
     if g:
-        # one bounds row per group; AQE broadcasts it when its measured size is small
-        joined = pred.join(bounds, on=g)
+        # One bounds row per group (a handful of models).  Joining on so few keys
+        # by shuffle would send each model's rows to one task, so the bounds are
+        # written, counted, and broadcast when that count is small.
+        bounds = materialize(bounds, "pva-bounds")
+        joined = pred.join(broadcast_if_small(bounds, bounds.count()), on=g)
     else:
         lo, hi = (bounds.select(c).scalar() for c in ("lo", "hi"))
         joined = pred.withColumns({"lo": lo, "hi": hi})

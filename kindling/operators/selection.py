@@ -24,11 +24,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from kindling.plans.materialize import materialize
+from kindling.plans.materialize import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 BUCKETS = 4096
 FINAL_MAX = 1_000_000
-BROADCAST_MAX_ROWS = 1_000_000
 MAX_LEVELS = 48
 
 _G0 = "__grp"
@@ -45,10 +44,6 @@ def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
     return F.least(raw, F.lit(buckets - 1)).cast("int")
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 def _join_state(left: DataFrame, state: DataFrame, gcols: list[str], rows: int, limit: int,
                 extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """left x state on the group columns (NULL-safe: a NULL group is a group) plus
@@ -62,7 +57,7 @@ def _join_state(left: DataFrame, state: DataFrame, gcols: list[str], rows: int,
         cond = e if cond is None else cond & e
     for a, b in extra:
         cond = cond & (left[a] == right[ren[b]])
-    return left.join(_maybe_broadcast(right, rows, limit), on=cond).drop(*ren.values())
+    return left.join(broadcast_if_small(right, rows, limit), on=cond).drop(*ren.values())
 
 
 def select_ranks(

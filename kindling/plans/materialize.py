@@ -22,6 +22,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Largest row count broadcast when a small side's size is checked by counting it.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for a side whose row count ``rows`` was measured (e.g. a
+    written table); above ``limit`` the planner keeps a shuffle join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows <= limit else df
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> tuple[DataFrame, bool]:
     """Round-robin ``df`` over at least ``min_partitions`` (default: the session's
     parallelism) when it has fewer, e.g. a one-row-group file feeding an

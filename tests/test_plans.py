@@ -75,3 +75,9 @@ def test_split_does_not_shuffle_the_data(spark):
 def test_scoring_scans_test_rows_once(spark):
     plan = _plan(queries()["forest_scores"](spark, SF_SMALL))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_few_group_joins_are_broadcast(spark):
+    """Joins keyed by a handful of groups (models) must not shuffle the big side onto few tasks."""
+    plan = _plan(queries()["predictions_vs_actual"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
