@@ -132,9 +132,12 @@ def top_correlates(df: DataFrame, target: str, cols: Sequence[str], k: int = TOP
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Equal-width bin over [lo, hi], last bin closed; a constant column falls in the middle bin."""
+    """Equal-width bin over [lo, hi], last bin closed; a constant column falls in
+    the middle bin; a NULL value has no bin (``least`` alone would skip the NULL
+    and return the last bin)."""
     raw = F.floor(safe_div((x - lo) * F.lit(float(bins)), hi - lo))
-    return F.when(hi == lo, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
+    b = F.when(hi == lo, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1)))
+    return F.when(x.isNotNull(), b).cast("int")
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = HIST_BINS) -> DataFrame:

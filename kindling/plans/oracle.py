@@ -36,7 +36,8 @@ with r as (select cast(year(o_orderdate) as integer) run_id, o_orderpriority mod
 def _hist(table: str, col: str, bins: int = 30) -> str:
     x = f"cast({col} as double)"
     return (f"select '{col}' as \"column\", cast(least(floor(({x} - lo) * {bins} / (hi - lo)), {bins - 1}) as integer) bin, "
-            f"count(*) as \"count\" from {table}, (select min({x}) lo, max({x}) hi from {table}) m group by 2")
+            f"count(*) as \"count\" from {table}, (select min({x}) lo, max({x}) hi from {table}) m "
+            f"where {col} is not null group by 2")
 
 
 _LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -119,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     "numeric_histograms": " union all ".join(_hist("lineitem", c) for c in _LINEITEM_NUMERIC),
     "histogram_events": "with m as (select min(value) lo, max(value) hi from events) "
                         "select cast(least(floor((value - lo) * 30 / (hi - lo)), 29) as integer) bin, count(*) n "
-                        "from events, m group by 1",
+                        "from events, m where value is not null group by 1",
     "density_curve": """
 with s as (select count(value) n, min(value) lo, max(value) hi, stddev_samp(value) sd,
                   stddev_samp(value) * pow(count(value), -0.2) h from events),
@@ -136,7 +137,8 @@ select cast(i as integer) i, round(x, 8) x, round(sum(kern) / any_value(n), 10)
                        "max(l_extendedprice) yh from lineitem) "
                        "select cast(least(floor((l_quantity - xl) * 10 / (xh - xl)), 9) as integer) xb, "
                        "cast(least(floor((l_extendedprice - yl) * 10 / (yh - yl)), 9) as integer) yb, count(*) n "
-                       "from lineitem, m group by 1, 2",
+                       "from lineitem, m where l_quantity is not null and l_extendedprice is not null "
+                       "group by 1, 2",
     "daily_summary": "select strftime(cast(ts as date), '%Y-%m-%d') d, count(*) n, round(avg(value), 4) a, "
                      "round(quantile_cont(value, 0.5), 4) m from events group by 1",
     "exact_split": f"select count(*) n, cast(sum(o_orderkey) as bigint) k from ({_SPLIT}) where rn <= ceil(0.25 * c)",

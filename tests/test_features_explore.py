@@ -133,3 +133,13 @@ def test_eda_tables(spark, sample):
     assert t["heatmap_cells"].count() == 6 and t["correlations"].count() == 16
     assert t["scatter"].agg(F.sum("n")).first()[0] == 800
     assert t["target_density"].count() == 200 and t["histograms"].select("column").distinct().count() == 4
+
+
+def test_null_values_have_no_bin(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (None, 2.0), (3.0, None), (2.0, 3.0)], "x double, y double")
+    h = {r.bin: r["count"] for r in explore.histogram(df, ["x"], 4).collect()}
+    assert sum(h.values()) == 3 and h == {0: 1, 2: 1, 3: 1}
+    sc = explore.scatter_density(df, "x", "y", 2).collect()
+    assert sum(r.n for r in sc) == 2
+    allnull = spark.createDataFrame([(None,), (None,)], "x double")
+    assert explore.histogram(allnull, ["x"]).count() == 0
