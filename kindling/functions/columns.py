@@ -58,12 +58,13 @@ def radius(pred, scale: float = RADIUS_SCALE) -> Column:
 
 
 def split_hash(seed, *keys) -> Column:
-    """md5 hex of ``'<seed>:<key>[:<key>...]'``: a partition-independent shuffle order."""
+    """md5 hex of ``'<seed>:<key>[:<key>...]'``: a partition-independent shuffle order.
+    A NULL key hashes as the text ``\\N`` (never a NULL hash, so no row is lost)."""
     parts = [F.lit(f"{seed}:")]
     for i, k in enumerate(keys):
         if i:
             parts.append(F.lit(":"))
-        parts.append(_c(k).cast("string"))
+        parts.append(F.coalesce(_c(k).cast("string"), F.lit("\\N")))
     return F.md5(F.concat(*parts))
 
 

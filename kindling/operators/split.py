@@ -35,11 +35,16 @@ def _test_count(test_size: float | int, n: int) -> int:
 
 
 def _lex_le(cols: Sequence[Column], vals: Sequence) -> Column:
-    """(c1, c2, ...) <= (v1, v2, ...) lexicographically."""
+    """(c1, c2, ...) <= (v1, v2, ...) lexicographically, NULL ordered first (as the
+    ranking window orders), never NULL itself: every row is on exactly one side."""
     expr = None
     for c, v in reversed(list(zip(cols, vals))):
-        lit = F.lit(v)
-        expr = (c <= lit) if expr is None else ((c < lit) | ((c == lit) & expr))
+        if v is None:
+            lt, eq = F.lit(False), c.isNull()
+        else:
+            lit = F.lit(v)
+            lt, eq = c.isNull() | (c < lit), c.isNotNull() & (c == lit)
+        expr = (lt | eq) if expr is None else (lt | (eq & expr))
     return expr
 
 

@@ -128,3 +128,10 @@ def test_grouped_selection_stops_when_buckets_cannot_split(spark):
     out = {(r.g, r.target): r.value for r in
            select_ranks(df, "v", {"third": lambda n: F.lit(3)}, group_cols=["g"], final_max=4, buckets=4).collect()}
     assert out == {(0, "third"): base + 4, (1, "third"): base + 5}
+
+
+def test_split_keeps_rows_with_null_key(spark):
+    df = spark.createDataFrame([(None, 0.0)] + [(k, float(k)) for k in range(1, 200)], "k long, v double")
+    train, test = train_test_split(df, "k", 0.25, 1)
+    assert train.count() + test.count() == 200 and test.count() == 50
+    assert train.where("k is null").count() + test.where("k is null").count() == 1
