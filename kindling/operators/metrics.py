@@ -20,17 +20,19 @@ METRICS = ("mae", "rmse", "r2", "explained_variance")
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        group_cols: Sequence[str] = ("model",), metrics: Sequence[str] = METRICS) -> DataFrame:
-    """One row per group with n and the requested metrics.
+    """One row per group with n and the requested metrics, over the rows
+    where both label and prediction are present.
 
     r2 = 1 - SSE / (n * var_pop(y)); explained_variance = 1 - var_pop(y - yhat) / var_pop(y).
     With a constant label each is 1 when its numerator is 0, else 0.  r2 is
     NULL below two rows.
     """
-    y, yh = F.col(label).cast("double"), F.col(prediction).cast("double")
+    y0, yh = F.col(label).cast("double"), F.col(prediction).cast("double")
+    y = F.when(yh.isNotNull(), y0)          # complete (label, prediction) pairs only
     e = y - yh
     group_cols = [g for g in group_cols]
     agg = pred.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("_mse"),
         F.sum(e * e).alias("_sse"),

@@ -162,3 +162,10 @@ def test_deep_tree_params():
     shallow = make_regressor(ModelSpec("f", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 5,
                                                                       "max_memory_mb": 512}), "y")
     assert not shallow.getCacheNodeIds() and shallow.getMaxMemoryInMB() == 512 and shallow.getNumTrees() == 5
+
+
+def test_metrics_use_complete_pairs(spark):
+    df = spark.createDataFrame([("m", 1.0, 1.5), ("m", 2.0, None), ("m", None, 3.0), ("m", 3.0, 2.5)],
+                               "model string, y double, p double")
+    r = metrics.regression_metrics(df, "y", "p").first()
+    assert r.n == 2 and r.mae == 0.5 and r.r2 == 1 - 0.5 / (1.0 * 2)
