@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.models.scoring import score_models, stacked_predictions
-from kindling.models.specs import ModelSpec, feature_importance, fit_models, save_model
+from kindling.models.specs import ModelSpec, feature_importance, fit_models, save_model, tune_tree
 from kindling.operators.explore import scatter_density
 from kindling.operators.clean import create_dataset, drop_missing
 from kindling.operators.features import generate_features
@@ -29,11 +29,14 @@ from kindling.operators.metrics import (
     predictions_vs_actual,
     residuals,
 )
-from kindling.operators.split import train_test_split
+from kindling.operators.split import fold_column, train_test_split
 from kindling.plans.eda import eda_tables
 from kindling.plans.materialize import run_concurrently
 from kindling.schema import (
     CRITICAL_COLUMNS,
+    CV_FOLDS,
+    LEAF_GRID,
+    TREE_SEED,
     FEATURES,
     SHIPPED_METRICS,
     SHIPPED_MODELS,
@@ -154,6 +157,24 @@ def _check_leakage(opts: WorkflowOptions) -> None:
                          "pass allow_target_leakage=True to train on them anyway")
 
 
+def _tune_unset_trees(train: DataFrame, key_cols: list[str], opts: WorkflowOptions, out: str,
+                      run_id: int) -> tuple[list[ModelSpec], str | None]:
+    """A tree spec with neither ``max_leaf_nodes`` nor ``max_depth`` gets its leaf
+    limit from 5-fold CV over the candidate grid (M7) on the training rows; the
+    CV table is written with the run.  Other specs pass through unchanged."""
+    needs = [s for s in opts.specs if s.type == "DecisionTreeRegressor"
+             and "max_leaf_nodes" not in s.hyperparameters and "max_depth" not in s.hyperparameters]
+    if not needs:
+        return list(opts.specs), None
+    folded = fold_column(train, key_cols, CV_FOLDS, opts.seed)
+    table = tune_tree(folded, opts.features, opts.target, "fold", CV_FOLDS, LEAF_GRID, TREE_SEED)
+    path = write_run(table, f"{out}/tuning", run_id)
+    best = table.where("is_best").first()["max_leaf_nodes"]
+    tuned = [ModelSpec(s.name, s.type, {**s.hyperparameters, "max_leaf_nodes": best}, s.is_default)
+             if s in needs else s for s in opts.specs]
+    return tuned, path
+
+
 def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out: str,
                  run_id: int | None = None) -> dict:
     """Clean -> features -> EDA tables -> split -> fit -> score -> evaluate, written per run."""
@@ -192,7 +213,8 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")
     test = spark.read.parquet(f"{out}/test").where(F.col("run_id") == run_id).drop("run_id")
 
-    fitted = fit_models(train, opts.specs, opts.features, opts.target)
+    specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
+    fitted = fit_models(train, specs, opts.features, opts.target)
     model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
                                     for s, m in fitted})
 
@@ -210,4 +232,5 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
             "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,
-            "summaries": summary_paths, "dropped_missing_features": dropped_missing}
+            "summaries": summary_paths, "dropped_missing_features": dropped_missing, "tuning": tuning_path,
+            "specs": specs}

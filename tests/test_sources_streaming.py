@@ -148,3 +148,17 @@ def test_score_points(spark):
     assert out[1].prediction is None and list(out[1].violations) == ["scan"]
     with pytest.raises(ValueError, match="frp"):
         score_points(spark, model, [{"scan": 1.0, "track": 1.0, "bright_t31": 300.0}], feats, FORM_RANGES)
+
+
+def test_workflow_tunes_tree_without_leaf_limit(spark, tmp_path, monkeypatch):
+    import kindling.plans.workflow as W
+    monkeypatch.setattr(W, "LEAF_GRID", [4, 64])   # keep the CV small in a unit test
+    df = synthetic_detections(spark, 1200, seed=4).withColumn(
+        "brightness", 250 + F.when(F.col("frp") > 50, 80.0).otherwise(0.0) + F.col("scan") * 20)
+    opts = WorkflowOptions(key_cols=["id"], eda=False, summaries=(),
+                           specs=[ModelSpec("tree", "DecisionTreeRegressor", {}, is_default=True)])
+    res = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=3)
+    tuning = spark.read.parquet(str(tmp_path / "run" / "tuning")).collect()
+    assert sorted(r.max_leaf_nodes for r in tuning) == [4, 64] and sum(r.is_best for r in tuning) == 1
+    chosen = [r.max_leaf_nodes for r in tuning if r.is_best][0]
+    assert res["specs"][0].hyperparameters["max_leaf_nodes"] == chosen
