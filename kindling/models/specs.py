@@ -120,27 +120,30 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, **hp) -> P
 
 
 def fit_models(train: DataFrame, specs: Sequence[ModelSpec], features: Sequence[str],
-               label: str, parallelism: int = 3) -> list[tuple[ModelSpec, PipelineModel]]:
-    """M6: every spec on the same training rows, fits submitted concurrently.
-
-    A training input with fewer partitions than the session's parallelism is
-    spread (and persisted for the several fits); a large input is used as is —
-    Spark ML caches its own working set.
+               label: str, parallelism: int | None = None) -> list[tuple[ModelSpec, PipelineModel]]:
+    """M6: every spec on the same training rows.
+
+    A training input with fewer partitions than the session's parallelism
+    (a small table) is spread, persisted for the several fits, and the fits are
+    submitted concurrently.  A large input is used as is and, by default,
+    fitted one model at a time: each fit already uses the whole cluster, and
+    every tree fit caches its own binned copy of the rows.
     """
-    data, spread_out = spread(train.select(*features, label))
-    if spread_out:
+    data, small = spread(train.select(*features, label))
+    if small:
         data = data.persist()
+    workers = parallelism if parallelism is not None else (3 if small else 1)
     try:
         fits = run_concurrently({i: (lambda s=s: fit_model(data, s, features, label)) for i, s in enumerate(specs)},
-                                max_workers=parallelism)
+                                max_workers=workers)
         return [(s, fits[i]) for i, s in enumerate(specs)]
     finally:
-        if spread_out:
+        if small:
             data.unpersist()
 
 
 def tune_tree(train: DataFrame, features: Sequence[str], label: str, fold_col: str, folds: int = CV_FOLDS,
-              leaf_grid: Sequence[int] = LEAF_GRID, seed: int = TREE_SEED, parallelism: int = 4) -> DataFrame:
+              leaf_grid: Sequence[int] = LEAF_GRID, seed: int = TREE_SEED, parallelism: int | None = None) -> DataFrame:
     """M7: k-fold CV (folds given by ``fold_col``) of leaf limits, mean MAE; first minimum wins.
 
     Leaf limits that map to the same depth share one CV fit.  Returns
@@ -148,14 +151,18 @@ def tune_tree(train: DataFrame, features: Sequence[str], label: str, fold_col: s
     """
     depths = [depth_for_leaves(L) for L in leaf_grid]
     uniq = sorted(set(depths))
-    tree = DecisionTreeRegressor(featuresCol=FEATURES_COL, labelCol=label, seed=seed, maxBins=64)
+    # No spreading here: the folds' fits already run concurrently (``parallelism``)
+    # and extra partitions only add per-task overhead (measured at sf0.1).
+    data = assembler(features).transform(train.select(*features, label, fold_col)).persist()
+    if parallelism is None:
+        # concurrent CV fits for a small input; one at a time for a large one (memory)
+        parallelism = 4 if data.rdd.getNumPartitions() < data.sparkSession.sparkContext.defaultParallelism else 1
+    tree = DecisionTreeRegressor(featuresCol=FEATURES_COL, labelCol=label, seed=seed,
+                                 **_tree_scale_params({}, max(uniq)))
     grid = ParamGridBuilder().addGrid(tree.maxDepth, uniq).build()
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mae")
     cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=folds,
                         parallelism=parallelism, seed=seed)
-    # No spreading here: the folds' fits already run concurrently (``parallelism``)
-    # and extra partitions only add per-task overhead (measured at sf0.1).
-    data = assembler(features).transform(train.select(*features, label, fold_col)).persist()
     try:
         model = cv.fit(data)
     finally:
