@@ -63,9 +63,10 @@ def cmd_runs(a) -> int:
     from kindling.sources.registry import list_runs, model_listing
     spark = _session()
     listing = model_listing(spark, a.models)
-    for r in list_runs(listing).collect():
-        models = [m.model for m in listing.where(F.col("run_id") == r.run_id).orderBy("model").collect()]
-        print(json.dumps({"run_id": r.run_id, "models": models}))
+    per_run = listing.groupBy("run_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
+    runs = list_runs(listing).join(per_run, "run_id").orderBy(F.col("run_id").desc())
+    for r in runs.collect():  # one row per run
+        print(json.dumps({"run_id": r.run_id, "models": list(r.models)}))
     return 0
 
 
