@@ -107,6 +107,12 @@ def q_date_from_doy(spark, sf):
     return clean.ensure_acq_date(o).select("o_orderkey", F.date_format("acq_date", "yyyy-MM-dd").alias("acq_date"))
 
 
+def q_date_from_text(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey",
+                                       F.date_format("o_orderdate", "yyyy/MM/dd").alias("acquisition_date"))
+    return clean.ensure_acq_date(o).select("o_orderkey", F.date_format("acq_date", "yyyy-MM-dd").alias("acq_date"))
+
+
 def q_intensity_band(spark, sf):
     o = _t(spark, sf, "orders")
     b = o.select(band_label("o_totalprice", 400000.0, 350000.0).alias("b"), radius("o_totalprice").alias("rad"))
@@ -363,6 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minmax": q_minmax,
     "zscore": q_zscore,
     "date_from_doy": q_date_from_doy,
+    "date_from_text": q_date_from_text,
     "intensity_band": q_intensity_band,
     "range_check": q_range_check,
     "range_flags": q_range_flags,

@@ -92,6 +92,7 @@ ORACLE_SQL: dict[str, str] = {
               "select l_orderkey, l_partkey, round((l_quantity - mu) / nullif(sd, 0), 6) r from lineitem, m",
     "date_from_doy": "select o_orderkey, strftime(cast(make_date(cast(year(o_orderdate) as int), 1, 1) "
                      "+ cast(dayofyear(o_orderdate) - 1 as int) as date), '%Y-%m-%d') acq_date from orders",
+    "date_from_text": "select o_orderkey, strftime(cast(o_orderdate as date), '%Y-%m-%d') acq_date from orders",
     "intensity_band": "select case when o_totalprice > 400000 then 'High' when o_totalprice > 350000 then 'Moderate' "
                       "else 'Low' end b, count(*) n, round(max(o_totalprice * 50), 2) r from orders group by 1",
     "range_check": "select count(*) n, "
