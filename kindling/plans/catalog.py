@@ -31,6 +31,7 @@ from kindling.plans.workflow import WorkflowOptions, evaluate_performance, run_w
 from kindling.session import ensure_checkpoint_dir
 from kindling.sources.readers import read_table
 from kindling.sources import sinks
+from kindling.sources import registry
 from kindling.sources.registry import list_runs
 from kindling.streaming.scoring import read_stream, score_frame, start_scoring
 
@@ -300,6 +301,23 @@ def q_list_runs(spark, sf):
     return list_runs(_t(spark, sf, "orders").select(F.year("o_orderdate").alias("run_id")))
 
 
+def _order_registry(spark, sf):
+    """A registry table derived from orders: run = order year, model = priority,
+    modified_at = the run's latest order date for that priority."""
+    o = _t(spark, sf, "orders")
+    return (o.groupBy(F.year("o_orderdate").cast("string").alias("run_id"), F.col("o_orderpriority").alias("model"))
+            .agg(F.max("o_orderdate").alias("modified_at"))
+            .withColumn("path", F.concat(F.lit("runs/"), F.col("run_id"), F.lit("/"), F.col("model"))))
+
+
+def q_resolve_model(spark, sf):
+    return registry.resolve_model(_order_registry(spark, sf), "1-URGENT", "1990", ["2003", "1998", "1997"])
+
+
+def q_resolve_latest(spark, sf):
+    return registry.resolve_model(_order_registry(spark, sf), "URGENT", "1990", ["1991"])
+
+
 _TREE_FEATURES = ["o_custkey", "month", "priority"]
 
 
@@ -399,6 +417,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_run": q_best_run,
     "list_runs": q_list_runs,
     "preview": q_preview,
+    "resolve_model": q_resolve_model,
+    "resolve_latest": q_resolve_latest,
     "tree_importance": q_tree_importance,
     "forest_scores": q_forest_scores,
     "tune_tree": q_tune_tree,

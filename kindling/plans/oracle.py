@@ -26,6 +26,13 @@ r as (select model, avg(abs(y - yh)) mae, sqrt(avg((y - yh) * (y - yh))) rmse,
       from p group by model)
 """
 
+_REGISTRY = """
+with reg as (select cast(year(o_orderdate) as varchar) run_id, o_orderpriority model,
+                    max(o_orderdate) modified_at,
+                    'runs/' || cast(year(o_orderdate) as varchar) || '/' || o_orderpriority path
+             from orders group by 1, 2, 4)
+"""
+
 _RUNS = """
 with r as (select cast(year(o_orderdate) as integer) run_id, o_orderpriority model,
                   round(avg(abs(o_totalprice - 250000)), 4) mae
@@ -179,6 +186,12 @@ select 'linear' model, split, count(*) n,
                         "row_number() over (partition by model order by mae, run_id desc) rn from r) where rn = 1",
     "list_runs": "select distinct cast(year(o_orderdate) as varchar) run_id from orders",
     "preview": "select * from orders order by o_orderkey limit 5",
+    "resolve_model": _REGISTRY + "select run_id, model, path, 'priority' rule from reg "
+                                 "where model = '1-URGENT' and run_id in ('1990', '2003', '1998', '1997') "
+                                 "order by case run_id when '1990' then 0 when '2003' then 1 when '1998' then 2 "
+                                 "else 3 end limit 1",
+    "resolve_latest": _REGISTRY + "select run_id, model, path, 'most_recent' rule from reg "
+                                  "where model like '%URGENT%' order by modified_at desc, run_id desc limit 1",
 }
 
 

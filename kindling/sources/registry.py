@@ -40,7 +40,8 @@ def resolve_model(registry: DataFrame, model: str, run_id: str | None, fallbacks
     """One row (run_id, model, path, rule) for ``model``.
 
     The selected run first, then the fallback runs in the given order; failing
-    those, the most recently modified entry whose model name contains ``model``.
+    those, the most recently modified entry whose model name contains ``model``
+    (the later run id wins a tie).
     """
     order = [r for r in [run_id, *fallbacks] if r is not None]
     prio = F.array_position(F.array(*[F.lit(str(r)) for r in order]), F.col("run_id").cast("string")) if order \
@@ -48,7 +49,7 @@ def resolve_model(registry: DataFrame, model: str, run_id: str | None, fallbacks
     exact = registry.where((F.col("model") == model) & (prio > 0))
     by_prio = exact.agg(F.min_by(F.struct("run_id", "model", "path"), prio).alias("hit"))
     latest = registry.where(F.col("model").contains(model)).agg(
-        F.max_by(F.struct("run_id", "model", "path"), F.col("modified_at")).alias("hit"))
+        F.max_by(F.struct("run_id", "model", "path"), F.struct("modified_at", "run_id")).alias("hit"))
     picked = by_prio.select("hit", F.lit("priority").alias("rule"), F.lit(0).alias("o")).unionByName(
         latest.select("hit", F.lit("most_recent").alias("rule"), F.lit(1).alias("o")))
     return (picked.where(F.col("hit").isNotNull()).orderBy("o").limit(1)
