@@ -288,6 +288,15 @@ def _run_scores(spark, sf):
     return s.select("run_id", "model", F.round("mae", 4).alias("mae"))
 
 
+def q_default_model(spark, sf):
+    """Per year: the default among priority 'models' (flagged when any order tops 499,000)."""
+    specs = (_t(spark, sf, "orders")
+             .groupBy(F.year("o_orderdate").alias("run_id"), F.col("o_orderpriority").alias("model"))
+             .agg(F.max(F.col("o_totalprice") > 499000).alias("is_default"))
+             .withColumn("position", F.substring("model", 1, 1).cast("int") - 1))
+    return metrics.default_model(specs, ["run_id"])
+
+
 def q_compare_runs(spark, sf):
     c = metrics.compare_runs(_run_scores(spark, sf), "mae")
     return c.select("run_id", "model", "mae", "rk", F.round("d", 4).alias("d"))
@@ -413,6 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prediction_bounds": q_prediction_bounds,
     "predictions_vs_actual": q_predictions_vs_actual,
     "residuals": q_residuals,
+    "default_model": q_default_model,
     "compare_runs": q_compare_runs,
     "best_run": q_best_run,
     "list_runs": q_list_runs,

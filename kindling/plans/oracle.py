@@ -179,6 +179,17 @@ select 'linear' model, split, count(*) n,
                                      "as integer) predicted_bin, round(lo, 4) lo, round(hi, 4) hi, count(*) n "
                                      "from p join b using (model) group by all",
     "residuals": _PRED + "select o_orderkey, round(y - yh, 4) residual from p where model = 'mean'",
+    "default_model": """
+with s as (select cast(year(o_orderdate) as integer) run_id, o_orderpriority model,
+                  bool_or(o_totalprice > 499000) is_default,
+                  cast(substr(o_orderpriority, 1, 1) as integer) - 1 position
+           from orders group by 1, 2)
+select r.run_id,
+       coalesce((select model from s s2 where s2.run_id = r.run_id and s2.is_default
+                 order by position desc limit 1),
+                (select model from s s2 where s2.run_id = r.run_id order by position limit 1)) default_model
+from (select distinct run_id from s) r
+""",
     "compare_runs": _RUNS + "select run_id, model, mae, "
                             "cast(rank() over (partition by run_id order by mae, model) as integer) rk, "
                             "round(mae - lag(mae) over (partition by model order by run_id), 4) d from r",
