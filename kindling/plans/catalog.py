@@ -67,6 +67,26 @@ def q_filter_outliers(spark, sf):
     return ev.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("v"))
 
 
+def _lineitem_detections(spark, sf):
+    """A detection-shaped view derived from lineitem (for the fixed cleaning preset)."""
+    li = _t(spark, sf, "lineitem")
+    return li.select(
+        (F.lit(-8.0) - F.col("l_discount") * 400).alias("latitude"),      # -8 .. -48
+        (F.lit(110.0) + F.col("l_quantity")).alias("longitude"),          # 111 .. 160
+        (F.col("l_extendedprice") / 200).alias("brightness"),
+        (F.lit(1.0) + F.col("l_tax") * 10).alias("scan"),
+        (F.lit(1.0) + F.col("l_discount") * 10).alias("track"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("acq_date"))
+
+
+def q_clean_detections(spark, sf):
+    c = clean.clean_detections(_lineitem_detections(spark, sf))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("brightness"), 4).alias("b"),
+                  F.min("latitude").alias("lat_lo"), F.max("latitude").alias("lat_hi"),
+                  F.min("longitude").alias("lon_lo"), F.max("longitude").alias("lon_hi"),
+                  F.date_format(F.min("acq_date"), "yyyy-MM-dd").alias("first_day"))
+
+
 def q_create_dataset(spark, sf):
     li = _t(spark, sf, "lineitem")
     ds = clean.create_dataset(
@@ -390,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_audit": q_null_audit,
     "filter_region": q_filter_region,
     "filter_outliers": q_filter_outliers,
+    "clean_detections": q_clean_detections,
     "create_dataset": q_create_dataset,
     "ratio_diff": q_ratio_diff,
     "log_transform": q_log_transform,

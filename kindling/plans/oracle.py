@@ -82,6 +82,18 @@ ORACLE_SQL: dict[str, str] = {
     "filter_outliers": "with m as (select avg(value) mu, stddev_samp(value) sd from events) "
                        "select count(*) n, round(sum(value), 4) v from events, m "
                        "where value > mu - 3 * sd and value < mu + 3 * sd",
+    "clean_detections": """
+with d as (select -8.0 - l_discount * 400 latitude, 110.0 + l_quantity longitude, l_extendedprice / 200 brightness,
+                  1.0 + l_tax * 10 scan, 1.0 + l_discount * 10 track, cast(l_shipdate as date) acq_date
+           from lineitem),
+r as (select * from d where latitude is not null and longitude is not null and brightness is not null
+        and scan is not null and track is not null
+        and latitude between -44 and -10 and longitude between 112 and 154),
+m as (select avg(brightness) mu, stddev_samp(brightness) sd from r)
+select count(*) n, round(avg(brightness), 4) b, min(latitude) lat_lo, max(latitude) lat_hi,
+       min(longitude) lon_lo, max(longitude) lon_hi, strftime(min(acq_date), '%Y-%m-%d') first_day
+from r, m where brightness > mu - 3 * sd and brightness < mu + 3 * sd
+""",
     "create_dataset": "with r as (select l_returnflag, l_extendedprice, cast(l_shipdate as date) l_shipdate "
                       "from lineitem where l_quantity is not null and l_discount is not null "
                       "and l_quantity between 5 and 45 and l_discount between 0.01 and 0.09), "
