@@ -11,7 +11,8 @@ PLAN_QUERIES = ["drop_missing", "null_audit", "filter_region", "filter_outliers"
                 "log_transform", "minmax", "zscore", "date_from_doy", "intensity_band", "range_check", "range_flags",
                 "filter_dates", "column_stats", "correlations", "lower_triangle", "top_correlates", "histogram",
                 "histogram_events", "numeric_histograms", "density_curve", "scatter_density", "compare_runs",
-                "best_run", "list_runs", "exact_split"]
+                "best_run", "list_runs", "exact_split", "clean_detections", "date_from_text", "preview",
+                "resolve_model", "resolve_latest", "default_model", "describe", "daily_summary"]
 
 
 @pytest.fixture(autouse=True)
@@ -36,6 +37,7 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
     ("filter_region", ["GreaterThanOrEqual(l_quantity,10.0)", "LessThanOrEqual(l_discount,0.05)"]),
     ("create_dataset", ["GreaterThanOrEqual(l_quantity,5.0)", "LessThanOrEqual(l_discount,0.09)",
                         "IsNotNull(l_quantity)"]),
+    ("filter_dates", ["IsNotNull(l_shipdate)"]),
 ])
 def test_filters_reach_the_scan(spark, name, pushed):
     plan = _plan(queries()[name](spark, SF_SMALL))
