@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import num, safe_div, sample_std
-from kindling.operators.selection import exact_quantiles
+from kindling.operators.selection import exact_quantile_values, exact_quantiles
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
 
@@ -52,17 +52,16 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
     """
     stats = column_stats(df, cols)
     if exact:
-        # per column: a stats job, a few bounded histogram jobs, one small ranking
-        parts = [exact_quantiles(df, num(c), [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
-                 .select(F.lit(c).alias("column"), "p25", "p50", "p75") for c in cols]
-        q = parts[0]
-        for p in parts[1:]:
-            q = q.unionByName(p)
-    else:
-        long_ = melt(df, cols)
-        pq = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
-        q = long_.groupBy("column").agg(pq.alias("p")).select(
-            "column", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"))
+        # per column: a stats job, a few bounded histogram jobs, one small ranking;
+        # the three numbers are attached by a literal lookup (no join)
+        vals = {c: exact_quantile_values(df, num(c), [0.25, 0.5, 0.75]) for c in cols}
+        pick = [F.create_map(*[e for c in cols for e in (F.lit(c), F.lit(vals[c][i]).cast("double"))])[F.col("column")]
+                .alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+        return stats.select("column", "count", "mean", "std", "min", *pick, "max")
+    long_ = melt(df, cols)
+    pq = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
+    q = long_.groupBy("column").agg(pq.alias("p")).select(
+        "column", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"))
     # both sides hold one row per column: the join is over tiny inputs
     return stats.join(F.broadcast(q), on="column", how="left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

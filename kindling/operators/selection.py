@@ -239,6 +239,27 @@ def select_ranks_local(
     return n, out
 
 
+def exact_quantile_values(df: DataFrame, col: str | Column, qs: Sequence[float], **select_kw) -> list:
+    """Ungrouped exact quantiles as numbers (None for an empty column), pandas'
+    linear interpolation: x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h),
+    h = (n-1)q.  The interpolation runs on the two selected values only."""
+    local = {}
+    for i, q in enumerate(qs):
+        local[f"{i}__lo"] = (lambda n, q=q: math.floor((n - 1) * float(q)) + 1)
+        local[f"{i}__hi"] = (lambda n, q=q: math.ceil((n - 1) * float(q)) + 1)
+    n, got = select_ranks_local(df, col, local, **select_kw)
+    out = []
+    for i, q in enumerate(qs):
+        lo, hi = got[f"{i}__lo"], got[f"{i}__hi"]
+        if lo is None:
+            out.append(None)
+            continue
+        h = (n - 1) * float(q)
+        a, b = float(lo["value"]), float(hi["value"])
+        out.append(a + (b - a) * (h - math.floor(h)))
+    return out
+
+
 def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
                     **select_kw) -> DataFrame:
@@ -253,22 +274,9 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
         targets[f"{name}__lo"] = (lambda n, q=q: F.floor((n - 1) * F.lit(float(q))) + 1)
         targets[f"{name}__hi"] = (lambda n, q=q: F.ceil((n - 1) * F.lit(float(q))) + 1)
     if not group_cols:
-        local = {}
-        for name, q in zip(names, qs):
-            local[f"{name}__lo"] = (lambda n, q=q: math.floor((n - 1) * float(q)) + 1)
-            local[f"{name}__hi"] = (lambda n, q=q: math.ceil((n - 1) * float(q)) + 1)
-        n, got = select_ranks_local(df, col, local, **select_kw)
-        vals = []
-        for name, q in zip(names, qs):
-            lo, hi = got[f"{name}__lo"], got[f"{name}__hi"]
-            if lo is None:
-                vals.append(F.lit(None).cast("double").alias(name))
-                continue
-            h = (n - 1) * float(q)
-            vals.append((F.lit(lo["value"]).cast("double")
-                         + (F.lit(hi["value"]).cast("double") - F.lit(lo["value"]).cast("double"))
-                         * F.lit(h - math.floor(h))).alias(name))
-        return df.sparkSession.range(1).select(*vals)
+        vals = exact_quantile_values(df, col, qs, **select_kw)
+        return df.sparkSession.range(1).select(
+            *[F.lit(v).cast("double").alias(name) for name, v in zip(names, vals)])
     picked = select_ranks(df, col, targets, group_cols=group_cols, **select_kw)
     aggs = []
     for name, q in zip(names, qs):
