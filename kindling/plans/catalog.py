@@ -216,7 +216,7 @@ def q_scatter_density(spark, sf):
 def q_daily_summary(spark, sf):
     d = explore.daily_summary(_t(spark, sf, "events"), "ts", "value")
     return d.select(F.date_format("d", "yyyy-MM-dd").alias("d"), "n", F.round("a", 4).alias("a"),
-                    F.round("m", 4).alias("m"))
+                    F.round("m", 4).alias("m"), "mx")
 
 
 # --------------------------------------------------------------------- M ops

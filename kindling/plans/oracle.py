@@ -160,7 +160,7 @@ select cast(i as integer) i, round(x, 8) x, round(sum(kern) / any_value(n), 10)
                        "from lineitem, m where l_quantity is not null and l_extendedprice is not null "
                        "group by 1, 2",
     "daily_summary": "select strftime(cast(ts as date), '%Y-%m-%d') d, count(*) n, round(avg(value), 4) a, "
-                     "round(quantile_cont(value, 0.5), 4) m from events group by 1",
+                     "round(quantile_cont(value, 0.5), 4) m, max(value) mx from events group by 1",
     "exact_split": f"select count(*) n, cast(sum(o_orderkey) as bigint) k from ({_SPLIT}) where rn <= ceil(0.25 * c)",
     "linear_fit": "select 'o_custkey' feature, round(regr_slope(o_totalprice, o_custkey), 6) coefficient from orders "
                   "union all select 'intercept', round(regr_intercept(o_totalprice, o_custkey), 4) from orders",
