@@ -48,7 +48,9 @@ def cmd_score(a) -> int:
     spark = _session()
     model = load_model(a.model)
     if a.stream:
-        schema = DETECTION_SCHEMA if a.format == "csv" else spark.read.format(a.format).load(a.input).schema
+        from kindling.sources.readers import header_schema
+        schema = header_schema(spark, a.input) if a.format == "csv" else \
+            spark.read.format(a.format).load(a.input).schema
         scored = score_frame(read_stream(spark, a.input, schema, a.format), model, FEATURES, FORM_RANGES)
         q = start_scoring(scored, a.out, a.checkpoint, available_now=a.once)
         q.awaitTermination()

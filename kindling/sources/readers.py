@@ -67,6 +67,15 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
     return nullify_nan(df) if nan_to_null else df
 
 
+def header_schema(spark: SparkSession, path: str, declared: T.StructType = DETECTION_SCHEMA) -> T.StructType:
+    """Schema for CSV files under ``path`` in their header's column order, with
+    the declared types bound by name (other columns as text).  Used to start a
+    CSV stream, which needs its schema before any micro-batch is read."""
+    cols = spark.read.option("header", True).csv(path).columns   # header only, no data pass
+    types = {f.name: f.dataType for f in declared.fields}
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in cols])
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A Parquet table ``<root>/<name>.parquet``."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")

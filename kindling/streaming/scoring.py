@@ -59,14 +59,19 @@ def score_points(spark: SparkSession, model: PipelineModel, points: Sequence[Map
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None, pattern: str | None = None,
                 recursive: bool = False) -> DataFrame:
-    """A file stream over the folder ``path`` (new files become micro-batches)."""
+    """A file stream over the folder ``path`` (new files become micro-batches).
+
+    A stream needs its schema up front; for CSV the header of every file is
+    checked against it (``enforceSchema=false``), so a file with other or
+    reordered columns fails loudly instead of being bound by position.
+    """
     r = spark.readStream.format(fmt).schema(schema)
     if recursive:
         r = r.option("recursiveFileLookup", True)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     if fmt == "csv":
-        r = r.option("header", True)
+        r = r.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)

@@ -29,4 +29,9 @@ def test_cli_workflow_runs_and_score(spark, tmp_path, capsys):
     assert sum(counts.values()) == 1500
     assert main(["score", "--model", model, "--input", csv, "--out", str(tmp_path / "streamed"), "--stream",
                  "--checkpoint", str(tmp_path / "ck"), "--once"]) == 0
-    assert spark.read.parquet(str(tmp_path / "streamed")).count() == 1500
+    streamed = spark.read.parquet(str(tmp_path / "streamed"))
+    batch = spark.read.parquet(str(tmp_path / "scored"))
+    key = ["latitude", "longitude", "scan", "track", "bright_t31", "frp", "confidence"]
+    s_rows = sorted((tuple(r[k] for k in key), r.prediction) for r in streamed.collect())
+    b_rows = sorted((tuple(r[k] for k in key), r.prediction) for r in batch.collect())
+    assert len(s_rows) == 1500 and s_rows == b_rows      # stream binds columns by name, like batch
