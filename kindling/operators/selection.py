@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kindling.plans.materialize import BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 BUCKETS = 4096
-FINAL_MAX = 1_000_000
+FINAL_MAX = 100_000  # rows ranked in one task; smaller = one more cheap histogram level
 MAX_LEVELS = 48
 
 _G0 = "__grp"
