@@ -162,3 +162,19 @@ def test_workflow_tunes_tree_without_leaf_limit(spark, tmp_path, monkeypatch):
     assert sorted(r.max_leaf_nodes for r in tuning) == [4, 64] and sum(r.is_best for r in tuning) == 1
     chosen = [r.max_leaf_nodes for r in tuning if r.is_best][0]
     assert res["specs"][0].hyperparameters["max_leaf_nodes"] == chosen
+
+
+def test_csv_stream_binds_by_header_and_rejects_mismatch(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from kindling.sources.readers import header_schema
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.csv").write_text("frp,latitude\n12.5,-20.0\n")
+    schema = header_schema(spark, str(good))
+    assert [(f.name, f.dataType.simpleString()) for f in schema.fields] == [("frp", "double"), ("latitude", "double")]
+    (good / "b.csv").write_text("latitude,frp\n-21.0,13.5\n")   # same columns, other order
+    q = start_scoring(read_stream(spark, str(good), schema, fmt="csv"), str(tmp_path / "o"), str(tmp_path / "ck"),
+                      available_now=True)
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination()
