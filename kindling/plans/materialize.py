@@ -38,7 +38,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> tuple[DataFrame,
     """Round-robin ``df`` over at least ``min_partitions`` (default: the session's
     parallelism) when it has fewer, e.g. a one-row-group file feeding an
     iterative ML fit.  Inputs that are already split (any large table) are
-    returned untouched, so no shuffle is added at scale.  Returns (df, changed)."""
+    returned untouched, so no shuffle is added at scale.  Returns (df, changed).
+
+    Meant for scan/filter inputs (the library passes training splits read from
+    files): counting partitions plans the input's RDD, which under AQE would
+    run any shuffle stages it contains ahead of time."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df, False
