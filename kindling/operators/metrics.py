@@ -16,6 +16,7 @@ from kindling.functions.columns import safe_div
 from kindling.plans.materialize import broadcast_if_small, materialize
 
 METRICS = ("mae", "rmse", "r2", "explained_variance")
+LOOKUP_MAX = 1000  # groups attached by literal lookup instead of a join
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -113,10 +114,23 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
 
     if g:
         # One bounds row per group (a handful of models).  Joining on so few keys
-        # by shuffle would send each model's rows to one task, so the bounds are
-        # written, counted, and broadcast when that count is small.
-        bounds = materialize(bounds, "pva-bounds")
-        joined = pred.join(broadcast_if_small(bounds, bounds.count()), on=g)
+        # by shuffle would send each model's rows to one task.  Up to
+        # LOOKUP_MAX groups the bounds are attached by a literal map lookup (no
+        # join); beyond that they are written, counted and broadcast when small.
+        few = bounds.limit(LOOKUP_MAX + 1).collect()
+        if len(few) <= LOOKUP_MAX:
+            key = F.struct(*[F.col(c) for c in g])
+            key_type = pred.select(key.alias("k")).schema["k"].dataType
+
+            def lit_key(r):
+                return F.struct(*[F.lit(r[c]).alias(c) for c in g]).cast(key_type)
+
+            lo_map = F.create_map(*[e for r in few for e in (lit_key(r), F.lit(r["lo"]))])
+            hi_map = F.create_map(*[e for r in few for e in (lit_key(r), F.lit(r["hi"]))])
+            joined = pred.withColumns({"lo": lo_map[key].cast("double"), "hi": hi_map[key].cast("double")})
+        else:
+            bounds = materialize(bounds, "pva-bounds")
+            joined = pred.join(broadcast_if_small(bounds, bounds.count()), on=g)
     else:
         lo, hi = (bounds.select(c).scalar() for c in ("lo", "hi"))
         joined = pred.withColumns({"lo": lo, "hi": hi})

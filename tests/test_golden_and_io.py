@@ -118,3 +118,13 @@ def test_predictions_vs_actual_and_summaries(spark):
                                 ["model_comparison", "residuals", "no_such_chart"])
     assert set(out) == {"model_comparison", "residuals"}
     assert out["residuals"].agg(F.sum("n")).first()[0] == 100     # binned, not one row per test row
+
+
+def test_predictions_vs_actual_many_groups_fallback(spark, monkeypatch):
+    """Above the lookup limit the bounds are written, counted and joined."""
+    import kindling.operators.metrics as M
+    monkeypatch.setattr(M, "LOOKUP_MAX", 1)
+    p = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 2.5), ("b", 5.0, 5.0)],
+                              "model string, label double, prediction double")
+    got = {(r.model, r.actual_bin, r.predicted_bin): r.n for r in M.predictions_vs_actual(p, bins=2).collect()}
+    assert got == {("a", 0, 1): 1, ("a", 1, 1): 1, ("b", 0, 0): 1}   # a: bounds [1, 3], b: constant

@@ -79,7 +79,8 @@ def test_scoring_scans_test_rows_once(spark):
     assert plan.count("FileScan parquet") == 1
 
 
-def test_few_group_joins_are_broadcast(spark):
-    """Joins keyed by a handful of groups (models) must not shuffle the big side onto few tasks."""
+def test_few_group_bounds_are_not_shuffle_joined(spark):
+    """Per-model bounds (a handful of groups) must not be joined by shuffle, which
+    would send each model's rows to one task: they are attached by lookup."""
     plan = _plan(queries()["predictions_vs_actual"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "NestedLoopJoin" not in plan
