@@ -11,6 +11,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -201,35 +202,45 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         raise ValueError("no rows left after cleaning; check the input columns and filters") from e
     dropped_missing = clean.count() - feats.count() if opts.count_dropped else None
 
-    eda_paths = {}
-    if opts.eda:
+    # The EDA tables only read the written features: they run in the background
+    # while the split, fits and scoring proceed (same work, better utilisation).
+    pool = ThreadPoolExecutor(max_workers=1)
+
+    def _eda() -> dict:
+        if not opts.eda:
+            return {}
         tables = eda_tables(feats.drop(*key_cols), opts.target)
-        eda_paths = run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
-                                      for name, table in tables.items()})
-
-    train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
-    run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
-                      "test": lambda: write_run(test, f"{out}/test", run_id)})
-    train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")
-    test = spark.read.parquet(f"{out}/test").where(F.col("run_id") == run_id).drop("run_id")
-
-    specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
-    fitted = fit_models(train, specs, opts.features, opts.target)
-    model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
-                                    for s, m in fitted})
-
-    scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
-    write_run(evaluate_performance(scores), f"{out}/scores", run_id)
-    # everything after this reads the written scores (a few rows), never re-scores
-    scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
-    flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
-    default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
-    preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
-        "is_default", F.lit(True))
-    summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
-    summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
-                                      for n, t in summaries.items()})
-    write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
+        return run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
+                                 for name, table in tables.items()})
+
+    eda_future = pool.submit(_eda)
+    try:
+        train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
+        run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
+                          "test": lambda: write_run(test, f"{out}/test", run_id)})
+        train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")
+        test = spark.read.parquet(f"{out}/test").where(F.col("run_id") == run_id).drop("run_id")
+
+        specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
+        fitted = fit_models(train, specs, opts.features, opts.target)
+        model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
+                                        for s, m in fitted})  # noqa: E501
+
+        scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
+        write_run(evaluate_performance(scores), f"{out}/scores", run_id)
+        # everything after this reads the written scores (a few rows), never re-scores
+        scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
+        flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
+        default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
+        preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
+            "is_default", F.lit(True))
+        summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
+        summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
+                                          for n, t in summaries.items()})
+        write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
+    finally:
+        pool.shutdown(wait=True)   # never leave EDA jobs running past a failure
+    eda_paths = eda_future.result()
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
             "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,
             "summaries": summary_paths, "dropped_missing_features": dropped_missing, "tuning": tuning_path,
