@@ -237,7 +237,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
         summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
                                           for n, t in summaries.items()})
-        write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}")
+        write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}", mode="overwrite")
     finally:
         pool.shutdown(wait=True)   # never leave EDA jobs running past a failure
     eda_paths = eda_future.result()

@@ -178,3 +178,13 @@ def test_csv_stream_binds_by_header_and_rejects_mismatch(spark, tmp_path):
                       available_now=True)
     with pytest.raises(StreamingQueryException):
         q.awaitTermination()
+
+
+def test_workflow_rerun_same_run_id(spark, tmp_path):
+    df = synthetic_detections(spark, 600, seed=12).withColumn("brightness", 300 + F.col("frp"))
+    opts = WorkflowOptions(key_cols=["id"], eda=False, summaries=(),
+                           specs=[ModelSpec("linear_regression", "LinearRegression")])
+    first = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=5)["scores"].collect()
+    again = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=5)["scores"].collect()
+    assert first == again
+    assert spark.read.parquet(str(tmp_path / "run" / "scores")).count() == 1   # replaced, not appended
