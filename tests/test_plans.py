@@ -84,3 +84,17 @@ def test_few_group_bounds_are_not_shuffle_joined(spark):
     would send each model's rows to one task: they are attached by lookup."""
     plan = _plan(queries()["predictions_vs_actual"](spark, SF_SMALL))
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "NestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", PLAN_QUERIES)
+def test_no_python_udfs(spark, name):
+    plan = _plan(queries()[name](spark, SF_SMALL))
+    assert "EvalPython" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("name", ["filter_region", "ratio_diff", "histogram", "describe", "exact_split"])
+def test_whole_stage_codegen_in_final_plan(spark, name):
+    df = queries()[name](spark, SF_SMALL)
+    df.collect()                                   # AQE's final plan exists after execution
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "*(" in final or "WholeStageCodegen" in final, final
