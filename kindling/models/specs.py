@@ -125,11 +125,13 @@ def fit_models(train: DataFrame, specs: Sequence[ModelSpec], features: Sequence[
 
     A training input with fewer partitions than the session's parallelism
     (a small table) is spread, persisted for the several fits, and the fits are
-    submitted concurrently.  A large input is used as is and, by default,
+    submitted concurrently — when some spec trains iteratively (trees); the
+    normal-equation linear fit reads its input once, so it is never spread.  A large input is used as is and, by default,
     fitted one model at a time: each fit already uses the whole cluster, and
     every tree fit caches its own binned copy of the rows.
     """
-    data, small = spread(train.select(*features, label))
+    iterative = any(s.type != "LinearRegression" for s in specs)   # normal equations: one pass
+    data, small = spread(train.select(*features, label)) if iterative else (train.select(*features, label), False)
     if small:
         data = data.persist()
     workers = parallelism if parallelism is not None else (3 if small else 1)
