@@ -223,6 +223,7 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 def daily_summary(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Per DATE of ``date_col``: rows, mean, exact median and max of ``value_col``."""
     d = df.select(F.col(date_col).cast("date").alias("d"), num(value_col).alias("v"))
-    agg = d.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("a"), F.max("v").alias("mx"))
-    med = exact_quantiles(d, "v", [0.5], group_cols=["d"], names=["m"]).withColumnRenamed("d", "md")
-    return agg.join(med, agg["d"].eqNullSafe(med["md"]), how="left").drop("md")
+    # count/mean/max ride along in the selection's own per-day stats pass
+    out = exact_quantiles(d, "v", [0.5], group_cols=["d"], names=["m"],
+                          extra={"rows": lambda v: F.count(F.lit(1)), "a": F.avg, "mx": F.max})
+    return out.select("d", F.col("rows").alias("n"), "a", "m", "mx")

@@ -77,12 +77,26 @@ def select_ranks(
     whose rank is within 1..n, with columns ``group_cols``, ``target``, ``n``,
     ``value`` and the ``tiebreak`` columns of the selected row.
     """
+    return _select_ranks(df, value, targets, group_cols, tiebreak, buckets, final_max, broadcast_max)[0]
+
+
+def _select_ranks(df, value, targets, group_cols=(), tiebreak=(), buckets=BUCKETS, final_max=FINAL_MAX,
+                  broadcast_max=BROADCAST_MAX_ROWS, extra=None) -> tuple[DataFrame, DataFrame]:
+    """``select_ranks`` plus its per-group stats table (written, one row per group).
+
+    ``extra`` maps names to aggregates of the value column over all of the
+    group's rows (NULL values included), computed in the same stats pass.
+    """
     vcol = F.col(value) if isinstance(value, str) else value
     gcols = list(group_cols) or [_G0]
-    base = df.select(*([F.col(c) for c in group_cols] or [F.lit(0).alias(_G0)]),
-                     vcol.alias("_v"), *[F.col(c) for c in tiebreak]).where(F.col("_v").isNotNull())
+    full = df.select(*([F.col(c) for c in group_cols] or [F.lit(0).alias(_G0)]),
+                     vcol.alias("_v"), *[F.col(c) for c in tiebreak])
+    base = full.where(F.col("_v").isNotNull())
 
-    stats = base.groupBy(*gcols).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    extra = extra or {}
+    stats = materialize(full.groupBy(*gcols).agg(
+        F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+        *[fn(F.col("_v")).alias(name) for name, fn in extra.items()]), "rank-stats")
     tstruct = F.array(*[F.struct(F.lit(name).alias("target"), fn(F.col("n")).cast("long").alias("r"))
                         for name, fn in targets.items()])
     state = (stats.select(*gcols, "n", "lo", "hi", F.explode(tstruct).alias("t"))
@@ -138,7 +152,10 @@ def select_ranks(
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     out = out.withColumnRenamed("_v", "value")
-    return out.drop(_G0) if not group_cols else out
+    stats_out = stats.select(*gcols, "n", *extra.keys())
+    if not group_cols:
+        return out.drop(_G0), stats_out.drop(_G0)
+    return out, stats_out
 
 
 def _range_histograms(base: DataFrame, ranges: list[tuple], buckets: int) -> dict[int, list]:
@@ -262,7 +279,7 @@ def exact_quantile_values(df: DataFrame, col: str | Column, qs: Sequence[float],
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    **select_kw) -> DataFrame:
+                    extra: dict | None = None, **select_kw) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact, one row per group.
 
     With h = (n-1)q, the result is x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)
@@ -275,13 +292,29 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
         targets[f"{name}__hi"] = (lambda n, q=q: F.ceil((n - 1) * F.lit(float(q))) + 1)
     if not group_cols:
         vals = exact_quantile_values(df, col, qs, **select_kw)
-        return df.sparkSession.range(1).select(
-            *[F.lit(v).cast("double").alias(name) for name, v in zip(names, vals)])
-    picked = select_ranks(df, col, targets, group_cols=group_cols, **select_kw)
+        cols = [F.lit(v).cast("double").alias(name) for name, v in zip(names, vals)]
+        if extra:
+            c = F.col(col) if isinstance(col, str) else col
+            row = df.agg(*[fn(c).alias(n) for n, fn in extra.items()]).first()
+            cols += [F.lit(row[n]).alias(n) for n in extra]
+        return df.sparkSession.range(1).select(*cols)
+    if extra:
+        picked, stats = _select_ranks(df, col, targets, group_cols=group_cols, extra=extra, **select_kw)
+    else:
+        picked = select_ranks(df, col, targets, group_cols=group_cols, **select_kw)
     aggs = []
     for name, q in zip(names, qs):
         lo = F.max(F.when(F.col("target") == f"{name}__lo", F.col("value")))
         hi = F.max(F.when(F.col("target") == f"{name}__hi", F.col("value")))
         h = (F.max("n") - 1) * F.lit(float(q))
         aggs.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return picked.groupBy(*group_cols).agg(*aggs)
+    q = picked.groupBy(*group_cols).agg(*aggs)
+    if not extra:
+        return q
+    # one row per group from the stats pass (an all-NULL group keeps its row)
+    qn = q.select(*[F.col(g).alias(f"__q_{g}") for g in group_cols], *names)
+    cond = None
+    for g in group_cols:
+        e = stats[g].eqNullSafe(qn[f"__q_{g}"])
+        cond = e if cond is None else cond & e
+    return stats.join(qn, cond, "left").drop(*[f"__q_{g}" for g in group_cols])

@@ -111,10 +111,12 @@ def test_scatter_density_and_daily_summary(spark, sample):
     s = explore.scatter_density(df, "x", "y", 10)
     assert s.agg(F.sum("n")).first()[0] == 400
     ev = spark.createDataFrame([("2024-01-01 01:00:00", 1.0), ("2024-01-01 05:00:00", 3.0),
-                                ("2024-01-01 23:00:00", 10.0), ("2024-01-02 00:00:00", 4.0), (None, 2.0)],
+                                ("2024-01-01 23:00:00", 10.0), ("2024-01-02 00:00:00", 4.0), (None, 2.0),
+                                ("2024-01-03 08:00:00", None), ("2024-01-03 09:00:00", None)],
                                "ts string, v double").withColumn("ts", F.to_timestamp("ts"))
     got = {str(r.d): (r.n, r.a, r.m, r.mx) for r in explore.daily_summary(ev, "ts", "v").collect()}
-    assert got == {"2024-01-01": (3, 14 / 3, 3.0, 10.0), "2024-01-02": (1, 4.0, 4.0, 4.0), "None": (1, 2.0, 2.0, 2.0)}
+    assert got == {"2024-01-01": (3, 14 / 3, 3.0, 10.0), "2024-01-02": (1, 4.0, 4.0, 4.0), "None": (1, 2.0, 2.0, 2.0),
+                   "2024-01-03": (2, None, None, None)}
 
 
 def test_scatter_many_equals_single(spark, sample):
