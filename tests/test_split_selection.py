@@ -135,3 +135,13 @@ def test_split_keeps_rows_with_null_key(spark):
     train, test = train_test_split(df, "k", 0.25, 1)
     assert train.count() + test.count() == 200 and test.count() == 50
     assert train.where("k is null").count() + test.where("k is null").count() == 1
+
+
+def test_exact_quantiles_extra_aggregates(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (None, "a"), (10.0, "b"), (None, "c")], "v double, g string")
+    extra = {"rows": lambda v: F.count(F.lit(1)), "mx": F.max}
+    one = exact_quantiles(df, "v", [0.5], names=["m"], extra=extra).first()
+    assert (one.m, one.rows, one.mx) == (3.0, 5, 10.0)
+    got = {r.g: (r.m, r.rows, r.mx) for r in
+           exact_quantiles(df, "v", [0.5], group_cols=["g"], names=["m"], extra=extra).collect()}
+    assert got == {"a": (2.0, 3, 3.0), "b": (10.0, 1, 10.0), "c": (None, 1, None)}
