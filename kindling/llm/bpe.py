@@ -25,48 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import documents_of, text_chunks
+from kindling.llm.common import HashTable, documents_of, table, text_chunks
 
 #: Unicode White_Space, at which no pre-token continues; Python's split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Beyond these, tables of characters differ between Unicode versions, and marks combine.
 _WIDE = re.compile("[^\x00-ɏ]")
-_BASE, _WORDS = 512, 300_000
-
-
-class _Table:
-    """Hash table from non-negative longs to ints, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length() + 1))
-        self.mask = (1 << (64 - int(self.shift))) - 1
-        self.keys = np.full(self.mask + 1, -1, np.int64)
-        self.values = np.full(self.mask + 1, -1, np.int32)
-        slot, todo = self._slots(keys), np.arange(len(keys))
-        while len(todo):
-            free = todo[self.keys[slot[todo]] < 0]
-            self.keys[slot[free]] = keys[free]  # of several that want a slot the last gets it
-            self.values[slot[free]] = values[free]
-            todo = todo[self.keys[slot[todo]] != keys[todo]]
-            slot[todo] = (slot[todo] + 1) & self.mask
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, -1 where there is none."""
-        slot = self._slots(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], -1)
-        todo = np.flatnonzero((found != keys) & (found >= 0))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & self.mask
-            found = self.keys[slot[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-        return out
+_BASE, _WORDS = 512, 120_000
 
 
 class WordBpe:
@@ -94,7 +60,7 @@ class WordBpe:
             t = vocab[a + b]
             self.left[t], self.right[t] = vocab[a], vocab[b]
         made = np.flatnonzero(self.left >= 0)
-        self.pairs = _Table(self.left[made] << 17 | self.right[made], made)
+        self.pairs = HashTable(self.left[made] << 17 | self.right[made], made)
         self._symbols(vocab)
         self._reversed_trie(n)
         # results of pair tests: a slot holds the last pair that came to it
@@ -129,7 +95,7 @@ class WordBpe:
                     step[key], states = states, states + 1
                 state = step[key]
             ends[state] = t
-        self.step = _Table(np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int64, len(step)))
+        self.step = HashTable(np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int64, len(step)))
         self.ends = np.full(states, -1, np.int64)
         self.ends[list(ends)] = list(ends.values())
 
@@ -320,8 +286,6 @@ def decode_ids(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    from kindling.llm.common import table
-
     coded = encode_documents(table(spark, sf_dir, "documents"))
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1)
     return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),

@@ -3,10 +3,14 @@ checkpoint folder, checked broadcasts, ranks without one-task windows, and word
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +22,15 @@ from kindling.sources.readers import read_table
 #: A table is broadcast only when its rows, counted first, take no more than this.
 BROADCAST_MAX_BYTES = 32 << 20
 #: Text that a Python task works on at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table; also lets Python workers that see the driver's folders find this library
+    (elsewhere it is installed or sent with ``--py-files``)."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
     return read_table(spark, sf_dir, name)
 
 
@@ -86,16 +95,50 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids, texts as UTF-8; null is empty) of at most ``limit`` bytes, or of one longer text."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+        ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t) if t else 0
-            if size > limit:
-                if i > start:
-                    yield ids.slice(start, i - start), [t or b"" for t in texts[start:i]]
-                start, size = i, len(t) if t else 0
-        if start < len(texts):
-            yield ids.slice(start), [t or b"" for t in texts[start:]]
+        for i, n in enumerate(sizes.tolist()):
+            if size + n > limit and i > start:
+                yield ids.slice(start, i - start), [t or b"" for t in texts.slice(start, i - start).to_pylist()]
+                start, size = i, 0
+            size += n
+        if start < len(sizes):
+            yield ids.slice(start), [t or b"" for t in texts.slice(start).to_pylist()]
+
+
+class HashTable:
+    """Hash table from non-negative longs to ints, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length() + 1))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.values = np.full(self.mask + 1, -1, np.int32)
+        slot, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several that want a slot the last gets it
+            self.values[slot[free]] = values[free]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            found = self.keys[slot[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
 
 
 class WordHashes(dict):

@@ -3,8 +3,20 @@
 from __future__ import annotations
 
 from kindling.llm.bpe import op10_bpe
+from kindling.llm.decision_list import op3_decision_list
+from kindling.llm.neardup import op2_neardup
+from kindling.llm.packing import op8_packing
+from kindling.llm.quality import op9_quality
+from kindling.llm.token_counts import op5_token_counts
+from kindling.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_neardup": op2_neardup,
+    "op3_decision_list": op3_decision_list,
+    "op5_token_counts": op5_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
