@@ -1,8 +1,53 @@
-"""The corpus pipeline: toxicity, quality classifier, near-dedup, packing."""
+"""The corpus pipeline: toxic texts go, texts of low quality go, one of near copies stays, the rest is packed."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindling.llm import neardup, packing, quality, toxicity
+from kindling.llm.common import Scratch, checked_broadcast, documents_of, table
+
+#: Near copies are judged here on runs of five words.
+SHINGLE, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that aren't predicted toxic; the model learns from the labels of ``docs``' own rows."""
+    model = toxicity.fit(documents_of(docs), table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality classifier, trained on ``docs``, keeps."""
+    return quality.scored_rows(docs, quality.fit(docs)).where("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row of the smallest id; rows without an id stay."""
+    verdict = Scratch(spark, "near-copies").write(neardup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("not kept")
+                                                  .select(F.col("doc_id").alias("_id")).distinct(), "rejected")
+    rejected = checked_broadcast(verdict, verdict.count(), 16)
+    return docs.join(rejected, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_dedup", drop_near_copies), ("packing", pack)]
+
+#: SQL can't express the models; tests hold each stage against its operator's brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = scratch.write(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(docs)
+        docs = out
+    return docs
