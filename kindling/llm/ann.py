@@ -19,9 +19,9 @@ from pyspark.sql import Window
 from kindling.llm.common import Scratch, mix, table
 
 #: Projections, share of them that a candidate must collide in, first half width and its factor.
-PROJECTIONS, THRESHOLD, WIDTH, WIDEN = 32, 0.6, 0.25, 1.4
+PROJECTIONS, THRESHOLD, WIDTH, WIDEN = 128, 0.75, 0.7, 1.1
 #: A block yields this many candidates at least, and this share of its vectors.
-CANDIDATES, CANDIDATE_SHARE = 40, 0.03
+CANDIDATES, CANDIDATE_SHARE = 40, 0.08
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK, NEAREST, QUERY_EVERY = 4096, 2048, 5, 50
 
 
@@ -37,24 +37,28 @@ class CollisionIndex:
     def __init__(self, vectors: np.ndarray, seed: int = 6):
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
         values = vectors @ self.lines
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.sort(values, axis=0).T.copy()
-        self.size = len(vectors)
+        self.order = np.argsort(values, axis=0, kind="stable").T.ravel().astype(np.int32)
+        # one rising array of all lines: each line's values lie in a stretch of their own
+        self.apart = 4 * np.arange(PROJECTIONS) * np.sqrt((self.lines ** 2).sum(axis=0).max())
+        self.sorted = (np.sort(values, axis=0) + self.apart).T.ravel()
+        self.first = (np.arange(PROJECTIONS) * len(vectors)).astype(np.int32)
+        self.size, self.count = len(vectors), np.arange(len(self.order), dtype=np.int32)
 
     def candidates(self, query: np.ndarray) -> np.ndarray:
         """Vectors that collide with the query often enough, for windows just wide enough."""
         need = min(self.size, CANDIDATES + int(CANDIDATE_SHARE * self.size))
-        centre, often = query @ self.lines, int(np.ceil(THRESHOLD * PROJECTIONS))
-        counts = np.zeros(self.size, np.int32)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        high, width = low.copy(), WIDTH
+        centre, often = query @ self.lines + self.apart, int(np.ceil(THRESHOLD * PROJECTIONS))
+        counts, last = np.zeros(self.size, np.int64), self.first + self.size
+        low = high = np.clip(np.searchsorted(self.sorted, centre).astype(np.int32), self.first, last)
+        width = WIDTH
         while True:
-            for j in range(PROJECTIONS):
-                a, b = np.searchsorted(self.sorted[j], (centre[j] - width, centre[j] + width))
-                a, b = min(a, low[j]), max(b, high[j])
-                counts[self.order[j, a:low[j]]] += 1
-                counts[self.order[j, high[j]:b]] += 1
-                low[j], high[j] = a, b
+            a = np.clip(np.searchsorted(self.sorted, centre - width).astype(np.int32), self.first, low)
+            b = np.clip(np.searchsorted(self.sorted, centre + width).astype(np.int32), high, last)
+            starts, lengths = np.concatenate([a, high]), np.concatenate([low - a, b - high])
+            places = np.repeat(starts - np.cumsum(lengths, dtype=np.int32) + lengths, lengths)
+            places += self.count[:len(places)]
+            counts += np.bincount(self.order[places], minlength=self.size)  # only what the windows have gained
+            low, high = a, b
             found = np.flatnonzero(counts >= often)
             if len(found) >= need:
                 return found
