@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from kindling.llm.ann import op6_ann
 from kindling.llm.bpe import op10_bpe
 from kindling.llm.decision_list import op3_decision_list
 from kindling.llm.neardup import op2_neardup
 from kindling.llm.packing import op8_packing
 from kindling.llm.quality import op9_quality
+from kindling.llm.sharding import op4_sharding
+from kindling.llm.suffix_tree import op1_suffix_tree
 from kindling.llm.token_counts import op5_token_counts
 from kindling.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_neardup": op2_neardup,
     "op3_decision_list": op3_decision_list,
+    "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
