@@ -25,7 +25,9 @@ from kindling.llm.common import Scratch, WordHashes, checked_broadcast, document
 
 SHINGLE, PERCENT = 3, 85
 #: Coordinates of a signature, trees of each round, documents of a node compared at once, deepest level.
-COORDINATES, ROUNDS, LEAF, DEPTH = 64, (4, 8), 1000, 40
+COORDINATES, ROUNDS, LEAF, DEPTH = 64, (4, 8), 2000, 40
+#: Shingles that more sets of a cluster have are counted by matrix products.
+_RARE = 12
 #: How often of 1000 a node branches twice: 1 / 0.85 - 1.
 SECOND_BRANCH = 176
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -81,20 +83,19 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield key, list(group)
 
 
-def _clusters(n: int, edges: Iterable[tuple[int, int]]) -> list[int]:
-    """Of each of n the first that it is connected with."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in edges:
-        a, b = top(a), top(b)
-        up[max(a, b)] = min(a, b)
-    return [top(x) for x in range(n)]
+def _clusters(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
+    """The connected parts of 0 to n - 1; ``near(i, others)`` marks those of ``others`` linked with i.
+    Whatever has been reached once isn't compared again."""
+    out, left = [], np.arange(n)
+    while len(left):
+        part, at, left = [int(left[0])], 0, left[1:]
+        while at < len(part) and len(left):
+            hit = near(part[at], left)
+            part += left[hit].tolist()
+            left = left[~hit]
+            at += 1
+        out.append(sorted(part))
+    return out
 
 
 def _alike(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -107,19 +108,15 @@ def _alike(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         rows.sort(key=lambda r: r[1])
         sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         part = np.array([r[2] for r in rows])
-        edges = []
-        for i in range(len(rows) - 1):
-            near = ((sketch[i + 1:] == sketch[i]).sum(axis=1) >= least) & (part[i + 1:] != part[i])
-            edges += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-        if edges:
-            first = _clusters(len(rows), edges)
-            members: dict[int, list[int]] = {}
-            for i, f in enumerate(first):
-                members.setdefault(f, []).append(rows[i][1])
-            for reps in members.values():
-                if len(reps) > 1:
-                    cluster = xxhash.xxh64_intdigest(np.array(reps, np.int64).tobytes()) >> 1
-                    out += [(cluster, r) for r in reps]
+
+        def near(i: int, others: np.ndarray, sketch: np.ndarray = sketch, part: np.ndarray = part) -> np.ndarray:
+            return ((sketch[others] == sketch[i]).sum(axis=1) >= least) & (part[others] != part[i])
+
+        for members in _clusters(len(rows), near):
+            if len(members) > 1:
+                reps = [rows[i][1] for i in members]
+                cluster = xxhash.xxh64_intdigest(np.array(reps, np.int64).tobytes()) >> 1
+                out += [(cluster, r) for r in reps]
         if len(out) > 20_000:
             yield _pairs(out, "cluster", "rep")
             out = []
@@ -130,32 +127,30 @@ def _pairs(rows: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=list(names))
 
 
-def similar_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Every pair whose sets' intersection is ``percent`` of their union or more."""
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs' intersection is ``percent`` of their union or more."""
     n, size = len(sets), np.array([len(s) for s in sets])
+    shared = np.zeros((n, n), np.int64)
     if n <= 6:
-        shared = np.zeros((n, n), np.int64)
         for i, j in itertools.combinations(range(n), 2):
-            shared[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            shared[i, j] = shared[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
-        # one column for each shingle that two sets have
-        values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, often = np.repeat(np.arange(n), size), counts > 1
-        column = np.where(often, np.cumsum(often) - 1, -1)[column]
-        row, column = row[column >= 0], column[column >= 0]
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        total = np.zeros((n, n), np.float32)  # whole numbers up to 2 ** 24 are exact
-        for start in range(0, int(often.sum()), 4096):
-            a, b = np.searchsorted(column, [start, start + 4096])
-            x = np.zeros((n, 4096), np.float32)
-            x[row[a:b], column[a:b] - start] = 1
-            total += x @ x.T
-        shared = total.astype(np.int64)
-    i, j = np.triu_indices(n, 1)
-    both = shared[i, j]
-    ok = 100 * both >= percent * (size[i] + size[j] - both)
-    return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+        row, first = np.repeat(np.arange(n), size)[order], np.cumsum(counts) - counts
+        for k in range(2, _RARE + 1):  # shingles of few sets: their pairs
+            members = row[first[counts == k][:, None] + np.arange(k)]
+            for i, j in itertools.combinations(range(k), 2):
+                np.add.at(shared, (members[:, i], members[:, j]), 1)
+        often = np.flatnonzero(counts > _RARE)  # the others: columns of a matrix of zeros and ones
+        for start in range(0, len(often), 4096):
+            x = np.zeros((n, min(4096, len(often) - start)), np.float32)  # sums of whole numbers up to 2 ** 24 are exact
+            for k, c in enumerate(often[start:start + 4096]):
+                x[row[first[c]:first[c] + counts[c]], k] = 1
+            got = (x @ x.T).astype(np.int64)
+            shared += np.triu(got, 1)
+        shared += shared.T
+    return 100 * shared >= percent * (size[:, None] + size - shared)
 
 
 def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -164,8 +159,9 @@ def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.R
     for _, rows in _groups(batches):
         rows.sort(key=lambda r: r[1])
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        first = _clusters(len(rows), similar_pairs(sets, percent))
-        out += [(rows[f][1], r[1]) for f, r in zip(first, rows, strict=True) if rows[f][1] != r[1]]
+        linked = similar(sets, percent)
+        for members in _clusters(len(rows), lambda i, others, linked=linked: linked[i, others]):
+            out += [(rows[members[0]][1], rows[i][1]) for i in members[1:]]
         if len(out) > 20_000:
             yield _pairs(out, "a", "b")
             out = []
