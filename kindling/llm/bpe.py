@@ -209,8 +209,8 @@ class WordBpe:
         for t, i in self.special.items():
             self.cache[t] = (int(i).to_bytes(4, "little"), str(i), t)
         new = list(set().union(*documents).difference(self.cache))
-        for at in range(0, len(new), 65_536):
-            words = new[at:at + 65_536]
+        for at in range(0, len(new), 16_384):
+            words = new[at:at + 16_384]
             split = [self.pretokens(w) for w in words]
             ids, counts = self.encode_pretokens([p for s in split for p in s])
             ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(s) for s in split])]
@@ -234,7 +234,7 @@ _loaded: dict[str, WordBpe] = {}
 def loaded(path: str) -> WordBpe:
     """The tables of a vocabulary file, built once in a worker."""
     if path not in _loaded:
-        gc.disable()  # the cache makes no cycles, and walking it over and over takes longer than the work
+        gc.set_threshold(200_000, 50, 100)  # the cache makes no cycles, and walking it over and over takes longer than the work
         _loaded[path] = WordBpe(path)
     return _loaded[path]
 

@@ -107,8 +107,8 @@ class TrieCounter:
         if len(self.cache) > _WORDS:
             self.cache.clear()
         new = list(set().union(*documents).difference(self.cache))
-        for i in range(0, len(new), 65_536):
-            words = new[i:i + 65_536]
+        for i in range(0, len(new), 16_384):
+            words = new[i:i + 16_384]
             tokens, score, _ = self.count(words)
             self.cache.update(zip(words, zip(tokens.tolist(), score.tolist(), strict=True), strict=True))
 
@@ -118,7 +118,7 @@ _loaded: dict[str, TrieCounter] = {}
 
 def _counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     if path not in _loaded:
-        gc.disable()  # the cache makes no cycles
+        gc.set_threshold(200_000, 50, 100)  # the cache makes no cycles
         _loaded[path] = TrieCounter(ranked_pieces(path))
     counter = _loaded[path]
     for ids, texts in text_chunks(batches):

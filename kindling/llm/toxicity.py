@@ -142,7 +142,7 @@ def _evidence(text: bytes, model: ToxicModel, cache: dict[str, float]) -> tuple[
 
 
 def _scored(batches: Iterable[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # nothing here makes cycles
+    gc.set_threshold(200_000, 50, 100)  # nothing here makes cycles
     cache: dict[str, float] = {}
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
     for ids, texts in text_chunks(batches):
