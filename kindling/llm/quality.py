@@ -26,7 +26,10 @@ from kindling.llm.text_stats import with_text_stats, words_of
 MAX_TRAIN, FEATURES, EM_STEPS, FIT_STEPS = 6_000, 1 << 13, 100, 25
 #: Texts of a lower score are rejected.
 KEEP_SCORE = 0.5
-_EPS = 0.002
+#: Labellers are written to be specific: of the good texts they vote against this share at most.  Without
+#: the bound, faults that come together would be taken for the only ones.
+MOST_WRONG = 0.002
+_EPS = 0.0005
 
 
 def _share(a: str, b: str) -> Column:
@@ -73,7 +76,7 @@ def estimate(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS) -> Lab
     """Expectation-maximisation from the number of texts of each vote pattern.
 
     It starts from the votes: bad where one labeller says so, else good.  Estimates stay above
-    0.002, so no vote decides alone.
+    0.0005, so no vote decides alone.
     """
     m = len(next(iter(patterns), ()))
     belief = {p: 0.1 if min(p) < 0 else 0.95 for p in patterns}
@@ -87,7 +90,8 @@ def estimate(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS) -> Lab
             for v in (-1, 0, 1):
                 g = sum(n * belief[p] for p, n in patterns.items() if p[k] == v)
                 b = sum(n * (1 - belief[p]) for p, n in patterns.items() if p[k] == v)
-                of[v] = (_EPS + (1 - 3 * _EPS) * (b + 1 / 3) / (total - good + 1), _EPS + (1 - 3 * _EPS) * (g + 1 / 3) / (good + 1))
+                g = min(g, MOST_WRONG * good) if v < 0 else g
+                of[v] = (_EPS + (1 - 3 * _EPS) * (b + 1 / 3) / (total - good + 1), _EPS + (1 - 3 * _EPS) * (g + 0.01) / (good + 1))
             votes.append(of)
         model = LabelModel(min(0.98, max(0.02, good / total)), votes)
         belief = {p: model.posterior(p) for p in patterns}
