@@ -39,15 +39,15 @@ def sample_std(c) -> Column:
 
 
 def band_label(pred, high: float = BAND_HIGH, moderate: float = BAND_MODERATE) -> Column:
-    """Intensity band; boundaries go to the lower band, NULL stays NULL."""
-    p = _c(pred)
+    """Intensity band; boundaries go to the lower band, NULL (and NaN) gives NULL."""
+    p = num(pred)
     return (F.when(p > high, F.lit(BANDS[0][0]))
             .when(p > moderate, F.lit(BANDS[1][0]))
             .when(p.isNotNull(), F.lit(BANDS[2][0])))
 
 
 def band_color(pred, high: float = BAND_HIGH, moderate: float = BAND_MODERATE) -> Column:
-    p = _c(pred)
+    p = num(pred)
     return (F.when(p > high, F.lit(BANDS[0][1]))
             .when(p > moderate, F.lit(BANDS[1][1]))
             .when(p.isNotNull(), F.lit(BANDS[2][1])))

@@ -8,7 +8,6 @@ level by level, so ``max_leaf_nodes = L`` becomes ``maxDepth = ceil(log2 L)``
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -40,10 +39,13 @@ class ModelSpec:
 
 
 def depth_for_leaves(max_leaf_nodes: int) -> int:
-    """Smallest depth whose binary tree can hold ``max_leaf_nodes`` leaves (<= 30)."""
+    """Largest depth whose binary tree never has more than ``max_leaf_nodes`` leaves."""
     if max_leaf_nodes < 2:
         raise ValueError("max_leaf_nodes must be >= 2")
-    return min(SPARK_MAX_DEPTH, math.ceil(math.log2(max_leaf_nodes)))
+    depth = int(max_leaf_nodes).bit_length() - 1
+    if depth > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_leaf_nodes {max_leaf_nodes} needs a depth beyond Spark's limit of {SPARK_MAX_DEPTH}")
+    return depth
 
 
 def _tree_depth(hp: dict) -> int:

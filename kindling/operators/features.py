@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindling.functions.columns import num, safe_div, sample_std
+from kindling.functions.columns import nan_to_null, num, safe_div, sample_std
 from kindling.schema import FEATURES, TARGET
 
 
@@ -31,7 +31,7 @@ def add_ratio(df: DataFrame, out: str, num: str, *den: str) -> DataFrame:
     prod = F.col(den[0])
     for d in den[1:]:
         prod = prod * F.col(d)
-    return df.withColumn(out, safe_div(F.col(num), prod))
+    return df.withColumn(out, nan_to_null(safe_div(F.col(num), prod).cast("double")))
 
 
 def frp_per_area(df: DataFrame, frp: str = "frp", scan: str = "scan", track: str = "track",
@@ -48,7 +48,7 @@ def temperature_diff(df: DataFrame, a: str = "brightness", b: str = "bright_t31"
 
 def log_transform(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """{new: source} -> log1p(source); sources that are absent are skipped; x <= -1 -> NULL."""
-    new = {n: F.log1p(F.col(s)) for n, s in mapping.items() if s in df.columns}
+    new = {n: F.log1p(num(s)) for n, s in mapping.items() if s in df.columns}
     return df.withColumns(new) if new else df
 
 
@@ -73,9 +73,9 @@ def normalize(df: DataFrame, cols: Sequence[str], method: str = "min_max", suffi
     for i, c in enumerate(cols):
         a, b = stats.select(f"a{i}").scalar(), stats.select(f"b{i}").scalar()
         if method == "min_max":
-            new[c + suffix] = safe_div(F.col(c) - a, b - a)
+            new[c + suffix] = safe_div(num(c) - a, b - a)
         else:
-            new[c + suffix] = safe_div(F.col(c) - a, b)
+            new[c + suffix] = safe_div(num(c) - a, b)
     return df.withColumns(new)
 
 

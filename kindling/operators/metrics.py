@@ -12,11 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import safe_div
+from kindling.functions.columns import num, safe_div
 from kindling.plans.materialize import broadcast_if_small, materialize
 
 METRICS = ("mae", "rmse", "r2", "explained_variance")
-LOOKUP_MAX = 1000  # groups attached by literal lookup instead of a join
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -28,7 +27,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     With a constant label each is 1 when its numerator is 0, else 0.  r2 is
     NULL below two rows.
     """
-    y0, yh = F.col(label).cast("double"), F.col(prediction).cast("double")
+    y0, yh = num(label), num(prediction)    # NaN is missing
     y = F.when(yh.isNotNull(), y0)          # complete (label, prediction) pairs only
     e = y - yh
     group_cols = [g for g in group_cols]
@@ -94,8 +93,8 @@ def prediction_bounds(pred: DataFrame, label: str = "label", prediction: str = "
                       group_cols: Sequence[str] = ("model",)) -> DataFrame:
     """The diagonal of a predicted-vs-actual chart: [min, max] over both columns."""
     return pred.groupBy(*group_cols).agg(
-        F.least(F.min(label), F.min(prediction)).alias("lo"),
-        F.greatest(F.max(label), F.max(prediction)).alias("hi"))
+        F.least(F.min(num(label)), F.min(num(prediction))).alias("lo"),
+        F.greatest(F.max(num(label)), F.max(num(prediction))).alias("hi"))
 
 
 def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -105,7 +104,7 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
     the real labels (never a stand-in)."""
     g = list(group_cols)
     bounds = prediction_bounds(pred, label, prediction, g)   # one row per group
-    y, yh = F.col(label).cast("double"), F.col(prediction).cast("double")
+    y, yh = num(label), num(prediction)
     span = F.col("hi") - F.col("lo")
 
     def b(c):
@@ -113,24 +112,14 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
         return F.when(span == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
 
     if g:
-        # One bounds row per group (a handful of models).  Joining on so few keys
-        # by shuffle would send each model's rows to one task.  Up to
-        # LOOKUP_MAX groups the bounds are attached by a literal map lookup (no
-        # join); beyond that they are written, counted and broadcast when small.
-        few = bounds.limit(LOOKUP_MAX + 1).collect()
-        if len(few) <= LOOKUP_MAX:
-            key = F.struct(*[F.col(c) for c in g])
-            key_type = pred.select(key.alias("k")).schema["k"].dataType
-
-            def lit_key(r):
-                return F.struct(*[F.lit(r[c]).alias(c) for c in g]).cast(key_type)
-
-            lo_map = F.create_map(*[e for r in few for e in (lit_key(r), F.lit(r["lo"]))])
-            hi_map = F.create_map(*[e for r in few for e in (lit_key(r), F.lit(r["hi"]))])
-            joined = pred.withColumns({"lo": lo_map[key].cast("double"), "hi": hi_map[key].cast("double")})
-        else:
-            bounds = materialize(bounds, "pva-bounds")
-            joined = pred.join(broadcast_if_small(bounds, bounds.count()), on=g)
+        # One bounds row per group: written and counted, broadcast when small, else
+        # joined by shuffle; a NULL group matches itself either way.
+        bounds = materialize(bounds, "pva-bounds")
+        other = bounds.withColumnsRenamed({c: f"__{c}" for c in g})
+        on = F.lit(True)
+        for c in g:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        joined = pred.join(broadcast_if_small(other, bounds.count()), on).drop(*other.columns[:len(g)])
     else:
         lo, hi = (bounds.select(c).scalar() for c in ("lo", "hi"))
         joined = pred.withColumns({"lo": lo, "hi": hi})
@@ -140,7 +129,9 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
 
 
 def model_comparison(scores: DataFrame) -> DataFrame:
-    """(model, mae, r2) for models that have both."""
+    """(model, mae, r2) for models that have both; no rows where a metric wasn't asked for."""
+    absent = [m for m in ("mae", "r2") if m not in scores.columns]
+    scores = scores.withColumns({m: F.lit(None).cast("double") for m in absent}) if absent else scores
     return scores.where(F.col("mae").isNotNull() & F.col("r2").isNotNull()).select("model", "mae", "r2")
 
 

@@ -64,8 +64,11 @@ def split_cut(df: DataFrame, key_cols: Sequence[str], test_size: float | int = T
     select_kw.setdefault("domain", (0, 2 ** 60 - 1))
     n, got = select_ranks_local(hashed, sort_key, {"cut": rank}, tiebreak=[_H, *keys], **select_kw)
     n_test = counts["n_test"]
-    row = got["cut"]
-    return n, n_test, tuple(row[c] for c in [_H, *keys])
+    cut = tuple(got["cut"][c] for c in [_H, *keys])
+    below = hashed.where(_lex_le([F.col(c) for c in [_H, *keys]], cut)).count()
+    if below != n_test:
+        raise ValueError(f"{below - n_test} rows beyond the test size share the key at the cut; the key must identify rows: {list(keys)}")
+    return n, n_test, cut
 
 
 def train_test_split(df: DataFrame, key_cols: Sequence[str] | str, test_size: float | int = TEST_SIZE,

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from kindling.operators import explore
 from kindling.operators.features import numeric_columns
 from kindling.plans.materialize import materialize
-from kindling.schema import HIST_BINS, HIST_MAX_COLUMNS, TOP_CORRELATES
+from kindling.schema import HIST_BINS, TOP_CORRELATES
 
 
-def eda_tables(df: DataFrame, target: str | None, bins: int = HIST_BINS, max_hist_columns: int = HIST_MAX_COLUMNS,
+def eda_tables(df: DataFrame, target: str | None, bins: int = HIST_BINS, max_hist_columns: int | None = None,
                top_k: int = TOP_CORRELATES, scatter_bins: int = 20) -> dict[str, DataFrame]:
     """Passes over ``df``: histograms 2, correlations 2, scatter 2, density 2.
 

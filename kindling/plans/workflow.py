@@ -88,7 +88,8 @@ def evaluate_performance(scores: DataFrame, metric: str = "mae", group_cols: Seq
     argmin is a window over those few rows: the scores are computed once, not
     re-evaluated by a second query.
     """
-    order = F.struct(F.coalesce(F.col(metric), F.lit(float("inf"))).alias("m"), F.col("position").alias("p"))
+    value = F.col(metric) if metric in scores.columns else F.lit(None).cast("double")  # a metric not asked for is missing
+    order = F.struct(F.coalesce(value, F.lit(float("inf"))).alias("m"), F.col("position").alias("p"))
     w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     return scores.withColumn("is_best", F.col("model") == F.min_by("model", order).over(w))
 
@@ -152,7 +153,10 @@ def shipped_options(**overrides) -> WorkflowOptions:
 def _check_leakage(opts: WorkflowOptions) -> None:
     if opts.allow_target_leakage:
         return
-    leaks = [d for d in opts.derived if _TARGET_DERIVED.get(d) == opts.target and d in opts.features]
+    from_target = {opts.target, f"{opts.target}_norm"} | {d for d in opts.derived if _TARGET_DERIVED.get(d) == opts.target}
+    from_target |= {new for new, source in (opts.log or {}).items() if source in from_target}
+    from_target |= {f"{c}_norm" for c in opts.normalize_cols if c in from_target}
+    leaks = [f for f in opts.features if f in from_target]
     if leaks:
         raise ValueError(f"features {leaks} are computed from the target '{opts.target}'; "
                          "pass allow_target_leakage=True to train on them anyway")
@@ -181,6 +185,9 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     """Clean -> features -> EDA tables -> split -> fit -> score -> evaluate, written per run."""
     if not opts.specs:
         raise ValueError("no model specs given")
+    names = [s.name for s in opts.specs]
+    if len(set(names)) < len(names):
+        raise ValueError(f"model names must differ: {names}")
     _check_leakage(opts)
     run_id = int(time.time()) if run_id is None else int(run_id)
     out = out.rstrip("/")
@@ -195,9 +202,11 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     # A row with a missing feature or target can be neither fitted nor scored
     # (VectorAssembler rejects it): drop such rows here, openly, and count them.
     fit_cols = list(dict.fromkeys([*opts.features, opts.target]))
-    write_run(drop_missing(feats.select(*keep), fit_cols), f"{out}/features", run_id)
+    write_run(clean, f"{out}/processed", run_id)
     try:
-        feats = spark.read.parquet(f"{out}/features").where(F.col("run_id") == run_id).drop("run_id")
+        # a run's own folder has its own columns, whatever other runs wrote
+        full = spark.read.parquet(write_run(drop_missing(feats, fit_cols), f"{out}/features", run_id))
+        feats = full.select(*keep)
     except AnalysisException as e:  # nothing was written: every row was dropped
         raise ValueError("no rows left after cleaning; check the input columns and filters") from e
     dropped_missing = clean.count() - feats.count() if opts.count_dropped else None
@@ -209,7 +218,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     def _eda() -> dict:
         if not opts.eda:
             return {}
-        tables = eda_tables(feats.drop(*key_cols), opts.target)
+        tables = eda_tables(full.drop(*key_cols), opts.target)
         return run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
                                  for name, table in tables.items()})
 
@@ -218,8 +227,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
         run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
                           "test": lambda: write_run(test, f"{out}/test", run_id)})
-        train = spark.read.parquet(f"{out}/train").where(F.col("run_id") == run_id).drop("run_id")
-        test = spark.read.parquet(f"{out}/test").where(F.col("run_id") == run_id).drop("run_id")
+        train, test = (spark.read.parquet(f"{out}/{part}/run_id={run_id}") for part in ("train", "test"))
 
         specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
         fitted = fit_models(train, specs, opts.features, opts.target)
@@ -229,7 +237,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
         write_run(evaluate_performance(scores), f"{out}/scores", run_id)
         # everything after this reads the written scores (a few rows), never re-scores
-        scores_out = spark.read.parquet(f"{out}/scores").where(F.col("run_id") == run_id)
+        scores_out = spark.read.parquet(f"{out}/scores/run_id={run_id}").withColumn("run_id", F.lit(run_id).cast("long"))
         flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
         default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
         preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(

@@ -12,7 +12,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +61,21 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
     df = reader.load(path if isinstance(path, str) else list(path))
     if by_name:
         types = {f.name: f.dataType for f in schema.fields}
-        df = df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+        df = df.select(*[_typed(F.col(c), types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
     if nan_to_null is None:
         nan_to_null = fmt in ("csv", "json", "text")
     return nullify_nan(df) if nan_to_null else df
 
 
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """The text as ``kind``, NULL where it isn't one.  Whole numbers may be written with a
+    fraction of zero ("85.0"), as writers do for integer columns that have gaps."""
+    if not isinstance(kind, (T.IntegerType, T.LongType)):
+        return text.try_cast(kind)
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+
+
 def header_schema(spark: SparkSession, path: str, declared: T.StructType = DETECTION_SCHEMA) -> T.StructType:
     """Schema for CSV files under ``path`` in their header's column order, with
     the declared types bound by name (other columns as text).  Used to start a
@@ -108,7 +117,7 @@ def read_first_available(spark: SparkSession, sources: Sequence[str], schema: T.
                          fmt: str = "csv", synthetic_rows: int | None = None) -> tuple[DataFrame, str]:
     """S3: try the sources in order; return (data, source used).
 
-    A missing path is skipped (``AnalysisException``), anything else raises.
+    A missing path is skipped, anything else raises.
     Synthetic rows are returned only when ``synthetic_rows`` is given, and they
     carry ``is_synthetic = true``.
     """
@@ -118,6 +127,8 @@ def read_first_available(spark: SparkSession, sources: Sequence[str], schema: T.
             log.info("reading detections from %s", src)
             return df, src
         except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("source %s unavailable: %s", src, str(e).splitlines()[0])
     if synthetic_rows is not None:
         log.warning("no source available; generating %d synthetic rows", synthetic_rows)

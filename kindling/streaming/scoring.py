@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kindling.models.scoring import with_intensity
-from kindling.operators.clean import range_check
+from kindling.operators.clean import range_check, require_features
 
 
 def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
@@ -30,6 +30,7 @@ def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
     a NULL prediction: the model sees neutral zeros for them, and its output is
     masked afterwards.
     """
+    require_features(df, features)
     checked = range_check(df, {c: b for c, b in bounds.items() if c in df.columns})
     ok = F.col("valid")
     for f in features:

@@ -4,6 +4,7 @@ reference's own small fixtures (F1, F4), and writer round trips."""
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kindling.operators import clean, features, metrics
@@ -120,11 +121,31 @@ def test_predictions_vs_actual_and_summaries(spark):
     assert out["residuals"].agg(F.sum("n")).first()[0] == 100     # binned, not one row per test row
 
 
-def test_predictions_vs_actual_many_groups_fallback(spark, monkeypatch):
-    """Above the lookup limit the bounds are written, counted and joined."""
+def test_predictions_vs_actual_null_group(spark):
+    """A NULL group is counted like any other, however many groups there are."""
     import kindling.operators.metrics as M
-    monkeypatch.setattr(M, "LOOKUP_MAX", 1)
-    p = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 2.5), ("b", 5.0, 5.0)],
-                              "model string, label double, prediction double")
-    got = {(r.model, r.actual_bin, r.predicted_bin): r.n for r in M.predictions_vs_actual(p, bins=2).collect()}
-    assert got == {("a", 0, 1): 1, ("a", 1, 1): 1, ("b", 0, 0): 1}   # a: bounds [1, 3], b: constant
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 2.5), ("b", 5.0, 5.0), (None, 1.0, 2.0), (None, 2.0, 2.0), ("b", float("nan"), 1.0)]
+    for extra in (0, 1001):
+        p = spark.createDataFrame(rows + [(f"g{i}", 0.0, 1.0) for i in range(extra)], "model string, label double, prediction double")
+        got = {(r.model, r.actual_bin, r.predicted_bin): r.n for r in M.predictions_vs_actual(p, bins=2).collect()}
+        assert len(got) == 5 + extra and got[(None, 0, 1)] == 1 and got[(None, 1, 1)] == 1
+        assert got[("a", 0, 1)] == 1 and got[("a", 1, 1)] == 1 and sum(got.values()) == 5 + extra
+
+
+def test_float_written_integers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("latitude,confidence\n-20.5,85.0\n-21.0,\n-22.0,90\n-23.0,7.5\n")
+    from kindling.sources.readers import read_detections
+    assert sorted((r.latitude, r.confidence) for r in read_detections(spark, str(tmp_path)).collect()) == [
+        (-23.0, None), (-22.0, 90), (-21.0, None), (-20.5, 85)]
+
+
+def test_missing_values_and_repeated_keys(spark):
+    from kindling.functions.columns import band_label
+    from kindling.operators.metrics import regression_metrics
+    from kindling.operators.split import train_test_split
+    p = spark.createDataFrame([("m", 1.0, 2.0), ("m", float("nan"), 2.0), ("m", 3.0, float("nan"))], "model string, label double, prediction double")
+    assert [r.b for r in p.select(band_label("prediction").alias("b")).collect()][2] is None
+    r = regression_metrics(p).first()
+    assert (r.n, r.mae) == (1, 1.0)
+    with pytest.raises(ValueError, match="identify rows"):
+        train_test_split(spark.range(1000).selectExpr("id % 10 as k"), "k", 0.25)

@@ -127,8 +127,9 @@ def test_models_learn_signal_and_roundtrip(spark, planted, tmp_path):
 
 
 def test_tree_parameter_mapping():
-    assert depth_for_leaves(10000) == 14 and depth_for_leaves(200) == 8 and depth_for_leaves(2) == 1
-    assert depth_for_leaves(2 ** 40) == 30
+    assert depth_for_leaves(10000) == 13 and depth_for_leaves(200) == 7 and depth_for_leaves(2) == 1
+    with pytest.raises(ValueError):
+        depth_for_leaves(2 ** 40)
     with pytest.raises(ValueError):
         ModelSpec("x", "SVR")
     from kindling.models.specs import make_regressor
@@ -158,7 +159,7 @@ def test_flag_default_window(spark):
 def test_deep_tree_params():
     from kindling.models.specs import make_regressor
     deep = make_regressor(ModelSpec("t", "DecisionTreeRegressor", {"max_leaf_nodes": 10000}), "y")
-    assert deep.getMaxDepth() == 14 and deep.getCacheNodeIds() and deep.getMaxBins() == 64
+    assert deep.getMaxDepth() == 13 and deep.getCacheNodeIds() and deep.getMaxBins() == 64
     shallow = make_regressor(ModelSpec("f", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 5,
                                                                       "max_memory_mb": 512}), "y")
     assert not shallow.getCacheNodeIds() and shallow.getMaxMemoryInMB() == 512 and shallow.getNumTrees() == 5
