@@ -18,7 +18,7 @@ from pyspark.sql import Window
 
 from kindling.llm.common import Scratch, mix, ranked, table
 
-SHARDS, ROUNDS, PARTS = 40, 6, 256
+SHARDS, ROUNDS, PARTS = 40, 8, 256
 
 
 def accepted_shares(load: list[int], wished: dict[tuple[int, int], int], quota: int) -> dict[tuple[int, int], float]:
@@ -51,16 +51,22 @@ def _pick(values: dict[tuple[int, int], float], shards: int) -> Column:
 
 def propagate(units: DataFrame, quota: int, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(unit, shard, n) after the moves, from (unit, shard, n)."""
-    state = units
+    state, weight = units, [1.0] * shards  # a shard that more wish for than it can take loses weight
     for k in range(rounds):
-        best = state.groupBy("unit").agg(F.max_by("shard", F.struct("n", mix("unit", "shard"))).alias("target"))
+        pull = F.col("n") * F.get(F.array(*map(F.lit, weight)), F.col("shard"))
+        best = state.groupBy("unit").agg(F.max_by("shard", F.struct(pull, mix("unit", "shard"))).alias("target"))
         aimed = scratch.write(state.join(best, "unit"), f"aimed-{k}")
         flows = aimed.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()  # shards x shards rows at most
         wished = {(r.shard, r.target): r.n for r in flows if r.shard != r.target}
         if not wished:
             break
         load = [sum(r.n for r in flows if r.shard == j) for j in range(shards)]
-        share = _pick(accepted_shares(load, wished, quota), shards)
+        accepted = accepted_shares(load, wished, quota)
+        for j in range(shards):
+            into = sum(n for m, n in wished.items() if m[1] == j)
+            weight[j] *= sum(n * accepted[m] for m, n in wished.items() if m[1] == j) / into if into else 1.0
+            weight[j] = max(0.01, min(1.0, weight[j] if into else 1.5 * weight[j]))
+        share = _pick(accepted, shards)
         draw = F.pmod(mix("unit", "shard", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
         moved = aimed.withColumn("shard", F.when((F.col("shard") != F.col("target")) & (draw < share), F.col("target")).otherwise(F.col("shard")))
         new = scratch.write(moved.groupBy("unit", "shard").agg(F.sum("n").alias("n")), f"state-{k}")
