@@ -4,7 +4,9 @@ Documents are sets of word shingles; equal sets form a class with one representa
 has a signature of minwise tokens.  A tree deals the representatives to nodes by the value of one
 chosen coordinate of the signature; nodes of more than LEAF documents branch again on coordinates
 chosen by the node's path (now and then on two, so that similar pairs stay together with a
-probability that falls slowly with depth; Christiani, Pagh and Sivertsen, 2018).  Small nodes are
+probability that falls slowly with depth; Christiani, Pagh and Sivertsen, 2018).  A node that has
+nearly all of its parent's documents branches twice less often, by as much as keeps the number of
+rows from growing with depth, however large a heap of near copies is.  Small nodes are
 compared exhaustively, first on sketches, then on full sets.  Independent trees are repeated, in two
 rounds: those of the second compare only documents that the first hasn't linked.  Confirmed links
 are joined to components by iterated joins.
@@ -176,7 +178,7 @@ def _leaves(reps: DataFrame, trees: range, scratch: Scratch) -> DataFrame:
     """(node, rep) of the nodes of 2 to LEAF representatives of all ``trees``."""
     coordinate = lambda c: F.substr("signature", 4 * c + 1, F.lit(4))
     of_tree = [F.xxhash64(F.lit(t), coordinate(F.lit((t * 37 + 11) % COORDINATES))) for t in trees]
-    level = reps.select("rep", F.explode(F.array(*of_tree)).alias("node"))
+    level = reps.select("rep", F.explode(F.array(*of_tree)).alias("node"), F.lit(1 << 62).alias("above"))  # size of the parent
     leaves = []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -188,14 +190,16 @@ def _leaves(reps: DataFrame, trees: range, scratch: Scratch) -> DataFrame:
         # the node's path chooses its coordinates
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < SECOND_BRANCH
+        lost = 1000 * (F.col("above") / F.col("size") - 1)
+        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < F.least(lost, F.lit(SECOND_BRANCH))
         chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-        level = large.select("node", "rep").join(reps.select("rep", "signature"), "rep").select("rep", "node", "signature", F.explode(chosen).alias("c"))
-        level = level.select("rep", F.xxhash64("node", "c", coordinate(F.col("c"))).alias("node"))
-    # documents that agree in so many coordinates: blocks, each with the node's first members
-    anchors = F.pmod(F.xxhash64("rep"), F.lit(10 * LEAF)) < F.lit(10 * LEAF) * LEAF / 4 / F.col("size")
+        level = large.select("node", "rep", "size", chosen.alias("chosen")).join(reps.select("rep", "signature"), "rep").select(
+            "rep", "node", "size", "signature", F.explode("chosen").alias("c"))
+        level = level.select("rep", F.xxhash64("node", "c", coordinate(F.col("c"))).alias("node"), F.col("size").alias("above"))
+    # documents that agree in so many coordinates: blocks that share a quarter of a leaf's documents, others in each tree
+    anchors = F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * LEAF / 4 / F.col("size")
     blocks = F.ceil(4 * F.col("size") / LEAF).cast("int")
-    to = F.when(anchors, F.sequence(F.lit(0), blocks)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
+    to = F.when(anchors, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "rep", F.lit(1)), blocks).cast("int")))
     leaves.append(large.select("rep", "node", F.explode(to).alias("block")).select(F.xxhash64("node", "block").alias("node"), "rep"))
     return _union(leaves)
 
