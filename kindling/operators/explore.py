@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import num, safe_div, sample_std
-from kindling.operators.selection import exact_quantile_values, exact_quantiles
-from kindling.plans.materialize import run_concurrently
+from kindling.operators.selection import exact_quantiles, exact_quantiles_of
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
 
@@ -53,12 +52,8 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
     """
     stats = column_stats(df, cols)
     if exact:
-        # per column: a stats job, a few bounded histogram jobs, one small ranking
-        # (columns submitted concurrently; measured faster than one grouped
-        # selection over a melted view); the numbers are attached by a literal
-        # lookup (no join)
-        vals = run_concurrently({c: (lambda c=c: exact_quantile_values(df, num(c), [0.25, 0.5, 0.75]))
-                                 for c in cols})
+        # all columns share the selection's passes; the numbers are attached by a literal lookup (no join)
+        vals = dict(zip(cols, exact_quantiles_of(df, [num(c) for c in cols], [0.25, 0.5, 0.75]), strict=True)) if cols else {}
         pick = [F.create_map(*[e for c in cols for e in (F.lit(c), F.lit(vals[c][i]).cast("double"))])[F.col("column")]
                 .alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
         return stats.select("column", "count", "mean", "std", "min", *pick, "max")

@@ -60,8 +60,7 @@ def split_cut(df: DataFrame, key_cols: Sequence[str], test_size: float | int = T
         counts["n_test"] = _test_count(test_size, n)
         return counts["n_test"]
 
-    # the first 15 hex digits are a 60-bit integer: the domain is known, no stats pass
-    select_kw.setdefault("domain", (0, 2 ** 60 - 1))
+    # the first 15 hex digits are a 60-bit integer
     n, got = select_ranks_local(hashed, sort_key, {"cut": rank}, tiebreak=[_H, *keys], **select_kw)
     n_test = counts["n_test"]
     cut = tuple(got["cut"][c] for c in [_H, *keys])

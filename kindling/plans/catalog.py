@@ -26,6 +26,7 @@ from kindling.models.specs import (
     tune_tree,
 )
 from kindling.operators import clean, explore, features, metrics
+from kindling.operators.selection import exact_quantiles_of
 from kindling.operators.split import fold_column, train_test_split
 from kindling.plans.workflow import WorkflowOptions, evaluate_performance, run_workflow
 from kindling.session import ensure_checkpoint_dir
@@ -169,6 +170,14 @@ def q_describe(spark, sf):
                     *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
+def q_quantile_levels(spark, sf):
+    """Exact quantiles of several columns in shared passes, refined down to ranges of 64 rows or one value."""
+    cols, qs = ["l_quantity", "l_extendedprice", "l_discount"], [0.01, 0.5, 0.99]
+    got = exact_quantiles_of(_t(spark, sf, "lineitem"), cols, qs, final_max=64)
+    rows = [(c, q, round(v, 6)) for c, vs in zip(cols, got) for q, v in zip(qs, vs) if v is not None]
+    return spark.createDataFrame(rows, "column string, q double, value double")
+
+
 _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -424,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_dates": q_filter_dates,
     "column_stats": q_column_stats,
     "describe": q_describe,
+    "quantile_levels": q_quantile_levels,
     "correlations": q_correlations,
     "lower_triangle": q_lower_triangle,
     "top_correlates": q_top_correlates,

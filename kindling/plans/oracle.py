@@ -129,6 +129,9 @@ from r, m where brightness > mu - 3 * sd and brightness < mu + 3 * sd
                 "round(stddev_samp(value), 6) std, min(value) as \"min\", round(quantile_cont(value, 0.25), 6) p25, "
                 "round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.75), 6) p75, "
                 "max(value) as \"max\" from events",
+    "quantile_levels": " union all ".join(
+        f"select '{c}' as \"column\", cast({q} as double) q, round(quantile_cont({c}, {q}), 6) \"value\" from lineitem"
+        for c in _CORR for q in (0.01, 0.5, 0.99)),
     "correlations": _corr_cells(False),
     "lower_triangle": _corr_cells(True),
     "top_correlates": "select feature, c from ("

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindling.operators.selection import exact_quantiles, select_ranks, select_ranks_local
+from kindling.operators import selection
+from kindling.operators.selection import exact_quantiles, exact_quantiles_of, select_ranks, select_ranks_local
 from kindling.operators.split import fold_column, split_column, train_test_split
 
 
@@ -130,6 +131,40 @@ def test_grouped_selection_stops_when_buckets_cannot_split(spark):
     assert out == {(0, "third"): base + 4, (1, "third"): base + 5}
 
 
+def test_wide_tails_infinities_and_zeros(spark):
+    """No value of any size or sign keeps a range from shrinking; several columns share the passes."""
+    rng = np.random.default_rng(9)
+    tails = 10.0 ** rng.uniform(-300, 299, 1500) * rng.choice([-1.0, 1.0], 1500)
+    odd = np.concatenate([rng.normal(0, 1, 1400), [np.inf, -np.inf, 5e-324, -5e-324, 1.7e308, -1.7e308], np.zeros(94)])
+    whole = np.concatenate([rng.integers(-2**62, 2**62, 1498), [2**63 - 1, -2**63]])
+    df = spark.createDataFrame([(float(a), float(b), int(c), i % 2) for i, (a, b, c) in enumerate(zip(tails, odd, whole))],
+                               "a double, b double, c long, g int")
+    qs = [0.0, 100 / 1499, 750 / 1499, 1400 / 1499, 1.0]  # whole ranks: no interpolation
+    at = [0, 100, 750, 1400, 1499]
+    seen = []
+    orig = selection._range_histograms
+
+    def spy(d, values, ranges, buckets):
+        seen.append(len(ranges))
+        return orig(d, values, ranges, buckets)
+
+    selection._range_histograms = spy
+    try:
+        got = exact_quantiles_of(df, ["a", "b"], qs, final_max=3)
+    finally:
+        selection._range_histograms = orig
+    for row, v in zip(got, (tails, odd)):
+        assert np.allclose(row, np.sort(v)[at], rtol=1e-12, atol=0) or list(row) == list(np.sort(v)[at])
+    assert len(seen) <= 6 and seen[0] == 2
+    n, picked = select_ranks_local(df, "c", {str(k): (lambda n, k=k: k + 1) for k in at}, final_max=3, buckets=16)
+    assert n == 1500 and [picked[str(k)]["value"] for k in at] == [int(x) for x in np.sort(whole)[at]]
+    grouped = select_ranks(df, "b", {"first": lambda n: F.lit(1), "mid": lambda n: F.lit(300), "last": lambda n: n},
+                           group_cols=["g"], final_max=3, buckets=64).collect()
+    for r in grouped:
+        v = np.sort(odd[np.arange(1500) % 2 == r.g])
+        assert r.value == v[{"first": 0, "mid": 299, "last": 749}[r.target]]
+
+
 def test_split_keeps_rows_with_null_key(spark):
     df = spark.createDataFrame([(None, 0.0)] + [(k, float(k)) for k in range(1, 200)], "k long, v double")
     train, test = train_test_split(df, "k", 0.25, 1)
