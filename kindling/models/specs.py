@@ -2,8 +2,8 @@
 
 Each spec becomes a ``PipelineModel`` of ``VectorAssembler`` (features bound by
 name) + regressor.  Tree parameters are mapped as documented: Spark grows trees
-level by level, so ``max_leaf_nodes = L`` becomes ``maxDepth = ceil(log2 L)``
-(at most 2^depth >= L leaves), capped at Spark's limit of 30.
+level by level, so ``max_leaf_nodes = L`` becomes ``maxDepth = floor(log2 L)``
+(never more than L leaves); a depth beyond Spark's limit of 30 raises.
 """
 
 from __future__ import annotations
