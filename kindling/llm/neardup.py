@@ -4,12 +4,16 @@ Documents are sets of word shingles; equal sets form a class with one representa
 has a signature of minwise tokens.  A tree deals the representatives to nodes by the value of one
 chosen coordinate of the signature; nodes of more than LEAF documents branch again on coordinates
 chosen by the node's path (now and then on two, so that similar pairs stay together with a
-probability that falls slowly with depth; Christiani, Pagh and Sivertsen, 2018).  A node that has
-nearly all of its parent's documents branches twice less often, by as much as keeps the number of
-rows from growing with depth, however large a heap of near copies is.  Small nodes are
+probability that falls slowly with depth; Christiani, Pagh and Sivertsen, 2018).  Small nodes are
 compared exhaustively, first on sketches, then on full sets.  Independent trees are repeated, in two
 rounds: those of the second compare only documents that the first hasn't linked.  Confirmed links
 are joined to components by iterated joins.
+
+Before a large node branches, its documents are compared in blocks that share some anchors.  If
+all but half a leaf's documents are then of one component, the node is settled at once: every other
+document is compared with all of the component's, in blocks, and those of one component needn't be
+compared with each other.  So heaps of near copies, of which branching would make ever more rows,
+end as soon as they are linked, and all other nodes branch in full.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ COORDINATES, ROUNDS, LEAF, DEPTH = 64, (4, 8), 2000, 40
 _RARE = 12
 #: How often of 1000 a node branches twice: 1 / 0.85 - 1.
 SECOND_BRANCH = 176
+#: Documents of a large node that are in all of its blocks, on average.
+ANCHORS = 16
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, size=COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -174,33 +180,91 @@ def _sorted_map(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(f, schema)
 
 
-def _leaves(reps: DataFrame, trees: range, scratch: Scratch) -> DataFrame:
-    """(node, rep) of the nodes of 2 to LEAF representatives of all ``trees``."""
+class _Links:
+    """The links confirmed so far and the components (rep, component) they make, if any."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int, scratch: Scratch):
+        self.docs, self.reps, self.shingle, self.percent, self.scratch = docs, reps, shingle, percent, scratch
+        expected, spread = COORDINATES * percent / 100, (COORDINATES * percent / 100 * (1 - percent / 100)) ** 0.5
+        self.least = int(expected - 4.5 * spread)
+        self.found: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def marked(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with the component of each rep, as ``part``."""
+        if self.labels is None:
+            return nodes.withColumn("part", F.col("rep"))
+        return nodes.join(self.labels, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+
+    def compare(self, nodes: DataFrame) -> None:
+        """Compares the documents of each of ``nodes`` (node, rep) that aren't linked yet."""
+        scratch, least, shingle, percent = self.scratch, self.least, self.shingle, self.percent
+        rows = self.marked(nodes).join(self.reps.select("rep", "sketch"), "rep").select("node", "rep", "part", "sketch")
+        alike = scratch.write(_sorted_map(rows, "node", lambda b: _alike(b, least), "cluster long, rep long").distinct(), "alike")
+        wanted = alike.select(F.col("rep").alias("doc_id")).distinct()
+        texts = self.docs.join(checked_broadcast(wanted, wanted.count(), 16), "doc_id", "left_semi")
+        full = texts.mapInArrow(lambda b: _sets(b, shingle), "rep long, set binary")
+        rows = alike.join(full, "rep").select("cluster", "rep", "set")
+        found = scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long").distinct(), "links")
+        if self.labels is None or not found.isEmpty():
+            self.found.append(found)
+            self.labels = components(_union(self.found), scratch)
+
+    def settle(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(leaves that settle nodes of ``large`` (node, rep, size), the rows of the other nodes)."""
+        half = max(1, LEAF // 2)
+        rows = self.scratch.write(self.marked(large), "parts")
+        parts = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
+        tops = parts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+        tops = self.scratch.write(tops.select("node", F.col("top.n").alias("n"), F.col("top.part").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "tops")
+        rows = rows.join(checked_broadcast(tops, tops.count(), 48), "node")
+        blocks = F.ceil(F.col("n") / half).cast("int")
+        to = F.when(F.col("part") == F.col("top"), F.array(F.pmod(F.xxhash64("node", "rep", F.lit(1)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        leaves = rows.where((F.col("others") > 0) & (F.col("others") <= half)).select("node", "rep", F.explode(to).alias("block"))
+        leaves = leaves.select(F.xxhash64("node", "block").alias("node"), "rep")
+        return leaves, rows.where(F.col("others") > half).select("node", "rep", "size")
+
+
+def _blocks(large: DataFrame, members: int, shared: int) -> DataFrame:
+    """(node, rep) of blocks of about ``members`` documents of each of ``large``'s nodes and
+    ``shared`` more that all of the node's blocks have; others in each node."""
+    anchors = F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * shared / F.col("size")
+    blocks = F.ceil(F.col("size") / members).cast("int")
+    to = F.when(anchors, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "rep", F.lit(1)), blocks).cast("int")))
+    return large.select("rep", "node", F.explode(to).alias("block")).select(F.xxhash64("node", "block").alias("node"), "rep")
+
+
+def _leaves(reps: DataFrame, trees: range, links: _Links, scratch: Scratch) -> DataFrame:
+    """(node, rep) of what is left to compare of all ``trees``, in nodes of about LEAF representatives at most."""
     coordinate = lambda c: F.substr("signature", 4 * c + 1, F.lit(4))
     of_tree = [F.xxhash64(F.lit(t), coordinate(F.lit((t * 37 + 11) % COORDINATES))) for t in trees]
-    level = reps.select("rep", F.explode(F.array(*of_tree)).alias("node"), F.lit(1 << 62).alias("above"))  # size of the parent
+    level = reps.select("rep", F.explode(F.array(*of_tree)).alias("node"))
     leaves = []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = scratch.write(level.join(sizes, "node"), f"level-{depth}")
         leaves.append(sized.where(F.col("size") <= LEAF).select("node", "rep"))
         large = sized.where(F.col("size") > LEAF)
+        for again in (False, True):  # by the links known, then by those in the blocks
+            if large.isEmpty():
+                return _union(leaves)
+            if again:
+                links.compare(_blocks(large, max(2, LEAF // 8), min(ANCHORS, max(1, LEAF // 8))))
+            if links.labels is not None:
+                settled, large = links.settle(large)
+                leaves.append(settled)
         if large.isEmpty():
             return _union(leaves)
         # the node's path chooses its coordinates
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        lost = 1000 * (F.col("above") / F.col("size") - 1)
-        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < F.least(lost, F.lit(SECOND_BRANCH))
+        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < SECOND_BRANCH
         chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-        level = large.select("node", "rep", "size", chosen.alias("chosen")).join(reps.select("rep", "signature"), "rep").select(
-            "rep", "node", "size", "signature", F.explode("chosen").alias("c"))
-        level = level.select("rep", F.xxhash64("node", "c", coordinate(F.col("c"))).alias("node"), F.col("size").alias("above"))
-    # documents that agree in so many coordinates: blocks that share a quarter of a leaf's documents, others in each tree
-    anchors = F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * LEAF / 4 / F.col("size")
-    blocks = F.ceil(4 * F.col("size") / LEAF).cast("int")
-    to = F.when(anchors, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "rep", F.lit(1)), blocks).cast("int")))
-    leaves.append(large.select("rep", "node", F.explode(to).alias("block")).select(F.xxhash64("node", "block").alias("node"), "rep"))
+        level = large.select("node", "rep", chosen.alias("chosen")).join(reps.select("rep", "signature"), "rep").select(
+            "rep", "node", "signature", F.explode("chosen").alias("c"))
+        level = level.select("rep", F.xxhash64("node", "c", coordinate(F.col("c"))).alias("node"))
+    # documents that agree in so many coordinates and aren't linked: blocks that share a quarter of a leaf's documents, others in each tree
+    leaves.append(_blocks(large, max(1, LEAF // 4), LEAF / 4))
     return _union(leaves)
 
 
@@ -247,23 +311,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = sketched.where("doc_id is not null and set_id is not null")
     first = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(known.join(first, "set_id").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "set_id", "signature", "sketch"), "classes")
-    expected, spread = COORDINATES * percent / 100, (COORDINATES * percent / 100 * (1 - percent / 100)) ** 0.5
-    least = int(expected - 4.5 * spread)
-    links, labels, start = [], None, 0
+    links, start = _Links(docs, reps, shingle, percent, scratch), 0
     for trees in ROUNDS:
-        nodes = _leaves(reps, range(start, start + trees), scratch)
+        links.compare(_leaves(reps, range(start, start + trees), links, scratch))
         start += trees
-        part = F.col("rep") if labels is None else F.coalesce("component", "rep")
-        marked = reps.select("rep", "sketch") if labels is None else reps.select("rep", "sketch").join(labels, "rep", "left")
-        rows = nodes.join(marked, "rep").select("node", "rep", part.alias("part"), "sketch")
-        alike = scratch.write(_sorted_map(rows, "node", lambda b: _alike(b, least), "cluster long, rep long").distinct(), "alike")
-        wanted = alike.select(F.col("rep").alias("doc_id")).distinct()
-        texts = docs.join(checked_broadcast(wanted, wanted.count(), 16), "doc_id", "left_semi")
-        full = texts.mapInArrow(lambda b: _sets(b, shingle), "rep long, set binary")
-        rows = alike.join(full, "rep").select("cluster", "rep", "set")
-        links.append(scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long").distinct(), "links"))
-        labels = components(_union(links), scratch)
-    found = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    found = reps.select("set_id", "rep").join(links.labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

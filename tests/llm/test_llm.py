@@ -386,3 +386,28 @@ def test_ranked_is_gapless(spark):
     for p in range(3):
         own = sorted(r.r for r in got if r.p == p)
         assert own == list(range(len(own)))
+
+
+def _heap(spark, rng, size, own, strays, away, words=200):
+    """``size`` texts that each add ``own`` words to one text, and ``strays`` that add ``away``."""
+    rows = []
+    for i in rng.permutation(size + strays).tolist():
+        text = [f"w{k}" for k in range(words)] + [f"x{i}y{k}" for k in range(own if i < size else away)]
+        rows.append((i, " ".join(text), "en", "s", 0))
+    rows.sort()
+    return spark.createDataFrame(rows, DOCS).repartition(4), [np.unique([int.from_bytes(hashlib.md5(w.encode()).digest()[:7], "big") for w in r[1].split()]) for r in rows]
+
+
+def _parts(sets, percent):
+    linked = neardup.similar(sets, percent)
+    return {i: min(c) for c in neardup._clusters(len(sets), lambda i, others: linked[i, others]) for i in c}
+
+
+def test_neardup_heap_larger_than_a_leaf(spark, monkeypatch):
+    """Documents near the threshold find a heap of different near copies that no leaf holds."""
+    monkeypatch.setattr(neardup, "LEAF", 80)
+    df, sets = _heap(spark, np.random.default_rng(5), 1200, 3, 100, 31)
+    want = _parts(sets, 85)
+    assert len(set(want.values())) == 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, shingle=1).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.998 * len(want)
