@@ -19,6 +19,7 @@ end as soon as they are linked, and all other nodes branch in full.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,12 +31,10 @@ from pyspark.sql import functions as F
 from kindling.llm.common import Scratch, WordHashes, checked_broadcast, documents_of, table, text_chunks
 
 SHINGLE, PERCENT = 3, 85
-#: Coordinates of a signature, trees of each round, documents of a node compared at once, deepest level.
+#: Coordinates of a signature, trees of each round at 85 per cent, documents of a node compared at once, deepest level.
 COORDINATES, ROUNDS, LEAF, DEPTH = 64, (4, 8), 2000, 40
 #: Shingles that more sets of a cluster have are counted by matrix products.
 _RARE = 12
-#: How often of 1000 a node branches twice: 1 / 0.85 - 1.
-SECOND_BRANCH = 176
 #: Documents of a large node that are in all of its blocks, on average.
 ANCHORS = 16
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -225,6 +224,19 @@ class _Links:
         return leaves, rows.where(F.col("others") > half).select("node", "rep", "size")
 
 
+def second_branch(percent: int) -> float:
+    """How often of 1000 a node branches twice: pairs of ``percent`` then share one child on average."""
+    return 1000 * (100 / max(percent, 1) - 1)
+
+
+def rounds(percent: int) -> tuple[int, ...]:
+    """Trees of each round; below 85 per cent so many more that as few pairs share none of their first nodes."""
+    trees = sum(ROUNDS)
+    if 0 < percent < 85:
+        trees = math.ceil(trees * math.log(0.15) / math.log(1 - percent / 100))
+    return *ROUNDS[:-1], trees - sum(ROUNDS[:-1])
+
+
 def _blocks(large: DataFrame, members: int, shared: int) -> DataFrame:
     """(node, rep) of blocks of about ``members`` documents of each of ``large``'s nodes and
     ``shared`` more that all of the node's blocks have; others in each node."""
@@ -258,7 +270,7 @@ def _leaves(reps: DataFrame, trees: range, links: _Links, scratch: Scratch) -> D
         # the node's path chooses its coordinates
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < SECOND_BRANCH
+        twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < second_branch(links.percent)
         chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
         level = large.select("node", "rep", chosen.alias("chosen")).join(reps.select("rep", "signature"), "rep").select(
             "rep", "node", "signature", F.explode("chosen").alias("c"))
@@ -312,7 +324,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(known.join(first, "set_id").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "set_id", "signature", "sketch"), "classes")
     links, start = _Links(docs, reps, shingle, percent, scratch), 0
-    for trees in ROUNDS:
+    for trees in rounds(percent):
         links.compare(_leaves(reps, range(start, start + trees), links, scratch))
         start += trees
     found = reps.select("set_id", "rep").join(links.labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))

@@ -411,3 +411,21 @@ def test_neardup_heap_larger_than_a_leaf(spark, monkeypatch):
     assert len(set(want.values())) == 1
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, shingle=1).collect()}
     assert sum(got[i] == want[i] for i in want) >= 0.998 * len(want)
+
+
+def test_neardup_trees_and_branches_follow_the_threshold(spark, monkeypatch):
+    assert neardup.rounds(85) == neardup.ROUNDS
+    for percent in (80, 70, 50):
+        assert 0.15 ** sum(neardup.ROUNDS) >= (1 - percent / 100) ** sum(neardup.rounds(percent))
+        assert (1 + neardup.second_branch(percent) / 1000) * percent / 100 == pytest.approx(1)
+    # pairs at 0.8 in nodes above a leaf: texts of one passage, which is half of each
+    monkeypatch.setattr(neardup, "LEAF", 30)
+    rows = []
+    for i in range(300):
+        for k in range(2):
+            rows.append((2 * i + k, " ".join([*(f"w{j}" for j in range(60)), *(f"x{i}y{j}" for j in range(60)), *(f"z{i}k{k}y{j}" for j in range(15))]), "en", "s", 0))
+    sets = [np.unique([int.from_bytes(hashlib.md5(w.encode()).digest()[:7], "big") for w in r[1].split()]) for r in rows]
+    want = _parts(sets, 80)
+    assert len(set(want.values())) == 300
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4), shingle=1, percent=80).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
