@@ -3,14 +3,18 @@
 Sequential covering, in the manner of RIPPER (Cohen, 1995): each rule is a conjunction of
 thresholds on text statistics, grown condition by condition by FOIL's gain on two thirds of the
 labelled rows, then cut back to the prefix that does best on the last third; rows that it covers
-are set aside, and rules follow until one isn't precise enough.  Labelled rows are binned once at
-quantiles; every step is one grouped count over them, so only counts by (statistic, bin) come to
-the driver.  The list becomes an ordered CASE WHEN.
+are set aside, and rules follow until none is precise enough.  Conditions are first sought at each
+class's quantiles over all labelled rows.  If that gives no precise rule, the rows that are left and
+that the rule covers so far are binned anew for every condition, with the classes' tails and ends as
+edges too, and the chosen threshold's bins again within themselves; if that gives none either, only
+precise conditions are grown.  Every step is one grouped count, so only counts by (statistic, bin) come
+to the driver.  The list becomes an ordered CASE WHEN.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,8 @@ from kindling.llm.common import Scratch, mix, table
 from kindling.llm.text_stats import with_text_stats
 
 BINS, MAX_CONDITIONS, MAX_RULES = 24, 4, 12
+#: Quantiles near the ends that are edges as well, and how often the chosen threshold's bins are binned again.
+TAILS, REFINEMENTS = (0.001, 0.003, 0.01, 0.02), 2
 #: A rule stays if this share of the pruning rows that it covers is to be rejected, and it covers so many.
 MIN_PRECISION, MIN_COVERED = 0.98, 5
 #: The base rule: fewer words, or a larger share (per cent) of words in repeated runs, fails.
@@ -78,21 +84,16 @@ def learn(labelled: DataFrame) -> DecisionList:
 
     Empty tables, and labels of one kind only, give the empty list.
     """
-    names = list(ratios())
-    at = [k / BINS for k in range(1, BINS)]
-    cuts = labelled.groupBy("reject").agg(*[F.percentile_approx(c, at, 2000).alias(n) for n, c in ratios().items()]).collect()
-    if len(cuts) < 2:
+    if labelled.select("reject").distinct().count() < 2:
         return DecisionList([])
-    edges = {n: sorted({v for row in cuts for v in row[n]}) for n in names}
-    # a value's bin: how many edges are below it
-    bins = F.array(*[_edges_below(edges[n], c) for n, c in ratios().items()])
     scratch = Scratch(labelled.sparkSession, "rules")
-    rows = scratch.write(labelled.withColumn("_bins", bins), "labelled")
+    rows = scratch.write(labelled, "labelled")
+    coarse = _edges(rows, ratios(), False)
     listed = DecisionList([])
     while len(listed.rules) < MAX_RULES:
         left = rows.where(listed.column().isNull()) if listed.rules else rows
-        rule = _grow(left.where("grow"), names, edges)
-        rule = _prune(left.where("not grow"), rule)
+        tries = (_prune(left.where("not grow"), _grow(left.where("grow"), *how)) for how in ((coarse, 0.0), (None, 0.0), (None, MIN_PRECISION)))
+        rule = next(filter(None, tries), [])
         if not rule:
             break
         listed.rules.append(rule)
@@ -104,31 +105,72 @@ def _edges_below(edges: list[float], value: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < value))
 
 
-def _grow(rows: DataFrame, names: list[str], edges: dict[str, list[float]]) -> list[Condition]:
+def _edges(rows: DataFrame, values: dict[str, Column], fine: bool) -> dict[str, list[float]]:
+    """Each class's quantiles; if ``fine`` its tails, least and greatest value too."""
+    at = [k / BINS for k in range(1, BINS)]
+    quantiles = lambda c: F.percentile_approx(c, at, 2000)
+    if fine:
+        at = sorted({*at, *TAILS, *(1 - t for t in TAILS)})
+        quantiles = lambda c: F.array_union(F.percentile_approx(c, at, 10_000), F.array(F.min(c), F.max(c)))
+    got = rows.groupBy("reject").agg(*[quantiles(c).alias(n) for n, c in values.items()]).collect()
+    return {n: sorted({v for r in got for v in r[n]}) for n in values}
+
+
+def _counts(rows: DataFrame, values: dict[str, Column], edges: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
+    """(to reject, to keep) by bin; a value's bin: how many edges are below it."""
+    bins = F.array(*[_edges_below(edges[n], c) for n, c in values.items()])
+    got = (rows.select("reject", F.posexplode(bins).alias("stat", "bin")).groupBy("stat", "bin")
+           .agg(F.sum("reject").alias("p"), F.sum(1 - F.col("reject")).alias("n")).collect())
+    of = [[(0, 0)] * (len(edges[n]) + 1) for n in values]
+    for r in got:
+        of[r.stat][r.bin] = (r.p, r.n)
+    return dict(zip(values, of, strict=True))
+
+
+def _cuts(edges: list[float], by_bin: list[tuple[int, int]], below: tuple[int, int], total: tuple[int, int],
+          precise: float) -> Iterator[tuple[float, int, bool, tuple[int, int]]]:
+    """(gain, edge's number, above, counts up to the edge before it) of the conditions that cover enough
+    and of which ``precise`` is to be rejected; ``below`` lie under all edges' bins."""
+    (p, q), (p0, n0) = below, total
+    for k, (dp, dn) in enumerate(by_bin[:len(edges)]):  # values up to this edge
+        before, p, q = (p, q), p + dp, q + dn
+        for above, x, y in ((False, p, q), (True, p0 - p, n0 - q)):
+            if x >= MIN_COVERED and x >= precise * (x + y):
+                yield _gain(p0, n0, x, y), k, above, before
+
+
+def _grow(rows: DataFrame, fixed: dict[str, list[float]] | None, precise: float) -> list[Condition]:
+    """A rule of conditions at ``fixed`` edges, else at edges of the rows it covers, refined."""
+    last = 0 if fixed else REFINEMENTS
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
-        counts = (rows.where(_all(rule)).select("reject", F.posexplode("_bins").alias("stat", "bin"))
-                  .groupBy("stat", "bin").agg(F.sum("reject").alias("p"), F.sum(1 - F.col("reject")).alias("n")).collect())
-        of = [[(0, 0)] * (len(edges[n]) + 1) for n in names]
-        for r in counts:
-            of[r.stat][r.bin] = (r.p, r.n)
-        p0, n0 = (sum(x[k] for x in of[0]) for k in (0, 1))
-        if not p0 or not n0:
+        held, values = rows.where(_all(rule)), ratios()
+        edges = fixed or _edges(held, values, True)
+        if not all(edges.values()):
+            break
+        counts = _counts(held, values, edges)
+        total = tuple(sum(x[k] for x in counts["words"]) for k in (0, 1))
+        if not all(total):
             break
-        best, chosen = 1e-9, None
-        for n, by_bin in zip(names, of, strict=True):
-            p = q = 0
-            for edge, (dp, dn) in zip(edges[n], by_bin, strict=False):  # values up to this edge
-                p, q = p + dp, q + dn
-                for above, x, y in ((False, p, q), (True, p0 - p, n0 - q)):
-                    if x >= MIN_COVERED and (g := _gain(p0, n0, x, y)) > best:
-                        best, chosen = g, Condition(n, above, edge)
-        if chosen is None:
+        best, name = max(((c, n) for n in values for c in _cuts(edges[n], counts[n], (0, 0), total, precise)),
+                         key=lambda x: x[0][0], default=(None, ""))
+        if best is None or best[0] <= 1e-9:
             break
-        value, above = ratios()[chosen.name], chosen.threshold
-        gap = rows.where(_all(rule)).agg(F.max(F.when(value <= above, value)).alias("low"), F.min(F.when(value > above, value)).alias("high")).first()
-        middle = above if gap.low is None or gap.high is None else (gap.low + gap.high) / 2  # as far from either side as can be
-        rule.append(Condition(chosen.name, chosen.above, middle))
+        value, at, low = values[name], edges[name], -math.inf
+        for refinement in range(last + 1):
+            gain, k, above, before = best
+            threshold, low, high = at[k], at[k - 1] if k else low, at[k + 1] if k + 1 < len(at) else at[k]
+            if refinement == last:
+                break
+            inside = held.where((value > low) & (value <= high))
+            at = _edges(inside, {name: value}, True)[name]
+            finer = _cuts(at, _counts(inside, {name: value}, {name: at})[name], before, total, precise)
+            best = max((c for c in finer if c[2] == above), key=lambda c: c[0], default=None)
+            if best is None or best[0] <= gain:
+                break
+        gap = held.agg(F.max(F.when(value <= threshold, value)).alias("low"), F.min(F.when(value > threshold, value)).alias("high")).first()
+        middle = threshold if gap.low is None or gap.high is None else (gap.low + gap.high) / 2  # as far from either side as can be
+        rule.append(Condition(name, above, middle))
     return rule
 
 

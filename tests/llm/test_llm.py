@@ -429,3 +429,18 @@ def test_neardup_trees_and_branches_follow_the_threshold(spark, monkeypatch):
     assert len(set(want.values())) == 300
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4), shingle=1, percent=80).collect()}
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_decision_list_finds_rare_faults(spark):
+    """A fault of 2 % of the rejected rows, beyond all kept rows in one statistic, beside a common one."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(9000):
+        kind = "common" if i < 3000 else "rare" if i < 3060 else "good"
+        symbols = 900 + int(rng.integers(0, 50)) if kind == "rare" else int(rng.integers(0, 800))
+        lines = int(rng.integers(50, 99)) if kind == "common" else int(rng.integers(0, 40))
+        rows.append((i, 100, 1000, symbols, int(rng.integers(0, 300)), 0, 80, lines, int(kind != "good"), bool(i % 3), kind))
+    df = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_upper long, n_repeat_words long, "
+                                     "n_distinct long, n_dup_lines long, reject int, grow boolean, kind string")
+    got = df.withColumn("rule", decision_list.learn(df).column()).groupBy("kind").agg(F.count("rule").alias("rejected"), F.count("*").alias("n"))
+    assert {r.kind: (r.rejected, r.n) for r in got.collect()} == {"common": (3000, 3000), "rare": (60, 60), "good": (0, 5940)}
