@@ -38,3 +38,14 @@ def test_empty_and_null(spark):
         for _, stage in P.STAGES[:3]:
             out = stage(spark, df, SF_SMALL)
             assert out.columns == docs.columns and out.count() <= n
+
+
+def test_near_copies_by_row(spark):
+    """Repeated rows and rows without an id are copies too; an id's other text stays."""
+    docs = common.table(spark, SF_SMALL, "documents")
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(7, "a"), (7, "a"), (9, "a"), (9, "b"), (5, "c"), (5, "d"), (4, "d"), (None, "e"), (None, "e"), (None, "a"), (3, "f")]
+    df = spark.createDataFrame([(i, text(c), "en", "s", 0) for i, c in rows], docs.schema).repartition(3)
+    got = P.drop_near_copies(spark, df, SF_SMALL).collect()
+    want = [(7, "a"), (9, "b"), (5, "c"), (4, "d"), (None, "e"), (3, "f")]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), text(c)) for i, c in want)
