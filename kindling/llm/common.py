@@ -57,6 +57,11 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._kindling_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all(self) -> None:
+        """All tables of the run; for a run whose results no longer read them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast hint where ``rows`` counted rows of ``row_bytes`` fit the limit; else a shuffle join."""
