@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm.common import Scratch, table
+from kindling.llm.common import Scratch, checked_broadcast, table
 
 #: Content that a task puts into one archive before it starts the next.
 ARCHIVE_BYTES = 32 << 20
@@ -98,9 +98,11 @@ def mark_revisits(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str,
     sized = rows.where(F.octet_length("payload") >= min_bytes)
     place = F.struct(F.col("page_id").isNotNull(), "page_id", "url", "row")
     groups = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("first")).where("n > 1")
-    marked = rows.join(groups.select("digest", "first"), "digest", "left")
+    groups = scratch.write(groups.select("digest", F.struct("first.row", "first.page_id").alias("first")), "groups")
+    # where the repeated sums are few, payloads needn't move
+    marked = rows.join(checked_broadcast(groups, groups.count(), 100), "digest", "left")
     other = F.col("first").isNotNull() & (F.col("first.row") != F.col("row")) & (F.octet_length("payload") >= min_bytes)
-    return marked.select("row", "page_id", "url", "payload", F.when(other, F.struct(F.col("first.row").alias("row"), F.col("first.page_id").alias("page_id"))).alias("first"))
+    return marked.select("row", "page_id", "url", "payload", F.when(other, F.col("first")).alias("first"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
