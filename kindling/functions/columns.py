@@ -54,7 +54,7 @@ def band_color(pred, high: float = BAND_HIGH, moderate: float = BAND_MODERATE) -
 
 
 def radius(pred, scale: float = RADIUS_SCALE) -> Column:
-    return _c(pred) * F.lit(scale)
+    return num(pred) * F.lit(scale)
 
 
 def split_hash(seed, *keys) -> Column:

@@ -1,9 +1,9 @@
-"""Model specifications and fitting (M2-M8) on Spark ML.
+"""Model specifications and fitting (M2-M8).
 
-Each spec becomes a ``PipelineModel`` of ``VectorAssembler`` (features bound by
-name) + regressor.  Tree parameters are mapped as documented: Spark grows trees
-level by level, so ``max_leaf_nodes = L`` becomes ``maxDepth = floor(log2 L)``
-(never more than L leaves); a depth beyond Spark's limit of 30 raises.
+A linear spec becomes a ``PipelineModel`` of ``VectorAssembler`` (features bound by name) and
+``LinearRegression``; trees and forests are grown best-first by ``kindling.models.leafwise``
+(``max_leaf_nodes``, ``max_depth``, ``min_samples_split`` and ``min_samples_leaf`` as given).
+Both kinds have ``transform``.
 """
 
 from __future__ import annotations
@@ -12,17 +12,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 
-from kindling.plans.materialize import run_concurrently, spread
+from kindling.models.leafwise import MAX_BINS, TreeModel, cv_leaf_limits, fit_hashed_forest, fit_leafwise
+from kindling.plans.materialize import run_concurrently
 from kindling.schema import CV_FOLDS, LEAF_GRID, TREE_SEED
 
 MODEL_TYPES = ("LinearRegression", "DecisionTreeRegressor", "RandomForestRegressor")
-SPARK_MAX_DEPTH = 30
 FEATURES_COL = "features"
 
 
@@ -38,62 +36,16 @@ class ModelSpec:
             raise ValueError(f"unsupported model type: {self.type}")
 
 
-def depth_for_leaves(max_leaf_nodes: int) -> int:
-    """Largest depth whose binary tree never has more than ``max_leaf_nodes`` leaves."""
-    if max_leaf_nodes < 2:
-        raise ValueError("max_leaf_nodes must be >= 2")
-    depth = int(max_leaf_nodes).bit_length() - 1
-    if depth > SPARK_MAX_DEPTH:
-        raise ValueError(f"max_leaf_nodes {max_leaf_nodes} needs a depth beyond Spark's limit of {SPARK_MAX_DEPTH}")
-    return depth
-
-
-def _tree_depth(hp: dict) -> int:
-    if hp.get("min_samples_split", 2) != 2:
-        raise ValueError("min_samples_split has no Spark equivalent (use min_instances_per_node)")
-    depth = hp.get("max_depth")
-    leaves = hp.get("max_leaf_nodes")
-    if depth is None and leaves is None:
-        raise ValueError("a tree needs max_depth or max_leaf_nodes")
-    if depth is not None and depth > SPARK_MAX_DEPTH:
-        raise ValueError(f"max_depth {depth} exceeds Spark's limit of {SPARK_MAX_DEPTH}")
-    cands = [d for d in (depth, depth_for_leaves(leaves) if leaves else None) if d is not None]
-    return min(cands)
-
-
-def make_regressor(spec: ModelSpec, label: str):
-    hp = dict(spec.hyperparameters)
-    common = dict(featuresCol=FEATURES_COL, labelCol=label, predictionCol="prediction")
-    if spec.type == "LinearRegression":
-        return LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0,
-                                fitIntercept=hp.get("fit_intercept", True), standardization=False, **common)
-    seed = hp.get("random_state", TREE_SEED)
-    if spec.type == "DecisionTreeRegressor":
-        depth = _tree_depth(hp)
-        return DecisionTreeRegressor(maxDepth=depth, seed=seed, minInstancesPerNode=hp.get("min_samples_leaf", 1),
-                                     **_tree_scale_params(hp, depth), **common)
-    depth = hp.get("max_depth")
-    if depth is None or depth > SPARK_MAX_DEPTH:
-        raise ValueError("a forest needs max_depth <= 30")
-    return RandomForestRegressor(numTrees=hp.get("n_estimators", 100), maxDepth=depth, seed=seed,
-                                 featureSubsetStrategy="all", subsamplingRate=1.0,
-                                 bootstrap=hp.get("bootstrap", True), **_tree_scale_params(hp, depth), **common)
-
-
-DEEP_TREE = 10  # from this depth on, cache node ids per row (Spark's advice for deep trees)
-
+_TREE = {"max_leaf_nodes", "max_depth", "min_samples_split", "min_samples_leaf", "max_bins", "random_state"}
+_KNOWN = {"LinearRegression": {"fit_intercept"}, "DecisionTreeRegressor": _TREE, "RandomForestRegressor": _TREE | {"n_estimators", "bootstrap"}}
 
-def _tree_scale_params(hp: dict, depth: int) -> dict:
-    """Binning and memory knobs of Spark's level-wise tree growth.
 
-    ``max_bins``: candidate thresholds per feature; ``max_memory_mb``: memory
-    for one level's split statistics (more nodes per pass when larger).  Deep
-    trees cache each row's node id instead of shipping the tree every level,
-    checkpointing that cache every 10 levels into ``spark.checkpoint.dir``.
-    """
-    deep = depth >= DEEP_TREE
-    return dict(maxBins=hp.get("max_bins", 64), maxMemoryInMB=hp.get("max_memory_mb", 256),
-                cacheNodeIds=hp.get("cache_node_ids", deep), checkpointInterval=10)
+def _hyperparameters(spec: ModelSpec) -> dict:
+    """The spec's parameters; an unknown name raises instead of being ignored."""
+    unknown = sorted(set(spec.hyperparameters) - _KNOWN[spec.type])
+    if unknown:
+        raise ValueError(f"{spec.name}: unsupported hyperparameters {unknown}")
+    return dict(spec.hyperparameters)
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -101,9 +53,17 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES_COL, handleInvalid="error")
 
 
-def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label: str) -> PipelineModel:
-    """M2 / M4 / M5: one spec -> fitted ``PipelineModel``."""
-    return Pipeline(stages=[assembler(features), make_regressor(spec, label)]).fit(train)
+def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label: str, key_cols: Sequence[str] = ()) -> PipelineModel | TreeModel:
+    """M2 / M4 / M5: one spec -> a fitted model.  ``key_cols`` name a row for a forest's resampling."""
+    hp = _hyperparameters(spec)
+    if spec.type == "LinearRegression":
+        reg = LinearRegression(featuresCol=FEATURES_COL, labelCol=label, predictionCol="prediction", solver="normal", regParam=0.0, elasticNetParam=0.0,
+                               fitIntercept=hp.get("fit_intercept", True), standardization=False)
+        return Pipeline(stages=[assembler(features), reg]).fit(train)
+    if spec.type == "DecisionTreeRegressor":
+        hp.pop("random_state", None)  # nothing in a tree of all features is drawn; ties have a fixed order
+        return fit_leafwise(train, features, label, **hp)
+    return fit_hashed_forest(train, features, label, key_cols, **{"random_state": TREE_SEED, **hp})
 
 
 def fit_linear(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
@@ -121,82 +81,43 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, **hp) -> P
     return fit_model(train, ModelSpec("random_forest", "RandomForestRegressor", hp), features, label)
 
 
-def fit_models(train: DataFrame, specs: Sequence[ModelSpec], features: Sequence[str],
-               label: str, parallelism: int | None = None) -> list[tuple[ModelSpec, PipelineModel]]:
-    """M6: every spec on the same training rows.
+def fit_models(train: DataFrame, specs: Sequence[ModelSpec], features: Sequence[str], label: str, parallelism: int = 3,
+               key_cols: Sequence[str] = ()) -> list[tuple[ModelSpec, PipelineModel | TreeModel]]:
+    """M6: every spec on the same training rows, up to ``parallelism`` at a time.
 
-    A training input with fewer partitions than the session's parallelism
-    (a small table) is spread, persisted for the several fits, and the fits are
-    submitted concurrently — when some spec trains iteratively (trees); the
-    normal-equation linear fit reads its input once, so it is never spread.  A large input is used as is and, by default,
-    fitted one model at a time: each fit already uses the whole cluster, and
-    every tree fit caches its own binned copy of the rows.
+    A fit keeps nothing cached: trees work on binned copies written to the checkpoint folder.
     """
-    iterative = any(s.type != "LinearRegression" for s in specs)   # normal equations: one pass
-    data, small = spread(train.select(*features, label)) if iterative else (train.select(*features, label), False)
-    if small:
-        data = data.persist()
-    workers = parallelism if parallelism is not None else (3 if small else 1)
-    try:
-        fits = run_concurrently({i: (lambda s=s: fit_model(data, s, features, label)) for i, s in enumerate(specs)},
-                                max_workers=workers)
-        return [(s, fits[i]) for i, s in enumerate(specs)]
-    finally:
-        if small:
-            data.unpersist()
+    data = train.select(*dict.fromkeys([*key_cols, *features, label]))
+    fits = run_concurrently({i: (lambda s=s: fit_model(data, s, features, label, key_cols)) for i, s in enumerate(specs)}, max_workers=parallelism)
+    return [(s, fits[i]) for i, s in enumerate(specs)]
 
 
 def tune_tree(train: DataFrame, features: Sequence[str], label: str, fold_col: str, folds: int = CV_FOLDS,
-              leaf_grid: Sequence[int] = LEAF_GRID, seed: int = TREE_SEED, parallelism: int | None = None) -> DataFrame:
-    """M7: k-fold CV (folds given by ``fold_col``) of leaf limits, mean MAE; first minimum wins.
+              leaf_grid: Sequence[int] = LEAF_GRID, max_bins: int = MAX_BINS) -> DataFrame:
+    """M7: k-fold CV (folds 0..folds-1 in ``fold_col``) of leaf limits, mean MAE; first minimum wins.
 
-    Leaf limits that map to the same depth share one CV fit.  Returns
-    (max_leaf_nodes, max_depth, cv_mae, is_best), one row per grid entry.
+    One tree per fold, all grown in the same passes, answers every limit: its first ``L - 1``
+    splits are the tree of ``L`` leaves.  Returns (max_leaf_nodes, cv_mae, is_best).
     """
-    depths = [depth_for_leaves(L) for L in leaf_grid]
-    uniq = sorted(set(depths))
-    # No spreading here: the folds' fits already run concurrently (``parallelism``)
-    # and extra partitions only add per-task overhead (measured at sf0.1).
-    data = assembler(features).transform(train.select(*features, label, fold_col)).persist()
-    if parallelism is None:
-        # concurrent CV fits for a small input; one at a time for a large one (memory)
-        parallelism = 4 if data.rdd.getNumPartitions() < data.sparkSession.sparkContext.defaultParallelism else 1
-    tree = DecisionTreeRegressor(featuresCol=FEATURES_COL, labelCol=label, seed=seed,
-                                 **_tree_scale_params({}, max(uniq)))
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, uniq).build()
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mae")
-    cv = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    try:
-        model = cv.fit(data)
-    finally:
-        data.unpersist()
-    by_depth = {pm[tree.maxDepth]: m for pm, m in zip(grid, model.avgMetrics)}
-    maes = [float(by_depth[d]) for d in depths]
+    maes = cv_leaf_limits(train, features, label, fold_col, folds, leaf_grid, max_bins)
     best = min(range(len(maes)), key=lambda i: maes[i])
-    rows = [(int(L), int(d), m, i == best) for i, (L, d, m) in enumerate(zip(leaf_grid, depths, maes))]
-    return train.sparkSession.createDataFrame(
-        rows, "max_leaf_nodes int, max_depth int, cv_mae double, is_best boolean")
-
-
-def _stage(model: PipelineModel):
-    return model.stages[-1]
+    rows = [(int(limit), mae, i == best) for i, (limit, mae) in enumerate(zip(leaf_grid, maes, strict=True))]
+    return train.sparkSession.createDataFrame(rows, "max_leaf_nodes int, cv_mae double, is_best boolean")
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame | None:
+def feature_importance(model: PipelineModel | TreeModel, features: Sequence[str]) -> DataFrame | None:
     """M8: (feature, importance) descending; None for a model without importances."""
-    reg = _stage(model)
-    if not hasattr(reg, "featureImportances"):
+    if not isinstance(model, TreeModel):
         return None
-    imp = reg.featureImportances.toArray().tolist()
+    imp = dict(zip(model.features, model.importances(), strict=True))
     spark = SparkSession.getActiveSession()
-    rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
+    rows = sorted(((f, imp[f]) for f in features), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def coefficients(model: PipelineModel | TreeModel, features: Sequence[str]) -> DataFrame:
     """M3: (feature, coefficient) sorted descending, intercept last."""
-    reg = _stage(model)
+    reg = None if isinstance(model, TreeModel) else model.stages[-1]
     if not hasattr(reg, "coefficients"):
         raise ValueError("model has no coefficients")
     spark = SparkSession.getActiveSession()
@@ -205,11 +126,16 @@ def coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """Spark ML persistence (any Hadoop filesystem)."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | TreeModel, path: str) -> str:
+    """Saved through Spark, on any Hadoop filesystem."""
+    if isinstance(model, TreeModel):
+        model.save(SparkSession.builder.getOrCreate(), path)  # also from a thread of its own
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | TreeModel:
+    spark = SparkSession.builder.getOrCreate()
+    head = spark.read.text(f"{path}/metadata").first()
+    return TreeModel.load(spark, path) if head and "leafwise trees" in head[0] else PipelineModel.load(path)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindling.functions.columns import num, safe_div, sample_std
+from kindling.operators.gram import correlations
 from kindling.operators.selection import exact_quantiles, exact_quantiles_of
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
@@ -66,51 +67,13 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def _pair_corr(x: Column, y: Column, x_nulls: bool = True, y_nulls: bool = True) -> Column:
-    """Pearson over rows where both are non-NULL; NULL for a constant side (never raises).
+def correlation_matrix(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """A3: full Pearson matrix in long form (a, b, i, j, corr), pairwise-complete, per group.
 
-    When neither column holds a NULL the masks are dropped, so the per-column
-    std terms are shared by every pair (Spark de-duplicates equal aggregates).
+    One pass of mergeable pair sums (``kindling.operators.gram``): the plan doesn't grow with the
+    columns.  The diagonal is 1; a constant column's cells are NULL.
     """
-    masked = x_nulls or y_nulls
-    xs = F.when(y.isNotNull(), x) if masked else x
-    ys = F.when(x.isNotNull(), y) if masked else y
-    return safe_div(F.covar_samp(xs, ys), sample_std(xs) * sample_std(ys))
-
-
-def _null_flags(df: DataFrame, cols: Sequence[str]) -> list[bool]:
-    """Which columns hold a NULL (one small aggregate; nullable=false needs no pass)."""
-    nullable = [c for c in cols if df.schema[c].nullable]
-    if not nullable:
-        return [False] * len(cols)
-    row = df.agg(*[F.max(num(c).isNull()).alias(f"n{i}") for i, c in enumerate(nullable)]).first()
-    has = {c: bool(row[f"n{i}"]) for i, c in enumerate(nullable)}
-    return [has.get(c, False) for c in cols]
-
-
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A3: full Pearson matrix in long form (a, b, i, j, corr), pairwise-complete.
-
-    One aggregate with k(k-1)/2 pair terms; the diagonal is 1 (NULL for a
-    constant column); the matrix is mirrored, not recomputed.
-    """
-    cols = list(cols)
-    nulls = _null_flags(df, cols)
-    x = [num(c) for c in cols]
-    aggs = [sample_std(x[i]).alias(f"s{i}") for i in range(len(cols))]
-    aggs += [_pair_corr(x[i], x[j], nulls[i], nulls[j]).alias(f"c{i}_{j}")
-             for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                val = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-            else:
-                val = F.col(f"c{min(i, j)}_{max(i, j)}")
-            rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"),
-                                 F.lit(j).alias("j"), val.cast("double").alias("corr")))
-    return wide.select(_long(rows))
+    return correlations(df, cols, group_cols)
 
 
 def lower_triangle(corr: DataFrame) -> DataFrame:
@@ -121,12 +84,8 @@ def lower_triangle(corr: DataFrame) -> DataFrame:
 def top_correlates(df: DataFrame, target: str, cols: Sequence[str], k: int = TOP_CORRELATES) -> DataFrame:
     """A5: features by signed correlation with the target, descending (NULL last, name breaks ties), top k."""
     feats = [c for c in cols if c != target]
-    t = num(target)
-    nulls = _null_flags(df, [*feats, target])
-    wide = df.agg(*[_pair_corr(num(c), t, nulls[i], nulls[-1]).alias(f"c{i}")
-                    for i, c in enumerate(feats)])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("corr")) for i, c in enumerate(feats)]
-    return wide.select(_long(rows)).orderBy(F.col("corr").desc_nulls_last(), F.col("feature")).limit(k)
+    cells = correlations(df, [*feats, target]).where((F.col("b") == target) & (F.col("a") != target))
+    return cells.select(F.col("a").alias("feature"), "corr").orderBy(F.col("corr").desc_nulls_last(), F.col("feature")).limit(k)
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -43,7 +43,7 @@ def frp_per_area(df: DataFrame, frp: str = "frp", scan: str = "scan", track: str
 def temperature_diff(df: DataFrame, a: str = "brightness", b: str = "bright_t31",
                      out: str = "temperature_diff") -> DataFrame:
     """A - b.  With the default columns this contains the target (leakage)."""
-    return df.withColumn(out, F.col(a) - F.col(b))
+    return df.withColumn(out, num(a) - num(b))
 
 
 def log_transform(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -85,8 +85,8 @@ def improvement_pct(scores: DataFrame, base: str, other: str, metric: str = "mae
 
 
 def residuals(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """residual = y - yhat next to the prediction."""
-    return pred.withColumn("residual", F.col(label) - F.col(prediction))
+    """residual = y - yhat next to the prediction; NULL where either is missing (NaN too)."""
+    return pred.withColumn("residual", num(label) - num(prediction))
 
 
 def prediction_bounds(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -112,14 +112,14 @@ def predictions_vs_actual(pred: DataFrame, label: str = "label", prediction: str
         return F.when(span == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
 
     if g:
-        # One bounds row per group: written and counted, broadcast when small, else
+        # One bounds row per group: written and measured, broadcast when small, else
         # joined by shuffle; a NULL group matches itself either way.
         bounds = materialize(bounds, "pva-bounds")
         other = bounds.withColumnsRenamed({c: f"__{c}" for c in g})
         on = F.lit(True)
         for c in g:
             on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-        joined = pred.join(broadcast_if_small(other, bounds.count()), on).drop(*other.columns[:len(g)])
+        joined = pred.join(broadcast_if_small(other), on).drop(*other.columns[:len(g)])
     else:
         lo, hi = (bounds.select(c).scalar() for c in ("lo", "hi"))
         joined = pred.withColumns({"lo": lo, "hi": hi})

@@ -93,3 +93,33 @@ def fold_column(df: DataFrame, key_cols: Sequence[str] | str, folds: int = 5, se
     """Cross-validation fold in 0..folds-1 from a hash of the key (partition-independent)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds)).cast("int"))
+
+
+def contiguous_fold_column(df: DataFrame, key_cols: Sequence[str] | str, folds: int = 5, seed: int = SPLIT_SEED,
+                           name: str = "fold", **select_kw) -> DataFrame:
+    """Cross-validation folds 0..folds-1 as contiguous blocks of the split's shuffled order, of sizes
+    that differ by one at most (the first ``n % folds`` folds are larger).
+
+    The blocks' last rows are found by exact rank (no global sort); a row's fold is the number of
+    them that it comes after.  ``key_cols`` must identify rows.
+    """
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    if folds < 2:
+        raise ValueError("folds must be >= 2")
+    hashed = df.select(split_hash(seed, *keys).alias(_H), *keys)
+    sort_key = F.conv(F.substring(F.col(_H), 1, 15), 16, 10).cast("long")
+
+    def last_of(i: int):
+        def rank(n: int) -> int:
+            if n < folds:
+                raise ValueError(f"{folds} folds of {n} rows leave an empty fold")
+            return (i + 1) * (n // folds) + min(i + 1, n % folds)
+
+        return rank
+
+    _, got = select_ranks_local(hashed, sort_key, {f"cut{i}": last_of(i) for i in range(folds - 1)}, tiebreak=[_H, *keys], **select_kw)
+    fold = F.lit(0)
+    for cut in got.values():
+        after = ~_lex_le([split_hash(seed, *keys), *[F.col(k) for k in keys]], tuple(cut[c] for c in [_H, *keys]))
+        fold = fold + after.cast("int")
+    return df.withColumn(name, fold)

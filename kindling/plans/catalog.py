@@ -26,9 +26,10 @@ from kindling.models.specs import (
     tune_tree,
 )
 from kindling.operators import clean, explore, features, metrics
+from kindling.operators.gram import linear_fits
 from kindling.operators.selection import exact_quantiles_of
-from kindling.operators.split import fold_column, train_test_split
-from kindling.plans.workflow import WorkflowOptions, evaluate_performance, run_workflow
+from kindling.operators.split import contiguous_fold_column, train_test_split
+from kindling.plans.workflow import evaluate_performance, run_workflow, shipped_options
 from kindling.session import ensure_checkpoint_dir
 from kindling.sources.readers import read_table
 from kindling.sources import sinks
@@ -253,6 +254,32 @@ def _order_model_predictions(spark, sf):
     return lin.unionByName(mean)
 
 
+def q_wide_correlations(spark, sf):
+    """Forty columns, each with NULLs of its own, in one plan."""
+    li = _t(spark, sf, "lineitem")
+    cols = [F.when(F.col("l_linenumber") % 7 != i % 7, F.col(c) * F.lit(1.0 + i % 3) + F.col("l_quantity") * F.lit(float(i % 5))).alias(f"v{i}")
+            for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"] * 10)]
+    m = explore.correlation_matrix(li.select(*cols), [f"v{i}" for i in range(40)])
+    return explore.lower_triangle(m).select("a", "b", F.round("corr", 6).alias("corr"))
+
+
+def q_group_correlations(spark, sf):
+    m = explore.correlation_matrix(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"])
+    return explore.lower_triangle(m).select("l_returnflag", "l_linestatus", "a", "b", F.round("corr", 6).alias("corr"))
+
+
+def q_linear_by_year(spark, sf):
+    """One pass of normal equations, one fit per order year."""
+    o = _order_features(spark, sf).withColumn("year", F.year(F.col("acq_date").cast("date")))
+    return linear_fits(o, _CELL_FEATURES, "o_totalprice", ["year"]).select("year", "n", "term", F.round("coefficient", 4).alias("coefficient"), F.round("r2", 6).alias("r2"))
+
+
+def q_linear_leave_fold_out(spark, sf):
+    """The training fit of every fold, from the folds' states."""
+    o = contiguous_fold_column(_order_features(spark, sf), "o_orderkey", 5, 1)
+    return linear_fits(o, _CELL_FEATURES, "o_totalprice", ["fold"], leave_out=True).select("fold", "n", "term", F.round("coefficient", 4).alias("coefficient"), F.round("r2", 6).alias("r2"))
+
+
 def q_train_test_r2(spark, sf):
     train, test = train_test_split(_t(spark, sf, "orders"), "o_orderkey", 0.25, 1)
     fitted = fit_models(train, [ModelSpec("linear", "LinearRegression")], ["o_custkey"], "o_totalprice")
@@ -356,62 +383,97 @@ def q_resolve_latest(spark, sf):
     return registry.resolve_model(_order_registry(spark, sf), "URGENT", "1990", ["1991"])
 
 
-_TREE_FEATURES = ["o_custkey", "month", "priority"]
+_TREE_FEATURES = ["o_custkey", "day", "month", "priority"]
+_CELL_FEATURES = ["priority", "quarter"]  # twenty cells: trees that split all of them predict cell means
 
 
 def _order_features(spark, sf):
     o = _t(spark, sf, "orders")
-    return o.select("o_orderkey", "o_custkey", F.month("o_orderdate").cast("double").alias("month"),
+    date = F.col("o_orderdate").cast("date")
+    return o.select("o_orderkey", F.col("o_orderdate").alias("acq_date"), "o_custkey", F.datediff(date, F.lit("1992-01-01").cast("date")).cast("double").alias("day"),
+                    F.month(date).cast("double").alias("month"), F.quarter(date).cast("double").alias("quarter"),
                     F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"), "o_totalprice")
 
 
+def _order_train(spark, sf):
+    return train_test_split(_order_features(spark, sf), "o_orderkey", 0.25, 1)[0]
+
+
+def _rounded(scores, *more):
+    cols = [F.round(c, d).alias(c) for c, d in (("mae", 4), ("rmse", 4), ("r2", 6)) if c in scores.columns]
+    return scores.select("model", "is_default", *cols, *more)
+
+
+def q_leafwise_tree(spark, sf):
+    """Best-first tree of twenty leaves over twenty cells, as predictions per cell."""
+    train = _order_train(spark, sf)
+    m = fit_model(train, ModelSpec("tree", "DecisionTreeRegressor", {"max_leaf_nodes": 20}), _CELL_FEATURES, "o_totalprice")
+    return m.transform(train).groupBy(*_CELL_FEATURES).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 4).alias("prediction"))
+
+
 def q_tree_importance(spark, sf):
-    train, _ = train_test_split(_order_features(spark, sf), "o_orderkey", 0.25, 1)
-    m = fit_model(train, ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 100}),
+    m = fit_model(_order_train(spark, sf), ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 200}),
                   _TREE_FEATURES, "o_totalprice")
     return feature_importance(m, _TREE_FEATURES)
 
 
+def _cell_specs():
+    return [ModelSpec("linear_regression", "LinearRegression"),
+            ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 200}, is_default=True),
+            ModelSpec("random_forest", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 10, "random_state": 42}, is_default=True)]
+
+
+def q_model_scores(spark, sf):
+    """Linear model, tree and hashed forest on one split, scored in one aggregate, with default and best flags."""
+    train, test = train_test_split(_order_features(spark, sf), "o_orderkey", 0.25, 1)
+    fitted = fit_models(train, _cell_specs(), _CELL_FEATURES, "o_totalprice", key_cols=["o_orderkey"])
+    scores = evaluate_performance(score_models(test, fitted, _CELL_FEATURES, "o_totalprice"))
+    return _rounded(scores, F.round("explained_variance", 6).alias("explained_variance"), "n", "is_best")
+
+
 def q_forest_scores(spark, sf):
     train, test = train_test_split(_order_features(spark, sf), "o_orderkey", 0.25, 1)
-    specs = [ModelSpec("linear_regression", "LinearRegression"),
-             ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 200}, is_default=True),
-             ModelSpec("random_forest", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 10},
-                       is_default=True)]
-    fitted = fit_models(train, specs, _TREE_FEATURES, "o_totalprice")
+    fitted = fit_models(train, _cell_specs(), _TREE_FEATURES, "o_totalprice", key_cols=["o_orderkey"])
     return evaluate_performance(score_models(test, fitted, _TREE_FEATURES, "o_totalprice"))
 
 
+def q_contiguous_folds(spark, sf):
+    folded = contiguous_fold_column(_t(spark, sf, "orders"), "o_orderkey", 5, 1)
+    return folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 def q_tune_tree(spark, sf):
-    train, _ = train_test_split(_order_features(spark, sf), "o_orderkey", 0.25, 1)
-    train = fold_column(train, "o_orderkey", 5, 1)
-    return tune_tree(train, _TREE_FEATURES, "o_totalprice", "fold", folds=5, leaf_grid=[50, 100, 200, 500])
+    train = contiguous_fold_column(_order_train(spark, sf), "o_orderkey", 5, 1)
+    return tune_tree(train, _TREE_FEATURES, "o_totalprice", "fold", max_bins=255)
+
+
+def q_tune_tree_folds(spark, sf):
+    """The same search where every limit allows all cells: held-out errors of cell means, the first limit wins."""
+    train = contiguous_fold_column(_order_train(spark, sf), "o_orderkey", 5, 1)
+    t = tune_tree(train, _CELL_FEATURES, "o_totalprice", "fold")
+    return t.select("max_leaf_nodes", F.round("cv_mae", 4).alias("cv_mae"), "is_best")
 
 
 def q_workflow(spark, sf):
-    o = _order_features(spark, sf)
-    opts = WorkflowOptions(key_cols=["o_orderkey"], target="o_totalprice", features=_TREE_FEATURES,
-                           critical_columns=_TREE_FEATURES, date_col="none",
-                           outliers={"enabled": True, "column": "o_totalprice", "std_threshold": 3},
-                           specs=[ModelSpec("linear_regression", "LinearRegression"),
-                                  ModelSpec("decision_tree", "DecisionTreeRegressor", {"max_leaf_nodes": 100}),
-                                  ModelSpec("random_forest", "RandomForestRegressor",
-                                            {"n_estimators": 5, "max_depth": 5}, is_default=True)])
-    res = run_workflow(spark, o, opts, _scratch(spark, "workflow"), run_id=1)
-    return res["scores"]
+    """The shipped configuration's cleaning, models and metrics over orders."""
+    opts = shipped_options(key_cols=["o_orderkey"], target="o_totalprice", features=_CELL_FEATURES, critical_columns=[*_CELL_FEATURES, "o_totalprice"],
+                           outliers={"enabled": True, "column": "o_totalprice", "std_threshold": 3})
+    res = run_workflow(spark, _order_features(spark, sf), opts, _scratch(spark, "workflow"), run_id=1)
+    return _rounded(res["scores"])
 
 
 def q_stream_score(spark, sf):
-    o = _order_features(spark, sf)
-    model = fit_linear(o, _TREE_FEATURES, "o_totalprice")
+    """A linear model over a file stream of orders; rows out of range have no prediction."""
+    model = fit_linear(_order_features(spark, sf), _CELL_FEATURES, "o_totalprice")
     stream = read_stream(spark, sf, _t(spark, sf, "orders").schema, pattern="orders.parquet")
-    feats = stream.select("o_orderkey", "o_custkey", F.month("o_orderdate").cast("double").alias("month"),
+    date = F.col("o_orderdate").cast("date")
+    feats = stream.select("o_orderkey", F.quarter(date).cast("double").alias("quarter"),
                           F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"))
-    scored = score_frame(feats, model, _TREE_FEATURES, {"month": (1, 12), "priority": (1, 5)})
+    scored = score_frame(feats, model, _CELL_FEATURES, {"quarter": (1, 3), "priority": (1, 5)})
     out = _scratch(spark, "stream-out")
     q = start_scoring(scored, out, _scratch(spark, "stream-ckpt"), available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("o_orderkey", "valid", F.round("prediction", 2).alias("prediction"), "intensity", F.round("radius", 2).alias("radius"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -437,6 +499,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "correlations": q_correlations,
     "lower_triangle": q_lower_triangle,
     "top_correlates": q_top_correlates,
+    "wide_correlations": q_wide_correlations,
+    "group_correlations": q_group_correlations,
+    "linear_by_year": q_linear_by_year,
+    "linear_leave_fold_out": q_linear_leave_fold_out,
     "histogram": q_histogram,
     "histogram_events": q_histogram_events,
     "numeric_histograms": q_numeric_histograms,
@@ -460,9 +526,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preview": q_preview,
     "resolve_model": q_resolve_model,
     "resolve_latest": q_resolve_latest,
+    "leafwise_tree": q_leafwise_tree,
     "tree_importance": q_tree_importance,
+    "model_scores": q_model_scores,
     "forest_scores": q_forest_scores,
+    "contiguous_folds": q_contiguous_folds,
     "tune_tree": q_tune_tree,
+    "tune_tree_folds": q_tune_tree_folds,
     "workflow": q_workflow,
     "stream_score": q_stream_score,
 }

@@ -22,31 +22,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Largest row count broadcast when a small side's size is checked by counting it.
-BROADCAST_MAX_ROWS = 1_000_000
+#: A written side is broadcast up to this many bytes of values, which are measured.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count ``rows`` was measured (e.g. a
-    written table); above ``limit`` the planner keeps a shuffle join."""
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint for a written table whose measured size is within ``limit``; above
+    it the planner keeps a shuffle join."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= limit else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> tuple[DataFrame, bool]:
-    """Round-robin ``df`` over at least ``min_partitions`` (default: the session's
-    parallelism) when it has fewer, e.g. a one-row-group file feeding an
-    iterative ML fit.  Inputs that are already split (any large table) are
-    returned untouched, so no shuffle is added at scale.  Returns (df, changed).
-
-    Meant for scan/filter inputs (the library passes training splits read from
-    files): counting partitions plans the input's RDD, which under AQE would
-    run any shuffle stages it contains ahead of time."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df, False
-    return df.repartition(target), True
+    width = sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")], F.lit(16 * len(df.columns)))
+    size = df.agg(F.sum(width.cast("long")).alias("size")).first()["size"]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def run_concurrently(tasks: dict, max_workers: int = 4) -> dict:

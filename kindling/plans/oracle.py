@@ -7,6 +7,9 @@ BIGINT (DuckDB widens them to HUGEINT), ``year``/``rank`` to INTEGER.
 
 from __future__ import annotations
 
+from kindling.models.leafwise import POISSON
+from kindling.schema import LEAF_GRID
+
 _SPLIT = ("select *, row_number() over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) rn, "
           "count(*) over () c from orders")
 
@@ -71,6 +74,54 @@ def _corr_cells(lower_only: bool) -> str:
     return " union all ".join(parts)
 
 
+_CELLS = ("select o_orderkey, cast(substr(o_orderpriority, 1, 1) as double) p, cast(quarter(cast(o_orderdate as date)) as double) q, "
+          "cast(o_totalprice as double) y from orders")
+_OLS = """select avg(y) - b1 * avg(p) - b2 * avg(q) a, b1, b2 from {0}, (
+  select (cp * vq - cq * c) / (vp * vq - c * c) b1, (cq * vp - cp * c) / (vp * vq - c * c) b2
+  from (select var_samp(p) vp, var_samp(q) vq, covar_samp(p, q) c, covar_samp(p, y) cp, covar_samp(q, y) cq from {0})) group by b1, b2"""
+#: Poisson(1) weight of a row in a tree from 52 bits of md5('42:<tree>:<key>').
+_POISSON = " + ".join(f"cast(u >= {b} as int)" for b in POISSON)
+
+
+def _cell_models(source: str, columns: str) -> str:
+    """Scores of a linear model, a tree of all cells and a forest of five such trees on Poisson resamples."""
+    return f"""
+with s as ({source}),
+k as (select *, row_number() over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) rn, count(*) over () c from s),
+tr as (select * from k where rn > ceil(0.25 * c)), te as (select * from k where rn <= ceil(0.25 * c)),
+ols as ({_OLS.format('tr')}),
+cell as (select p, q, avg(y) mu from tr group by 1, 2),
+u as (select tr.*, t, cast('0x' || substr(md5(concat('42:', cast(t as varchar), ':', cast(o_orderkey as varchar))), 1, 13) as bigint) u from tr, range(5) r(t)),
+w as (select p, q, t, sum(({_POISSON}) * y) / sum({_POISSON}) mu from u group by 1, 2, 3),
+forest as (select p, q, avg(mu) mu from w group by 1, 2),
+m as (select 'linear_regression' model, y, a + b1 * p + b2 * q yh from te, ols
+      union all select 'decision_tree', y, mu from te join cell using (p, q)
+      union all select 'random_forest', y, mu from te join forest using (p, q)),
+r as (select model, count(*) n, avg(abs(y - yh)) mae, sqrt(avg((y - yh) * (y - yh))) rmse, 1 - sum((y - yh) * (y - yh)) / (var_pop(y) * count(*)) r2,
+             1 - var_pop(y - yh) / var_pop(y) ev from m group by model)
+select model, model = 'random_forest' is_default, round(mae, 4) mae, round(rmse, 4) rmse, round(r2, 6) r2{columns} from r"""
+
+
+def _wide_correlations() -> str:
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"] * 10
+    cols = ", ".join(f"case when l_linenumber % 7 <> {i % 7} then {c} * {1 + i % 3} + l_quantity * {i % 5} end v{i}" for i, c in enumerate(names))
+    cells = ", ".join(f"{{'a': 'v{i}', 'b': 'v{j}', 'corr': round(corr(v{i}, v{j}), 6)}}" for i in range(40) for j in range(i))
+    return f"select unnest(cells, recursive := true) from (select [{cells}] cells from (select {cols} from lineitem))"
+
+
+def _group_fits(source: str, over: str, name: str) -> str:
+    """Two-feature least squares of each group ``a`` over the rows of the groups ``b`` with ``over``."""
+    return f"""
+with z as ({source}), v as (
+  select a.g, count(*) n, avg(p) mp, avg(q) mq, avg(y) my, covar_samp(p, q) c, var_samp(p) vp, var_samp(q) vq, covar_samp(p, y) cp, covar_samp(q, y) cq, var_samp(y) vy
+  from (select distinct g from z) a join z b on {over} group by 1),
+f as (select *, (cp * vq - cq * c) / (vp * vq - c * c) b1, (cq * vp - cp * c) / (vp * vq - c * c) b2 from v)
+select g as {name}, n, t.term, round(case t.term when 'priority' then b1 when 'quarter' then b2 else my - b1 * mp - b2 * mq end, 4) coefficient,
+       round((b1 * cp + b2 * cq) / vy, 6) r2
+from f, (values ('priority'), ('quarter'), ('intercept')) t(term)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "drop_missing": "select count(*) n, round(sum(d), 4) s from (select nullif(l_discount, 0.0) d from lineitem) "
                     "where d is not null",
@@ -241,4 +292,32 @@ def _positive_zero_rounds(sql: str) -> str:
     return "".join(out)
 
 
+ORACLE_SQL |= {
+    "leafwise_tree": f"with k as (select *, row_number() over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) rn, count(*) over () c from ({_CELLS})) "
+                     "select p as \"priority\", q as \"quarter\", count(*) n, round(avg(y), 4) prediction from k where rn > ceil(0.25 * c) group by 1, 2",
+    "model_scores": _cell_models(_CELLS, ", round(ev, 6) explained_variance, n, mae = min(mae) over () is_best"),
+    "workflow": _cell_models(f"with z as ({_CELLS}), m as (select avg(y) mu, stddev_samp(y) sd from z) select z.* from z, m where y > mu - 3 * sd and y < mu + 3 * sd", ""),
+    "wide_correlations": _wide_correlations(),
+    "group_correlations": " union all ".join(f"select l_returnflag, l_linestatus, '{a}' a, '{b}' b, round(corr({a}, {b}), 6) corr from lineitem group by 1, 2"
+                                             for i, a in enumerate(_CORR) for b in _CORR[:i]),
+    "linear_by_year": _group_fits(f"select z.*, cast(year(cast(o_orderdate as date)) as integer) g from ({_CELLS}) z join orders using (o_orderkey)", "b.g = a.g", '"year"'),
+    "linear_leave_fold_out": _group_fits(f"select *, cast(ntile(5) over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) - 1 as integer) g from ({_CELLS})", "b.g <> a.g", "fold"),
+    "contiguous_folds": "select fold, count(*) n, cast(sum(o_orderkey) as bigint) \"keys\" from (select o_orderkey, cast(ntile(5) over "
+                        "(order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) - 1 as integer) fold from orders) group by 1",
+    "tune_tree_folds": f"""
+with k as (select *, row_number() over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) rn, count(*) over () c from ({_CELLS})),
+f as (select *, ntile(5) over (order by rn) - 1 fold from k where rn > ceil(0.25 * c)),
+h as (select a.fold, a.y, (select avg(b.mu * b.n) / avg(b.n) from (select fold, p, q, avg(y) mu, count(*) n from f group by 1, 2, 3) b
+                           where b.p = a.p and b.q = a.q and b.fold <> a.fold) yh from f a),
+m as (select avg(e) e from (select fold, avg(abs(y - yh)) e from h group by 1))
+select cast(l as integer) max_leaf_nodes, round(e, 4) cv_mae, l = {LEAF_GRID[0]} is_best from m, (select unnest([{", ".join(map(str, LEAF_GRID))}]) l)
+""",
+    "stream_score": f"""
+with s as ({_CELLS}), ols as ({_OLS.format('s')}),
+r as (select o_orderkey, q between 1 and 3 and p between 1 and 5 valid, case when q between 1 and 3 and p between 1 and 5 then a + b1 * p + b2 * q end yh from s, ols)
+select o_orderkey, valid, round(yh, 2) prediction, case when yh > 400 then 'High' when yh > 350 then 'Moderate' when yh is not null then 'Low' end intensity,
+       round(yh * 50, 2) radius from r
+""",
+}
+
 ORACLE_SQL = {name: _positive_zero_rounds(text) for name, text in ORACLE_SQL.items()}

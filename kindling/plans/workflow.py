@@ -30,14 +30,13 @@ from kindling.operators.metrics import (
     predictions_vs_actual,
     residuals,
 )
-from kindling.operators.split import fold_column, train_test_split
+from kindling.operators.split import contiguous_fold_column, train_test_split
 from kindling.plans.eda import eda_tables
 from kindling.plans.materialize import run_concurrently
 from kindling.schema import (
     CRITICAL_COLUMNS,
     CV_FOLDS,
     LEAF_GRID,
-    TREE_SEED,
     FEATURES,
     SHIPPED_METRICS,
     SHIPPED_MODELS,
@@ -171,8 +170,8 @@ def _tune_unset_trees(train: DataFrame, key_cols: list[str], opts: WorkflowOptio
              and "max_leaf_nodes" not in s.hyperparameters and "max_depth" not in s.hyperparameters]
     if not needs:
         return list(opts.specs), None
-    folded = fold_column(train, key_cols, CV_FOLDS, opts.seed)
-    table = tune_tree(folded, opts.features, opts.target, "fold", CV_FOLDS, LEAF_GRID, TREE_SEED)
+    folded = contiguous_fold_column(train, key_cols, CV_FOLDS, opts.seed)
+    table = tune_tree(folded, opts.features, opts.target, "fold", CV_FOLDS, LEAF_GRID)
     path = write_run(table, f"{out}/tuning", run_id)
     best = table.where("is_best").first()["max_leaf_nodes"]
     tuned = [ModelSpec(s.name, s.type, {**s.hyperparameters, "max_leaf_nodes": best}, s.is_default)
@@ -230,7 +229,7 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         train, test = (spark.read.parquet(f"{out}/{part}/run_id={run_id}") for part in ("train", "test"))
 
         specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
-        fitted = fit_models(train, specs, opts.features, opts.target)
+        fitted = fit_models(train, specs, opts.features, opts.target, key_cols=key_cols)
         model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
                                         for s, m in fitted})  # noqa: E501
 
