@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindling.functions.columns import band_label, radius
 from kindling.models.scoring import score_models, stacked_predictions, train_and_test_r2
@@ -31,7 +32,8 @@ from kindling.operators.selection import exact_quantiles_of
 from kindling.operators.split import contiguous_fold_column, train_test_split
 from kindling.plans.workflow import evaluate_performance, run_workflow, shipped_options
 from kindling.session import ensure_checkpoint_dir
-from kindling.sources.readers import read_table
+from kindling.sources.readers import read_detections, read_table
+from kindling.sources.text import read_text, reject_counts, typed
 from kindling.sources import sinks
 from kindling.sources import registry
 from kindling.sources.registry import list_runs
@@ -462,6 +464,48 @@ def q_workflow(spark, sf):
     return _rounded(res["scores"])
 
 
+def _order_csv(spark, sf):
+    """Orders as CSV whose fields hold missing-value texts, whole numbers with a fraction, and fields that don't parse."""
+    o = _t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 5 == 0, "NA").when(k % 7 == 0, "oops").when(k % 11 == 0, "1d").otherwise(F.col("o_totalprice").cast("string"))
+    cust = F.when(k % 3 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).when(k % 13 == 0, "1.5").otherwise(F.col("o_custkey").cast("string"))
+    late = F.when(k % 4 == 0, "n/a").otherwise(F.when(F.month(F.col("o_orderdate").cast("date")) > 6, "True").otherwise("False"))
+    said = F.concat(F.col("o_orderpriority"), F.lit(', "'), F.col("o_orderstatus"), F.lit('"'))
+    path = _scratch(spark, "orders-csv")
+    o.select("o_orderkey", cust.alias("o_custkey"), price.alias("o_totalprice"), late.alias("late"), said.alias("said")).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def q_csv_round_trip(spark, sf):
+    """Orders through CSV and back with inferred types: per column its type, values present and a checksum."""
+    o = _t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("o_custkey"), "o_totalprice", "o_orderpriority",
+                                       (F.col("o_orderkey") % 2 == 0).alias("even"))
+    path = _scratch(spark, "csv-round-trip")
+    sinks.write_table(o, path, "csv")
+    back = read_detections(spark, path, schema=None)
+    types = dict(back.dtypes)
+    check = {"o_orderkey": F.sum("o_orderkey"), "o_custkey": F.sum("o_custkey"), "o_totalprice": F.sum("o_totalprice"), "o_orderpriority": F.sum(F.length("o_orderpriority")),
+             "even": F.sum(F.col("even").cast("int"))}
+    wide = back.agg(*[e for c, x in check.items() for e in (F.count(c).alias(f"n_{c}"), F.round(x.cast("double"), 2).alias(f"s_{c}"))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(f"n_{c}").alias("n"), F.col(f"s_{c}").alias("total")) for c in check])))
+
+
+def q_csv_rejects(spark, sf):
+    """Fields of a damaged CSV that don't parse as declared, counted by column and reason."""
+    schema = "o_orderkey long, o_custkey int, o_totalprice double, late boolean, said string"
+    return reject_counts(typed(read_text(spark, _order_csv(spark, sf)), T.StructType.fromDDL(schema)))
+
+
+def q_csv_stream(spark, sf):
+    """The same CSV as a file stream: values are those that batch reads."""
+    schema = T.StructType.fromDDL("o_orderkey long, o_custkey int, o_totalprice double, late boolean, said string")
+    out = _scratch(spark, "csv-stream")
+    q = read_stream(spark, _order_csv(spark, sf), schema, "csv", pattern="*.csv").writeStream.format("parquet").option("checkpointLocation", _scratch(spark, "csv-ckpt"))
+    q.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(schema).parquet(out).select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"), "late", "said")
+
+
 def q_stream_score(spark, sf):
     """A linear model over a file stream of orders; rows out of range have no prediction."""
     model = fit_linear(_order_features(spark, sf), _CELL_FEATURES, "o_totalprice")
@@ -534,5 +578,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tune_tree": q_tune_tree,
     "tune_tree_folds": q_tune_tree_folds,
     "workflow": q_workflow,
+    "csv_round_trip": q_csv_round_trip,
+    "csv_rejects": q_csv_rejects,
+    "csv_stream": q_csv_stream,
     "stream_score": q_stream_score,
 }

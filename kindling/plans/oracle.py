@@ -302,6 +302,24 @@ ORACLE_SQL |= {
                                              for i, a in enumerate(_CORR) for b in _CORR[:i]),
     "linear_by_year": _group_fits(f"select z.*, cast(year(cast(o_orderdate as date)) as integer) g from ({_CELLS}) z join orders using (o_orderkey)", "b.g = a.g", '"year"'),
     "linear_leave_fold_out": _group_fits(f"select *, cast(ntile(5) over (order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) - 1 as integer) g from ({_CELLS})", "b.g <> a.g", "fold"),
+    "csv_round_trip": """
+with o as (select o_orderkey, case when o_orderkey % 9 <> 0 then o_custkey end o_custkey, o_totalprice, o_orderpriority, (o_orderkey % 2 = 0) even from orders)
+select 'o_orderkey' as "column", 'bigint' as "type", count(*) n, round(sum(o_orderkey)::double, 2) total from o
+union all select 'o_custkey', 'bigint', count(o_custkey), round(sum(o_custkey)::double, 2) from o
+union all select 'o_totalprice', 'double', count(*), round(sum(o_totalprice)::double, 2) from o
+union all select 'o_orderpriority', 'string', count(*), round(sum(length(o_orderpriority))::double, 2) from o
+union all select 'even', 'boolean', count(*), round(sum(even::int)::double, 2) from o
+""",
+    "csv_rejects": """
+select * from (select 'o_totalprice' as "column", 'not a double' reason, count(*) filter (o_orderkey % 5 <> 0 and (o_orderkey % 7 = 0 or o_orderkey % 11 = 0)) n from orders
+union all select 'o_custkey', 'not a int', count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 13 = 0) from orders) where n > 0
+""",
+    "csv_stream": """
+select o_orderkey, case when o_orderkey % 3 = 0 or o_orderkey % 13 <> 0 then o_custkey::integer end o_custkey,
+       case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 then round(o_totalprice::double, 2) end o_totalprice,
+       case when o_orderkey % 4 <> 0 then month(o_orderdate::date) > 6 end late, o_orderpriority || ', "' || o_orderstatus || '"' said
+from orders
+""",
     "contiguous_folds": "select fold, count(*) n, cast(sum(o_orderkey) as bigint) \"keys\" from (select o_orderkey, cast(ntile(5) over "
                         "(order by md5(concat('1:', cast(o_orderkey as varchar))), o_orderkey) - 1 as integer) fold from orders) group by 1",
     "tune_tree_folds": f"""

@@ -31,11 +31,15 @@ OUTLIER_SIGMA = 3.0
 BAND_HIGH = 400.0
 BAND_MODERATE = 350.0
 BANDS = [("High", "red"), ("Moderate", "orange"), ("Low", "blue")]
+# Texts that a CSV field may hold for a missing value (the empty field is one).
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+# Texts of true and false.
+TRUE_TEXTS, FALSE_TEXTS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 # Map circle radius = prediction * 50.
 RADIUS_SCALE = 50.0
-# Histogram bins and "first 10 numeric columns" of the EDA stage.
+# Histogram bins of the EDA stage.
 HIST_BINS = 30
-HIST_MAX_COLUMNS = 10
 # Top correlates with the target.
 TOP_CORRELATES = 5
 # Synthetic-data date window and seed.

@@ -1,8 +1,8 @@
 """Readers (S1-S5).
 
-CSV is read with a declared schema (no inference pass over the data); bad
-numerics become NULL (PERMISSIVE) and NaN text becomes NULL right after the
-read.  Object-store paths (``s3a://``, ``abfss://``, ``gs://``) go through the
+CSV is read as text and typed by ``kindling.sources.text``, whose rules batch and
+stream share: declared types are bound by header name, missing-value texts are
+NULL, and so is what can't be read as its type.  Object-store paths (``s3a://``, ``abfss://``, ``gs://``) go through the
 same reader: there is no download step.
 """
 
@@ -12,7 +12,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ from kindling.schema import (
     SYNTHETIC_SEED,
     SYNTHETIC_START,
 )
+from kindling.sources.text import REJECTS, header_of, infer_types, read_text, typed
 
 log = logging.getLogger(__name__)
 
@@ -35,9 +36,10 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
                     nan_to_null: bool | None = None) -> DataFrame:
     """Read detections from files or an object store.
 
-    CSV: header names bind the declared schema (unparseable values -> NULL,
-    columns absent from the file stay absent); other formats use ``schema``
-    as given.
+    CSV: header names bind the declared types (unparseable values -> NULL, columns
+    absent from the file stay absent, others stay text; ``schema=None`` infers
+    types from the data in one pass); other formats use ``schema`` as given.
+    ``kindling.sources.text.read_text`` keeps what was rejected.
 
     ``pattern`` (e.g. ``"fire_nrt*.csv"``) keeps matching file names;
     ``recursive`` descends into sub-folders.  All matches are read (not "the
@@ -46,43 +48,29 @@ def read_detections(spark: SparkSession, path: str | Sequence[str], schema: T.St
     for columnar sources it stays off so filters reach the scan — every
     operator treats NaN as missing itself.
     """
-    reader = spark.read.format(fmt)
-    by_name = fmt == "csv" and schema is not None
     if fmt == "csv":
-        # Text is read as strings (no inference pass) and the declared types are
-        # bound by header name, not position: files may order or omit columns.
-        reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    elif schema is not None:
-        reader = reader.schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    df = reader.load(path if isinstance(path, str) else list(path))
-    if by_name:
-        types = {f.name: f.dataType for f in schema.fields}
-        df = df.select(*[_typed(F.col(c), types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+        raw = read_text(spark, path, pattern, recursive)
+        df = typed(raw, schema if schema is not None else infer_types(raw)).drop(REJECTS)
+    else:
+        reader = spark.read.format(fmt)
+        if schema is not None:
+            reader = reader.schema(schema)
+        if pattern:
+            reader = reader.option("pathGlobFilter", pattern)
+        if recursive:
+            reader = reader.option("recursiveFileLookup", True)
+        df = reader.load(path if isinstance(path, str) else list(path))
     if nan_to_null is None:
         nan_to_null = fmt in ("csv", "json", "text")
     return nullify_nan(df) if nan_to_null else df
 
 
-def _typed(text: Column, kind: T.DataType) -> Column:
-    """The text as ``kind``, NULL where it isn't one.  Whole numbers may be written with a
-    fraction of zero ("85.0"), as writers do for integer columns that have gaps."""
-    if not isinstance(kind, (T.IntegerType, T.LongType)):
-        return text.try_cast(kind)
-    number = text.try_cast("double")
-    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
-
-
 def header_schema(spark: SparkSession, path: str, declared: T.StructType = DETECTION_SCHEMA) -> T.StructType:
     """Schema for CSV files under ``path`` in their header's column order, with
     the declared types bound by name (other columns as text).  Used to start a
     CSV stream, which needs its schema before any micro-batch is read."""
-    cols = spark.read.option("header", True).csv(path).columns   # header only, no data pass
     types = {f.name: f.dataType for f in declared.fields}
-    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in cols])
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header_of(spark, path)])
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from kindling.models.scoring import with_intensity
-from kindling.operators.clean import range_check, require_features
+from kindling.operators.clean import nullify_nan, range_check, require_features
+from kindling.sources.text import text_stream, typed
 
 
 def score_frame(df: DataFrame, model: PipelineModel, features: Sequence[str],
@@ -62,17 +63,18 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
                 recursive: bool = False) -> DataFrame:
     """A file stream over the folder ``path`` (new files become micro-batches).
 
-    A stream needs its schema up front; for CSV the header of every file is
-    checked against it (``enforceSchema=false``), so a file with other or
-    reordered columns fails loudly instead of being bound by position.
+    A stream needs its schema up front.  CSV goes through the batch reader's rules
+    (``kindling.sources.text``): the header of every file is checked against the
+    schema's names, so a file with other or reordered columns fails loudly, and
+    fields are typed as in batch, with what doesn't parse in ``_rejects``.
     """
+    if fmt == "csv":
+        return nullify_nan(typed(text_stream(spark, path, schema.names, pattern, recursive, max_files_per_trigger), schema))
     r = spark.readStream.format(fmt).schema(schema)
     if recursive:
         r = r.option("recursiveFileLookup", True)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    if fmt == "csv":
-        r = r.option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
