@@ -37,6 +37,8 @@ COORDINATES, ROUNDS, LEAF, DEPTH = 64, (4, 8), 2000, 40
 _RARE = 12
 #: Documents of a large node that are in all of its blocks, on average.
 ANCHORS = 16
+#: A graph of at most so many links between components (16 MB) is solved in one task; larger ones by joins.
+LINKS_AT_ONCE = 1 << 20
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, size=COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,7 +82,9 @@ def _sketches(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes(200_000)
     for ids, texts in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, k, hashes).tobytes() for t in texts], pa.binary())], names=["rep", "set"])
+        sets = [shingle_set(t, k, hashes).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.binary())],
+                                         names=["doc_id", "set_id", "set"])
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -180,34 +184,60 @@ def _sorted_map(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
 
 
 class _Links:
-    """The links confirmed so far and the components (rep, component) they make, if any."""
+    """The components (rep, component) of the links confirmed so far, if any."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int, scratch: Scratch):
         self.docs, self.reps, self.shingle, self.percent, self.scratch = docs, reps, shingle, percent, scratch
         expected, spread = COORDINATES * percent / 100, (COORDINATES * percent / 100 * (1 - percent / 100)) ** 0.5
         self.least = int(expected - 4.5 * spread)
-        self.found: list[DataFrame] = []
         self.labels: DataFrame | None = None
+        self.named = 0
 
     def marked(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with the component of each rep, as ``part``."""
         if self.labels is None:
             return nodes.withColumn("part", F.col("rep"))
-        return nodes.join(self.labels, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+        labels = checked_broadcast(self.labels, self.named, 16)
+        return nodes.join(labels, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
 
     def compare(self, nodes: DataFrame) -> None:
         """Compares the documents of each of ``nodes`` (node, rep) that aren't linked yet."""
         scratch, least, shingle, percent = self.scratch, self.least, self.shingle, self.percent
         rows = self.marked(nodes).join(self.reps.select("rep", "sketch"), "rep").select("node", "rep", "part", "sketch")
         alike = scratch.write(_sorted_map(rows, "node", lambda b: _alike(b, least), "cluster long, rep long").distinct(), "alike")
-        wanted = alike.select(F.col("rep").alias("doc_id")).distinct()
-        texts = self.docs.join(checked_broadcast(wanted, wanted.count(), 16), "doc_id", "left_semi")
-        full = texts.mapInArrow(lambda b: _sets(b, shingle), "rep long, set binary")
-        rows = alike.join(full, "rep").select("cluster", "rep", "set")
-        found = scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long").distinct(), "links")
-        if self.labels is None or not found.isEmpty():
-            self.found.append(found)
-            self.labels = components(_union(self.found), scratch)
+        n = alike.count()
+        if not n:
+            return
+        named = self.reps.select("rep", "doc_id", "set_id").join(checked_broadcast(alike, n, 16), "rep")
+        texts = self.docs.join(checked_broadcast(named.select("doc_id"), n, 8), "doc_id", "left_semi")
+        # an id may have several texts, and a text several rows
+        full = texts.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, set_id binary, set binary").dropDuplicates(["doc_id", "set_id"])
+        rows = named.join(full, ["doc_id", "set_id"]).select("cluster", "rep", "set")
+        self.add(scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long"), "links"))
+
+    def add(self, links: DataFrame) -> None:
+        """Joins components by ``links`` (a, b): only what is new between components is worked on."""
+        old, scratch = self.labels, self.scratch
+        if old is None:
+            edges, n = links, links.count()
+        else:
+            edges = links
+            for end in ("a", "b"):
+                label = checked_broadcast(old.select(F.col("rep").alias(end), F.col("component").alias("to")), self.named, 16)
+                edges = edges.join(label, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            edges = scratch.write(edges.where("a <> b"), "edges")
+            n = edges.count()
+        if not n:
+            return
+        solved = scratch.write(_joined_at_once(edges), "solved") if n <= LINKS_AT_ONCE else components(edges, scratch)
+        if old is None:
+            self.labels = solved
+        else:
+            to = checked_broadcast(solved.select(F.col("rep").alias("component"), F.col("component").alias("to")), 2 * n, 16)
+            moved = old.join(to, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+            new = solved.join(checked_broadcast(old.select("rep"), self.named, 8), "rep", "left_anti")
+            self.labels = scratch.write(moved.unionByName(new), "labels")
+        self.named = self.labels.count()
 
     def settle(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(leaves that settle nodes of ``large`` (node, rep, size), the rows of the other nodes)."""
@@ -287,6 +317,32 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _joined_at_once(links: DataFrame) -> DataFrame:
+    """``components`` of at most LINKS_AT_ONCE links, in one task."""
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = ends[:len(a)], ends[len(a):]
+        label = np.arange(len(names))
+        while True:  # least label of the neighbours, then that label's label
+            before = label.copy()
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, label[x], least)
+            np.minimum.at(label, label[y], least)
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+            label = label[label]
+            if (label == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["rep", "component"])
+
+    return links.coalesce(1).mapInArrow(solve, "rep long, component long")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, component) of all that ``links`` (a, b) name: the smallest that each is connected with.
 
@@ -314,21 +370,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts without words, and null ones, have no shingles and are linked with nothing.  Rows without
     an id are linked with nothing either; their component is null and they are kept.  Repeated rows
-    have the same component; extra columns don't matter; an empty table gives an empty table.
+    have the same component, and so have the texts of one id; extra columns don't matter; an empty table gives an empty table.
     """
     scratch = Scratch(df.sparkSession, "neardup")
     docs = documents_of(df, id_col, text_col)
-    sketched = scratch.write(docs.mapInArrow(lambda b: _sketches(b, shingle),
-                                             "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary"), "sketches")
+    sketched = docs.mapInArrow(lambda b: _sketches(b, shingle), "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary")
+    sketched = scratch.write(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketched.where("doc_id is not null and set_id is not null")
-    first = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.write(known.join(first, "set_id").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "set_id", "signature", "sketch"), "classes")
+    # a class of equal sets goes by the number of one of its rows, since an id may have several texts
+    one = F.min_by(F.struct("doc_id", "signature", "sketch"), "row").alias("one")
+    reps = known.groupBy("set_id").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_doc"), one)
+    reps = scratch.write(reps.select("rep", "set_id", "one.doc_id", "one.signature", "one.sketch", "least_doc"), "classes")
     links, start = _Links(docs, reps, shingle, percent, scratch), 0
+    several = scratch.write(known.groupBy("doc_id").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("doc_id", "first"), "several")
+    if not several.isEmpty():
+        pairs = known.select("doc_id", "set_id").join(several, "doc_id").where("set_id <> first").select("set_id", "first").distinct()
+        of = reps.select("set_id", "rep")
+        links.add(scratch.write(pairs.join(of, "set_id").withColumnRenamed("rep", "b").drop("set_id").join(
+            of.withColumnRenamed("set_id", "first"), "first").select(F.col("rep").alias("a"), "b"), "links"))
     for trees in rounds(percent):
         links.compare(_leaves(reps, range(start, start + trees), links, scratch))
         start += trees
-    found = reps.select("set_id", "rep").join(links.labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
+    found = links.marked(reps.select("rep", "set_id", "least_doc"))
+    least = found.groupBy("part").agg(F.min("least_doc").alias("component_id"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("part", "component_id")
+    found = found.join(least, "part", "left").select("set_id", F.coalesce("component_id", "least_doc").alias("component_id"))
+    rows = sketched.select("doc_id", "n_shingles", "set_id")
+    # rows without words share no key: they take no part in the join
+    out = rows.where("set_id is not null").join(found, "set_id", "left").unionByName(rows.where("set_id is null").withColumn("component_id", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -444,3 +444,23 @@ def test_decision_list_finds_rare_faults(spark):
                                      "n_distinct long, n_dup_lines long, reject int, grow boolean, kind string")
     got = df.withColumn("rule", decision_list.learn(df).column()).groupBy("kind").agg(F.count("rule").alias("rejected"), F.count("*").alias("n"))
     assert {r.kind: (r.rejected, r.n) for r in got.collect()} == {"common": (3000, 3000), "rare": (60, 60), "good": (0, 5940)}
+
+
+def test_neardup_ids_with_several_texts(spark, monkeypatch):
+    """Texts of one id are of one component, and link what equals either; by joins as well as at once."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "b"), (9, "c"), (9, "d"), (5, "d"), (7, "e"), (7, "e"), (8, "f")]
+    df = spark.createDataFrame([(i, text(c), "en", "s", 0) for i, c in rows], DOCS).repartition(3)
+    for at_once in (neardup.LINKS_AT_ONCE, 0):
+        monkeypatch.setattr(neardup, "LINKS_AT_ONCE", at_once)
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 5), (5, 5), (7, 7), (8, 8)}
+
+
+def test_components_at_once_equal_those_by_joins(spark):
+    rng = random.Random(12)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1200)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long").repartition(3)
+    a, b = ({(r.rep, r.component) for r in f.collect()} for f in (neardup._joined_at_once(links), neardup.components(links, common.Scratch(spark, "t"))))
+    assert a == b and (1200, 1000) in a
+    assert neardup._joined_at_once(links.limit(0)).count() == 0
