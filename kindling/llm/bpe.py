@@ -33,6 +33,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Beyond these, tables of characters differ between Unicode versions, and marks combine.
 _WIDE = re.compile("[^\x00-ɏ]")
 _BASE, _WORDS = 512, 120_000
+#: Words whose ids alone are remembered, in each of two generations (some 200 bytes a word).
+_IDS = 300_000
 
 
 class WordBpe:
@@ -68,6 +70,8 @@ class WordBpe:
         self.whole = np.ones(n, bool)
         self.whole[made] = self._compatible_walk(self.left[made], self.right[made], made)
         self.cache: dict[str, tuple[bytes, str, str]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _symbols(self, vocab: dict[str, int]) -> None:
         """Ids of a byte inside and at the end of a pre-token; printable bytes stand for themselves,
@@ -216,6 +220,26 @@ class WordBpe:
             ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(s) for s in split])]
             self.cache.update(zip(words, self._spelled(ids, ends), strict=True))
 
+    def learn_ids(self, documents: list[list[str]]) -> None:
+        """Encode the words that ``self.ids`` doesn't have yet, as packed ids.  When it is full it
+        becomes the older generation, from which words that are met again come back."""
+        new = set().union(*documents)
+        if len(self.ids) + len(new.difference(self.ids)) > _IDS:
+            self.older, self.ids = self.ids, {}
+        new.difference_update(self.ids)
+        back = {w: self.older[w] for w in new.intersection(self.older)} if self.older else {}
+        self.ids.update(back)
+        todo = list(new.difference(back))
+        for at in range(0, len(todo), 16_384):
+            words = todo[at:at + 16_384]
+            split = [[w.lower().encode()] if w.isascii() and w.isalpha() else self.pretokens(w) for w in words]
+            ids, counts = self.encode_pretokens([p for s in split for p in s])
+            ends = (4 * np.concatenate([[0], np.cumsum(counts)])[np.cumsum(list(map(len, split)))]).tolist()
+            packed = ids.astype("<u4").tobytes()
+            self.ids.update(zip(words, [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        for t, i in self.special.items():
+            self.ids[t] = int(i).to_bytes(4, "little")
+
     def _spelled(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[bytes, str, str]]:
         """Of each run of ids up to ``ends``: packed as 32-bit integers, in decimal, and as tokens."""
         packed, listed = ids.astype("<u4").tobytes(), ids.tolist()

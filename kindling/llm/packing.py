@@ -74,10 +74,10 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, window: int, closing:
     bpe, end, row = loaded(path), int(closing).to_bytes(4, "little"), 0
     for ids, texts in text_chunks(batches):
         documents = [bpe.words(t.decode("utf-8", "replace")) for t in texts]
-        bpe.learn(documents)
-        known, out = bpe.cache, []
+        bpe.learn_ids(documents)
+        known, out = bpe.ids, []
         for doc_id, words in zip(ids.to_pylist(), documents, strict=True):
-            coded = b"".join([known[w][0] for w in words]) + end
+            coded = b"".join([known[w] for w in words]) + end
             n = len(coded) // 4
             full = n // window * window
             for start in (*range(0, full, window), *range(full, n, max(1, window // 8))):
@@ -101,12 +101,15 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def pack(pieces: DataFrame, pieces_count: int, window: int = WINDOW, per_bucket: int = PARTS_PER_BUCKET) -> DataFrame:
-    """``pieces`` (doc_id, row, start, length and any columns more) with sequence_id and offset.
+    """``pieces`` (doc_id, row, start, length, piece and any columns more) with sequence_id and offset.
 
-    Each piece lies whole in one sequence of at most ``window`` tokens.  Full pieces and parts are
-    spread over ``pieces_count / per_bucket`` buckets by document and row, so repeated rows and
-    null ids spread too; a sequence's id has its bucket in the upper 32 bits.  No pieces, no rows.
+    Each piece lies whole in one sequence of at most ``window`` tokens.  A full piece is one by
+    itself (id -1 - ``piece``, which numbers the rows) and isn't shuffled.  Parts are spread over ``pieces_count /
+    per_bucket`` buckets by document and row, so repeated rows and null ids spread too, and a very
+    long text sends its bucket no more than its tail; their sequences' ids have the bucket in the upper 32 bits.  No pieces, no rows.
     """
+    full = pieces.where(F.col("length") >= window).withColumn("sequence_id", -1 - F.col("piece")).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.where(F.col("length") < window)
     buckets = max(1, pieces_count // per_bucket)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
@@ -114,15 +117,12 @@ def pack(pieces: DataFrame, pieces_count: int, window: int = WINDOW, per_bucket:
         bucket = int(key[0])
         rows = rows.drop(columns="_bucket").sort_values(["length", "doc_id", "row", "start"], ascending=[False, True, True, True],
                                                         ignore_index=True)
-        length = rows["length"].to_numpy()
-        full = int((length >= window).sum())
-        way = np.concatenate([np.arange(full), full + pack_sizes(length[full:], window)]).astype(np.int64)
-        rows["sequence_id"] = (bucket << 32) + way
+        rows["sequence_id"] = (bucket << 32) + pack_sizes(rows["length"].to_numpy(), window).astype(np.int64)
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         return rows
 
     bucketed = pieces.withColumn("_bucket", F.pmod(mix("doc_id", "row"), F.lit(buckets)))
-    return bucketed.groupBy("_bucket").applyInPandas(packed, schema)
+    return full.unionByName(bucketed.groupBy("_bucket").applyInPandas(packed, schema))
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
@@ -135,8 +135,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     pieces = token_pieces(df, id_col, text_col, path, window, closing)
     pieces = pieces.select("doc_id", "row", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    described = Scratch(df.sparkSession, "packing").write(pieces, "pieces")
-    return pack(described, described.count(), window).drop("row")
+    described = Scratch(df.sparkSession, "packing").write(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    return pack(described, described.where(F.col("length") < window).count(), window).drop("row", "piece")
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
