@@ -271,7 +271,7 @@ def default_path() -> str:
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path)
-    for ids, texts in text_chunks(batches):
+    for ids, texts in text_chunks(batches, keep="bpe"):
         documents = [bpe.words(t.decode("utf-8", "replace")) for t in texts]
         bpe.learn(documents)
         known = bpe.cache

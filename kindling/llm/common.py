@@ -3,7 +3,10 @@ checkpoint folder, checked broadcasts, ranks without one-task windows, and word
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -98,8 +101,29 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """(ids, texts as UTF-8; null is empty) of at most ``limit`` bytes, or of one longer text."""
+#: Modules whose tables a worker keeps between tasks.
+_KEEPING = ("bpe", "token_counts")
+
+
+def release(keep: str = "") -> None:
+    """Drop what earlier tasks of other operators have left in this Python worker, which Spark uses again."""
+    dropped = False
+    for name in _KEEPING:
+        held = getattr(sys.modules.get(f"kindling.llm.{name}"), "_loaded", None)
+        if held and name != keep:
+            held.clear()
+            dropped = True
+    if dropped:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # else the C library keeps the pages
+        if trim:
+            trim(0)
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(ids, texts as UTF-8; null is empty) of at most ``limit`` bytes, or of one longer text.
+    ``keep``: the module whose tables this task uses."""
+    release(keep)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

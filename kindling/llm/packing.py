@@ -72,7 +72,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, window: int, closing: int) -> Iterator[pa.RecordBatch]:
     bpe, end, row = loaded(path), int(closing).to_bytes(4, "little"), 0
-    for ids, texts in text_chunks(batches):
+    for ids, texts in text_chunks(batches, keep="bpe"):
         documents = [bpe.words(t.decode("utf-8", "replace")) for t in texts]
         bpe.learn_ids(documents)
         known, out = bpe.ids, []

@@ -121,7 +121,7 @@ def _counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Record
         gc.set_threshold(200_000, 50, 100)  # the cache makes no cycles
         _loaded[path] = TrieCounter(ranked_pieces(path))
     counter = _loaded[path]
-    for ids, texts in text_chunks(batches):
+    for ids, texts in text_chunks(batches, keep="token_counts"):
         documents = [t.decode("utf-8", "replace").split() for t in texts]
         counter.learn(documents)
         known, out = counter.cache, []
