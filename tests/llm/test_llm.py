@@ -464,3 +464,31 @@ def test_components_at_once_equal_those_by_joins(spark):
     a, b = ({(r.rep, r.component) for r in f.collect()} for f in (neardup._joined_at_once(links), neardup.components(links, common.Scratch(spark, "t"))))
     assert a == b and (1200, 1000) in a
     assert neardup._joined_at_once(links.limit(0)).count() == 0
+
+
+def test_suffix_tree_scores_every_row_behind_a_shuffle(spark, docs):
+    """Rows come out of a shuffle in other orders for each use; every one is scored, and as without the shuffle."""
+    plain = {(r.doc_id, r.n_tokens): r.score for r in suffix_tree.score_documents(docs, docs).collect()}
+    got = suffix_tree.score_documents(docs.repartition("doc_id"), docs).collect()
+    assert len(got) == docs.count() and all(abs(plain[r.doc_id, r.n_tokens] - r.score) < 1e-6 for r in got)
+
+
+def test_suffix_tree_rates_prose_above_nonsense(spark, docs):
+    rng = random.Random(13)
+    words = max((r.text for r in docs.where("lang = 'en'").select("text").collect() if r.text), key=len).split()[:100]
+    shuffled = rng.sample(words, len(words))
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in words]
+    df = spark.createDataFrame([(1, " ".join(words), "", "", 0), (2, " ".join(shuffled), "", "", 0), (3, " ".join(letters), "", "", 0)], DOCS)
+    score = {r.doc_id: r.score for r in suffix_tree.score_documents(df, docs).collect()}
+    assert score[1] >= score[2] > score[3]
+    few = spark.createDataFrame([(1, "a b c d", "", "", 0)], DOCS)
+    score = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.createDataFrame([(1, "a b c d", "", "", 0), (2, "zz zz zz zz", "", "", 0), (3, "", "", "", 0)], DOCS), few).collect()}
+    assert all(s is not None and s < 0 for s in score.values()) and score[1] > score[2] and len(set(score.values())) == 3
+
+
+def test_pipeline_keeps_columns_named_like_its_key(spark, docs):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "one two three four five six", "k1"), (2, "one two three four five six", "k2"), (3, "other words are in this text here", "k3")], "doc_id long, text string, _key string")
+    got = {(r.doc_id, r._key) for r in corpus_pipeline.drop_near_copies(spark, df, SF_SMALL).collect()}
+    assert got == {(1, "k1"), (3, "k3")}
