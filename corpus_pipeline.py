@@ -29,17 +29,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows have keys of their own here, so repeated rows are copies of each other, and texts that
     share an id are judged each.
     """
-    scratch = Scratch(spark, "near-copies")
-    keyed = scratch.write(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    linked = neardup.near_duplicates(keyed, id_col="_key", shingle=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("_key"), "component_id")
+    scratch, key = Scratch(spark, "near-copies"), "_key"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    keyed = scratch.write(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    ids = keyed.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id"))
+    linked = neardup.near_duplicates(keyed, id_col=key, shingle=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("_key"), "component_id")
     alone = F.col("component_id") == F.col("_key")
     linked = scratch.write(linked.withColumn("alone", alone), "linked")
     groups = linked.where("not alone").select("component_id").distinct()  # groups of two and more
-    of_groups = linked.join(groups, "component_id", "left_semi").join(keyed.select("_key", F.col("doc_id").alias("_id")), "_key")
+    of_groups = linked.join(groups, "component_id", "left_semi").join(ids, "_key")
     of_groups = scratch.write(of_groups.select("_key", "component_id", F.struct(F.col("_id").isNull(), "_id", "_key").alias("place")), "groups")
     first = of_groups.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first._key").alias("_key"))
     rejected = scratch.write(of_groups.select("_key").join(first, "_key", "left_anti"), "rejected")
-    return keyed.join(checked_broadcast(rejected, rejected.count(), 16), "_key", "left_anti").drop("_key")
+    rejected = checked_broadcast(rejected.select(F.col("_key").alias(key)), rejected.count(), 16)
+    return keyed.join(rejected, key, "left_anti").drop(key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
