@@ -50,6 +50,7 @@ from kindling.operators.explore import (  # noqa: E402
     lower_triangle,
     scatter_density,
     scatter_density_many,
+    scatter_sample,
     top_correlates,
 )
 from kindling.operators.features import (  # noqa: E402
@@ -74,6 +75,7 @@ from kindling.operators.metrics import (  # noqa: E402
     regression_metrics,
     residuals,
 )
+from kindling.operators.quantiles import describe_states, merge_states, quantile_states  # noqa: E402
 from kindling.operators.selection import exact_quantiles  # noqa: E402
 from kindling.operators.split import fold_column, split_column, train_test_split  # noqa: E402
 from kindling.plans.eda import eda_tables  # noqa: E402
@@ -86,5 +88,15 @@ from kindling.plans.workflow import (  # noqa: E402
 )
 from kindling.sources.readers import read_detections, read_first_available, synthetic_detections  # noqa: E402
 from kindling.sources.registry import list_runs, model_listing, resolve_model  # noqa: E402
+from kindling.sources.runlog import RunLog, published_models, published_runs  # noqa: E402
 from kindling.sources.sinks import preview, scores_table, shape, write_metrics_report, write_run, write_table  # noqa: E402
-from kindling.streaming.scoring import read_stream, score_frame, score_points, start_scoring  # noqa: E402
+from kindling.streaming.scoring import (  # noqa: E402
+    batch_counts,
+    published_model,
+    read_stream,
+    read_two_way,
+    score_frame,
+    score_points,
+    start_scoring,
+    start_two_way,
+)

@@ -2,7 +2,7 @@
 
 workflow  clean -> EDA -> split -> fit -> score -> evaluate, written under --out/<stage>/run_id=<id>/
 score     score detections (a folder or file; --stream for a file stream) with a saved model
-runs      list run ids and saved models under a models folder
+runs      list run ids and saved models under a models folder, or the published runs of an --out folder
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def cmd_workflow(a) -> int:
     opts = shipped_options(key_cols=a.key or [], test_size=a.test_size, seed=a.seed, eda=not a.no_eda)
     if a.region:
         opts.region = {"enabled": True}
-    res = run_workflow(spark, _read(spark, a.input, a.format), opts, a.out, a.run_id)
+    res = run_workflow(spark, _read(spark, a.input, a.format), opts, a.out, a.run_id, resume=a.resume)
     for r in res["scores"].collect():
         print(json.dumps({"run_id": res["run_id"], **r.asDict()}))
     return 0
@@ -64,7 +64,8 @@ def cmd_score(a) -> int:
 def cmd_runs(a) -> int:
     from kindling.sources.registry import list_runs, model_listing
     spark = _session()
-    listing = model_listing(spark, a.models)
+    from kindling.sources.runlog import published_models
+    listing = published_models(spark, a.out) if a.out else model_listing(spark, a.models)
     per_run = listing.groupBy("run_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
     runs = list_runs(listing).join(per_run, "run_id").orderBy(F.col("run_id").desc())
     for r in runs.collect():  # one row per run
@@ -85,6 +86,7 @@ def main(argv=None) -> int:
     w.add_argument("--seed", type=int, default=1)
     w.add_argument("--region", action="store_true", help="keep the default bounding box only")
     w.add_argument("--no-eda", action="store_true")
+    w.add_argument("--resume", action="store_true", help="take over the stages that an earlier start of --run-id finished")
     w.set_defaults(fn=cmd_workflow)
     s = sub.add_parser("score", help="score detections with a saved model")
     s.add_argument("--model", required=True)
@@ -96,7 +98,9 @@ def main(argv=None) -> int:
     s.add_argument("--once", action="store_true", help="process what is there, then stop")
     s.set_defaults(fn=cmd_score)
     r = sub.add_parser("runs", help="list runs and their models")
-    r.add_argument("--models", required=True, help="folder holding run_id=<id>/<model>/")
+    where = r.add_mutually_exclusive_group(required=True)
+    where.add_argument("--models", help="folder holding run_id=<id>/<model>/, finished or not")
+    where.add_argument("--out", help="a workflow's --out folder: published runs only")
     r.set_defaults(fn=cmd_runs)
     a = p.parse_args(argv)
     if a.cmd == "score" and a.stream and not a.checkpoint:

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions.columns import num, safe_div, sample_std
+from kindling.functions.columns import num, safe_div, sample_std, split_hash
 from kindling.operators.gram import correlations
 from kindling.operators.selection import exact_quantiles, exact_quantiles_of
+from kindling.plans.materialize import materialize
 from kindling.schema import HIST_BINS, TOP_CORRELATES
 
 
@@ -174,6 +175,45 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return scatter_density_many(df, [x], y, bins).drop("feature")
 
 
+def scatter_sample(df: DataFrame, xs: Sequence[str], y: str, key_cols: Sequence[str], k: int = 50, bins: int = 10, seed: int = 1) -> DataFrame:
+    """A8 as points: of every (feature, x bin) the ``k`` rows (all, if fewer) of the smallest
+    hash of ``seed`` and the key, so the points follow the rows and not their partitions.
+
+    Bins are those of ``scatter_density``.  A first pass counts the bins; by the count a bin's
+    rows are thinned to a little over ``k`` by their hash before any shuffle, so no task gets a
+    whole bin.  Bins that came out short (keys that repeat, for the hashes of distinct keys are
+    even) are thinned less until none is.  Rows without x or y give no point; repeated keys are
+    ordered by x and y.  Returns (feature, bin, x, y, key columns).
+    """
+    xs, keys = list(xs), list(key_cols)
+    stats = df.agg(*[e for i, x in enumerate(xs) for e in (F.min(num(x)).alias(f"lo{i}"), F.max(num(x)).alias(f"hi{i}"))])
+    pairs = [F.struct(F.lit(x).alias("feature"), _bin(num(x), stats.select(f"lo{i}").scalar(), stats.select(f"hi{i}").scalar(), bins).alias("bin"),
+                      num(x).alias("x")) for i, x in enumerate(xs)]
+    # names of its own for the keys: a key may be called x, y, bin or feature
+    named = {c: f"__key{i}" for i, c in enumerate(keys)}
+    points = df.select(*[F.col(c).alias(n) for c, n in named.items()], num(y).alias("y"), split_hash(seed, *keys).alias("__h"), _long(pairs))
+    points = points.where(F.col("bin").isNotNull() & F.col("y").isNotNull())
+    sizes = {(r["feature"], r["bin"]): r["n"] for r in points.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # features x bins
+    share = {b: (k + 8 * math.sqrt(k) + 32) / n for b, n in sizes.items()}
+    spark = df.sparkSession
+
+    def thinned() -> DataFrame:
+        rows = [(f, b, f"{min(int(s * 2 ** 48), 2 ** 48 - 1):012x}" if s < 1 else "g") for (f, b), s in share.items()]  # "g" is above every digit
+        cuts = spark.createDataFrame(rows, "feature string, bin int, __cut string")
+        return points.join(F.broadcast(cuts), ["feature", "bin"]).where(F.col("__h") < F.col("__cut"))
+
+    while True:
+        kept = materialize(thinned(), "scatter-sample")  # a little over k rows a bin
+        got = {(r["feature"], r["bin"]): r["n"] for r in kept.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [b for b, n in sizes.items() if got.get(b, 0) < min(k, n)]
+        if not short:
+            break
+        share |= {b: share[b] * 16 for b in short}
+    first = Window.partitionBy("feature", "bin").orderBy("__h", *named.values(), "x", "y")
+    kept = kept.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k)
+    return kept.select("feature", "bin", "x", "y", *[F.col(n).alias(c) for c, n in named.items()])
+
+
 def daily_summary(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Per DATE of ``date_col``: rows, mean, exact median and max of ``value_col``."""
     d = df.select(F.col(date_col).cast("date").alias("d"), num(value_col).alias("v"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,10 @@ from kindling.models.specs import (
     fit_linear,
     fit_model,
     fit_models,
+    save_model,
     tune_tree,
 )
-from kindling.operators import clean, explore, features, metrics
+from kindling.operators import clean, explore, features, metrics, quantiles
 from kindling.operators.gram import linear_fits
 from kindling.operators.selection import exact_quantiles_of
 from kindling.operators.split import contiguous_fold_column, train_test_split
@@ -37,7 +38,8 @@ from kindling.sources.text import read_text, reject_counts, typed
 from kindling.sources import sinks
 from kindling.sources import registry
 from kindling.sources.registry import list_runs
-from kindling.streaming.scoring import read_stream, score_frame, start_scoring
+from kindling.sources.runlog import RunLog, published_models, published_runs
+from kindling.streaming.scoring import batch_counts, published_model, read_stream, read_two_way, score_frame, start_scoring, start_two_way
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -225,6 +227,47 @@ def q_scatter_density(spark, sf):
     return explore.scatter_density(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 10)
 
 
+def q_scatter_sample(spark, sf):
+    """Twenty points of each bin of two features, by hash of the line's key."""
+    s = explore.scatter_sample(_t(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"], k=20)
+    return s.select("feature", "bin", "x", F.round("y", 2).alias("y"), "l_orderkey", "l_linenumber")
+
+
+_STORED = ["l_extendedprice", "l_quantity"]
+
+
+def _daily_states(spark, sf):
+    """Sketches per day and column of lineitem, stored."""
+    li = _t(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"), *_STORED)
+    path = _scratch(spark, "daily-states")
+    sinks.write_table(quantiles.quantile_states(li, _STORED, ["day"]), path)
+    return spark.read.parquet(path)
+
+
+def q_stored_quantiles(spark, sf):
+    """Summaries of two years from the merged states of their days; each quantile's true rank must be within
+    twice the stated error (far enough out for a sketch's own draws never to show)."""
+    states = clean.filter_dates(_daily_states(spark, sf), "day", "1994-01-01", "1995-12-31")
+    stored = quantiles.describe_states(states).collect()  # a row a column
+    rows = clean.filter_dates(_t(spark, sf, "lineitem"), "l_shipdate", "1994-01-01", "1995-12-31")
+    bound = 2 * quantiles.rank_error()
+    ranks = [(r["column"], q, r[f"p{q}"]) for r in stored for q in (25, 50, 75)]
+    checks = rows.agg(*[e for i, (c, _, v) in enumerate(ranks) for e in (F.count_if(F.col(c) < v).alias(f"below{i}"), F.count_if(F.col(c) <= v).alias(f"upto{i}"))])
+    each = [F.struct(F.lit(c).alias("column"), F.lit(q).alias("level"),
+                     ((F.col(f"below{i}") <= (q / 100 + bound) * r["count"]) & (F.col(f"upto{i}") >= (q / 100 - bound) * r["count"])).alias("within"),
+                     F.lit(r["count"]).alias("n"), F.round(F.lit(r["mean"]), 4).alias("mean"), F.round(F.lit(r["std"]), 4).alias("std"),
+                     F.lit(r["min"]).alias("lo"), F.lit(r["max"]).alias("hi"))
+            for i, (c, q, _) in enumerate(ranks) for r in stored if r["column"] == c]
+    return checks.select(F.inline(F.array(*each)))
+
+
+def q_daily_from_states(spark, sf):
+    """Rows, total, spread, least and greatest of every day out of the stored states (medians have their own check)."""
+    d = quantiles.describe_states(_daily_states(spark, sf), ["day"], levels=())
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "column", F.col("count").alias("n"), F.round(F.col("mean") * F.col("count"), 2).alias("total"),
+                    F.round("std", 4).alias("std"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
 def q_daily_summary(spark, sf):
     d = explore.daily_summary(_t(spark, sf, "events"), "ts", "value")
     return d.select(F.date_format("d", "yyyy-MM-dd").alias("d"), "n", F.round("a", 4).alias("a"),
@@ -520,6 +563,46 @@ def q_stream_score(spark, sf):
     return spark.read.parquet(out).select("o_orderkey", "valid", F.round("prediction", 2).alias("prediction"), "intensity", F.round("radius", 2).alias("radius"))
 
 
+def _published_orders(spark, sf):
+    """A folder of runs: 1 published with a model of all orders, 2 started and never published."""
+    out = _scratch(spark, "published")
+    done = RunLog(spark, out, 1)
+    done.start()
+    model = fit_linear(_order_features(spark, sf), _CELL_FEATURES, "o_totalprice")
+    done.stage("models/linear", None, lambda: {"models/linear": save_model(model, f"{out}/models/run_id=1/linear")})
+    done.publish()
+    halfway = RunLog(spark, out, 2)
+    halfway.start()
+    halfway.stage("models/linear", None, lambda: {"models/linear": f"{out}/models/run_id=2/linear"})
+    return out
+
+
+def q_stream_two_way(spark, sf):
+    """Orders streamed through the published model: rows accepted and rejected, counts by broken rule."""
+    stream = read_stream(spark, sf, _t(spark, sf, "orders").schema, pattern="orders.parquet")
+    date = F.col("o_orderdate").cast("date")
+    feats = stream.select("o_orderkey", F.quarter(date).cast("double").alias("quarter"), F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"))
+    out = _scratch(spark, "two-way")
+    start_two_way(feats, published_model(_published_orders(spark, sf), "linear"), _CELL_FEATURES, {"quarter": (1, 3), "priority": (2, 5)},
+                  out, _scratch(spark, "two-way-ckpt"), available_now=True).awaitTermination()
+    means = read_two_way(spark, out, True).groupBy(F.lit("accepted").alias("kind"), F.col("model_run")).agg(F.round(F.avg("prediction"), 4).alias("prediction"))
+    return batch_counts(spark, out).groupBy("kind", "name").agg(F.sum("n").alias("n")).join(means, "kind", "left").select("kind", "name", "n", "model_run", "prediction")
+
+
+def q_published_runs(spark, sf):
+    """A run for each year of orders, published only where the year is even: runs and models that show."""
+    years = [r["y"] for r in _t(spark, sf, "orders").select(F.year(F.col("o_orderdate").cast("date")).alias("y")).distinct().orderBy("y").collect()]  # one a year
+    out = _scratch(spark, "yearly")
+    for y in years:
+        run = RunLog(spark, out, y)
+        run.start()
+        run.stage("models/mean", None, lambda y=y: {"models/mean": f"models/{y}"})
+        if y % 2 == 0:
+            run.publish()
+    newest = F.col("run_id") == F.max("run_id").over(Window.partitionBy(F.lit(0)))  # one row a run
+    return list_runs(published_runs(spark, out)).join(published_models(spark, out), "run_id").select("run_id", "model", "path", newest.alias("latest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_missing": q_drop_missing,
     "null_audit": q_null_audit,
@@ -552,6 +635,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numeric_histograms": q_numeric_histograms,
     "density_curve": q_density_curve,
     "scatter_density": q_scatter_density,
+    "scatter_sample": q_scatter_sample,
+    "stored_quantiles": q_stored_quantiles,
+    "daily_from_states": q_daily_from_states,
     "daily_summary": q_daily_summary,
     "exact_split": q_exact_split,
     "linear_fit": q_linear_fit,
@@ -582,4 +668,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_rejects": q_csv_rejects,
     "csv_stream": q_csv_stream,
     "stream_score": q_stream_score,
+    "stream_two_way": q_stream_two_way,
+    "published_runs": q_published_runs,
 }

@@ -338,4 +338,32 @@ select o_orderkey, valid, round(yh, 2) prediction, case when yh > 400 then 'High
 """,
 }
 
+ORACLE_SQL |= {
+    "scatter_sample": " union all ".join(f"""
+select * from (select '{x}' feature, cast(least(floor(({x} - xl) * 10 / (xh - xl)), 9) as integer) bin, cast({x} as double) x, round(cast(l_extendedprice as double), 2) y, l_orderkey, l_linenumber
+  from lineitem, (select min({x}) xl, max({x}) xh from lineitem) where {x} is not null and l_extendedprice is not null
+  qualify row_number() over (partition by bin order by md5(concat('1:', cast(l_orderkey as varchar), ':', cast(l_linenumber as varchar))), l_orderkey, l_linenumber, {x}, l_extendedprice) <= 20)"""
+                                         for x in ("l_quantity", "l_discount")),
+    "stored_quantiles": " union all ".join(f"""
+select '{c}' "column", cast({q} as integer) "level", true "within", count({c}) n, round(avg({c}), 4) mean, round(stddev_samp({c}), 4) std,
+       min(cast({c} as double)) lo, max(cast({c} as double)) hi
+from lineitem where cast(l_shipdate as date) between '1994-01-01' and '1995-12-31'""" for c in ("l_extendedprice", "l_quantity") for q in (25, 50, 75)),
+    "daily_from_states": " union all ".join(f"""
+select strftime(cast(l_shipdate as date), '%Y-%m-%d') "day", '{c}' "column", count({c}) n, round(sum({c})::double, 2) total, round(stddev_samp({c}), 4) std,
+       min(cast({c} as double)) lo, max(cast({c} as double)) hi from lineitem group by 1""" for c in ("l_extendedprice", "l_quantity")),
+    "stream_two_way": f"""
+with s as ({_CELLS}), ols as ({_OLS.format('s')}),
+r as (select q, p, q between 1 and 3 and p between 2 and 5 ok, a + b1 * p + b2 * q yh from s, ols)
+select * from (
+select 'accepted' kind, 'rows' "name", count(*) filter (ok) n, '1' model_run, round(avg(yh) filter (ok), 4) prediction from r
+union all select 'rejected', 'rows', count(*) filter (not ok), null, null from r
+union all select 'violation', 'quarter', count(*) filter (q not between 1 and 3), null, null from r
+union all select 'violation', 'priority', count(*) filter (p not between 2 and 5), null, null from r) where n > 0
+""",
+    "published_runs": """
+with y as (select distinct year(cast(o_orderdate as date)) y from orders)
+select cast(y as varchar) run_id, 'mean' model, 'models/' || y path, y = max(y) over () latest from y where y % 2 = 0
+""",
+}
+
 ORACLE_SQL = {name: _positive_zero_rounds(text) for name, text in ORACLE_SQL.items()}

@@ -3,7 +3,9 @@
 Every stage writes its table (processed rows, features, train, test, scores,
 metrics) under ``<out>/<stage>/run_id=<id>/``.  Later stages read the written
 table back, so lineage is cut at each stage and a lost executor recomputes at
-most one stage.  ``out`` must be a shared filesystem on a cluster.
+most one stage.  A run is published when all its stages are written; a second
+start with ``resume`` reuses the stages that a first one finished.  ``out`` must
+be a shared filesystem on a cluster.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindling.models.scoring import score_models, stacked_predictions
-from kindling.models.specs import ModelSpec, feature_importance, fit_models, save_model, tune_tree
+from kindling.models.specs import ModelSpec, feature_importance, fit_models, load_model, save_model, tune_tree
 from kindling.operators.explore import scatter_density
 from kindling.operators.clean import create_dataset, drop_missing
 from kindling.operators.features import generate_features
@@ -45,6 +47,7 @@ from kindling.schema import (
     TEST_SIZE,
     WORKFLOW_CRITICAL_COLUMNS,
 )
+from kindling.sources.runlog import RunLog, content_fingerprint, fingerprint
 from kindling.sources.sinks import scores_table, write_metrics_report, write_run
 
 log = logging.getLogger(__name__)
@@ -52,11 +55,14 @@ log = logging.getLogger(__name__)
 # Derived features that are computed from the default target.
 _TARGET_DERIVED = {"temperature_diff": "brightness"}
 
+#: Part of every stage's fingerprint: raise it when a stage gives other results from the same input and options.
+STAGES_VERSION = 1
+
 
 @dataclass
 class WorkflowOptions:
     # Unique row key for the exact split.  Empty: a ``row_id`` is assigned when
-    # the features table is written, so it is fixed once stored (pass real key
+    # the processed table is written, so it is fixed once stored (pass real key
     # columns for a split that is the same on any re-run).
     key_cols: Sequence[str] = ()
     target: str = TARGET
@@ -180,31 +186,59 @@ def _tune_unset_trees(train: DataFrame, key_cols: list[str], opts: WorkflowOptio
 
 
 def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out: str,
-                 run_id: int | None = None) -> dict:
-    """Clean -> features -> EDA tables -> split -> fit -> score -> evaluate, written per run."""
+                 run_id: int | None = None, resume: bool = False, input_version: str | None = None) -> dict:
+    """Clean -> features -> EDA tables -> split -> fit -> score -> evaluate, written per run.
+
+    The run is published last (``kindling.sources.runlog``): until then, and again from the
+    start of a second writing, ``published_runs`` and ``published_models`` don't show it.
+
+    ``resume=True`` records a fingerprint of each stage (input, options, stages before it,
+    code version) and takes over the stages that an earlier start of the same run finished
+    under the same one; ``run_id`` must be given.  The input is told by ``input_version`` (a
+    snapshot's id, say), or else by its content, which costs one aggregate over all its columns.
+    """
     if not opts.specs:
         raise ValueError("no model specs given")
+    if resume and run_id is None:
+        raise ValueError("resume needs the run_id to go on with")
     names = [s.name for s in opts.specs]
     if len(set(names)) < len(names):
         raise ValueError(f"model names must differ: {names}")
     _check_leakage(opts)
     run_id = int(time.time()) if run_id is None else int(run_id)
     out = out.rstrip("/")
+    runlog = RunLog(spark, out, run_id)
+    runlog.start()
+
+    def mark(*parts) -> str | None:
+        return fingerprint(STAGES_VERSION, *parts) if resume else None
 
+    source = (input_version or content_fingerprint(df)) if resume else None
     key_cols = list(opts.key_cols)
     if not key_cols:
         df, key_cols = df.withColumn("row_id", F.monotonically_increasing_id()), ["row_id"]
-    clean = create_dataset(df, opts.critical_columns, opts.date_col, opts.region, opts.outliers, opts.target)
-    feats = generate_features(clean, opts.base_only, opts.target, opts.features, opts.derived, opts.log,
-                              opts.normalize_cols, opts.normalize_method, keep=key_cols)
+    clean_mark = mark("processed", source, key_cols, opts.critical_columns, opts.date_col, opts.region, opts.outliers, opts.target)
+
+    def _processed() -> dict:
+        clean = create_dataset(df, opts.critical_columns, opts.date_col, opts.region, opts.outliers, opts.target)
+        return {"processed": write_run(clean, f"{out}/processed", run_id)}
+
     keep = list(dict.fromkeys([*key_cols, *opts.features, opts.target]))
     # A row with a missing feature or target can be neither fitted nor scored
     # (VectorAssembler rejects it): drop such rows here, openly, and count them.
     fit_cols = list(dict.fromkeys([*opts.features, opts.target]))
-    write_run(clean, f"{out}/processed", run_id)
+    feats_mark = mark("features", clean_mark, opts.base_only, opts.features, opts.derived, opts.log, opts.normalize_cols, opts.normalize_method)
+
     try:
         # a run's own folder has its own columns, whatever other runs wrote
-        full = spark.read.parquet(write_run(drop_missing(feats, fit_cols), f"{out}/features", run_id))
+        clean = spark.read.parquet(runlog.stage("processed", clean_mark, _processed)["processed"])
+
+        def _features() -> dict:
+            feats = generate_features(clean, opts.base_only, opts.target, opts.features, opts.derived, opts.log,
+                                      opts.normalize_cols, opts.normalize_method, keep=key_cols)
+            return {"features": write_run(drop_missing(feats, fit_cols), f"{out}/features", run_id)}
+
+        full = spark.read.parquet(runlog.stage("features", feats_mark, _features)["features"])
         feats = full.select(*keep)
     except AnalysisException as e:  # nothing was written: every row was dropped
         raise ValueError("no rows left after cleaning; check the input columns and filters") from e
@@ -215,40 +249,63 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
     pool = ThreadPoolExecutor(max_workers=1)
 
     def _eda() -> dict:
-        if not opts.eda:
-            return {}
         tables = eda_tables(full.drop(*key_cols), opts.target)
-        return run_concurrently({name: (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
+        return run_concurrently({f"eda/{name}": (lambda n=name, t=table: write_run(t, f"{out}/eda/{n}", run_id))
                                  for name, table in tables.items()})
 
-    eda_future = pool.submit(_eda)
+    eda_future = pool.submit(lambda: runlog.stage("eda", mark("eda", feats_mark, opts.target), _eda) if opts.eda else {})
     try:
-        train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
-        run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
-                          "test": lambda: write_run(test, f"{out}/test", run_id)})
-        train, test = (spark.read.parquet(f"{out}/{part}/run_id={run_id}") for part in ("train", "test"))
+        split_mark = mark("split", feats_mark, key_cols, opts.test_size, opts.seed)
+
+        def _split() -> dict:
+            train, test = train_test_split(feats, key_cols, opts.test_size, opts.seed)
+            return run_concurrently({"train": lambda: write_run(train, f"{out}/train", run_id),
+                                     "test": lambda: write_run(test, f"{out}/test", run_id)})
+
+        parts = runlog.stage("split", split_mark, _split)
+        train, test = (spark.read.parquet(parts[part]) for part in ("train", "test"))
 
         specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
-        fitted = fit_models(train, specs, opts.features, opts.target, key_cols=key_cols)
-        model_paths = run_concurrently({s.name: (lambda s=s, m=m: save_model(m, f"{out}/models/run_id={run_id}/{s.name}"))
-                                        for s, m in fitted})  # noqa: E501
+        marks = {s.name: mark("model", split_mark, s.name, s.type, s.hyperparameters, opts.features, opts.target, key_cols) for s in specs}
+        at = {s.name: f"{out}/models/run_id={run_id}/{s.name}" for s in specs}
+        known = {n for n, m in marks.items() if runlog.finished(f"models/{n}", m)}
+        fresh = dict(zip([s.name for s in specs if s.name not in known],
+                         [m for _, m in fit_models(train, [s for s in specs if s.name not in known], opts.features, opts.target, key_cols=key_cols)],
+                         strict=True))
+        model_paths = run_concurrently({n: (lambda n=n: runlog.stage(f"models/{n}", marks[n], lambda: {f"models/{n}": save_model(fresh[n], at[n])}))
+                                        for n in at})
+        model_paths = {n: paths[f"models/{n}"] for n, paths in model_paths.items()}
+        fitted = [(s, fresh[s.name] if s.name in fresh else load_model(model_paths[s.name])) for s in specs]
+
+        scores_mark = mark("scores", [marks[s.name] for s in specs], [s.is_default for s in specs], opts.metrics)
+
+        def _scores() -> dict:
+            scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
+            return {"scores": write_run(evaluate_performance(scores), f"{out}/scores", run_id)}
 
-        scores = score_models(test, fitted, opts.features, opts.target, opts.metrics)
-        write_run(evaluate_performance(scores), f"{out}/scores", run_id)
         # everything after this reads the written scores (a few rows), never re-scores
-        scores_out = spark.read.parquet(f"{out}/scores/run_id={run_id}").withColumn("run_id", F.lit(run_id).cast("long"))
-        flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
-        default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
-        preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
-            "is_default", F.lit(True))
-        summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
-        summary_paths = run_concurrently({n: (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
-                                          for n, t in summaries.items()})
-        write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}", mode="overwrite")
+        scores_out = spark.read.parquet(runlog.stage("scores", scores_mark, _scores)["scores"]).withColumn("run_id", F.lit(run_id).cast("long"))
+
+        def _summaries() -> dict:
+            flagged = [i for i, (s, _) in enumerate(fitted) if s.is_default]
+            default_pos = flagged[-1] if flagged else 0          # same rule as score_models (A11)
+            preds = stacked_predictions(test, [fitted[default_pos]], opts.features, opts.target).withColumn(
+                "is_default", F.lit(True))
+            summaries = performance_summaries(scores_out.drop("run_id"), preds, opts.summaries, fitted, opts.features)
+            paths = run_concurrently({f"summaries/{n}": (lambda n=n, t=t: write_run(t, f"{out}/summaries/{n}", run_id))
+                                      for n, t in summaries.items()})
+            return paths | {"metrics": write_metrics_report(scores_out, f"{out}/metrics/run_id={run_id}", mode="overwrite")}
+
+        summary_paths = runlog.stage("summaries", mark("summaries", scores_mark, opts.summaries), _summaries)
     finally:
         pool.shutdown(wait=True)   # never leave EDA jobs running past a failure
     eda_paths = eda_future.result()
+    runlog.publish()
+
+    def under(paths: Mapping[str, str], kind: str) -> dict[str, str]:
+        return {n.removeprefix(kind): p for n, p in paths.items() if n.startswith(kind)}
+
     return {"run_id": run_id, "scores": scores_table(scores_out.drop("run_id"), opts.metrics),
-            "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": eda_paths,
-            "summaries": summary_paths, "dropped_missing_features": dropped_missing, "tuning": tuning_path,
-            "specs": specs}
+            "evaluated": scores_out, "models": model_paths, "fitted": fitted, "eda": under(eda_paths, "eda/"),
+            "summaries": under(summary_paths, "summaries/"), "dropped_missing_features": dropped_missing, "tuning": tuning_path,
+            "specs": specs, "reused": list(runlog.reused)}
