@@ -175,6 +175,10 @@ def scatter_density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return scatter_density_many(df, [x], y, bins).drop("feature")
 
 
+#: Parts of a bin that are ranked apart before the bin's first points are taken from all of them.
+SAMPLE_PARTS = 4096
+
+
 def scatter_sample(df: DataFrame, xs: Sequence[str], y: str, key_cols: Sequence[str], k: int = 50, bins: int = 10, seed: int = 1) -> DataFrame:
     """A8 as points: of every (feature, x bin) the ``k`` rows (all, if fewer) of the smallest
     hash of ``seed`` and the key, so the points follow the rows and not their partitions.
@@ -209,8 +213,15 @@ def scatter_sample(df: DataFrame, xs: Sequence[str], y: str, key_cols: Sequence[
         if not short:
             break
         share |= {b: share[b] * 16 for b in short}
-    first = Window.partitionBy("feature", "bin").orderBy("__h", *named.values(), "x", "y")
-    kept = kept.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k)
+    # Rows of a repeated key share a hash and can't be thinned by it: equal points are counted on the
+    # map side, and the rest ranked in salted parts first, so no task holds more than k a part of a bin.
+    order, point = ["__h", *named.values(), "x", "y"], ["feature", "bin", "__h", *named.values(), "x", "y"]
+    counted = kept.groupBy(*point).agg(F.count(F.lit(1)).alias("__n")).withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SAMPLE_PARTS)))
+    salted = Window.partitionBy("feature", "bin", "__salt").orderBy(*order)
+    counted = counted.withColumn("__rank", F.row_number().over(salted)).where(F.col("__rank") <= k)
+    earlier = Window.partitionBy("feature", "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).where(F.col("__before") < k)
+    kept = counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.least(F.col("__n"), k - F.col("__before")).cast("int"))))
     return kept.select("feature", "bin", "x", "y", *[F.col(n).alias(c) for c, n in named.items()])
 
 

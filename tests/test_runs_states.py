@@ -167,6 +167,10 @@ def test_scatter_sample_with_one_key_for_all(spark):
     got = scatter_sample(df, ["x"], "y", ["k"], k=5, bins=7).groupBy("bin").agg(F.count("*").alias("n"), F.max("y").alias("y")).collect()
     assert {(r.bin, r.n) for r in got} == {(b, 5) for b in range(7)} and all(r.y == r.bin + 28 for r in got)
     assert scatter_sample(df.where("false"), ["x"], "y", ["k"]).count() == 0
+    same = spark.range(0, 3000).select((F.col("id") % 2).alias("k"), F.lit(2.0).alias("x"), F.lit(1.0).alias("y"))  # equal rows are points each
+    assert [(r.bin, r.x, r.y) for r in scatter_sample(same, ["x"], "y", ["k"], k=7).collect()] == [(5, 2.0, 1.0)] * 7
+    few = scatter_sample(same.where("k = 0").limit(3), ["x"], "y", ["k"], k=7)
+    assert few.count() == 3
 
 
 FEATS = ["scan", "track", "bright_t31", "frp"]
