@@ -168,7 +168,7 @@ def _check_leakage(opts: WorkflowOptions) -> None:
 
 
 def _tune_unset_trees(train: DataFrame, key_cols: list[str], opts: WorkflowOptions, out: str,
-                      run_id: int) -> tuple[list[ModelSpec], str | None]:
+                      run_id: int, runlog: RunLog, mark: str | None) -> tuple[list[ModelSpec], str | None]:
     """A tree spec with neither ``max_leaf_nodes`` nor ``max_depth`` gets its leaf
     limit from 5-fold CV over the candidate grid (M7) on the training rows; the
     CV table is written with the run.  Other specs pass through unchanged."""
@@ -176,10 +176,13 @@ def _tune_unset_trees(train: DataFrame, key_cols: list[str], opts: WorkflowOptio
              and "max_leaf_nodes" not in s.hyperparameters and "max_depth" not in s.hyperparameters]
     if not needs:
         return list(opts.specs), None
-    folded = contiguous_fold_column(train, key_cols, CV_FOLDS, opts.seed)
-    table = tune_tree(folded, opts.features, opts.target, "fold", CV_FOLDS, LEAF_GRID)
-    path = write_run(table, f"{out}/tuning", run_id)
-    best = table.where("is_best").first()["max_leaf_nodes"]
+
+    def _tuning() -> dict:
+        folded = contiguous_fold_column(train, key_cols, CV_FOLDS, opts.seed)
+        return {"tuning": write_run(tune_tree(folded, opts.features, opts.target, "fold", CV_FOLDS, LEAF_GRID), f"{out}/tuning", run_id)}
+
+    path = runlog.stage("tuning", mark, _tuning)["tuning"]
+    best = train.sparkSession.read.parquet(path).where("is_best").first()["max_leaf_nodes"]
     tuned = [ModelSpec(s.name, s.type, {**s.hyperparameters, "max_leaf_nodes": best}, s.is_default)
              if s in needs else s for s in opts.specs]
     return tuned, path
@@ -265,7 +268,8 @@ def run_workflow(spark: SparkSession, df: DataFrame, opts: WorkflowOptions, out:
         parts = runlog.stage("split", split_mark, _split)
         train, test = (spark.read.parquet(parts[part]) for part in ("train", "test"))
 
-        specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id)
+        specs, tuning_path = _tune_unset_trees(train, key_cols, opts, out, run_id, runlog,
+                                               mark("tuning", split_mark, key_cols, opts.features, opts.target, opts.seed, CV_FOLDS, LEAF_GRID))
         marks = {s.name: mark("model", split_mark, s.name, s.type, s.hyperparameters, opts.features, opts.target, key_cols) for s in specs}
         at = {s.name: f"{out}/models/run_id={run_id}/{s.name}" for s in specs}
         known = {n for n, m in marks.items() if runlog.finished(f"models/{n}", m)}

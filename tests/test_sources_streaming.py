@@ -157,11 +157,20 @@ def test_workflow_tunes_tree_without_leaf_limit(spark, tmp_path, monkeypatch):
         "brightness", 250 + F.when(F.col("frp") > 50, 80.0).otherwise(0.0) + F.col("scan") * 20)
     opts = WorkflowOptions(key_cols=["id"], eda=False, summaries=(),
                            specs=[ModelSpec("tree", "DecisionTreeRegressor", {}, is_default=True)])
-    res = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=3)
+    res = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=3, resume=True)
     tuning = spark.read.parquet(str(tmp_path / "run" / "tuning")).collect()
     assert sorted(r.max_leaf_nodes for r in tuning) == [4, 64] and sum(r.is_best for r in tuning) == 1
     chosen = [r.max_leaf_nodes for r in tuning if r.is_best][0]
-    assert res["specs"][0].hyperparameters["max_leaf_nodes"] == chosen
+    assert res["specs"][0].hyperparameters["max_leaf_nodes"] == chosen and "tuning" not in res["reused"]
+
+    def again(*a, **k):
+        raise AssertionError("tuned again")
+
+    monkeypatch.setattr(W, "tune_tree", again)
+    opts.metrics = ("mae",)   # scores anew, from the tuned and fitted tree on record
+    second = run_workflow(spark, df, opts, str(tmp_path / "run"), run_id=3, resume=True)
+    assert {"tuning", "models/tree"} <= set(second["reused"]) and "scores" not in second["reused"]
+    assert second["specs"][0].hyperparameters["max_leaf_nodes"] == chosen and second["scores"].columns == ["model", "is_default", "mae"]
 
 
 def test_csv_stream_binds_by_header_and_rejects_mismatch(spark, tmp_path):
