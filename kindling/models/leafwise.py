@@ -19,6 +19,8 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from array import array
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -128,12 +130,14 @@ def _constant(values: Sequence, kind: str) -> Column:
 
 
 class Grown:
-    """Nodes of all trees in one numbering: tree ``i`` has root ``i``; a node's right child follows its left one, -1 at a leaf."""
+    """Nodes of all trees in one numbering: tree ``i`` has root ``i``; a node's right child follows its left one, -1 at a leaf.
+
+    Columns are typed arrays: large limits give hundreds of thousands of nodes, which as Python objects fill the driver."""
 
     def __init__(self, trees: int):
-        self.tree = list(range(trees))
-        self.parent, self.feature, self.bin, self.left, self.order = ([-1] * trees for _ in range(5))
-        self.n, self.total, self.gain = [0] * trees, [0.0] * trees, [0.0] * trees
+        self.tree = array("i", range(trees))
+        self.parent, self.feature, self.bin, self.left, self.order = (array("i", [-1] * trees) for _ in range(5))
+        self.n, self.total, self.gain = array("q", [0] * trees), array("d", [0.0] * trees), array("d", [0.0] * trees)
 
     def split(self, v: int, counts: tuple, totals: tuple) -> list[int]:
         self.left[v] = len(self.left)
@@ -299,17 +303,21 @@ def grow(rows: DataFrame, bins: Bins, trees: int, max_leaf_nodes: int | None = N
             top = [found.where(F.col("tree") == t).orderBy(F.col("least").desc()).select("least").limit(max_leaf_nodes - 1).agg(F.min("least").alias("m")).first()["m"] for t in range(trees)]
             floor = _constant([max(b if b > -math.inf else -1.0, -1.0 if m is None else m) for b, m in zip(bound, top, strict=True)], "double")
             found = found.where(F.col("least") >= F.get(floor, F.col("tree")))
-        subtrees: dict[int, dict[int, dict]] = {}
-        for r in found.collect():
-            subtrees.setdefault(r["node"], {})[r["id"]] = r
-        for root in sorted(subtrees):
-            own, todo = subtrees[root], [(root, 0)]
-            for v, ident in todo:
-                if ident in own:
-                    r = own[ident]
-                    g.n[v], g.total[v], g.gain[v], g.feature[v], g.bin[v] = r["w"], r["t"], r["gain"], r["f"], r["b"]
-                    a, b = g.split(v, (r["wl"], r["w"] - r["wl"]), (r["tl"], r["t"] - r["tl"]))
-                    todo += [(a, 2 * r["j"] + 1), (b, 2 * r["j"] + 2)]
+        got = found.select("node", "id", "j", "gain", "f", "b", "wl", "tl", "w", "t").toArrow()
+        got = {c: got.column(c).to_numpy() for c in got.column_names}  # columns, not an object for each split
+        by_root = np.lexsort((got["id"], got["node"]))
+        starts = np.flatnonzero(np.diff(got["node"][by_root], prepend=-1))
+        for at in np.split(by_root, starts)[1:]:
+            own = dict(zip(got["id"][at].tolist(), at.tolist(), strict=True))
+            todo = deque([(int(got["node"][at[0]]), 0)])
+            while todo:
+                v, ident = todo.popleft()
+                i = own.get(ident)
+                if i is not None:
+                    n, total, nl, left, j = (got[c][i].item() for c in ("w", "t", "wl", "tl", "j"))
+                    g.n[v], g.total[v], g.gain[v], g.feature[v], g.bin[v] = n, total, got["gain"][i], got["f"][i], got["b"][i]
+                    a, b = g.split(v, (nl, n - nl), (left, total - left))
+                    todo += [(a, 2 * j + 1), (b, 2 * j + 2)]
     if any(not n for n in g.n[:trees]):  # a root that can't be split has no counts yet
         for r in rows.where("w > 0").groupBy("tree").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("t")).collect():
             if not g.n[r["tree"]]:
@@ -324,36 +332,38 @@ class TreeModel:
 
     features: list[str]
     roots: list[int]
-    feature: list[int]
-    threshold: list[float]
-    left: list[int]
-    value: list[float]
-    n: list[int]
-    gain: list[float]
-    order: list[int]
+    feature: Sequence[int]
+    threshold: Sequence[float]
+    left: Sequence[int]
+    value: Sequence[float]
+    n: Sequence[int]
+    gain: Sequence[float]
+    order: Sequence[int]
     depth: int
 
+    def __post_init__(self):
+        for name, kind in (("feature", "i"), ("threshold", "d"), ("left", "i"), ("value", "d"), ("n", "q"), ("gain", "d"), ("order", "i")):
+            setattr(self, name, array(kind, getattr(self, name)))
+
     @classmethod
     def of(cls, g: Grown, bins: Bins, trees: int = 1) -> TreeModel:
         """The nodes that truncation has left, tree by tree, children side by side."""
-        reach, new, depth = [], {}, {}
+        reach, new, depth = array("i"), array("i", [-1]) * len(g.left), array("i", [0]) * len(g.left)
         for root in range(trees):
-            start = len(reach)
+            at = len(reach)
             reach.append(root)
-            new[root], depth[root] = start, 0
-            at = start
+            new[root] = at
             while at < len(reach):
                 v, at = reach[at], at + 1
                 if g.left[v] >= 0:
                     for c in (g.left[v], g.left[v] + 1):
                         new[c], depth[c] = len(reach), depth[v] + 1
                         reach.append(c)
-        inner = [g.left[v] >= 0 for v in reach]
-        return cls(list(bins.features), [new[r] for r in range(trees)], [g.feature[v] for v in reach],
-                   [bins.edges[g.feature[v]][g.bin[v]] if i else 0.0 for v, i in zip(reach, inner, strict=True)],
-                   [new[g.left[v]] if i else -1 for v, i in zip(reach, inner, strict=True)],
-                   [g.total[v] / g.n[v] if g.n[v] else 0.0 for v in reach], [g.n[v] for v in reach],
-                   [g.gain[v] if i else 0.0 for v, i in zip(reach, inner, strict=True)], [g.order[v] for v in reach], max(depth.values()))
+        inner = lambda v: g.left[v] >= 0
+        return cls(list(bins.features), [new[r] for r in range(trees)], (g.feature[v] for v in reach),
+                   (bins.edges[g.feature[v]][g.bin[v]] if inner(v) else 0.0 for v in reach), (new[g.left[v]] if inner(v) else -1 for v in reach),
+                   (g.total[v] / g.n[v] if g.n[v] else 0.0 for v in reach), (g.n[v] for v in reach),
+                   (g.gain[v] if inner(v) else 0.0 for v in reach), (g.order[v] for v in reach), max(depth))
 
     @property
     def num_leaves(self) -> list[int]:
@@ -453,9 +463,46 @@ def cv_leaf_limits(train: DataFrame, features: Sequence[str], label: str, fold_c
     rows = rows.select("*", F.explode(F.array(*[F.lit(k) for k in range(folds)])).alias("tree")).where("tree <> fold")
     rows = rows.drop("fold").withColumn("w", F.lit(1).cast("long"))
     model = TreeModel.of(grow(materialize(rows, "fold-rows"), bins, folds, max(leaf_grid)), bins, folds)
-    root = F.array(F.get(F.array(*[F.lit(r) for r in model.roots]), fold))
-    errors = [F.abs(_double(label) - model.predicted(root, limit)) for limit in leaf_grid]
-    held = train.where(fold.between(0, folds - 1)).select(fold.alias("held"), *[e.alias(f"e{i}") for i, e in enumerate(errors)])
-    held = held.groupBy("held").agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(len(leaf_grid))])
+    held = _limit_errors(train.where(fold.between(0, folds - 1)), model, fold, label, leaf_grid)
     got = held.agg(*[F.avg(f"e{i}") for i in range(len(leaf_grid))]).first()
     return [float(x) for x in got]
+
+
+def _limit_errors(held: DataFrame, model: TreeModel, fold: Column, label: str, leaf_grid: Sequence[int]) -> DataFrame:
+    """(held, e0, e1, ...): of each fold the mean absolute error of its rows by its own tree, for each leaf limit.
+
+    The trees go to the tasks as arrays, once, and one way down answers all limits: the node that a
+    limit stops at lies on the way to that of the next larger one.
+    """
+    by_size = sorted(range(len(leaf_grid)), key=lambda i: leaf_grid[i])
+    limits = [leaf_grid[i] for i in by_size]
+    columns = [np.asarray(c) for c in (model.roots, model.feature, model.threshold, model.left, model.value, model.order)]
+    sent = held.sparkSession.sparkContext.broadcast(columns)
+
+    def errors(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        roots, feature, threshold, left, value, order = sent.value
+        for b in batches:
+            of, y, *xs = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(of):
+                continue
+            x, at = np.stack(xs, axis=1), roots[of]
+            sums, n = {}, np.bincount(of)
+            for limit, i in zip(limits, by_size, strict=True):
+                go = np.arange(len(of))
+                while len(go):
+                    here = at[go]
+                    on = (left[here] >= 0) & (order[here] < limit - 1)
+                    go, here = go[on], here[on]
+                    at[go] = left[here] + (x[go, feature[here]] > threshold[here])
+                sums[i] = np.bincount(of, np.abs(y - value[at]))
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64()), *[pa.array(sums[i][seen], pa.float64()) for i in range(len(sums))]],
+                                             names=["held", "n", *[f"e{i}" for i in range(len(sums))]])
+
+    names = [f"e{i}" for i in range(len(leaf_grid))]
+    rows = held.select(fold.alias("held"), _double(label).alias("y"), *[_double(c).alias(f"x{i}") for i, c in enumerate(model.features)])
+    parts = rows.mapInArrow(errors, "held int, n long, " + ", ".join(f"{e} double" for e in names))
+    return parts.groupBy("held").agg(*[(F.sum(e) / F.sum("n")).alias(e) for e in names])

@@ -121,6 +121,16 @@ def test_fold_trees_equal_plain_cross_validation(spark, table):
     assert len(set(got)) == 4
 
 
+def test_fold_trees_stay_out_of_plans(spark, table, monkeypatch):
+    """Held-out rows meet the trees in the tasks: as constants of a plan, one copy per limit and column, they fill the driver."""
+    sizes, constant = [], leafwise._constant
+    monkeypatch.setattr(leafwise, "_constant", lambda values, kind: sizes.append(len(values)) or constant(values, kind))
+    folded = contiguous_fold_column(table, "id", 5, 1)
+    errors = leafwise.cv_leaf_limits(folded, FEATS, "y", "fold", 5, [300, 20, 300], 64)
+    assert max(sizes) <= 5 and errors[0] == errors[2] != errors[1]  # five roots, not five trees of 599 nodes
+    assert abs(errors[1] - leafwise.cv_leaf_limits(folded, FEATS, "y", "fold", 5, [20], 64)[0]) < 1e-9
+
+
 def _held_out_error(x, q, y, w, limit):
     """Best-first tree on the rows of weight 1, mean absolute error on the others."""
     nodes, heap, tick = [np.arange(len(y))], [], 0
