@@ -35,13 +35,15 @@ def with_text_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     others = [c for c in df.columns if c != text_col]
-    d = df.select(*others, words_of(F.col(text_col)).alias("_w"), left(SPACE).alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
+    d = df.select(*others, words_of(F.col(text_col)).alias("_w"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
                   left("[^A-Z]+").alias("n_upper"), lines.alias("_lines"))
-    d = d.select(*others, "word_chars", "n_symbols", "n_upper", F.size("_w").cast("long").alias("n_words"),
+    d = d.select(*others, F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"), "n_symbols", "n_upper", F.size("_w").cast("long").alias("n_words"),
                  (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                  F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    starts = F.when(F.size("_h") >= _RUN, F.sequence(F.lit(0), F.size("_h") - _RUN)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_runs", F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(_RUN)])))
+    d = d.withColumn("_runs", F.col("_h"))
+    for k in (1, 2, 4):  # hashes of 2, 4 and 8 words, each of two neighbouring ones of half as many
+        d = d.withColumn("_runs", F.zip_with("_runs", F.slice("_runs", k + 1, F.size("_runs")), lambda a, b: F.xxhash64(a, b)))
+    d = d.withColumn("_runs", F.slice("_runs", 1, F.greatest(F.size("_runs") - (_RUN - 1), F.lit(0))))
     d = d.withColumn("_again", F.size(F.array_distinct("_runs")) < F.size("_runs")).withColumn(
         "n_distinct", F.size(F.array_distinct("_h")).cast("long")).drop("_h")
     placed = F.when(F.col("_again"), F.sort_array(F.transform("_runs", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -214,6 +215,19 @@ def test_text_stats(spark, docs, odd, texts):
         assert collections.Counter((r.doc_id, *[r[n] for n in names]) for r in decision_list.document_stats(df).collect()) == want
 
 
+def test_runs_of_words_at_their_bounds(spark):
+    """Texts of 0 to 20 words around the run's length, by counting; runs are hashed from halves, not word by word."""
+    words = "a b c d e f g h".split()
+    texts = [" ".join((words * 3)[:n]) for n in range(21)] + ["x " + " ".join(words) + " y " + " ".join(words), "a " * 9, " \t", "Ä#A\x0bä$ \x1c|", None]
+    got = text_stats.with_text_stats(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    for r in got.collect():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", texts[r.i] or "") if x]
+        runs = [tuple(w[k:k + 8]) for k in range(len(w) - 7)]
+        inside = {k + j for k, x in enumerate(runs) if runs.count(x) > 1 for j in range(8)}
+        assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(w), len(inside), sum(map(len, w))), texts[r.i]
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decision_list(spark, odd, empty):
     labels = common.table(spark, SF_ORACLE, "labels")
     stats = decision_list.document_stats(common.table(spark, SF_ORACLE, "documents")).cache()
