@@ -105,6 +105,22 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 _KEEPING = ("bpe", "token_counts")
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else this worker, idle while the executor goes on without Python, keeps its pages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(task: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the task yields; what it used is given back when it ends."""
+    yield from task
+    del task  # and with it the task's caches and texts
+    give_back()
+
+
 def release(keep: str = "") -> None:
     """Drop what earlier tasks of other operators have left in this Python worker, which Spark uses again."""
     dropped = False
@@ -114,10 +130,7 @@ def release(keep: str = "") -> None:
             held.clear()
             dropped = True
     if dropped:
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # else the C library keeps the pages
-        if trim:
-            trim(0)
+        give_back()
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[tuple[pa.Array, list[bytes]]]:

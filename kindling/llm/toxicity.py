@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import Scratch, checked_broadcast, documents_of, mix, table, text_chunks
+from kindling.llm.common import Scratch, checked_broadcast, documents_of, mix, table, text_chunks, tidied
 from kindling.llm.text_stats import words_of
 
 #: Labelled rows that the lexicon and the curve are fitted on, about (a share of all by their ids' hash).
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = training_rows(docs, labels, label, most)
     counts = scratch.write(rows.select("doc_id", "text", "label").mapInArrow(
-        _unit_counts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "units")
+        lambda batches: tidied(_unit_counts(batches)), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "units")
     totals = {r.unit: r for r in counts.where(F.col("unit").isin("", " ")).collect()}
     if "" not in totals or not totals[""].toxic or not totals[""].clean:
         return ToxicModel({}, 1.0, 0.0, 1.0, 0.0, 0.02)
@@ -259,7 +259,7 @@ def score_texts(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_c
     positions counted in words.  Null, empty and blank texts have no passages, null evidence and the
     probability of texts without hits.  Repeated rows are scored each."""
     return documents_of(df, id_col, text_col).mapInArrow(
-        lambda batches: _scored(batches, model),
+        lambda batches: tidied(_scored(batches, model)),
         "doc_id long, score double, evidence double, passages array<struct<first:long,last:long,score:double>>")
 
 
@@ -273,7 +273,7 @@ def without_toxic(df: DataFrame, model: ToxicModel, text_col: str = "text", leas
             scores = [x for got in _scored([pair], model) for x in got.column(1).to_pylist()]
             yield b.filter(pa.array([x < least for x in scores], pa.bool_()))
 
-    return df.mapInArrow(clean, df.schema)
+    return df.mapInArrow(lambda batches: tidied(clean(batches)), df.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -506,3 +506,21 @@ def test_pipeline_keeps_columns_named_like_its_key(spark, docs):
     df = spark.createDataFrame([(1, "one two three four five six", "k1"), (2, "one two three four five six", "k2"), (3, "other words are in this text here", "k3")], "doc_id long, text string, _key string")
     got = {(r.doc_id, r._key) for r in corpus_pipeline.drop_near_copies(spark, df, SF_SMALL).collect()}
     assert got == {(1, "k1"), (3, "k3")}
+
+
+def test_tidied_tasks_give_their_memory_back(monkeypatch):
+    """Whatever a task yields comes through; its own frame is gone when the memory is given back."""
+    told = []
+
+    class Held:
+        def __del__(self):
+            told.append("freed")
+
+    def task():
+        held = Held()
+        yield from (1, 2, 3)
+        assert held
+
+    monkeypatch.setattr(common, "give_back", lambda: told.append("given back"))
+    assert list(common.tidied(task())) == [1, 2, 3] and told == ["freed", "given back"]
+    assert list(common.tidied(iter(()))) == [] and told[-1] == "given back"
