@@ -326,6 +326,15 @@ def grow(rows: DataFrame, bins: Bins, trees: int, max_leaf_nodes: int | None = N
     return g
 
 
+class _Column(array):
+    """A typed array that equals any sequence of the same values."""
+
+    __hash__ = None
+
+    def __eq__(self, other):
+        return len(self) == len(other) and all(a == b for a, b in zip(self, other, strict=True))
+
+
 @dataclass
 class TreeModel:
     """One or several trees as parallel arrays; ``transform`` adds the mean of their predictions."""
@@ -343,7 +352,7 @@ class TreeModel:
 
     def __post_init__(self):
         for name, kind in (("feature", "i"), ("threshold", "d"), ("left", "i"), ("value", "d"), ("n", "q"), ("gain", "d"), ("order", "i")):
-            setattr(self, name, array(kind, getattr(self, name)))
+            setattr(self, name, _Column(kind, getattr(self, name)))
 
     @classmethod
     def of(cls, g: Grown, bins: Bins, trees: int = 1) -> TreeModel:
