@@ -1,21 +1,23 @@
 """LM scoring by a probabilistic suffix tree over words (1).
 
-States are contexts of no, one or two words (Ron, Singer and Tishby, 1996).  Candidates are the
-strings that make up a share MIN_SHARE of the corpus or more, so there are 1 / MIN_SHARE of each
-length at most, whatever the corpus; a context is kept where its next-word distribution diverges
+States are contexts of no, one or two words (Ron, Singer and Tishby, 1996).  Candidates are all
+strings seen MIN_COUNT times or more; a context is kept where its next-word distribution diverges
 from its suffix's by more than its observations explain.  A kept context gives discounted
 probabilities to the words seen often after it, and the rest, in proportion, to its suffix's; the
 empty context has the discounted counts of all words, and the discounts for unknown ones.  A text is
 scored by the longest suffix of what was read that is a state.
 
-Counts of all words stay a Spark table.  Of it, frequent words (a share HOT_SHARE or more, so
-1 / HOT_SHARE at most) and the states go to the tasks; all other words of the texts are joined with
-the table.
+Counts, states and probabilities are Spark tables.  Every word of a text is the context of just one
+next token, and so is every pair of words, so a text's log-probability is a sum of weights of its
+words, pairs and triples: a word's is its own log-probability and what it leaves to the suffix as a
+context; a pair's or triple's is what its context adds to its suffix's log-probability, and again
+what it leaves.  The most frequent strings' weights (HOT of a length at most) go to the tasks, which
+add them up; all others are joined with the table of weights.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,236 +27,377 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import Scratch, table, text_chunks
+from kindling.llm.common import HashTable, Scratch, table, text_chunks
 
-#: Least share of the corpus of a state's string and of a word after it, and of a frequent word.
-MIN_SHARE, HOT_SHARE = 5e-6, 1e-6
+#: Least count of a state's string and of a word after it: what was seen once is no more than chance.
+MIN_COUNT = 2
+#: Strings of a length whose weights go to the tasks; the others are joined.
+HOT = 150_000
+#: Keys seen in a larger share of the corpus are joined by broadcast (1 / SPREAD at most), so that no task gets all their rows.
+SPREAD = 1e-5
 #: A context is kept if its log-likelihood gain (nats) passes so much, and one for each word after it.
 MIN_GAIN, DISCOUNT = 10.0, 0.5
 #: A discount takes no more of a word seen once, so that none is rated below an unseen word.
 MOST_DISCOUNT = 0.5
-_BITS, _TOKENS, _CACHE = 20, 6_000_000, 200_000
+_BITS, _TOKENS = 20, 4_000_000
+#: Bits of a set of keys that tasks ask first; it has all keys, and chance ones that a count or join then drops.
+_SET_BITS = 26
+_M63 = (1 << 63) - 1
+#: In place of a context where there is none.
+NONE = -1
+
+
+def _xx(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = np.asarray(seed).astype(np.uint64) + p5 + np.uint64(8)
+    h = turn(h ^ (turn(x.astype(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+#: Values of bytes in a word's hash, a sum of value * factor ** place; white space and A-Z fold.
+_VALUE = np.array([0 if c in b"\t\n\v\f\r " else xxhash.xxh64_intdigest(bytes([c]).lower()) for c in range(256)], np.uint64)
+_FACTOR, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+#: Bytes that are hashed at once, but for longer words.
+_BLOCK = 1 << 19
+
+
+@functools.lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, ...]:
+    """Powers of the factor and of its inverse, modulo 2 ** 64."""
+    steps = (np.append(np.uint64(1), np.full(size, f, np.uint64)) for f in (_FACTOR, _INVERSE))
+    return tuple(np.multiply.accumulate(v) for v in steps)
+
+
+def _block_keys(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, where each begins) of a block's words."""
+    value = _VALUE[raw]
+    inside = np.concatenate([[False], value != 0, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edge[::2], edge[1::2]
+    power, inverse = _powers(max(_BLOCK, 1 << len(raw).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:len(raw)])])
+    h = (sums[end] - sums[begin]) * inverse[begin]
+    return (_xx(h, (end - begin).astype(np.uint64)) >> np.uint64(1)).astype(np.int64), begin
+
+
+def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(63-bit hashes, where each begins) of the words, A-Z in lower case, between \\x20 and \\x09-\\x0D."""
+    raw, keys, begins, at = np.frombuffer(data, np.uint8), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        size, stop = _BLOCK, len(raw)
+        while at + size < len(raw):
+            gaps = np.flatnonzero(_VALUE[raw[at:at + size]] == 0)
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+                break
+            size *= 2  # a word that is longer
+        found, begin = _block_keys(raw[at:stop])
+        keys.append(found)
+        begins.append(begin + at)
+        at = stop
+    return np.concatenate(keys), np.concatenate(begins)
 
 
 def word_key(word: bytes) -> int:
-    """63 bits of a word's hash."""
-    return xxhash.xxh64_intdigest(word) >> 1
+    return int(word_keys(word)[0][0])
 
 
-#: No word holds white space.
-END = word_key(b" ")
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words, A-Z in lower case, between \\x20 and \\x09-\\x0D."""
-    return text.lower().split()
+def string_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """63 bits for a string, from the keys of what precedes its last word and of its longest suffix."""
+    return (_xx(suffix, _xx(context, np.uint64(42))) & np.uint64(_M63)).astype(np.int64)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
+def _string_key(context: str, suffix: str) -> Column:
+    return F.xxhash64(context, suffix).bitwiseAND(F.lit(_M63))
 
 
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    ends = 0
+#: The end's key; for chance to give it to a word is as unlikely as for two words to share theirs.
+END = xxhash.xxh64_intdigest(b" ") >> 1
 
-    def out() -> pa.RecordBatch:
-        keys = [word_key(w) for w in counts]
-        return pa.RecordBatch.from_arrays([pa.array([*keys, END], pa.int64()), pa.array([*counts.values(), ends], pa.int64())], names=["word", "n"])
 
-    for _, texts in text_chunks(batches):
-        for t in texts:
-            counts.update(tokens_of(t))
-        ends += len(texts)
-        if len(counts) > 300_000:
-            yield out()
-            counts.clear()
-            ends = 0
-    if ends or counts:
-        yield out()
+def _read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all texts' words and ends, where each text begins)."""
+    keys, begin = word_keys(b" ".join(texts))
+    stop = np.cumsum([len(t) + 1 for t in texts])
+    words = np.searchsorted(begin, stop)  # words up to each text's end
+    x = np.insert(keys, words, END)
+    return x, np.concatenate([[0], (words + np.arange(1, len(texts) + 1))[:-1]])
 
 
-class SuffixTree:
-    """What the tasks need: frequent words in falling order of their counts, and the states."""
+def _pairs(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of tokens that follow a word, places of those that follow two)."""
+    ok = np.ones(len(x), bool)
+    ok[starts] = False
+    two = ok.copy()
+    two[starts[starts + 1 < len(x)] + 1] = False
+    return np.flatnonzero(ok), np.flatnonzero(two)
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, once: int, twice: int):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        # where no word occurs twice, what is seen still keeps a share
-        self.discount = min(MOST_DISCOUNT, once / (once + 2 * twice)) if once else DISCOUNT
-        n = max(1, total)
-        # what the discounts leave is shared by as many unseen words as there are seen ones, and one more
-        self.unknown = float(np.log10(self.discount * distinct / n / (distinct + 1))) if total else 0.0
-        self.root = np.log10(np.maximum(counts - self.discount, 1e-9) / n) if total else np.zeros(len(counts))
-        self.contexts = int((counts >= self.least()).sum())  # a prefix, as counts fall
-        self.pairs, self.triples = _States(), _States()
 
-    def least(self) -> float:
-        return max(2.0, MIN_SHARE * self.total)
+def _counted(context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+    """Each (context, suffix) once, with its count; chance neighbours may give it more rows."""
+    order = np.argsort((context >> 31 << 31) | (suffix >> 32))
+    context, suffix = context[order], suffix[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])]))
+    n = np.diff(np.append(first, len(context)))
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (context[first], suffix[first], n)], names=["context", "suffix", "n"])
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1) / (self.total + self.distinct + 1))
 
-    def learn_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.pairs = _States(keys, counts, self.counts, self.root[keys & _MASK] if len(keys) else np.zeros(0))
+def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for context, suffix in found:
+        held.append((context, suffix))
+        size += len(context)
+        if size > _TOKENS:
+            yield _counted(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield _counted(*map(np.concatenate, zip(*held, strict=True)))
 
-    def learn_triples(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        parent = np.zeros(0)
-        if len(keys):
-            last = self.pairs.keys[keys >> _BITS] & _MASK
-            parent = self.after_word(last, keys & _MASK, self.root[keys & _MASK])
-        self.triples = _States(keys, counts, self.pairs.counts, parent)
 
-    def after_word(self, context: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of a word's probability after a one-word context (-1: none), given its root's."""
-        return self.pairs.after(context, self.pairs.find(context, word), root)
+def _word_pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, suffix, n) of words (context NONE) and of pairs of words."""
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, texts in text_chunks(batches):
+            x, starts = _read(texts)
+            yield np.full(len(x), NONE), x
+            after, _ = _pairs(x, starts)
+            yield x[after - 1], x[after]
+    return _gathered(found())
 
-    def indexed(self) -> dict[int, int]:
-        return {int(k): i for i, k in enumerate(self.words.tolist())}
+
+def _triple_counts(batches: Iterable[pa.RecordBatch], often: KeySet) -> Iterator[pa.RecordBatch]:
+    """(key of the first two words, key of the last two, n) of triples whose two pairs are in the set."""
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, texts in text_chunks(batches):
+            x, starts = _read(texts)
+            pair = string_key(np.concatenate([[NONE], x[:-1]]), x)
+            ok = often.has(pair)
+            _, after = _pairs(x, starts)
+            after = after[ok[after] & ok[after - 1]]
+            yield pair[after - 1], pair[after]
+    return _gathered(found())
+
+
+def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << 13, np.int64)
+    bits[rows["at"].to_numpy() & ((1 << 13) - 1)] = rows["bits"].to_numpy()
+    return pd.DataFrame({"block": [key[0]], "bits": [bits.tobytes()]})
 
 
-_MASK = (1 << _BITS) - 1
+class KeySet:
+    """Bits of keys: all of the given ones are in it, and some others."""
+
+    def __init__(self, keys: DataFrame):
+        place = F.col("key").bitwiseAND(F.lit((1 << _SET_BITS) - 1))
+        longs = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
+        blocks = longs.groupBy(F.shiftright("at", 13).alias("block")).applyInPandas(_packed, "block long, bits binary").collect()  # 2 ** (_SET_BITS - 19) rows at most
+        self.bits = np.zeros(1 << (_SET_BITS - 6), np.int64)
+        for r in blocks:
+            self.bits[r["block"] << 13:(r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return (self.bits[(keys & ((1 << _SET_BITS) - 1)) >> 6] >> (keys & 63)) & 1 > 0
 
 
 class _States:
-    """Contexts of one length, by number, with the words after each: keys are context << 20 | word."""
-
-    def __init__(self, keys: np.ndarray | None = None, counts: np.ndarray | None = None, seen: np.ndarray | None = None, parent: np.ndarray | None = None):
-        if keys is None or not len(keys):
-            self.keys, self.counts, self.log, self.kept, self.rest = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(1, bool), np.zeros(1)
-            return
-        self.keys, self.counts = keys, counts
-        context = keys >> _BITS
-        p = (counts - DISCOUNT) / seen[context]
-        self.log = np.log10(p)
-        size = len(seen)
-        mass = np.bincount(context, p, minlength=size)
-        taken = np.bincount(context, 10 ** parent, minlength=size)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rest = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - taken, 1e-12))
-            gain = np.bincount(context, p * (self.log - parent), minlength=size) + np.maximum(1 - mass, 0) * rest
-        after = np.bincount(context, minlength=size)
-        self.kept = (after > 0) & (seen * gain * np.log(10) > MIN_GAIN + after)
-        self.rest = np.where(self.kept, rest, 0.0)
+    """Frequent contexts of one length, by number, with the frequent words after each: keys are context << 20 | word."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, log: np.ndarray, rest: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.log = keys[order], counts[order], log[order]
+        self.kept, self.rest = ~np.isnan(rest), np.nan_to_num(rest)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The key's place, -1 where there is none; a negative context or word has none."""
         if not len(self.keys):
             return np.full(len(context), -1)
-        key = np.where((context >= 0) & (word >= 0) & (word <= _MASK), context << _BITS | np.maximum(word, 0), -1)
+        key = np.where((context >= 0) & (word >= 0), context << _BITS | np.maximum(word, 0), -1)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
     def after(self, context: np.ndarray, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        kept = (context >= 0) & self.kept[np.maximum(context, 0)]
         if not len(self.keys):
             return lower
+        kept = (context >= 0) & self.kept[np.maximum(context, 0)]
         return np.where(kept, np.where(at >= 0, self.log[np.maximum(at, 0)], self.rest[np.maximum(context, 0)] + lower), lower)
 
 
-class _Reader:
-    """Texts as numbers: a frequent word's place, -1 less the key of another, and the end's place."""
-
-    def __init__(self, tree: SuffixTree):
-        self.known, self.cache = tree.indexed(), {}
-        self.end = self.known[END]
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all texts' tokens, where each text begins)."""
-        cache, known, flat, starts = self.cache, self.known, [], []
-        for t in texts:
-            starts.append(len(flat))
-            for w in tokens_of(t):
-                x = cache.get(w)
-                if x is None:
-                    if len(cache) >= _CACHE:
-                        cache.clear()
-                    k = word_key(w)
-                    x = cache[w] = known.get(k, -1 - k)
-                flat.append(x)
-            flat.append(self.end)
-        return np.array(flat, np.int64), np.array(starts, np.int64)
-
-
-def _contexts(x: np.ndarray, starts: np.ndarray, tree: SuffixTree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, place of (before, this), pair before, place of (pair before, this)); -1: none."""
-    one = np.concatenate([[-1], x[:-1]]) if len(x) else x
-    one[starts] = -1
-    one = np.where(one < tree.contexts, one, -1)
-    one = np.maximum(one, -1)
-    pair = tree.pairs.find(one, x)
-    two = np.concatenate([[-1], pair[:-1]]) if len(x) else x
-    two[starts] = -1
-    return one, pair, two, tree.triples.find(two, x)
-
-
-def _string_counts(batches: Iterable[pa.RecordBatch], tree: SuffixTree, length: int) -> Iterator[pa.RecordBatch]:
-    """(key, n) of pairs of frequent words, or of triples whose two pairs are frequent."""
-    reader, held, size = _Reader(tree), [], 0
-
-    def out() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
-    for _, texts in text_chunks(batches):
-        x, starts = reader.read(texts)
-        one, pair, two, _ = _contexts(x, starts, tree)
-        if length == 2:
-            ok = (one >= 0) & (x >= 0) & (x < tree.contexts)
-            keys = one[ok] << _BITS | x[ok]
-        else:
-            ok = (two >= 0) & (pair >= 0)
-            keys = two[ok] << _BITS | x[ok]
-        held.append(keys)
-        size += len(keys)
-        if size > _TOKENS:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
+class SuffixTree:
+    """The frequent part of the tree: words in falling order of their counts, pairs, and what tasks need to score by them."""
+
+    def __init__(self, total: int, distinct: int, once: int, twice: int, least: int):
+        self.total, self.distinct, self._least = total, distinct, least
+        # where no word occurs twice, what is seen still keeps a share
+        self.discount = min(MOST_DISCOUNT, once / (once + 2 * twice)) if once else DISCOUNT
+        # what the discounts leave is shared by as many unseen words as there are seen ones, and one more
+        self.unknown = float(np.log10(self.discount * distinct / max(1, total) / (distinct + 1))) if total else 0.0
+
+    def least(self) -> int:
+        """Least count of a frequent word or pair."""
+        return self._least
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1) / (self.total + self.distinct + 1))
+
+    def learn_words(self, words: np.ndarray, counts: np.ndarray, root: np.ndarray, rest: np.ndarray, weights: np.ndarray) -> None:
+        order = np.lexsort((words, -counts))
+        self.words, self.counts, self.root, self.word_rest, self.word_weights = (v[order] for v in (words, counts, root, rest, weights))
+        self.contexts = int((self.counts >= self.least()).sum())  # a prefix, as counts fall
+
+    def learn_pairs(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, log: np.ndarray) -> None:
+        by_key = np.argsort(self.words)
+        a, b = (by_key[np.searchsorted(self.words, k, sorter=by_key)] for k in (context, word))
+        self.pairs = _States(a << _BITS | b, counts, log, self.word_rest)
+
+    def learn_strings(self, keys: np.ndarray, weights: np.ndarray, others: KeySet) -> None:
+        """Frequent pairs and triples; ``others`` has the keys of those that are left to a join."""
+        self.string_keys, self.string_weights, self.others, self._tables = keys, weights, others, None
+
+    def __getstate__(self) -> dict:
+        """Without what no task asks."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "root", "word_rest")}
+
+    def after_word(self, context: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of a word's probability after a one-word context (-1: none), given its root's."""
+        return self.pairs.after(context, self.pairs.find(context, word), root)
+
+    def indexed(self) -> dict[int, int]:
+        return {int(k): i for i, k in enumerate(self.words.tolist())}
+
+    def tables(self) -> tuple[HashTable, HashTable]:
+        """(numbers of words, places of other strings), made once in a worker."""
+        if self._tables is None:
+            self._tables = HashTable(self.words, np.arange(len(self.words))), HashTable(self.string_keys, np.arange(len(self.string_keys)))
+        return self._tables
 
 
 def _text_scores(batches: Iterable[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.RecordBatch]:
-    """Of each row its sums over frequent words (word is null), and its other words with their counts."""
-    reader, base = _Reader(tree), tree.base(tree.counts)
+    """Of each row its sums over frequent strings (key is null), and its other strings."""
+    words, strings = tree.tables()
+    # the last of each: not among them
+    base, own, value = (np.append(v, 0.0) for v in (tree.base(tree.counts), tree.word_weights, tree.string_weights))
     for rows, texts in text_chunks(batches):
-        x, starts = reader.read(texts)
-        one, pair, two, triple = _contexts(x, starts, tree)
-        hot = x >= 0
-        place = np.maximum(x, 0)
-        log = tree.triples.after(two, triple, tree.pairs.after(one, pair, np.where(hot, tree.root[place], 0.0)))
-        sums = [np.add.reduceat(v, starts) if len(x) else np.zeros(0) for v in (np.ones(len(x)), hot, np.where(hot, base[place], 0.0), log)]
+        x, starts = _read(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(x))))
-        rest = pd.DataFrame({"row": of[~hot], "word": -1 - x[~hot]}).groupby(["row", "word"], sort=False).size().reset_index(name="n")
-        ids = np.asarray(rows)
-        n, zero = len(texts), np.zeros(len(rest))
+        number = words.get(x)
+        hot, log = number >= 0, own[number]
+        rest_of, rest_key, rest_word = [of[~hot]], [x[~hot]], [np.ones((~hot).sum(), bool)]
+        one, two = _pairs(x, starts)
+        pair = string_key(np.concatenate([[NONE], x[:-1]]), x)
+        for at, keys in ((one, pair[one]), (two, string_key(pair[two - 1], pair[two]))):
+            found = strings.get(keys)
+            log[at] += value[found]
+            left = np.flatnonzero((found < 0) & tree.others.has(keys))
+            rest_of.append(of[at[left]])
+            rest_key.append(keys[left])
+            rest_word.append(np.zeros(len(left), bool))
+        sums = [np.add.reduceat(v, starts) for v in (np.ones(len(x)), hot.astype(np.int64), base[number], log)]
+        row, doc_id = rows.flatten()
+        n, others = len(texts), np.concatenate(rest_of)
+        none, k = pa.nulls, len(others)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids, ids[rest["row"]]]), pa.int64()),
-             pa.array(np.concatenate([np.zeros(n, np.int64), rest["word"]]), pa.int64(), mask=np.arange(n + len(rest)) < n),
-             pa.array(np.concatenate([sums[0], rest["n"]]).astype(np.int64)), pa.array(np.concatenate([sums[1], zero]).astype(np.int64)),
-             pa.array(np.concatenate([sums[2], zero])), pa.array(np.concatenate([sums[3], zero]))],
-            names=["row", "word", "n", "known", "base", "log"])
+            [pa.concat_arrays([row, row.take(pa.array(others))]), pa.concat_arrays([doc_id, none(k, pa.int64())]),
+             pa.concat_arrays([none(n, pa.int64()), pa.array(np.concatenate(rest_key), pa.int64())]),
+             pa.concat_arrays([none(n, pa.bool_()), pa.array(np.concatenate(rest_word), pa.bool_())]),
+             *(pa.concat_arrays([pa.array(v.astype(np.int64)), none(k, pa.int64())]) for v in sums[:2]),
+             *(pa.concat_arrays([pa.array(v), none(k, pa.float64())]) for v in sums[2:])],
+            names=["row", "doc_id", "key", "word", "n", "known", "base", "log"])
+
+
+_SCORES = "row long, doc_id long, key long, word boolean, n long, known long, base double, log double"
+
 
+def _with(df: DataFrame, of: DataFrame, key: str, least: float) -> DataFrame:
+    """``df`` joined with ``of``, which has each ``key`` once and its count ``n``."""
+    often, seldom = of.where(F.col("n") >= least).drop("n"), of.where(F.col("n") < least).drop("n")
+    alone = df.join(F.broadcast(often.select(key)), key, "left_anti")
+    return df.join(F.broadcast(often), key).unionByName(alone.join(seldom, key))
 
-def _frequent(counted: DataFrame, least: float, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order with their counts, of those counted ``least`` times or more: 1 / MIN_SHARE rows at most."""
-    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+
+def _level(strings: DataFrame, lower: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The states of one length, from ``strings`` (context, suffix, n) and ``lower`` (key, n, log), the strings one word shorter.
+
+    Gives (key, context, suffix, n, log, gain) of all strings, log being the last word's log10
+    probability by the longest state and gain what the context adds, and (context, rest) of the states.
+    """
+    lower_log = lower.select(F.col("key").alias("suffix"), "n", F.col("log").alias("lower"))
+    told = scratch.write(_with(strings.withColumnRenamed("n", "times"), lower_log, "suffix", least), "told")
+    left = F.col("times") - DISCOUNT
+    sums = told.groupBy("context").agg(F.sum(left).alias("own"), F.sum(left * (F.log10(left) - F.col("lower"))).alias("gain"), F.count(F.lit(1)).alias("after"),
+                                       F.sum(F.pow(F.lit(10.0), F.col("lower"))).alias("taken"))
+    mass = F.col("own") / F.col("n")
+    sums = sums.join(lower.select(F.col("key").alias("context"), "n"), "context").withColumn(
+        "rest", F.log10(F.greatest(1 - mass, F.lit(1e-12)) / F.greatest(1 - F.col("taken"), F.lit(1e-12))))
+    gain = F.col("gain") - F.col("own") * F.log10("n") + F.greatest(1 - mass, F.lit(0.0)) * F.col("n") * F.col("rest")  # of all observations
+    states = scratch.write(sums.withColumn("kept", gain * float(np.log(10)) > MIN_GAIN + F.col("after")).select("context", "n", "kept", "rest"), "states")
+    log = F.when(F.col("kept"), F.log10(left) - F.log10("seen")).otherwise(F.col("lower"))
+    strings = _with(told, states.withColumn("seen", F.col("n")), "context", least).withColumn("log", log).select(
+        _string_key("context", "suffix").alias("key"), "context", "suffix", F.col("times").alias("n"), "log",
+        F.when(F.col("kept"), F.col("log") - F.col("rest") - F.col("lower")).otherwise(0.0).alias("gain"))
+    strings = scratch.write(strings, "strings")
+    scratch.drop(told)
+    return strings, states.where("kept").select(F.col("context").alias("key"), "rest")
+
+
+def _hot_count(rows: DataFrame) -> int:
+    """The least count, MIN_COUNT or more, that at most HOT of the rows have or pass."""
+    hot = 0
+    for r in sorted(rows.groupBy("n").count().collect(), key=lambda r: -r["n"]):  # n rows have few different counts
+        hot += r["count"]
+        if hot > HOT:
+            return max(MIN_COUNT, r["n"] + 1)
+    return MIN_COUNT
+
+
+def _strings(found: DataFrame) -> DataFrame:
+    """Sums of (context, suffix, n); a row of each task has been summed there already."""
+    return found.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, scratch: Scratch) -> tuple[SuffixTree, DataFrame]:
-    """(the tree, the table of all words' counts) of texts (doc_id, text)."""
-    counts = scratch.write(train.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("n").alias("distinct"), F.count_if(F.col("n") == 1).alias("once"),
-                     F.count_if(F.col("n") == 2).alias("twice")).first()
-    hot = counts.where((F.col("n") >= max(2.0, HOT_SHARE * one.total)) | (F.col("word") == END)).toPandas()  # 1 / HOT_SHARE rows at most
-    if END not in set(hot["word"]):
-        hot.loc[len(hot)] = [END, 0]
-    hot = hot.sort_values(["n", "word"], ascending=[False, True])
-    tree = SuffixTree(hot["word"].to_numpy(np.int64), hot["n"].to_numpy(np.float64), one.total, one.distinct, one.once, one.twice)
-    for length, learn in ((2, tree.learn_pairs), (3, tree.learn_triples)):
-        sent = train.sparkSession.sparkContext.broadcast(tree)
-        learn(*_frequent(train.mapInArrow(lambda b, s=sent, k=length: _string_counts(b, s.value, k), "key long, n long"), tree.least(), scratch))
-    return tree, counts
+    """(the tree's frequent part, the weights (key, n, weight) of all words, and without n of the
+    strings beyond a word that the frequent part lacks) of texts (doc_id, text)."""
+    form, is_word = "context long, suffix long, n long", F.col("context") == NONE
+    counts = scratch.write(_strings(train.mapInArrow(_word_pair_counts, form)).where(is_word | (F.col("n") >= MIN_COUNT)), "counts")
+    words, pairs = counts.where(is_word).select(F.col("suffix").alias("key"), "n"), counts.where(~is_word)
+    one = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("n").alias("distinct"), F.count_if(F.col("n") == 1).alias("once"),
+                    F.count_if(F.col("n") == 2).alias("twice")).first()
+    tree = SuffixTree(one.total, one.distinct, one.once, one.twice, max(_hot_count(words), _hot_count(pairs)))
+    spread = max(2.0, SPREAD * tree.total)
+    words = words.withColumn("log", F.log10((F.col("n") - tree.discount) / max(1, tree.total)))
+    pairs, word_states = _level(pairs, words, spread, scratch)
+    sent = train.sparkSession.sparkContext.broadcast(KeySet(pairs))
+    triples = scratch.write(_strings(train.mapInArrow(lambda b: _triple_counts(b, sent.value), form)).where(F.col("n") >= MIN_COUNT), "triples")
+    sent.destroy()
+    hot_triple = _hot_count(triples)
+    triples, pair_states = _level(triples, pairs, spread, scratch)
+
+    rest = F.coalesce(F.col("rest"), F.lit(0.0))
+    words = scratch.write(words.join(word_states, "key", "left").withColumn("weight", F.col("log") + rest), "words")
+    longer = scratch.write(
+        pairs.join(pair_states, "key", "left").select("key", "n", (F.col("gain") + rest).alias("weight"), (F.col("n") >= tree.least()).alias("hot"), "context", "suffix", "log").unionByName(
+            triples.select("key", "n", F.col("gain").alias("weight"), (F.col("n") >= hot_triple).alias("hot")), allowMissingColumns=True), "longer")
+    scratch.drop(pairs, triples, counts)
+    tree.learn_words(*_columns(words.where((F.col("n") >= tree.least()) | (F.col("key") == END)), "key", "n", "log", "rest", "weight"))
+    tree.learn_pairs(*_columns(longer.where("hot and context is not null"), "context", "suffix", "n", "log"))
+    others = longer.where("not hot and weight != 0").select("key", F.lit(None).cast("long").alias("n"), "weight")
+    tree.learn_strings(*_columns(longer.where("hot and weight != 0"), "key", "weight"), KeySet(others))
+    return tree, words.select("key", "n", "weight").unionByName(others)
+
+
+def _columns(hot: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of at most HOT rows; nulls are NaN."""
+    rows = hot.select(*names).toPandas()
+    return [rows[c].to_numpy(np.int64 if c in ("key", "context", "suffix") else np.float64) for c in names]
 
 
 def score_documents(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,22 +409,19 @@ def score_documents(df: DataFrame, train: DataFrame, id_col: str = "doc_id", tex
     """
     scratch = Scratch(df.sparkSession, "suffix-tree")
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tree, counts = fit(plain(train), scratch)
+    tree, weights = fit(plain(train), scratch)
     sent = df.sparkSession.sparkContext.broadcast(tree)
     # numbered once and stored: rows that are numbered anew for each use need not agree
-    rows = scratch.write(plain(df).withColumn("row", F.monotonically_increasing_id()), "rows")
-    got = scratch.write(rows.select("row", "text").mapInArrow(
-        lambda b: _text_scores(b, sent.value), "row long, word long, n long, known long, base double, log double"), "scores")
-    other = got.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts, "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+    rows = plain(df).select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("of"), "text")
+    got = scratch.write(rows.mapInArrow(lambda b: _text_scores(b, sent.value), _SCORES), "scores")
+    other = got.where("key is not null").select("row", "word", "key").join(weights.withColumnRenamed("n", "count"), "key", "left").where("word or weight is not null")
+    c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
     base = F.log10((c + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    log = F.when(c > 0, F.log10((c - tree.discount) / max(1, tree.total))).otherwise(tree.unknown)
-    other = other.select("row", F.lit(0).cast("long").alias("n"), F.when(c > 0, F.col("times")).otherwise(0).alias("known"),
-                         (F.col("times") * base).alias("base"), (F.col("times") * log).alias("log"))
-    total = got.where("word is null").drop("word").unionByName(other).groupBy("row").agg(
-        F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"))
-    return rows.select("row", "doc_id").join(total, "row").select(
-        "doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    other = other.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(F.col("word") & (c > 0), 1).otherwise(0).cast("long").alias("known"),
+                         F.when(F.col("word"), base).otherwise(0.0).alias("base"), F.coalesce("weight", F.lit(tree.unknown)).alias("log"))
+    total = got.where("key is null").drop("key", "word").unionByName(other).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"))
+    return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:

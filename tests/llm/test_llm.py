@@ -394,6 +394,64 @@ def test_suffix_tree_against_plain_tree(spark, docs, texts):
         assert own.sum() + 10 ** tree.pairs.rest[c] * (1 - (10 ** tree.root).sum()) == pytest.approx(1)
 
 
+def _plain_tree(train):
+    """Score of a text by the tree of all strings of up to three words seen twice or more, in plain dictionaries."""
+    docs = [[*t.encode().lower().split(), b" "] for t in train]
+    count = [collections.Counter(tuple(d[i:i + k]) for d in docs for i in range(len(d) - k + 1)) for k in (1, 2, 3)]
+    total, once, twice = sum(count[0].values()), *(sum(c == k for c in count[0].values()) for k in (1, 2))
+    d, v = min(0.5, once / (once + 2 * twice)), len(count[0])
+    after, states = collections.defaultdict(list), {}
+    for strings in count[1:]:
+        for s, c in strings.items():
+            if c >= 2:
+                after[s[:-1]].append((s[-1], c))
+
+    def log_p(context, w):
+        if not context:
+            c = count[0][w,]
+            return math.log((c - d) / total) if c else math.log(d * v / total / (v + 1))
+        if context not in states:
+            return log_p(context[1:], w)
+        rest, own = states[context]
+        return own[w] if w in own else rest + log_p(context[1:], w)
+
+    for context in sorted(after, key=len):
+        n = count[len(context) - 1][context]
+        own = {w: math.log((c - 0.5) / n) for w, c in after[context]}
+        lower = {w: log_p(context[1:], w) for w in own}
+        left = 1 - sum(map(math.exp, own.values()))
+        rest = math.log(max(left, 1e-12) / max(1 - sum(map(math.exp, lower.values())), 1e-12))
+        if n * (sum(math.exp(p) * (p - lower[w]) for w, p in own.items()) + max(left, 0) * rest) > 10 + len(own):
+            states[context] = rest, own
+
+    def score(text):
+        words = [*text.encode().lower().split(), b" "]
+        return sum(log_p(tuple(words[max(0, i - 2):i]), w) for i, w in enumerate(words)) / math.log(10)
+
+    return score
+
+
+def test_suffix_tree_keeps_strings_of_small_share(spark, docs, texts, monkeypatch):
+    """In a large corpus strings seen a few times count as they do in a small one, in the tasks or by the join."""
+    monkeypatch.setattr(suffix_tree, "HOT", 150, raising=False)
+    rare = ["qa qb qc", "qa qb qd", "qe qa qb qc"]
+    more = [*rare, "one filler of many words " * 250_000]
+    schema = "doc_id long, text string"
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], schema).repartition(4))
+    plain = _plain_tree([*texts.values(), *more])
+    asked = [*rare, "qb qa", "qa qb never", "zz zz", "", *list(texts.values())[:150]]
+    got = suffix_tree.score_documents(spark.createDataFrame(list(enumerate(asked)), schema).repartition(3), df).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: plain(t) for i, t in enumerate(asked)})
+
+
+def test_suffix_tree_string_keys_are_sparks(spark):
+    keys = [0, 1, -1, 2**62, 123456789012345, 2**63 - 1]
+    rows = spark.createDataFrame(list(itertools.product(keys, keys)), "context long, suffix long").withColumn("key", suffix_tree._string_key("context", "suffix")).collect()
+    assert suffix_tree.string_key(*(np.array([r[k] for r in rows], np.int64) for k in (0, 1))).tolist() == [r.key for r in rows]
+    some = suffix_tree.KeySet(spark.createDataFrame([(r.key,) for r in rows], "key long"))
+    assert some.has(np.array([r.key for r in rows])).all() and not some.has(np.array([r.key + 1 for r in rows])).all()
+
+
 def test_ranked_is_gapless(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 3).cast("int").alias("p"))
     got = common.ranked(df, ["p"], ["id"], "r", 5000, per_bucket=100).collect()
