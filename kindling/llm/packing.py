@@ -11,7 +11,10 @@ starts again with one window more.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -25,24 +28,41 @@ from kindling.llm.common import Scratch, documents_of, mix, table, text_chunks
 WINDOW, CLOSING_ID, PARTS_PER_BUCKET = 4096, 2, 1024
 
 
+def _all_ways(sums: Any, nodes: Any, ways: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of all ways' sums and nodes, from those or from lists of the ways that aren't empty."""
+    if not isinstance(nodes, list):
+        return sums, nodes
+    empty = ways - len(nodes)
+    return -np.array(sums + [0] * empty, np.int64), np.array(nodes + [-1] * empty, np.int64)
+
+
 def difference_partition(sizes: np.ndarray, ways: int) -> np.ndarray:
     """The way (0 to ways - 1) of each size, by multiway differencing; sums come out nearly equal."""
     n = len(sizes)
     if ways <= 1 or n == 0:
         return np.zeros(n, np.int64)
     # a partial partition: sums in falling order less the least, and the node of each way's members;
-    # nodes below n are items, the others join two nodes
+    # nodes below n are items, the others join two nodes.  While some ways are empty, only the others
+    # are listed, and the sums are lists of negatives
     joined: list[tuple[int, int]] = []
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for i, s in enumerate(sizes.tolist()):
-        sums, nodes = np.zeros(ways, np.int64), np.full(ways, -1, np.int64)
-        sums[0], nodes[0] = s, i
-        heap.append((-s, i, sums, nodes))
+    heap: list[tuple[int, int, Any, Any]] = [(-s, i, [-s], [i]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     tie = n
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
+        if len(x) + len(y) < ways:  # no way has members in both
+            if len(y) == 1:
+                at = bisect_right(a, b[0])
+                a.insert(at, b[0])
+                x.insert(at, y[0])
+            else:
+                both = sorted(zip(a + b[::-1], x + y[::-1], strict=True), key=itemgetter(0))
+                a, x = (list(v) for v in zip(*both, strict=True))
+            heapq.heappush(heap, (a[0], tie, a, x))
+            tie += 1
+            continue
+        (a, x), (b, y) = _all_ways(a, x, ways), _all_ways(b, y, ways)
         sums, y = a + b[::-1], y[::-1]
         nodes = np.maximum(x, y)
         both = np.flatnonzero((x >= 0) & (y >= 0))
@@ -52,12 +72,14 @@ def difference_partition(sizes: np.ndarray, ways: int) -> np.ndarray:
         sums, nodes = sums[order] - sums.min(), nodes[order]
         heapq.heappush(heap, (-int(sums[0]), tie, sums, nodes))
         tie += 1
-    way = np.full(n + len(joined), -1, np.int64)
-    last = heap[0][3]
-    way[last[last >= 0]] = np.flatnonzero(last >= 0)
+    way = [-1] * (n + len(joined))
+    for w, node in enumerate(heap[0][3]):
+        if node >= 0:
+            way[node] = w
     for k in range(len(joined) - 1, -1, -1):
-        way[list(joined[k])] = way[n + k]
-    return way[:n]
+        a, b = joined[k]
+        way[a] = way[b] = way[n + k]
+    return np.array(way[:n], np.int64)
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:

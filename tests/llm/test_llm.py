@@ -355,6 +355,28 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def _plain_differencing(sizes, ways):
+    """Ways of the sizes, every partial partition holding a (sum, members) of all ways."""
+    heap = [(-s, i, [(s, [i])] + [(0, [])] * (ways - 1)) for i, s in enumerate(sizes)]
+    for tie in range(len(heap), 2 * len(heap) - 1):
+        (_, _, a), (_, _, b), *heap = sorted(heap, key=lambda h: h[:2])
+        both = sorted(((s + t, x + y) for (s, x), (t, y) in zip(a, b[::-1], strict=True)), key=lambda p: -p[0])
+        both = [(s - both[-1][0], x) for s, x in both]
+        heap.append((-both[0][0], tie, both))
+    return {i: w for w, (_, members) in enumerate(heap[0][2]) for i in members}
+
+
+def test_differencing_lists_ways_that_are_not_empty(monkeypatch):
+    rng, sort, calls = np.random.default_rng(8), np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    for n, ways in ((1, 5), (7, 9), (60, 7), (200, 30), (90, 2)):
+        sizes = rng.integers(1, 40, n)
+        assert dict(enumerate(packing.difference_partition(sizes, ways).tolist())) == _plain_differencing(sizes.tolist(), ways)
+    calls.clear()
+    packing.difference_partition(rng.integers(1, 513, 1024), 64)
+    assert len(calls) < 100  # most steps add one part to an incomplete partition
+
+
 def test_suffix_tree(spark, docs, texts, odd, empty):
     train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
     counts = collections.Counter(w for t in train.values() for w in [*t.encode().lower().split(), b" "])
