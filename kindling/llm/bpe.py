@@ -17,6 +17,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import HashTable, documents_of, table, text_chunks
+from kindling.llm.common import HashTable, documents_of, give_back, table, text_chunks
 
 #: Unicode White_Space, at which no pre-token continues; Python's split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -33,8 +34,69 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Beyond these, tables of characters differ between Unicode versions, and marks combine.
 _WIDE = re.compile("[^\x00-ɏ]")
 _BASE, _WORDS = 512, 120_000
-#: Words whose ids alone are remembered, in each of two generations (some 200 bytes a word).
-_IDS = 300_000
+#: Words whose ids alone are remembered (some 60 bytes a word), and bytes of those that are longer than _SHORT.
+_IDS, _LONG_BYTES, _SHORT = 1 << 20, 16 << 20, 15
+#: White space in every text, and letters and digits after which a sign at a word's end is a pre-token.
+_GAP, _PLAIN = (np.array([chr(c) in x for c in range(256)]) for x in ("\t\n\v\f\r ", string.ascii_letters + string.digits))
+#: Of eight bytes, the first so many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each begins, where it ends) of the words of a text, a last comma or full stop being a word."""
+    inside = np.concatenate([[False], ~_GAP[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edge[::2], edge[1::2]
+    last = raw[end - 1]
+    cut = np.flatnonzero(((last == ord(",")) | (last == ord("."))) & (end - begin > 1) & _PLAIN[raw[end - 2]])
+    sign = end[cut] - 1
+    end[cut] = sign
+    return np.insert(begin, cut + 1, sign), np.insert(end, cut + 1, sign + 1)
+
+
+class WordIds:
+    """Ids of the words met so far, one after another; words of at most _SHORT bytes are found by their bytes, as two longs."""
+
+    def __init__(self, room: int):
+        self.room, self.shift = room, np.uint64(64 - (2 * room - 1).bit_length())
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.low, self.high = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
+        self.start, self.count = np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.ids, self.used, self.words = np.zeros(4 * room, np.uint32), 0, 0
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        return (((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of short words, -1 where there is none."""
+        slot = self._slots(low, high)
+        out = self.slots[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.low[out] != low) | (self.high[out] != high)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+            out[todo] = found = self.slots[slot[todo]]
+            todo = todo[(found >= 0) & ((self.low[found] != low[todo]) | (self.high[found] != high[todo]))]
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new words, no two the same; the first ``len(low)`` are short."""
+        number = np.arange(self.words, self.words + len(counts), dtype=np.int32)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[number], self.count[number] = self.used + np.cumsum(counts) - counts, counts
+        self.used, self.words = self.used + len(ids), self.words + len(counts)
+        self.low[number[:len(low)]], self.high[number[:len(low)]] = low, high
+        slot, todo = self._slots(low, high), np.arange(len(low))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = number[free]  # of several that want a slot the last gets it
+            todo = todo[self.slots[slot[todo]] != number[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        return number
 
 
 class WordBpe:
@@ -70,8 +132,7 @@ class WordBpe:
         self.whole = np.ones(n, bool)
         self.whole[made] = self._compatible_walk(self.left[made], self.right[made], made)
         self.cache: dict[str, tuple[bytes, str, str]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ids = WordIds(_IDS)
 
     def _symbols(self, vocab: dict[str, int]) -> None:
         """Ids of a byte inside and at the end of a pre-token; printable bytes stand for themselves,
@@ -161,9 +222,10 @@ class WordBpe:
             at, state = at[on], state[on]
             size += 1
         at, size, token = map(np.concatenate, zip(*found, strict=True))
-        order = np.argsort(level[at], kind="stable")
+        depth = level[at]
+        order = np.argsort(depth.astype(np.int16) if len(depth) and depth.max() < 1 << 15 else depth, kind="stable")  # short keys sort in linear time
         at, size, token = at[order], size[order], token[order]
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(level[at]))])
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(depth))])
         # the last token of each prefix
         last, back = np.full(len(raw), -1, np.int64), np.zeros(len(raw), np.int64)
         for k in range(len(bounds) - 1):
@@ -220,25 +282,69 @@ class WordBpe:
             ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(s) for s in split])]
             self.cache.update(zip(words, self._spelled(ids, ends), strict=True))
 
-    def learn_ids(self, documents: list[list[str]]) -> None:
-        """Encode the words that ``self.ids`` doesn't have yet, as packed ids.  When it is full it
-        becomes the older generation, from which words that are met again come back."""
-        new = set().union(*documents)
-        if len(self.ids) + len(new.difference(self.ids)) > _IDS:
-            self.older, self.ids = self.ids, {}
-        new.difference_update(self.ids)
-        back = {w: self.older[w] for w in new.intersection(self.older)} if self.older else {}
-        self.ids.update(back)
-        todo = list(new.difference(back))
-        for at in range(0, len(todo), 16_384):
-            words = todo[at:at + 16_384]
-            split = [[w.lower().encode()] if w.isascii() and w.isalpha() else self.pretokens(w) for w in words]
-            ids, counts = self.encode_pretokens([p for s in split for p in s])
-            ends = (4 * np.concatenate([[0], np.cumsum(counts)])[np.cumsum(list(map(len, split)))]).tolist()
-            packed = ids.astype("<u4").tobytes()
-            self.ids.update(zip(words, [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        for t, i in self.special.items():
-            self.ids[t] = int(i).to_bytes(4, "little")
+    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many ids each has)."""
+        data = b" ".join(texts) + bytes(16)  # words are read eight bytes at a time
+        raw = np.frombuffer(data, np.uint8)
+        begin, end = word_places(raw[:-16])
+        size = end - begin
+        eight = np.ndarray(len(raw) - 7, "<u8", data, strides=(1,))
+        low = eight[begin] & _FIRST[np.minimum(size, 8)]
+        high = eight[np.minimum(begin + 8, len(eight) - 1)] & _FIRST[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+        number = np.full(len(begin), -1, np.int32)
+        short, long = np.flatnonzero(size <= _SHORT), np.flatnonzero(size > _SHORT)
+        low, high, words = low[short], high[short], [data[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+        for _ in range(2):
+            number[short] = self.ids.find(low, high)
+            new = np.flatnonzero(number[short] < 0)
+            new = new[np.lexsort((high[new], low[new]))]
+            new = new[np.concatenate([[True], (low[new[1:]] != low[new[:-1]]) | (high[new[1:]] != high[new[:-1]])])] if len(new) else new
+            new_long = list(set(words).difference(self.ids.long))
+            if not self.ids.words or self.ids.words + len(new) + len(new_long) <= self.ids.room and self.ids.long_bytes <= _LONG_BYTES:
+                break
+            self.ids = WordIds(_IDS)  # full: what is met again is learnt again
+        if len(new) + len(new_long) > self.ids.room:
+            self.ids = WordIds(len(new) + len(new_long))  # a text with so many
+        for at in range(0, len(new), 16_384):
+            part = new[at:at + 16_384]
+            spelled = [data[a:b] for a, b in zip(begin[short[part]].tolist(), end[short[part]].tolist(), strict=True)]
+            self.ids.add(low[part], high[part], *self._word_ids(spelled))
+        for at in range(0, len(new_long), 16_384):
+            part = new_long[at:at + 16_384]
+            none = np.zeros(0, np.uint64)
+            self.ids.long.update(zip(part, self.ids.add(none, none, *self._word_ids(part)).tolist(), strict=True))
+            self.ids.long_bytes += sum(map(len, part))
+        missing = number[short] < 0
+        number[short[missing]] = self.ids.find(low[missing], high[missing])
+        number[long] = [self.ids.long[w] for w in words]
+        counts = self.ids.count[number]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids.ids[np.repeat(self.ids.start[number] - before[:-1], counts) + np.arange(before[-1])]
+        stops = before[np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))]  # words begin before their text's end
+        return ids, np.diff(stops, prepend=0)
+
+    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many ids each has)."""
+        split = [[w.lower()] if w.isalpha() else self._parts(w) for w in words]
+        flat = [p for s in split for p in s]
+        coded = [p for p in flat if isinstance(p, bytes)]
+        ids, counts = self.encode_pretokens(coded) if coded else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(coded) < len(flat):
+            own = np.array([not isinstance(p, bytes) for p in flat])
+            all_counts = np.ones(len(flat), np.int64)
+            all_counts[~own] = counts
+            all_ids, at = np.zeros(all_counts.sum(), np.int64), np.repeat(own, all_counts)
+            all_ids[at], all_ids[~at] = [p for p in flat if not isinstance(p, bytes)], ids
+            ids, counts = all_ids, all_counts
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(s) for s in split])]
+        return ids, np.diff(ends, prepend=0)
+
+    def _parts(self, word: bytes) -> list[bytes | int]:
+        """A word's pre-tokens, and ids of special tokens."""
+        parts: list[bytes | int] = []
+        for w in self.words(word.decode("utf-8", "replace")):
+            parts += [self.special[w]] if w in self.special else self.pretokens(w)
+        return parts
 
     def _spelled(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[bytes, str, str]]:
         """Of each run of ids up to ``ends``: packed as 32-bit integers, in decimal, and as tokens."""
@@ -259,7 +365,9 @@ def loaded(path: str) -> WordBpe:
     """The tables of a vocabulary file, built once in a worker."""
     if path not in _loaded:
         gc.set_threshold(200_000, 50, 100)  # the cache makes no cycles, and walking it over and over takes longer than the work
+        give_back()  # what earlier tasks used, before the tables are built
         _loaded[path] = WordBpe(path)
+        give_back()
     return _loaded[path]
 
 

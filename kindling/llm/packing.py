@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.llm.bpe import default_path, loaded
-from kindling.llm.common import Scratch, documents_of, mix, table, text_chunks
+from kindling.llm.common import CHUNK_BYTES, Scratch, documents_of, mix, table, text_chunks
 
 WINDOW, CLOSING_ID, PARTS_PER_BUCKET = 4096, 2, 1024
 
@@ -94,13 +94,12 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, window: int, closing: int) -> Iterator[pa.RecordBatch]:
     bpe, end, row = loaded(path), int(closing).to_bytes(4, "little"), 0
-    for ids, texts in text_chunks(batches, keep="bpe"):
-        documents = [bpe.words(t.decode("utf-8", "replace")) for t in texts]
-        bpe.learn_ids(documents)
-        known, out = bpe.ids, []
-        for doc_id, words in zip(ids.to_pylist(), documents, strict=True):
-            coded = b"".join([known[w] for w in words]) + end
-            n = len(coded) // 4
+    for ids, texts in text_chunks(batches, CHUNK_BYTES // 4, keep="bpe"):
+        coded_ids, counts = bpe.encode_texts(texts)
+        packed, stops, out = coded_ids.astype("<u4").tobytes(), np.cumsum(counts).tolist(), []
+        for doc_id, count, stop_at in zip(ids.to_pylist(), counts.tolist(), stops, strict=True):
+            coded = packed[4 * (stop_at - count):4 * stop_at] + end
+            n = count + 1
             full = n // window * window
             for start in (*range(0, full, window), *range(full, n, max(1, window // 8))):
                 stop = start + window if start < full else min(n, start + max(1, window // 8))

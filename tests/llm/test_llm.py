@@ -74,6 +74,33 @@ def test_bpe_random_words(library):
         assert " ".join(coder.cache[w][1] for w in words) == " ".join(map(str, library.encode(t, add_special_tokens=False).ids)), t
 
 
+def test_bpe_texts_at_once(library, monkeypatch):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x20, 0x24F)] + [chr(c) for c in range(0x250, 0x3000)] + list("aeiouth ing' ,. ") * 300
+    odd = ["J\u030c", "\x00", "<|endoftext|>", "<|startoftext|>", "<|", "'s,", "\u3000", "\x1c", "...", ",,,", "A."] * 20
+    for room in (bpe._IDS, 40, 1):
+        monkeypatch.setattr(bpe, "_IDS", room)
+        coder = bpe.WordBpe(bpe.default_path())
+        for _ in range(10):
+            texts = ["".join(rng.choice(letters + odd) for _ in range(rng.choice((0, 1, 5, 40, 300)))) for _ in range(25)]
+            ids, counts = coder.encode_texts([t.encode() for t in texts])
+            stops = np.cumsum(counts)
+            assert stops[-1] == len(ids)
+            for t, stop, n in zip(texts, stops, counts, strict=True):
+                assert ids[stop - n:stop].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_bpe_learns_a_word_once_whatever_sign_ends_it(monkeypatch):
+    coder, learnt = bpe.WordBpe(bpe.default_path()), []
+    plain = coder.encode_pretokens
+    monkeypatch.setattr(coder, "encode_pretokens", lambda p: learnt.extend(p) or plain(p))
+    for texts in ([b"wombatry, wombatry. wombatry", b"wombatry."], [b"wombatry,\nwombatry"]):
+        coder.encode_texts(texts)
+    assert sorted(learnt) == [b",", b".", b"wombatry"]
+    held = sum(v.nbytes for v in vars(coder.ids).values() if isinstance(v, np.ndarray))
+    assert held <= 64 * coder.ids.room  # a str, its ids as bytes and their place in a dict took some 200
+
+
 def test_op10_digests(spark, docs, texts, library):
     from kindling.llm.queries import QUERIES
 
