@@ -35,7 +35,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WIDE = re.compile("[^\x00-ɏ]")
 _BASE, _WORDS = 512, 120_000
 #: Words whose ids alone are remembered (some 60 bytes a word), and bytes of those that are longer than _SHORT.
-_IDS, _LONG_BYTES, _SHORT = 1 << 20, 16 << 20, 15
+_IDS, _LONG_BYTES, _SHORT = 1 << 19, 8 << 20, 15
 #: White space in every text, and letters and digits after which a sign at a word's end is a pre-token.
 _GAP, _PLAIN = (np.array([chr(c) in x for c in range(256)]) for x in ("\t\n\v\f\r ", string.ascii_letters + string.digits))
 #: Of eight bytes, the first so many.

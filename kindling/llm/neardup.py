@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import Scratch, WordHashes, checked_broadcast, documents_of, table, text_chunks
+from kindling.llm.common import Scratch, WordHashes, checked_broadcast, documents_of, table, text_chunks, tidied
 
 SHINGLE, PERCENT = 3, 85
 #: Coordinates of a signature, trees of each round at 85 per cent, documents of a node compared at once, deepest level.
@@ -180,7 +180,7 @@ def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 
 def _sorted_map(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(f, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lambda b: tidied(f(b)), schema)
 
 
 class _Links:
@@ -211,7 +211,7 @@ class _Links:
         named = self.reps.select("rep", "doc_id", "set_id").join(checked_broadcast(alike, n, 16), "rep")
         texts = self.docs.join(checked_broadcast(named.select("doc_id"), n, 8), "doc_id", "left_semi")
         # an id may have several texts, and a text several rows
-        full = texts.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, set_id binary, set binary").dropDuplicates(["doc_id", "set_id"])
+        full = texts.mapInArrow(lambda b: tidied(_sets(b, shingle)), "doc_id long, set_id binary, set binary").dropDuplicates(["doc_id", "set_id"])
         rows = named.join(full, ["doc_id", "set_id"]).select("cluster", "rep", "set")
         self.add(scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long"), "links"))
 
@@ -374,7 +374,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(df.sparkSession, "neardup")
     docs = documents_of(df, id_col, text_col)
-    sketched = docs.mapInArrow(lambda b: _sketches(b, shingle), "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary")
+    sketched = docs.mapInArrow(lambda b: tidied(_sketches(b, shingle)), "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary")
     sketched = scratch.write(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketched.where("doc_id is not null and set_id is not null")
     # a class of equal sets goes by the number of one of its rows, since an id may have several texts

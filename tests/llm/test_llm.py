@@ -101,6 +101,22 @@ def test_bpe_learns_a_word_once_whatever_sign_ends_it(monkeypatch):
     assert held <= 64 * coder.ids.room  # a str, its ids as bytes and their place in a dict took some 200
 
 
+def test_tasks_give_memory_back(spark, monkeypatch):
+    class Frame:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, task, schema):  # noqa: N802
+            return task
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("task"))
+    assert list(neardup._sorted_map(Frame(), "node", lambda batches: iter([1, 2]), "x long")(iter([]))) == [1, 2] and calls == ["task"]
+    monkeypatch.setattr(bpe, "give_back", lambda: calls.append("tables"))
+    monkeypatch.setattr(bpe, "_loaded", {})
+    bpe.loaded(bpe.default_path())
+    assert calls == ["task", "tables", "tables"]
+
+
 def test_op10_digests(spark, docs, texts, library):
     from kindling.llm.queries import QUERIES
 
