@@ -4,6 +4,7 @@ checkpoint folder, checked broadcasts, ranks without one-task windows, and word
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 import sys
@@ -24,6 +25,8 @@ from kindling.sources.readers import read_table
 
 #: A table is broadcast only when its rows, counted first, take no more than this.
 BROADCAST_MAX_BYTES = 32 << 20
+#: Partitions of a shuffle beyond so many for each core are worked on one after another.
+TASKS_A_CORE = 8
 #: Text that a Python task works on at once.
 CHUNK_BYTES = 4 << 20
 
@@ -71,6 +74,11 @@ def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BRO
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def most_tasks(spark: SparkSession) -> int:
+    """TASKS_A_CORE for each core: a task that calls Python or writes takes longer to start than small partitions to work on."""
+    return TASKS_A_CORE * max(1, spark.sparkContext.defaultParallelism)
+
+
 def mix(*cols: Column | str) -> Column:
     """A well mixed long of the columns, the same on every run and cluster."""
     return F.xxhash64(*cols)
@@ -114,8 +122,16 @@ def give_back() -> None:
         trim(0)
 
 
+@functools.cache
+def set_modules_aside() -> None:
+    """What this worker has imported is left out of its later collections; to walk it took longer than a small task."""
+    gc.collect()
+    gc.freeze()
+
+
 def tidied(task: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the task yields; what it used is given back when it ends."""
+    set_modules_aside()  # before the task has any rows
     yield from task
     del task  # and with it the task's caches and texts
     give_back()

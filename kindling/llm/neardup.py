@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import Scratch, WordHashes, checked_broadcast, documents_of, table, text_chunks, tidied
+from kindling.llm.common import Scratch, WordHashes, checked_broadcast, documents_of, most_tasks, table, text_chunks, tidied
 
 SHINGLE, PERCENT = 3, 85
 #: Coordinates of a signature, trees of each round at 85 per cent, documents of a node compared at once, deepest level.
@@ -179,8 +179,10 @@ def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.R
     yield _pairs(out, "a", "b")
 
 
-def _sorted_map(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lambda b: tidied(f(b)), schema)
+def _sorted_map(df: DataFrame, key: str, f: Callable, schema: str, tasks: int = 0) -> DataFrame:
+    """``f`` of rows sorted by ``key``, in ``tasks`` tasks at most, if given; a key's rows stay together where a task has several partitions."""
+    parts = df.repartition(F.col(key)).sortWithinPartitions(key)
+    return (parts.coalesce(tasks) if tasks else parts).mapInArrow(lambda b: tidied(f(b)), schema)
 
 
 class _Links:
@@ -191,7 +193,7 @@ class _Links:
         expected, spread = COORDINATES * percent / 100, (COORDINATES * percent / 100 * (1 - percent / 100)) ** 0.5
         self.least = int(expected - 4.5 * spread)
         self.labels: DataFrame | None = None
-        self.named = 0
+        self.named, self.tasks = 0, most_tasks(docs.sparkSession)
 
     def marked(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with the component of each rep, as ``part``."""
@@ -204,7 +206,8 @@ class _Links:
         """Compares the documents of each of ``nodes`` (node, rep) that aren't linked yet."""
         scratch, least, shingle, percent = self.scratch, self.least, self.shingle, self.percent
         rows = self.marked(nodes).join(self.reps.select("rep", "sketch"), "rep").select("node", "rep", "part", "sketch")
-        alike = scratch.write(_sorted_map(rows, "node", lambda b: _alike(b, least), "cluster long, rep long").distinct(), "alike")
+        alike = _sorted_map(rows, "node", lambda b: _alike(b, least), "cluster long, rep long", self.tasks).distinct()
+        alike = scratch.write(alike.coalesce(self.tasks), "alike")
         n = alike.count()
         if not n:
             return
@@ -213,7 +216,7 @@ class _Links:
         # an id may have several texts, and a text several rows
         full = texts.mapInArrow(lambda b: tidied(_sets(b, shingle)), "doc_id long, set_id binary, set binary").dropDuplicates(["doc_id", "set_id"])
         rows = named.join(full, ["doc_id", "set_id"]).select("cluster", "rep", "set")
-        self.add(scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long"), "links"))
+        self.add(scratch.write(_sorted_map(rows, "cluster", lambda b: _confirmed(b, percent), "a long, b long", self.tasks), "links"))
 
     def add(self, links: DataFrame) -> None:
         """Joins components by ``links`` (a, b): only what is new between components is worked on."""
@@ -245,7 +248,8 @@ class _Links:
         rows = self.scratch.write(self.marked(large), "parts")
         parts = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
         tops = parts.groupBy("node").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
-        tops = self.scratch.write(tops.select("node", F.col("top.n").alias("n"), F.col("top.part").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "tops")
+        tops = tops.select("node", F.col("top.n").alias("n"), F.col("top.part").alias("top"), (F.col("all") - F.col("top.n")).alias("others"))
+        tops = self.scratch.write(tops.coalesce(self.tasks), "tops")
         rows = rows.join(checked_broadcast(tops, tops.count(), 48), "node")
         blocks = F.ceil(F.col("n") / half).cast("int")
         to = F.when(F.col("part") == F.col("top"), F.array(F.pmod(F.xxhash64("node", "rep", F.lit(1)), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
@@ -382,7 +386,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = known.groupBy("set_id").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_doc"), one)
     reps = scratch.write(reps.select("rep", "set_id", "one.doc_id", "one.signature", "one.sketch", "least_doc"), "classes")
     links, start = _Links(docs, reps, shingle, percent, scratch), 0
-    several = scratch.write(known.groupBy("doc_id").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("doc_id", "first"), "several")
+    several = known.groupBy("doc_id").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first <> last").select("doc_id", "first")
+    several = scratch.write(several.coalesce(most_tasks(df.sparkSession)), "several")
     if not several.isEmpty():
         pairs = known.select("doc_id", "set_id").join(several, "doc_id").where("set_id <> first").select("set_id", "first").distinct()
         of = reps.select("set_id", "rep")

@@ -647,3 +647,39 @@ def test_tidied_tasks_give_their_memory_back(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: told.append("given back"))
     assert list(common.tidied(task())) == [1, 2, 3] and told == ["freed", "given back"]
     assert list(common.tidied(iter(()))) == [] and told[-1] == "given back"
+
+
+def test_ends_of_tasks_do_not_walk_the_modules(spark):
+    import gc
+
+    import pyarrow as pa
+
+    common.table(spark, SF_SMALL, "documents")  # lets workers find the package
+
+    def walked(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(gc.get_objects())]), pa.array([gc.get_freeze_count()])], names=["walked", "aside"])
+
+    rows = spark.range(4, numPartitions=4).mapInArrow(lambda b: common.tidied(walked(b)), "walked long, aside long").collect()
+    assert len(rows) == 4 and all(10 * r.walked < r.aside for r in rows)
+
+
+def test_small_partitions_share_tasks(spark):
+    import pyarrow as pa
+
+    def runs(batches):
+        groups = [(key, len(rows)) for key, rows in neardup._groups(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in groups], pa.int64()) for k in (0, 1)], names=["key", "n"])
+
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000, numPartitions=7).select((F.col("id") % 500).alias("key"))
+        got = neardup._sorted_map(rows, "key", runs, "key long, n long", 3).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.key, r.n) for r in got) == [(k, 6) for k in range(500)]  # each key's rows at once
+        assert {r.task for r in got} <= {0, 1, 2}
+        assert common.most_tasks(spark) == common.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
