@@ -36,6 +36,8 @@ _WIDE = re.compile("[^\x00-ɏ]")
 _BASE, _WORDS = 512, 120_000
 #: Words whose ids alone are remembered (some 60 bytes a word), and bytes of those that are longer than _SHORT.
 _IDS, _LONG_BYTES, _SHORT = 1 << 19, 8 << 20, 15
+#: New words that are encoded at once for their ids.
+_AT_ONCE = 4096
 #: White space in every text, and letters and digits after which a sign at a word's end is a pre-token.
 _GAP, _PLAIN = (np.array([chr(c) in x for c in range(256)]) for x in ("\t\n\v\f\r ", string.ascii_letters + string.digits))
 #: Of eight bytes, the first so many.
@@ -305,12 +307,12 @@ class WordBpe:
             self.ids = WordIds(_IDS)  # full: what is met again is learnt again
         if len(new) + len(new_long) > self.ids.room:
             self.ids = WordIds(len(new) + len(new_long))  # a text with so many
-        for at in range(0, len(new), 16_384):
-            part = new[at:at + 16_384]
+        for at in range(0, len(new), _AT_ONCE):
+            part = new[at:at + _AT_ONCE]
             spelled = [data[a:b] for a, b in zip(begin[short[part]].tolist(), end[short[part]].tolist(), strict=True)]
             self.ids.add(low[part], high[part], *self._word_ids(spelled))
-        for at in range(0, len(new_long), 16_384):
-            part = new_long[at:at + 16_384]
+        for at in range(0, len(new_long), _AT_ONCE):
+            part = new_long[at:at + _AT_ONCE]
             none = np.zeros(0, np.uint64)
             self.ids.long.update(zip(part, self.ids.add(none, none, *self._word_ids(part)).tolist(), strict=True))
             self.ids.long_bytes += sum(map(len, part))

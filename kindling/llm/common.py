@@ -32,12 +32,12 @@ CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table.  Texts go to Python in batches of 16 MB, whatever their lengths.  Also lets Python workers that see the driver's folders find this library
+    """A supplied table.  Texts go to Python in batches of 4 MB, whatever their lengths; the executor and its worker hold several at once.  Also lets Python workers that see the driver's folders find this library
     (elsewhere it is installed or sent with ``--py-files``)."""
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return read_table(spark, sf_dir, name)
 
 

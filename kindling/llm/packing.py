@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindling.llm.bpe import default_path, loaded
-from kindling.llm.common import CHUNK_BYTES, Scratch, documents_of, mix, table, text_chunks
+from kindling.llm.common import CHUNK_BYTES, Scratch, documents_of, give_back, mix, table, text_chunks, tidied
 
 WINDOW, CLOSING_ID, PARTS_PER_BUCKET = 4096, 2, 1024
 
@@ -94,7 +94,9 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, window: int, closing: int) -> Iterator[pa.RecordBatch]:
     bpe, end, row = loaded(path), int(closing).to_bytes(4, "little"), 0
-    for ids, texts in text_chunks(batches, CHUNK_BYTES // 4, keep="bpe"):
+    for k, (ids, texts) in enumerate(text_chunks(batches, CHUNK_BYTES // 8, keep="bpe")):
+        if k % 4 == 0:
+            give_back()  # what earlier chunks used; it takes a millisecond
         coded_ids, counts = bpe.encode_texts(texts)
         packed, stops, out = coded_ids.astype("<u4").tobytes(), np.cumsum(counts).tolist(), []
         for doc_id, count, stop_at in zip(ids.to_pylist(), counts.tolist(), stops, strict=True):
@@ -117,7 +119,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     into windows; ids are little-endian unsigned 32-bit; ``row`` numbers a task's documents."""
     path = path or default_path()
     return documents_of(df, id_col, text_col).mapInArrow(
-        lambda batches: _pieces(batches, path, window, closing),
+        lambda batches: tidied(_pieces(batches, path, window, closing)),
         "doc_id long, row long, start long, length long, ids binary, doc_tokens long")
 
 

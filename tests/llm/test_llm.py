@@ -683,3 +683,28 @@ def test_small_partitions_share_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_texts_come_in_small_batches(spark):
+    import pyarrow as pa
+
+    common.table(spark, SF_SMALL, "documents")
+    texts = spark.range(3000, numPartitions=1).select(F.expr("repeat(cast(id % 10 as string), 4000)").alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"]) for b in batches), "n long, bytes long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.bytes for r in sizes) <= 5 << 20
+
+
+def test_packing_gives_memory_back_between_chunks(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"words of text {i} " * 20 + f"rare{i}" for i in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"])
+    whole = pa.Table.from_batches(packing._pieces([rows], bpe.default_path(), 64, 2)).to_pylist()
+    calls = []
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 8 * 1500)  # some three texts a chunk
+    monkeypatch.setattr(bpe, "_AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "_loaded", {})
+    parts = list(packing._pieces([rows], bpe.default_path(), 64, 2))
+    assert len(parts) > 8 and len(calls) == -(-len(parts) // 4)
+    assert pa.Table.from_batches(parts).to_pylist() == whole
