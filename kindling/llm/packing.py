@@ -94,7 +94,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, window: int, closing: int) -> Iterator[pa.RecordBatch]:
     bpe, end, row = loaded(path), int(closing).to_bytes(4, "little"), 0
-    for k, (ids, texts) in enumerate(text_chunks(batches, CHUNK_BYTES // 8, keep="bpe")):
+    for k, (ids, texts) in enumerate(text_chunks(batches, CHUNK_BYTES // 4, keep="bpe")):
         if k % 4 == 0:
             give_back()  # what earlier chunks used; it takes a millisecond
         coded_ids, counts = bpe.encode_texts(texts)

@@ -702,7 +702,7 @@ def test_packing_gives_memory_back_between_chunks(monkeypatch):
     whole = pa.Table.from_batches(packing._pieces([rows], bpe.default_path(), 64, 2)).to_pylist()
     calls = []
     monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
-    monkeypatch.setattr(packing, "CHUNK_BYTES", 8 * 1500)  # some three texts a chunk
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 4 * 1500)  # some three texts a chunk
     monkeypatch.setattr(bpe, "_AT_ONCE", 7)
     monkeypatch.setattr(bpe, "_loaded", {})
     parts = list(packing._pieces([rows], bpe.default_path(), 64, 2))
