@@ -50,10 +50,18 @@ class Scratch:
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kindling/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, keep_shuffles: bool = True) -> DataFrame:
+        """``keep_shuffles``: until the driver happens to collect its garbage; else only while the table is written."""
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
-        df.write.parquet(path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        try:
+            if not keep_shuffles:
+                conf.set(key, "true")
+            df.write.parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kindling_path = path
         return out

@@ -7,44 +7,65 @@ probabilities to the words seen often after it, and the rest, in proportion, to
 empty context has the discounted counts of all words, and the discounts for unknown ones.  A text is
 scored by the longest suffix of what was read that is a state.
 
-Counts, states and probabilities are Spark tables.  Every word of a text is the context of just one
-next token, and so is every pair of words, so a text's log-probability is a sum of weights of its
-words, pairs and triples: a word's is its own log-probability and what it leaves to the suffix as a
-context; a pair's or triple's is what its context adds to its suffix's log-probability, and again
-what it leaves.  The most frequent strings' weights (HOT of a length at most) go to the tasks, which
-add them up; all others are joined with the table of weights.
+Every word of a text is the context of just one next token, and so is every pair of words, so a
+text's log-probability is a sum of weights of its words, pairs and triples: a word's is its own
+log-probability and what it leaves to the suffix as a context; a pair's or triple's is what its
+context adds to its suffix's log-probability, and again what it leaves.
+
+Texts are stored once, as chunks of numbered words; the keys of strings are dealt into parts by
+ranges.  A chunk asks each part about its distinct strings, in the order of their keys, and a part
+answers in the same order, so that an answer needs no key:
+
+1. of words and pairs: the chunk's counts go out, the sums over all chunks come back;
+2. of words as contexts: what a part needs to judge them (each string is spoken for by one of the
+   chunks that have it, which knows the counts of the string's words); the states come back.  Of
+   triples of frequent pairs: counts;
+3. of pairs as contexts, likewise.
+
+Then a chunk knows the weights of all its strings, and scores its texts alone.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+import itertools
+import struct
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import HashTable, Scratch, table, text_chunks
+from kindling.llm.common import Scratch, documents_of, most_tasks, table, text_chunks, tidied
 
 #: Least count of a state's string and of a word after it: what was seen once is no more than chance.
 MIN_COUNT = 2
-#: Strings of a length whose weights go to the tasks; the others are joined.
+#: Strings of a length that the driver can look at.
 HOT = 150_000
-#: Keys seen in a larger share of the corpus are joined by broadcast (1 / SPREAD at most), so that no task gets all their rows.
-SPREAD = 1e-5
 #: A context is kept if its log-likelihood gain (nats) passes so much, and one for each word after it.
 MIN_GAIN, DISCOUNT = 10.0, 0.5
 #: A discount takes no more of a word seen once, so that none is rated below an unseen word.
 MOST_DISCOUNT = 0.5
-_BITS, _TOKENS = 20, 4_000_000
+#: Tokens of a chunk at most (one batch may have more), and of all texts for each part of the keys.
+_TOKENS, _PART = 2_700_000, 2_000_000
+_BITS = 20
+#: Strings that are hashed at once, in a CPU's cache.
+_AT_ONCE = 1 << 15
 #: Bits of a set of keys that tasks ask first; it has all keys, and chance ones that a count or join then drops.
 _SET_BITS = 26
 _M63 = (1 << 63) - 1
 #: In place of a context where there is none.
 NONE = -1
+#: Kinds of messages of a chunk, or to and from a part.
+TEXTS, WORDS, PAIRS, TRIPLES, WORD_STATES, PAIR_STATES, TOTALS = range(7)
+#: part: of texts, how many tokens they have.
+_MESSAGE = "chunk long, part long, kind long, data binary"
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def _xx(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -133,58 +154,339 @@ def _read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of tokens that follow a word, places of those that follow two)."""
+    """(places of tokens that follow a word, places of those that follow two); texts in one array have fewer than 2 ** 31."""
     ok = np.ones(len(x), bool)
     ok[starts] = False
     two = ok.copy()
     two[starts[starts + 1 < len(x)] + 1] = False
-    return np.flatnonzero(ok), np.flatnonzero(two)
+    return np.flatnonzero(ok).astype(np.int32), np.flatnonzero(two).astype(np.int32)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of longs of 63 bits (their stable order, they in this order, whether each is another than the one before)."""
+    bits = len(keys).bit_length()
+    order = keys >> bits  # the upper bits are sorted together with their places
+    order <<= bits
+    order |= np.arange(len(keys))
+    order.sort()
+    order &= (1 << bits) - 1
+    k = keys[order]
+    wrong = np.flatnonzero(k[1:] < k[:-1])
+    if len(wrong):  # different keys that share their upper bits
+        upper = k >> bits
+        at = np.flatnonzero(np.isin(upper, upper[wrong]))
+        among = order[at]
+        order[at] = among[np.lexsort((among, k[at]))]
+        k[at] = keys[order[at]]
+    return order, k, np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, each key's place among them)."""
+    order, k, new = _grouped(keys)
+    k, at = k[new], np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return k, at
+
+
+def _strings(keys: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of strings of which the context and the suffix have these places among the keys."""
+    out = np.empty(len(context), np.int64)
+    for a in range(0, len(out), _AT_ONCE):
+        at = slice(a, a + _AT_ONCE)
+        out[at] = string_key(keys[context[at]], keys[suffix[at]])
+    return out
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Longs, doubles or flags, by their bytes' places, as many as the largest has."""
+    out = []
+    for a in arrays:
+        v = np.ascontiguousarray(a if a.dtype.itemsize == 8 else a.astype(np.int64)).view(np.uint64)
+        width = (int(v.max()).bit_length() + 7) // 8 if len(v) else 0
+        data = _CODEC.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T[:width]), asbytes=True) if width else b""
+        out += [struct.pack("<BQQ", width, len(v), len(data)), data]
+    return b"".join(out)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, as longs."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        width, n, size = struct.unpack_from("<BQQ", data, at)
+        at += 17
+        v = np.zeros((n, 8), np.uint8)
+        if width:
+            v[:, :width] = np.frombuffer(_CODEC.decompress(view[at:at + size], decompressed_size=width * n), np.uint8).reshape(width, n).T
+        out.append(v.reshape(-1).view(np.int64))
+        at += size
+    return out
+
+
+def _rising(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys to be packed: the first, and the steps."""
+    return keys[:1], np.diff(keys)
+
+
+def _risen(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([first, steps]))
+
+
+def _sent(messages: Iterable[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of _MESSAGE, some MB at once."""
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
+    for m in messages:
+        held.append(m)
+        size += len(m[3]) + 100
+        if size > 1 << 20:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
 
 
-def _counted(context: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
-    """Each (context, suffix) once, with its count; chance neighbours may give it more rows."""
-    order = np.argsort((context >> 31 << 31) | (suffix >> 32))
-    context, suffix = context[order], suffix[order]
-    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])]))
-    n = np.diff(np.append(first, len(context)))
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (context[first], suffix[first], n)], names=["context", "suffix", "n"])
+def _rows(messages: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    *numbers, data = zip(*messages, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in numbers), pa.array(data, pa.binary())], names=["chunk", "part", "kind", "data"])
 
 
-def _gathered(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for context, suffix in found:
-        held.append((context, suffix))
-        size += len(context)
-        if size > _TOKENS:
-            yield _counted(*map(np.concatenate, zip(*held, strict=True)))
-            held, size = [], 0
-    if size:
-        yield _counted(*map(np.concatenate, zip(*held, strict=True)))
-
-
-def _word_pair_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, suffix, n) of words (context NONE) and of pairs of words."""
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, texts in text_chunks(batches):
-            x, starts = _read(texts)
-            yield np.full(len(x), NONE), x
-            after, _ = _pairs(x, starts)
-            yield x[after - 1], x[after]
-    return _gathered(found())
-
-
-def _triple_counts(batches: Iterable[pa.RecordBatch], often: KeySet) -> Iterator[pa.RecordBatch]:
-    """(key of the first two words, key of the last two, n) of triples whose two pairs are in the set."""
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, texts in text_chunks(batches):
-            x, starts = _read(texts)
-            pair = string_key(np.concatenate([[NONE], x[:-1]]), x)
-            ok = often.has(pair)
-            _, after = _pairs(x, starts)
-            after = after[ok[after] & ok[after - 1]]
-            yield pair[after - 1], pair[after]
-    return _gathered(found())
+def _messages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+
+
+def _text_messages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Chunks of texts: words by falling count and their numbers, which pack well; and of each text its tokens, id and uses."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    size, chunk = 0, TaskContext.get().partitionId() << 32
+
+    def packed() -> bytes:
+        words, at = _distinct(np.concatenate([x for x, _, _ in held]))
+        often = np.argsort(-np.bincount(at), kind="stable")
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often))
+        doc_id, learn, asked = pa.concat_arrays([of for _, _, of in held]).flatten()
+        return _pack(*_rising(words), often, rank[at], np.concatenate([n for _, n, _ in held]), doc_id.fill_null(0).to_numpy(),
+                     *(v.to_numpy(zero_copy_only=False) for v in (doc_id.is_valid(), learn, asked)))
+
+    for of, texts in text_chunks(batches):
+        x, starts = _read(texts)
+        if held and size + len(x) > _TOKENS:
+            yield chunk, size, TEXTS, packed()
+            held, size, chunk = [], 0, chunk + 1
+        held.append((x, np.diff(np.append(starts, len(x))), of))
+        size += len(x)
+    if held:
+        yield chunk, size, TEXTS, packed()
+
+
+def _sums(of: np.ndarray, size: int, n: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
+    """Of each of ``size`` contexts: how many strings follow, their counts' sum, and sums for the gain and for the rest."""
+    left = n - DISCOUNT
+    sums = [np.bincount(of, minlength=size), *(np.bincount(of, v, size) for v in (n, left * (np.log10(left) - lower), 10.0 ** lower))]
+    return [*(v.astype(np.int64) for v in sums[:2]), *sums[2:]]
+
+
+class _Chunk:
+    """A chunk's texts with what it was told of its strings so far."""
+
+    def __init__(self, number: int, messages: Iterable[tuple[int, int, int, bytes]], tree: SuffixTree | None = None):
+        self.number, self.tree = number, tree
+        self._told: dict[int, list[bytes]] = defaultdict(list)
+        for _, _, kind, data in messages:  # in the order of parts
+            self._told[kind].append(data)
+        first, steps, often, rank, sizes, self.doc_id, valid, learn, asked = _unpack(self._told.pop(TEXTS)[0])
+        self.words, self.x, self.sizes = _risen(first, steps), often.astype(np.int32)[rank], sizes
+        del rank
+        self.starts = np.cumsum(sizes) - sizes
+        self.no_id, self.asked = valid == 0, asked > 0
+        self.learned = np.repeat(learn > 0, sizes)
+        self.one, self._two = _pairs(self.x, self.starts)
+        context, word = self.x[self.one - 1], self.x[self.one]
+        self.pairs, at = _distinct(_strings(self.words, context, word))
+        self.context, self.word = (np.empty(len(self.pairs), np.int32) for _ in range(2))
+        self.context[at], self.word[at] = context, word
+        self.pair = np.full(len(self.x), NONE, np.int32)  # of each token, with the one before
+        self.pair[self.one] = at
+
+    def counts(self, places: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
+        """In training texts, of strings that end at the places."""
+        return np.bincount(number[self.learned[places]], minlength=size)
+
+    def asks(self, kind: int, keys: np.ndarray, parts: int, about: Callable[[slice], list[np.ndarray]]) -> Iterator[tuple[int, int, int, bytes]]:
+        """Messages to the parts about distinct keys in order."""
+        stop = np.searchsorted(((keys >> 31) * parts) >> 32, np.arange(parts), "right")
+        for part, (a, b) in enumerate(zip(np.append(0, stop[:-1]).tolist(), stop.tolist(), strict=True)):
+            if a < b:
+                yield self.number, part, kind, _pack(*_rising(keys[a:b]), *about(slice(a, b)))
+
+    def asks_states(self, kind: int, keys: np.ndarray, n: np.ndarray, sums: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """Of contexts that can be states, with their counts and sums where this chunk speaks for strings after them."""
+        can = n >= MIN_COUNT
+        n, *sums = (v[can] for v in (n, *sums))
+        has = sums[0] > 0
+        return self.asks(kind, keys[can], parts, lambda at: [has[at], *(v[at][has[at]] for v in (n, *sums))])
+
+    def _counted(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        told = np.concatenate([np.zeros(0, np.int64), *(_unpack(d)[0] for d in self._told.pop(kind, ()))])
+        return told >> 1, (told & 1) > 0
+
+    def _rest(self, kind: int, n: np.ndarray) -> np.ndarray:
+        """What contexts leave to their suffixes, log10; NaN of no states."""
+        told = [_unpack(d) for d in self._told.pop(kind, ())]
+        kept, rest = (np.concatenate([np.zeros(0, np.int64), *(t[i] for t in told)]) for i in range(2))
+        can = np.full(len(kept), np.nan)
+        can[kept > 0] = rest.view(np.float64)
+        out = np.full(len(n), np.nan)
+        out[n >= MIN_COUNT] = can
+        return out
+
+    def hear_counts(self) -> None:
+        """Counts of words and pairs, and the triples that matter by them."""
+        (self.word_n, self.word_speaks), (self.pair_n, self.pair_speaks) = self._counted(WORDS), self._counted(PAIRS)
+        self.root = self.tree.log(self.word_n)
+        often = self.pair_n >= MIN_COUNT
+        self.three = self._two[often[self.pair[self._two]] & often[self.pair[self._two - 1]]]
+        context, suffix = self.pair[self.three - 1], self.pair[self.three]
+        self.triples, self.triple = _distinct(_strings(self.pairs, context, suffix))
+        self.triple_context, self.triple_suffix = (np.empty(len(self.triples), np.int32) for _ in range(2))
+        self.triple_context[self.triple], self.triple_suffix[self.triple] = context, suffix
+
+    def hear_word_states(self) -> None:
+        self.triple_n, self.triple_speaks = self._counted(TRIPLES)
+        self.word_rest = self._rest(WORD_STATES, self.word_n)
+        self.pair_log, self.pair_gain = self._level(self.pair_n, self.context, self.word_n, self.word_rest, self.root[self.word])
+
+    def hear_pair_states(self) -> None:
+        self.pair_rest = self._rest(PAIR_STATES, self.pair_n)
+        self.triple_log, self.triple_gain = self._level(self.triple_n, self.triple_context, self.pair_n, self.pair_rest, self.pair_log[self.triple_suffix])
+
+    @staticmethod
+    def _level(n: np.ndarray, context: np.ndarray, context_n: np.ndarray, rest: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the last word's probability by the longest state, what the context adds) of strings; the latter is 0 of rare ones."""
+        rest = rest[context]
+        kept = ~np.isnan(rest) & (n >= MIN_COUNT)
+        log = np.array(lower)
+        log[kept] = np.log10(n[kept] - DISCOUNT) - np.log10(context_n[context[kept]])
+        return log, np.where(kept, log - rest - lower, 0.0)
+
+    def scores(self) -> tuple[np.ndarray, ...]:
+        """(known words, base score, score) of each text."""
+        word = np.where(self.word_n > 0, self.root + np.nan_to_num(self.word_rest), self.tree.unknown)
+        pair = self.pair_gain + np.nan_to_num(self.pair_rest)
+        log = word[self.x]
+        log[self.one] += pair[self.pair[self.one]]
+        log[self.three] += self.triple_gain[self.triple]
+        each = (self.word_n > 0).astype(np.int64)[self.x], self.tree.base(self.word_n)[self.x], log
+        return tuple(np.add.reduceat(v, self.starts) for v in each)
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], tree: SuffixTree | None = None) -> Iterator[_Chunk]:
+    for number, own in itertools.groupby(_messages(batches), key=lambda m: m[0]):
+        yield _Chunk(number, own, tree)
+
+
+def _ask_counts(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    for c in _chunks(batches):
+        everywhere = np.arange(len(c.x))
+        for kind, keys, places, number in ((WORDS, c.words, everywhere, c.x), (PAIRS, c.pairs, c.one, c.pair[c.one])):
+            n = c.counts(places, number, len(keys))
+            yield from c.asks(kind, keys, parts, lambda at, n=n: [n[at]])
+
+
+def _ask_word_states(batches: Iterable[pa.RecordBatch], tree: SuffixTree, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    for c in _chunks(batches, tree):
+        c.hear_counts()
+        own = c.pair_speaks
+        yield from c.asks_states(WORD_STATES, c.words, c.word_n, _sums(c.context[own], len(c.words), c.pair_n[own], c.root[c.word[own]]), parts)
+        n = c.counts(c.three, c.triple, len(c.triples))
+        yield from c.asks(TRIPLES, c.triples, parts, lambda at, n=n: [n[at]])
+
+
+def _ask_pair_states(batches: Iterable[pa.RecordBatch], tree: SuffixTree, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    for c in _chunks(batches, tree):
+        c.hear_counts()
+        c.hear_word_states()
+        own = c.triple_speaks
+        yield from c.asks_states(PAIR_STATES, c.pairs, c.pair_n, _sums(c.triple_context[own], len(c.pairs), c.triple_n[own], c.pair_log[c.triple_suffix[own]]), parts)
+
+
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Of each part and kind what its chunks asked."""
+    for (part, kind), own in itertools.groupby(_messages(batches), key=lambda m: m[1:3]):
+        chunks, asked = [], []
+        for chunk, _, _, data in own:
+            chunks.append(chunk)
+            asked.append(_unpack(data))
+        keys = [_risen(*a[:2]) for a in asked]
+        stop = np.cumsum([len(k) for k in keys]).tolist()
+        order, _, new = _grouped(np.concatenate(keys))
+        del keys, _
+        first, back = np.flatnonzero(new), np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1  # from a question to its key's place
+        if kind in (WORD_STATES, PAIR_STATES):
+            kept, rest = _judged([a[2:] for a in asked], back, len(first))
+            kept, rest = kept[back], rest[back]
+            answer = lambda at: [kept[at], rest[at][kept[at]]]  # noqa: B023, E731
+        else:
+            n = np.add.reduceat(np.concatenate([a[2] for a in asked])[order], first)
+            if kind == WORDS:
+                yield NONE, part, TOTALS, _pack(np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()]))
+            told = n[back] * 2
+            told[order[first]] += 1  # the chunk that speaks for the string
+            told[told < 2 * (1 if kind == WORDS else MIN_COUNT)] = 0
+            answer = lambda at: [told[at]]  # noqa: B023, E731
+        del asked
+        for chunk, a, b in zip(chunks, [0, *stop], stop, strict=False):
+            yield chunk, part, kind, _pack(*answer(slice(a, b)))
+
+
+def _judged(asked: list[list[np.ndarray]], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether kept, what is left to the suffix) of contexts, from all chunks' counts and sums."""
+    at = at[np.concatenate([a[0] for a in asked]) > 0]
+    n, after, seen, gain, taken = (np.concatenate([a[i] for a in asked]) for i in range(1, 6))
+    context_n = np.ones(size)
+    context_n[at] = n  # all agree
+    after, seen, gain, taken = (np.bincount(at, v, size) for v in (after, seen, gain.view(np.float64), taken.view(np.float64)))
+    own = seen - DISCOUNT * after
+    left = 1 - own / context_n
+    rest = np.log10(np.maximum(left, 1e-12) / np.maximum(1 - taken, 1e-12))
+    gain = gain - own * np.log10(context_n) + np.maximum(left, 0.0) * context_n * rest  # of all observations
+    return (after > 0) & (gain * float(np.log(10)) > MIN_GAIN + after), rest
+
+
+def _told_scores(batches: Iterable[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.RecordBatch]:
+    for c in _chunks(batches, tree):
+        if c.asked.any():
+            c.hear_counts()
+            c.hear_word_states()
+            c.hear_pair_states()
+            columns = c.sizes, *c.scores()
+            yield pa.RecordBatch.from_arrays([pa.array(c.doc_id[c.asked], pa.int64(), mask=c.no_id[c.asked]), *(pa.array(v[c.asked]) for v in columns)],
+                                             names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _told_strings(batches: Iterable[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.RecordBatch]:
+    """All strings of the tree, from the chunks that speak for them."""
+    for c in _chunks(batches, tree):
+        c.hear_counts()
+        c.hear_word_states()
+        c.hear_pair_states()
+        none = np.full(len(c.words), NONE)
+        for words, own, context, suffix, n, log, rest in (
+                (1, c.word_speaks, none, c.words, c.word_n, c.root, c.word_rest),
+                (2, c.pair_speaks, c.words[c.context], c.words[c.word], c.pair_n, c.pair_log, c.pair_rest),
+                (3, c.triple_speaks, c.pairs[c.triple_context], c.pairs[c.triple_suffix], c.triple_n, c.triple_log, np.full(len(c.triples), np.nan))):
+            columns = context, suffix, n, log, rest
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), words)), *(pa.array(v[own], from_pandas=True) for v in columns)],
+                                             names=["words", "context", "suffix", "n", "log", "rest"])
+
+
+_ALL_STRINGS = "words long, context long, suffix long, n long, log double, rest double"
 
 
 def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,10 +534,11 @@ class _States:
 
 
 class SuffixTree:
-    """The frequent part of the tree: words in falling order of their counts, pairs, and what tasks need to score by them."""
+    """What all tasks need of the tree; on the driver also its strings, of which the frequent words (in falling order of
+    their counts) and pairs are loaded when one of them is first asked for."""
 
-    def __init__(self, total: int, distinct: int, once: int, twice: int, least: int):
-        self.total, self.distinct, self._least = total, distinct, least
+    def __init__(self, total: int, distinct: int, once: int, twice: int):
+        self.total, self.distinct = total, distinct
         # where no word occurs twice, what is seen still keeps a share
         self.discount = min(MOST_DISCOUNT, once / (once + 2 * twice)) if once else DISCOUNT
         # what the discounts leave is shared by as many unseen words as there are seen ones, and one more
@@ -248,9 +551,25 @@ class SuffixTree:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
-    def learn_words(self, words: np.ndarray, counts: np.ndarray, root: np.ndarray, rest: np.ndarray, weights: np.ndarray) -> None:
+    def log(self, count: np.ndarray) -> np.ndarray:
+        """log10 of a word's probability by the empty context; NaN of unknown ones."""
+        return np.log10(np.where(count > 0, count - self.discount, np.nan) / max(1, self.total))
+
+    def __getattr__(self, name: str):
+        if name not in ("words", "counts", "root", "word_rest", "contexts", "pairs", "_least") or "strings" not in self.__dict__:
+            raise AttributeError(name)
+        self._load()
+        return self.__dict__[name]
+
+    def _load(self) -> None:
+        words, pairs = (self.strings.where(F.col("words") == k) for k in (1, 2))
+        self._least = max(_hot_count(words), _hot_count(pairs))
+        self.learn_words(*_columns(words.where((F.col("n") >= self._least) | (F.col("suffix") == END)), "suffix", "n", "log", "rest"))
+        self.learn_pairs(*_columns(pairs.where(F.col("n") >= self._least), "context", "suffix", "n", "log"))
+
+    def learn_words(self, words: np.ndarray, counts: np.ndarray, root: np.ndarray, rest: np.ndarray) -> None:
         order = np.lexsort((words, -counts))
-        self.words, self.counts, self.root, self.word_rest, self.word_weights = (v[order] for v in (words, counts, root, rest, weights))
+        self.words, self.counts, self.root, self.word_rest = (v[order] for v in (words, counts, root, rest))
         self.contexts = int((self.counts >= self.least()).sum())  # a prefix, as counts fall
 
     def learn_pairs(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, log: np.ndarray) -> None:
@@ -258,13 +577,9 @@ class SuffixTree:
         a, b = (by_key[np.searchsorted(self.words, k, sorter=by_key)] for k in (context, word))
         self.pairs = _States(a << _BITS | b, counts, log, self.word_rest)
 
-    def learn_strings(self, keys: np.ndarray, weights: np.ndarray, others: KeySet) -> None:
-        """Frequent pairs and triples; ``others`` has the keys of those that are left to a join."""
-        self.string_keys, self.string_weights, self.others, self._tables = keys, weights, others, None
-
     def __getstate__(self) -> dict:
-        """Without what no task asks."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "root", "word_rest")}
+        """What tasks ask."""
+        return {k: self.__dict__[k] for k in ("total", "distinct", "discount", "unknown")}
 
     def after_word(self, context: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 of a word's probability after a one-word context (-1: none), given its root's."""
@@ -273,80 +588,6 @@ class SuffixTree:
     def indexed(self) -> dict[int, int]:
         return {int(k): i for i, k in enumerate(self.words.tolist())}
 
-    def tables(self) -> tuple[HashTable, HashTable]:
-        """(numbers of words, places of other strings), made once in a worker."""
-        if self._tables is None:
-            self._tables = HashTable(self.words, np.arange(len(self.words))), HashTable(self.string_keys, np.arange(len(self.string_keys)))
-        return self._tables
-
-
-def _text_scores(batches: Iterable[pa.RecordBatch], tree: SuffixTree) -> Iterator[pa.RecordBatch]:
-    """Of each row its sums over frequent strings (key is null), and its other strings."""
-    words, strings = tree.tables()
-    # the last of each: not among them
-    base, own, value = (np.append(v, 0.0) for v in (tree.base(tree.counts), tree.word_weights, tree.string_weights))
-    for rows, texts in text_chunks(batches):
-        x, starts = _read(texts)
-        of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(x))))
-        number = words.get(x)
-        hot, log = number >= 0, own[number]
-        rest_of, rest_key, rest_word = [of[~hot]], [x[~hot]], [np.ones((~hot).sum(), bool)]
-        one, two = _pairs(x, starts)
-        pair = string_key(np.concatenate([[NONE], x[:-1]]), x)
-        for at, keys in ((one, pair[one]), (two, string_key(pair[two - 1], pair[two]))):
-            found = strings.get(keys)
-            log[at] += value[found]
-            left = np.flatnonzero((found < 0) & tree.others.has(keys))
-            rest_of.append(of[at[left]])
-            rest_key.append(keys[left])
-            rest_word.append(np.zeros(len(left), bool))
-        sums = [np.add.reduceat(v, starts) for v in (np.ones(len(x)), hot.astype(np.int64), base[number], log)]
-        row, doc_id = rows.flatten()
-        n, others = len(texts), np.concatenate(rest_of)
-        none, k = pa.nulls, len(others)
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([row, row.take(pa.array(others))]), pa.concat_arrays([doc_id, none(k, pa.int64())]),
-             pa.concat_arrays([none(n, pa.int64()), pa.array(np.concatenate(rest_key), pa.int64())]),
-             pa.concat_arrays([none(n, pa.bool_()), pa.array(np.concatenate(rest_word), pa.bool_())]),
-             *(pa.concat_arrays([pa.array(v.astype(np.int64)), none(k, pa.int64())]) for v in sums[:2]),
-             *(pa.concat_arrays([pa.array(v), none(k, pa.float64())]) for v in sums[2:])],
-            names=["row", "doc_id", "key", "word", "n", "known", "base", "log"])
-
-
-_SCORES = "row long, doc_id long, key long, word boolean, n long, known long, base double, log double"
-
-
-def _with(df: DataFrame, of: DataFrame, key: str, least: float) -> DataFrame:
-    """``df`` joined with ``of``, which has each ``key`` once and its count ``n``."""
-    often, seldom = of.where(F.col("n") >= least).drop("n"), of.where(F.col("n") < least).drop("n")
-    alone = df.join(F.broadcast(often.select(key)), key, "left_anti")
-    return df.join(F.broadcast(often), key).unionByName(alone.join(seldom, key))
-
-
-def _level(strings: DataFrame, lower: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The states of one length, from ``strings`` (context, suffix, n) and ``lower`` (key, n, log), the strings one word shorter.
-
-    Gives (key, context, suffix, n, log, gain) of all strings, log being the last word's log10
-    probability by the longest state and gain what the context adds, and (context, rest) of the states.
-    """
-    lower_log = lower.select(F.col("key").alias("suffix"), "n", F.col("log").alias("lower"))
-    told = scratch.write(_with(strings.withColumnRenamed("n", "times"), lower_log, "suffix", least), "told")
-    left = F.col("times") - DISCOUNT
-    sums = told.groupBy("context").agg(F.sum(left).alias("own"), F.sum(left * (F.log10(left) - F.col("lower"))).alias("gain"), F.count(F.lit(1)).alias("after"),
-                                       F.sum(F.pow(F.lit(10.0), F.col("lower"))).alias("taken"))
-    mass = F.col("own") / F.col("n")
-    sums = sums.join(lower.select(F.col("key").alias("context"), "n"), "context").withColumn(
-        "rest", F.log10(F.greatest(1 - mass, F.lit(1e-12)) / F.greatest(1 - F.col("taken"), F.lit(1e-12))))
-    gain = F.col("gain") - F.col("own") * F.log10("n") + F.greatest(1 - mass, F.lit(0.0)) * F.col("n") * F.col("rest")  # of all observations
-    states = scratch.write(sums.withColumn("kept", gain * float(np.log(10)) > MIN_GAIN + F.col("after")).select("context", "n", "kept", "rest"), "states")
-    log = F.when(F.col("kept"), F.log10(left) - F.log10("seen")).otherwise(F.col("lower"))
-    strings = _with(told, states.withColumn("seen", F.col("n")), "context", least).withColumn("log", log).select(
-        _string_key("context", "suffix").alias("key"), "context", "suffix", F.col("times").alias("n"), "log",
-        F.when(F.col("kept"), F.col("log") - F.col("rest") - F.col("lower")).otherwise(0.0).alias("gain"))
-    strings = scratch.write(strings, "strings")
-    scratch.drop(told)
-    return strings, states.where("kept").select(F.col("context").alias("key"), "rest")
-
 
 def _hot_count(rows: DataFrame) -> int:
     """The least count, MIN_COUNT or more, that at most HOT of the rows have or pass."""
@@ -358,48 +599,54 @@ def _hot_count(rows: DataFrame) -> int:
     return MIN_COUNT
 
 
-def _strings(found: DataFrame) -> DataFrame:
-    """Sums of (context, suffix, n); a row of each task has been summed there already."""
-    return found.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame, scratch: Scratch) -> tuple[SuffixTree, DataFrame]:
-    """(the tree's frequent part, the weights (key, n, weight) of all words, and without n of the
-    strings beyond a word that the frequent part lacks) of texts (doc_id, text)."""
-    form, is_word = "context long, suffix long, n long", F.col("context") == NONE
-    counts = scratch.write(_strings(train.mapInArrow(_word_pair_counts, form)).where(is_word | (F.col("n") >= MIN_COUNT)), "counts")
-    words, pairs = counts.where(is_word).select(F.col("suffix").alias("key"), "n"), counts.where(~is_word)
-    one = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("n").alias("distinct"), F.count_if(F.col("n") == 1).alias("once"),
-                    F.count_if(F.col("n") == 2).alias("twice")).first()
-    tree = SuffixTree(one.total, one.distinct, one.once, one.twice, max(_hot_count(words), _hot_count(pairs)))
-    spread = max(2.0, SPREAD * tree.total)
-    words = words.withColumn("log", F.log10((F.col("n") - tree.discount) / max(1, tree.total)))
-    pairs, word_states = _level(pairs, words, spread, scratch)
-    sent = train.sparkSession.sparkContext.broadcast(KeySet(pairs))
-    triples = scratch.write(_strings(train.mapInArrow(lambda b: _triple_counts(b, sent.value), form)).where(F.col("n") >= MIN_COUNT), "triples")
-    sent.destroy()
-    hot_triple = _hot_count(triples)
-    triples, pair_states = _level(triples, pairs, spread, scratch)
-
-    rest = F.coalesce(F.col("rest"), F.lit(0.0))
-    words = scratch.write(words.join(word_states, "key", "left").withColumn("weight", F.col("log") + rest), "words")
-    longer = scratch.write(
-        pairs.join(pair_states, "key", "left").select("key", "n", (F.col("gain") + rest).alias("weight"), (F.col("n") >= tree.least()).alias("hot"), "context", "suffix", "log").unionByName(
-            triples.select("key", "n", F.col("gain").alias("weight"), (F.col("n") >= hot_triple).alias("hot")), allowMissingColumns=True), "longer")
-    scratch.drop(pairs, triples, counts)
-    tree.learn_words(*_columns(words.where((F.col("n") >= tree.least()) | (F.col("key") == END)), "key", "n", "log", "rest", "weight"))
-    tree.learn_pairs(*_columns(longer.where("hot and context is not null"), "context", "suffix", "n", "log"))
-    others = longer.where("not hot and weight != 0").select("key", F.lit(None).cast("long").alias("n"), "weight")
-    tree.learn_strings(*_columns(longer.where("hot and weight != 0"), "key", "weight"), KeySet(others))
-    return tree, words.select("key", "n", "weight").unionByName(others)
-
-
 def _columns(hot: DataFrame, *names: str) -> list[np.ndarray]:
     """Columns of at most HOT rows; nulls are NaN."""
     rows = hot.select(*names).toPandas()
     return [rows[c].to_numpy(np.int64 if c in ("key", "context", "suffix") else np.float64) for c in names]
 
 
+def _dealt(messages: DataFrame, values: int, *by: str) -> DataFrame:
+    """All rows of each of the first column's values in one task, in order."""
+    return messages.repartition(by[0]).sortWithinPartitions(*by).coalesce(max(values, most_tasks(messages.sparkSession)))
+
+
+def fit(texts: DataFrame, scratch: Scratch) -> tuple[SuffixTree, DataFrame]:
+    """(the tree, all that chunks of texts are told of their strings) of texts (doc_id, text), and which are learned from
+    (learn) and are to be scored (asked); without these all are learned from."""
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    if "learn" not in texts.columns:
+        texts = texts.withColumns({"learn": F.lit(True), "asked": F.lit(False)})
+
+    def mapped(messages: DataFrame, task: Callable, *args) -> DataFrame:
+        return messages.mapInArrow(lambda b: tidied(_sent(task(b, *args))), _MESSAGE)
+
+    def write(messages: DataFrame, name: str) -> DataFrame:
+        return scratch.write(messages, name, keep_shuffles=False)
+
+    def answers(asked: DataFrame, name: str) -> DataFrame:
+        return write(mapped(_dealt(asked, parts, "part", "kind", "chunk"), _answers), name)
+
+    # numbered once and stored: chunks that are made anew for each use need not agree
+    told = write(mapped(texts.select(F.struct("doc_id", "learn", "asked").alias("of"), "text"), _text_messages), "chunks")
+    held, tokens = told.agg(F.count(F.lit(1)), F.coalesce(F.sum("part"), F.lit(0))).first()
+    parts, by = 1 + tokens // _PART, (held, "chunk", "kind", "part")
+    counts = answers(mapped(told, _ask_counts, parts), "counts")
+    totals = [_unpack(r["data"])[0] for r in counts.where(F.col("kind") == TOTALS).select("data").collect()]  # four numbers a part
+    tree = SuffixTree(*sum(totals, np.zeros(4, np.int64)).tolist())
+    told = told.unionAll(counts.where(F.col("kind") != TOTALS))
+    told = told.unionAll(answers(mapped(_dealt(told, *by), _ask_word_states, tree, parts), "word-states"))
+    told = _dealt(told.unionAll(answers(mapped(_dealt(told, *by), _ask_pair_states, tree, parts), "pair-states")), *by)
+    tree.strings = told.mapInArrow(lambda b: tidied(_told_strings(b, tree)), _ALL_STRINGS)
+    return tree, told
+
+
+def _scored(texts: DataFrame, spark) -> DataFrame:
+    tree, told = fit(texts, Scratch(spark, "suffix-tree"))
+    scores = told.mapInArrow(lambda b: tidied(_told_scores(b, tree)), _SCORES)
+    return scores.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def score_documents(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, by a tree of
     ``train``'s texts; scores are log10 probabilities of the words and the end.
@@ -407,24 +654,11 @@ def score_documents(df: DataFrame, train: DataFrame, id_col: str = "doc_id", tex
     Null, empty and blank texts are the end alone.  Repeated rows are scored each.  Without training
     texts every word is unknown and all probabilities are 1.
     """
-    scratch = Scratch(df.sparkSession, "suffix-tree")
-    plain = lambda d: d.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tree, weights = fit(plain(train), scratch)
-    sent = df.sparkSession.sparkContext.broadcast(tree)
-    # numbered once and stored: rows that are numbered anew for each use need not agree
-    rows = plain(df).select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("of"), "text")
-    got = scratch.write(rows.mapInArrow(lambda b: _text_scores(b, sent.value), _SCORES), "scores")
-    other = got.where("key is not null").select("row", "word", "key").join(weights.withColumnRenamed("n", "count"), "key", "left").where("word or weight is not null")
-    c = F.coalesce(F.col("count"), F.lit(0)).cast("double")
-    base = F.log10((c + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    other = other.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(F.col("word") & (c > 0), 1).otherwise(0).cast("long").alias("known"),
-                         F.when(F.col("word"), base).otherwise(0.0).alias("base"), F.coalesce("weight", F.lit(tree.unknown)).alias("log"))
-    total = got.where("key is null").drop("key", "word").unionByName(other).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log").alias("score"))
-    return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+    used = lambda d, learn: documents_of(d, id_col, text_col).withColumns({"learn": F.lit(learn), "asked": F.lit(not learn)})
+    return _scored(used(df, False).unionAll(used(train, True)), df.sparkSession)
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, docs.where(~held_out(F.col("doc_id"))))
+    docs = documents_of(table(spark, sf_dir, "documents"))
+    scored = _scored(docs.withColumns({"learn": ~held_out(F.col("doc_id")), "asked": F.lit(True)}), spark)
     return scored.withColumn("held_out", held_out(F.col("doc_id")))

@@ -509,6 +509,41 @@ def test_suffix_tree_keeps_strings_of_small_share(spark, docs, texts, monkeypatc
     assert {r.doc_id: r.score for r in got} == pytest.approx({i: plain(t) for i, t in enumerate(asked)})
 
 
+def test_suffix_tree_moves_strings_packed(spark, docs, monkeypatch):
+    """What is stored has a row for each chunk, or for each chunk and part, and not one for each string; shuffles go with their job."""
+    write, stored = common.Scratch.write, []
+
+    def counted(self, df, name, **kept):
+        stored.append(kept | {"rows": (out := write(self, df, name, **kept)).count()})
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    rows = suffix_tree.score_documents(docs, docs).count()
+    assert rows == docs.count() and sum(s["rows"] for s in stored) < rows  # each text has dozens of strings
+    assert not any(s["keep_shuffles"] for s in stored)
+
+
+def test_suffix_tree_of_many_chunks_and_parts(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "_PART", 700)
+    plain = _plain_tree(list(texts.values()))
+    few = docs.select("doc_id", "text").repartition(7)
+    got = suffix_tree.score_documents(few, few).collect()
+    asked = dict(list(texts.items())[:60])
+    assert {r.doc_id: r.score for r in got if r.doc_id in asked} == pytest.approx({i: plain(t) for i, t in asked.items()})
+
+
+def test_suffix_tree_packs_and_orders_longs():
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([rng.integers(0, 2**63 - 1, 2000), np.repeat(rng.integers(0, 2**63 - 1, 50), 20), (7 << 40) + rng.integers(0, 30, 500)])  # of the last the upper bits agree
+    rng.shuffle(keys)
+    order, k, new = suffix_tree._grouped(keys)
+    assert (order == np.argsort(keys, kind="stable")).all() and (k == np.sort(keys)).all() and new.sum() == len(set(keys.tolist()))
+    arrays = [np.sort(keys), np.array([-0.5, np.nan, 1e300]), np.zeros(5, np.int64), np.zeros(0, np.int64), np.array([True, False]), np.array([-3, 2**62])]
+    got = suffix_tree._unpack(suffix_tree._pack(*arrays))
+    assert all(np.array_equal(g.view(a.dtype) if a.dtype.itemsize == 8 else g, a, equal_nan=a.dtype == float) for g, a in zip(got, arrays, strict=True))
+    assert np.array_equal(suffix_tree._risen(*suffix_tree._rising(np.sort(keys))), np.sort(keys)) and len(suffix_tree._risen(*suffix_tree._rising(keys[:0]))) == 0
+
+
 def test_suffix_tree_string_keys_are_sparks(spark):
     keys = [0, 1, -1, 2**62, 123456789012345, 2**63 - 1]
     rows = spark.createDataFrame(list(itertools.product(keys, keys)), "context long, suffix long").withColumn("key", suffix_tree._string_key("context", "suffix")).collect()
