@@ -50,8 +50,9 @@ class Scratch:
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kindling/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame, name: str, keep_shuffles: bool = True) -> DataFrame:
-        """``keep_shuffles``: until the driver happens to collect its garbage; else only while the table is written."""
+    def write(self, df: DataFrame, name: str, keep_shuffles: bool = True, by: str | None = None) -> DataFrame:
+        """``keep_shuffles``: until the driver happens to collect its garbage; else only while the table is written.
+        ``by``: a column, each value's rows being in files of their own, which can go alone."""
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
         conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -59,16 +60,17 @@ class Scratch:
         try:
             if not keep_shuffles:
                 conf.set(key, "true")
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         finally:
             conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kindling_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame, only: str = "") -> None:
+        """``only``: the rows of one value (column=value) of the column a table was written by."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._kindling_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{t._kindling_path}/{only}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def drop_all(self) -> None:

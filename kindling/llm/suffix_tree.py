@@ -52,7 +52,9 @@ MIN_GAIN, DISCOUNT = 10.0, 0.5
 #: A discount takes no more of a word seen once, so that none is rated below an unseen word.
 MOST_DISCOUNT = 0.5
 #: Tokens of a chunk at most (one batch may have more), and of all texts for each part of the keys.
-_TOKENS, _PART = 2_700_000, 2_000_000
+_TOKENS, _PART = 1_800_000, 1_500_000
+#: All chunks are asked or scored in so many steps, and all parts answer in so many, for the disk that shuffles take meanwhile.
+_STEPS = 4
 _BITS = 20
 #: Strings that are hashed at once, in a CPU's cache.
 _AT_ONCE = 1 << 15
@@ -282,10 +284,12 @@ def _text_messages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int
 
 
 def _sums(of: np.ndarray, size: int, n: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
-    """Of each of ``size`` contexts: how many strings follow, their counts' sum, and sums for the gain and for the rest."""
+    """Of each of ``size`` contexts: how many strings follow, their counts' sum, and sums for the gain and for the rest;
+    where one string follows, its ``lower`` in place of the former, which tells both."""
     left = n - DISCOUNT
-    sums = [np.bincount(of, minlength=size), *(np.bincount(of, v, size) for v in (n, left * (np.log10(left) - lower), 10.0 ** lower))]
-    return [*(v.astype(np.int64) for v in sums[:2]), *sums[2:]]
+    after = np.bincount(of, minlength=size)
+    seen, gain, alone, taken = (np.bincount(of, v, size) for v in (n, left * (np.log10(left) - lower), lower, 10.0 ** lower))
+    return [after, seen.astype(np.int64), np.where(after == 1, alone, gain), taken]
 
 
 class _Chunk:
@@ -324,9 +328,9 @@ class _Chunk:
     def asks_states(self, kind: int, keys: np.ndarray, n: np.ndarray, sums: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, int, bytes]]:
         """Of contexts that can be states, with their counts and sums where this chunk speaks for strings after them."""
         can = n >= MIN_COUNT
-        n, *sums = (v[can] for v in (n, *sums))
-        has = sums[0] > 0
-        return self.asks(kind, keys[can], parts, lambda at: [has[at], *(v[at][has[at]] for v in (n, *sums))])
+        n, *sums, taken = (v[can] for v in (n, *sums))
+        has, several = sums[0] > 0, sums[0] > 1
+        return self.asks(kind, keys[can], parts, lambda at: [has[at], *(v[at][has[at]] for v in (n, *sums)), taken[at][several[at]]])
 
     def _counted(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         told = np.concatenate([np.zeros(0, np.int64), *(_unpack(d)[0] for d in self._told.pop(kind, ()))])
@@ -445,10 +449,13 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
 def _judged(asked: list[list[np.ndarray]], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(whether kept, what is left to the suffix) of contexts, from all chunks' counts and sums."""
     at = at[np.concatenate([a[0] for a in asked]) > 0]
-    n, after, seen, gain, taken = (np.concatenate([a[i] for a in asked]) for i in range(1, 6))
+    n, after, seen, gain, more = (np.concatenate([a[i] for a in asked]) for i in range(1, 6))
+    gain, taken, one = gain.view(np.float64), np.empty(len(at)), after == 1
+    taken[~one], taken[one] = more.view(np.float64), 10.0 ** gain[one]
+    gain[one] = (seen[one] - DISCOUNT) * (np.log10(seen[one] - DISCOUNT) - gain[one])
     context_n = np.ones(size)
     context_n[at] = n  # all agree
-    after, seen, gain, taken = (np.bincount(at, v, size) for v in (after, seen, gain.view(np.float64), taken.view(np.float64)))
+    after, seen, gain, taken = (np.bincount(at, v, size) for v in (after, seen, gain, taken))
     own = seen - DISCOUNT * after
     left = 1 - own / context_n
     rest = np.log10(np.maximum(left, 1e-12) / np.maximum(1 - taken, 1e-12))
@@ -610,7 +617,21 @@ def _dealt(messages: DataFrame, values: int, *by: str) -> DataFrame:
     return messages.repartition(by[0]).sortWithinPartitions(*by).coalesce(max(values, most_tasks(messages.sparkSession)))
 
 
-def fit(texts: DataFrame, scratch: Scratch) -> tuple[SuffixTree, DataFrame]:
+class _Told:
+    """Tables of all that chunks were told so far, and the chunks themselves."""
+
+    def __init__(self, chunks: int, tables: list[DataFrame]):
+        self.chunks, self.tables = chunks, tables
+
+    def dealt(self) -> list[DataFrame]:
+        """The messages of each chunk in one task and in order, some of the chunks at once."""
+        steps = max(1, min(_STEPS, self.chunks))
+        told = functools.reduce(DataFrame.unionAll, self.tables).where(F.col("chunk") != NONE)
+        step = F.pmod(F.xxhash64("chunk"), F.lit(steps))
+        return [_dealt(told.where(step == k), self.chunks, "chunk", "kind", "part") for k in range(steps)]
+
+
+def fit(texts: DataFrame, scratch: Scratch) -> tuple[SuffixTree, _Told]:
     """(the tree, all that chunks of texts are told of their strings) of texts (doc_id, text), and which are learned from
     (learn) and are to be scored (asked); without these all are learned from."""
     spark = texts.sparkSession
@@ -621,29 +642,44 @@ def fit(texts: DataFrame, scratch: Scratch) -> tuple[SuffixTree, DataFrame]:
     def mapped(messages: DataFrame, task: Callable, *args) -> DataFrame:
         return messages.mapInArrow(lambda b: tidied(_sent(task(b, *args))), _MESSAGE)
 
-    def write(messages: DataFrame, name: str) -> DataFrame:
-        return scratch.write(messages, name, keep_shuffles=False)
+    def write(messages: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        return scratch.write(messages, name, keep_shuffles=False, by=by)
 
     def answers(asked: DataFrame, name: str) -> DataFrame:
         return write(mapped(_dealt(asked, parts, "part", "kind", "chunk"), _answers), name)
 
+    def told_by_steps(task: Callable, name: str) -> list[DataFrame]:
+        """What the parts answer, some of them at once, to what the chunks ask, some of them at once."""
+        steps = min(_STEPS, parts)
+        step = (F.col("part") * steps / parts).cast("long").alias("step")
+        asked = [write(mapped(own, task, tree, parts).select("*", step), f"ask-{name}", by="step") for own in told.dealt()]
+        got = []
+        for k in range(steps):
+            own = functools.reduce(DataFrame.unionAll, (a.where(F.col("step") == k).drop("step") for a in asked))
+            got.append(answers(own, name))
+            scratch.drop(*asked, only=f"step={k}")
+        return got
+
     # numbered once and stored: chunks that are made anew for each use need not agree
-    told = write(mapped(texts.select(F.struct("doc_id", "learn", "asked").alias("of"), "text"), _text_messages), "chunks")
-    held, tokens = told.agg(F.count(F.lit(1)), F.coalesce(F.sum("part"), F.lit(0))).first()
-    parts, by = 1 + tokens // _PART, (held, "chunk", "kind", "part")
-    counts = answers(mapped(told, _ask_counts, parts), "counts")
+    chunks = write(mapped(texts.select(F.struct("doc_id", "learn", "asked").alias("of"), "text"), _text_messages), "chunks")
+    held, tokens = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("part"), F.lit(0))).first()
+    parts = 1 + tokens // _PART
+    counts = answers(mapped(chunks, _ask_counts, parts), "counts")
     totals = [_unpack(r["data"])[0] for r in counts.where(F.col("kind") == TOTALS).select("data").collect()]  # four numbers a part
     tree = SuffixTree(*sum(totals, np.zeros(4, np.int64)).tolist())
-    told = told.unionAll(counts.where(F.col("kind") != TOTALS))
-    told = told.unionAll(answers(mapped(_dealt(told, *by), _ask_word_states, tree, parts), "word-states"))
-    told = _dealt(told.unionAll(answers(mapped(_dealt(told, *by), _ask_pair_states, tree, parts), "pair-states")), *by)
-    tree.strings = told.mapInArrow(lambda b: tidied(_told_strings(b, tree)), _ALL_STRINGS)
+    told = _Told(held, [chunks, counts])
+    told.tables += told_by_steps(_ask_word_states, "word-states")
+    told.tables += told_by_steps(_ask_pair_states, "pair-states")
+    tree.strings = functools.reduce(DataFrame.unionAll, (d.mapInArrow(lambda b: tidied(_told_strings(b, tree)), _ALL_STRINGS) for d in told.dealt()))
     return tree, told
 
 
 def _scored(texts: DataFrame, spark) -> DataFrame:
-    tree, told = fit(texts, Scratch(spark, "suffix-tree"))
-    scores = told.mapInArrow(lambda b: tidied(_told_scores(b, tree)), _SCORES)
+    scratch = Scratch(spark, "suffix-tree")
+    tree, told = fit(texts, scratch)
+    scores = [scratch.write(d.mapInArrow(lambda b: tidied(_told_scores(b, tree)), _SCORES), "scores", keep_shuffles=False) for d in told.dealt()]
+    scratch.drop(*told.tables)
+    scores = functools.reduce(DataFrame.unionAll, scores)
     return scores.select("doc_id", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
